@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tillcast.functions import calendar
 from tillcast.operators.lookup import add_branch_info, map_branches
 from tillcast.operators.rollup import resum
+from tillcast.session import materialize
 
 TEMPERATURES = ["temperature_2m_max", "temperature_2m_min"]
 
@@ -88,14 +89,21 @@ def forward_fill(df: DataFrame, column: str, keys: list[str], order: list[str])
 def preprocess(
     rollup: DataFrame, branch_map: DataFrame, branch_dim: DataFrame, weather: DataFrame
 ) -> DataFrame:
-    """Rolled-up sales by warehouse to the enriched fact."""
-    return (
+    """Rolled-up sales by warehouse to the enriched fact.
+
+    The joined rows are written once: the weekday codes and the temperature means each need
+    a pass over one or two of their columns before the rows themselves are finished.
+    """
+    joined = (
         rollup.transform(map_branches, branch_map)
         .transform(resum)
         .transform(add_calendar)
         .transform(add_branch_info, branch_dim)
         .transform(add_weather, weather)
         .drop("city", "latitude", "longitude")
+    )
+    return (
+        materialize(joined, "preprocess")
         .transform(encode_label, "day")
         .transform(fill_mean, TEMPERATURES)
     )

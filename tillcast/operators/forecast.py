@@ -18,7 +18,6 @@ group, however many invoice lines stand behind it.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -31,6 +30,7 @@ from tillcast.sources.schemas import SERIES_KEY
 HORIZON = 7
 ORIGIN = "1995-01-01"
 REGRESSORS = ["is_weekend", *TEMPERATURES, "day"]
+CONSTANT = 1e-9  # share of the mean square below which a variance is rounding error
 
 
 def training_set(enriched: DataFrame) -> DataFrame:
@@ -100,20 +100,15 @@ def _trend() -> Column:
     return F.greatest(F.lit(0.0), F.least(F.col("cap"), line))
 
 
-def _weekday() -> Column:
-    return F.element_at("weekday_effect", F.weekday("date") + 1)
-
-
-def _holiday() -> Column:
-    return F.coalesce(F.col("holiday_effect")[F.col("holiday")], F.lit(0.0))
-
-
 def _value(regressor: str) -> Column:
     return F.col(regressor).cast("double")
 
 
-def _carry(model: DataFrame) -> list[Column]:
-    return [F.first(c).alias(c) for c in model.columns if c not in SERIES_KEY]
+def _add_holiday(rows: DataFrame, holidays: DataFrame | None) -> DataFrame:
+    if holidays is None:
+        return rows.withColumn("holiday", F.lit(None).cast("string"))
+    named = holidays.groupBy("date").agg(F.min("holiday").alias("holiday"))
+    return rows.join(named, "date", "left")
 
 
 def _fit_trend(rows: DataFrame, minimum: int) -> DataFrame:
@@ -133,77 +128,106 @@ def _fit_trend(rows: DataFrame, minimum: int) -> DataFrame:
     )
 
 
-def _fit_weekday(rows: DataFrame, model: DataFrame) -> DataFrame:
-    left = F.col("qty_sold") - _trend()
-    effects = [
-        F.coalesce(F.avg(F.when(F.weekday("date") == d, left)), F.lit(0.0)) for d in range(7)
-    ]
+def _cells(rows: DataFrame, lines: DataFrame, regressors: Sequence[str]) -> DataFrame:
+    """Sums per series, weekday and holiday: all that the effects and slopes are made of.
+
+    ``left`` is what the trend leaves of the quantity, ``x`` a regressor.
+    """
+    parts = [F.count(F.lit(1)).alias("n"), F.sum("left").alias("left")]
+    for k in range(len(regressors)):
+        x = F.col(f"x{k}")
+        parts += [F.sum(x).alias(f"x{k}"), F.sum(F.col("left") * x).alias(f"left_x{k}")]
+        parts += [F.sum(F.col(f"x{j}") * x).alias(f"x{j}_x{k}") for j in range(k + 1)]
     return (
-        rows.drop("item_group")
-        .join(model, SERIES_KEY)
-        .groupBy(*SERIES_KEY)
-        .agg(*_carry(model), F.array(*effects).alias("weekday_effect"))
+        rows.filter(F.col("qty_sold").isNotNull())
+        .join(lines.select(*SERIES_KEY, "cap", "slope", "intercept"), SERIES_KEY)
+        .select(
+            *SERIES_KEY,
+            "holiday",
+            F.weekday("date").alias("weekday"),
+            (F.col("qty_sold") - _trend()).alias("left"),
+            *[_value(r).alias(f"x{k}") for k, r in enumerate(regressors)],
+        )
+        .groupBy(*SERIES_KEY, "weekday", "holiday")
+        .agg(*parts)
     )
 
 
-def _add_holiday(rows: DataFrame, holidays: DataFrame | None) -> DataFrame:
-    if holidays is None:
-        return rows.withColumn("holiday", F.lit(None).cast("string"))
-    named = holidays.groupBy("date").agg(F.min("holiday").alias("holiday"))
-    return rows.join(named, "date", "left")
-
-
-def _fit_holiday(rows: DataFrame, model: DataFrame, holidays: DataFrame | None) -> DataFrame:
-    if holidays is None:
-        return model.withColumn("holiday_effect", F.lit(None).cast("map<string, double>"))
-    left = F.col("qty_sold") - _trend() - _weekday()
-    per_holiday = (
-        rows.drop("item_group")
-        .filter(F.col("holiday").isNotNull())
-        .join(model, SERIES_KEY)
-        .groupBy(*SERIES_KEY, "holiday")
-        .agg(F.avg(left).alias("effect"))
+def _with_effects(cells: DataFrame, regressors: Sequence[str]) -> DataFrame:
+    """Weekday and holiday means, and what they leave; windows over one series' few cells."""
+    same_weekday = Window.partitionBy(*SERIES_KEY, "weekday")
+    same_holiday = Window.partitionBy(*SERIES_KEY, "holiday")
+    n, left = F.col("n"), F.col("left")
+    cells = cells.withColumn(
+        "weekday_mean", F.sum(left).over(same_weekday) / F.sum(n).over(same_weekday)
+    ).withColumn("left", left - n * F.col("weekday_mean"))
+    holiday_mean = F.sum("left").over(same_holiday) / F.sum(n).over(same_holiday)
+    cells = cells.withColumn(
+        "holiday_mean", F.when(F.col("holiday").isNotNull(), holiday_mean).otherwise(0.0)
     )
-    per_series = per_holiday.groupBy(*SERIES_KEY).agg(
-        F.map_from_entries(F.collect_list(F.struct("holiday", "effect"))).alias("holiday_effect")
+    explained = F.col("weekday_mean") + F.col("holiday_mean")
+    return cells.withColumns(
+        {
+            "left": F.col("left") - n * F.col("holiday_mean"),
+            **{
+                f"left_x{k}": F.col(f"left_x{k}") - explained * F.col(f"x{k}")
+                for k in range(len(regressors))
+            },
+        }
     )
-    return model.join(per_series, SERIES_KEY, "left")
 
 
-def _fit_regressors(rows: DataFrame, model: DataFrame, regressors: Sequence[str]) -> DataFrame:
-    """Slopes of the remainder on each regressor in turn, from one pass of moments.
+def _fit_effects(cells: DataFrame, regressors: Sequence[str]) -> DataFrame:
+    """Effects and regressor slopes per series.
 
     With r the remainder before the first regressor, the remainder before the k-th is
     r - sum(slope_j * (x_j - mean_j)); its covariance with x_k follows from the covariances
-    of r and of the earlier regressors with x_k. So no further pass per regressor is needed.
+    of r and of the earlier regressors with x_k, so no pass per regressor is needed. A
+    regressor that hardly varies within the series gets slope 0.
     """
-    if not regressors:
-        return model.withColumn("regressor_slope", F.array().cast("array<double>")).withColumn(
-            "regressor_mean", F.array().cast("array<double>")
-        )
-    left = F.col("qty_sold") - _trend() - _weekday() - _holiday()
-    x = [_value(r) for r in regressors]
+    count = len(regressors)
+    n = F.sum("n")
+    mean = [F.sum(f"x{k}") / n for k in range(count)]
+
+    def covariance(product: str, first: Column, second: Column) -> Column:
+        return F.sum(product) / n - first * second
+
     moments = []
-    for k, xk in enumerate(x):
-        moments.append(F.avg(xk).alias(f"_mean{k}"))
-        moments.append(F.var_pop(xk).alias(f"_var{k}"))
-        moments.append(F.covar_pop(left, xk).alias(f"_left{k}"))
-        moments += [F.covar_pop(x[j], xk).alias(f"_cov{j}_{k}") for j in range(k)]
-    fitted = (
-        rows.drop("item_group")
-        .join(model, SERIES_KEY)
-        .groupBy(*SERIES_KEY)
-        .agg(*_carry(model), *moments)
+    for k in range(count):
+        moments += [
+            mean[k].alias(f"mean{k}"),
+            (F.sum(f"x{k}_x{k}") / n).alias(f"square{k}"),
+            covariance(f"left_x{k}", F.sum("left") / n, mean[k]).alias(f"cov{k}"),
+        ]
+        moments += [covariance(f"x{j}_x{k}", mean[j], mean[k]).alias(f"cov{j}_{k}")
+                    for j in range(k)]
+    by_name = F.when(F.col("holiday").isNotNull(), F.struct("holiday", "holiday_mean"))
+    fitted = cells.groupBy(*SERIES_KEY).agg(
+        F.map_from_entries(F.collect_set(F.struct("weekday", "weekday_mean"))).alias(
+            "weekday_effect"
+        ),
+        F.map_from_entries(F.collect_set(by_name)).alias("holiday_effect"),
+        *moments,
     )
-    for k in range(len(x)):
-        explained = [F.col(f"_slope{j}") * F.col(f"_cov{j}_{k}") for j in range(k)]
-        covariance = reduce(lambda a, b: a - b, explained, F.col(f"_left{k}"))
-        slope = F.when(F.col(f"_var{k}") > 1e-9, covariance / F.col(f"_var{k}"))
-        fitted = fitted.withColumn(f"_slope{k}", F.coalesce(slope, F.lit(0.0)))
+    for k in range(count):
+        variance = F.col(f"square{k}") - F.col(f"mean{k}") * F.col(f"mean{k}")
+        rest = F.col(f"cov{k}")
+        for j in range(k):
+            rest = rest - F.col(f"slope{j}") * F.col(f"cov{j}_{k}")
+        varies = variance > CONSTANT * F.col(f"square{k}")
+        fitted = fitted.withColumn(
+            f"slope{k}", F.coalesce(F.when(varies, rest / variance), F.lit(0.0))
+        )
+
+    def listed(name: str) -> Column:
+        return F.array(*[F.col(f"{name}{k}") for k in range(count)]).cast("array<double>")
+
     return fitted.select(
-        *model.columns,
-        F.array(*[F.col(f"_slope{k}") for k in range(len(x))]).alias("regressor_slope"),
-        F.array(*[F.col(f"_mean{k}") for k in range(len(x))]).alias("regressor_mean"),
+        *SERIES_KEY,
+        "weekday_effect",
+        "holiday_effect",
+        listed("slope").alias("regressor_slope"),
+        listed("mean").alias("regressor_mean"),
     )
 
 
@@ -215,13 +239,13 @@ def fit(
 ) -> DataFrame:
     """One model row per series with at least ``minimum`` quantities.
 
-    ``rows`` should come from ``by_series``; ``holidays`` has columns date and holiday.
+    ``rows`` should come from ``by_series``; ``holidays`` has columns date and holiday. Two
+    passes over the rows: the trend, then the sums of what it leaves.
     """
     rows = _add_holiday(rows, holidays)
-    model = _fit_trend(rows, minimum)
-    model = _fit_weekday(rows, model)
-    model = _fit_holiday(rows, model, holidays)
-    return _fit_regressors(rows, model, regressors)
+    lines = _fit_trend(rows, minimum)
+    cells = _with_effects(_cells(rows, lines, regressors), regressors)
+    return lines.join(_fit_effects(cells, regressors), SERIES_KEY)
 
 
 # --- predicting --------------------------------------------------------------------------
@@ -272,12 +296,14 @@ def predict(
 
     yhat is cut to six decimals first, so that sums in another order round alike.
     """
-    terms = [
-        F.element_at("regressor_slope", k + 1)
-        * (_value(r) - F.element_at("regressor_mean", k + 1))
-        for k, r in enumerate(regressors)
-    ]
-    yhat = reduce(lambda a, b: a + b, terms, _trend() + _weekday() + _holiday())
+    yhat = (
+        _trend()
+        + F.coalesce(F.col("weekday_effect")[F.weekday("date")], F.lit(0.0))
+        + F.coalesce(F.col("holiday_effect")[F.col("holiday")], F.lit(0.0))
+    )
+    for k, regressor in enumerate(regressors):
+        distance = _value(regressor) - F.element_at("regressor_mean", k + 1)
+        yhat += F.coalesce(F.element_at("regressor_slope", k + 1) * distance, F.lit(0.0))
     return _add_holiday(frame, holidays).select(
         "date",
         numeric.half_even_int(F.abs(F.round(yhat, 6))).alias("prediction"),

@@ -137,7 +137,7 @@ rest0 AS (
             sql += f""",
 slope{k} AS (
   SELECT branch, item_name, avg({x}) AS mean{k},
-         CASE WHEN var_pop({x}) > 1e-9 THEN covar_pop(rest, {x}) / var_pop({x}) ELSE 0 END
+         CASE WHEN var_pop({x}) > 1e-9 * avg({x} * {x}) THEN covar_pop(rest, {x}) / var_pop({x}) ELSE 0 END
            AS beta{k}
   FROM rest{k} GROUP BY branch, item_name),
 rest{k + 1} AS (
@@ -568,18 +568,18 @@ CHECK_SQL: dict[str, str] = {
         GROUP BY ALL ORDER BY qty_sold DESC, item_group LIMIT 1""",
     "ask_item_branch_week": f"""WITH {SALES}
         SELECT date, item_name, branch, sum(qty_sold) AS qty_sold FROM sales
-        WHERE item_name = 'new gizmo' AND branch = '{c.BRANCH}'
-          AND date BETWEEN DATE '1998-03-01' AND DATE '1998-03-07'
+        WHERE item_name = 'large plate' AND branch = '{c.BRANCH}'
+          AND date BETWEEN DATE '1999-11-01' AND DATE '1999-11-07'
         GROUP BY ALL ORDER BY date LIMIT 10""",
     "ask_item_branch_day": f"""WITH {SALES}
         SELECT item_name, branch, sum(qty_sold) AS qty_sold FROM sales
-        WHERE item_name = 'new gizmo' AND branch = '{c.BRANCH}' AND date = DATE '1998-03-02'
+        WHERE item_name = 'large plate' AND branch = '{c.BRANCH}' AND date = DATE '1999-11-04'
         GROUP BY ALL""",
     "ask_group_balance_report": f"""WITH {BALANCE}
         SELECT item_name, lower(item_group) AS item_group, branch, date, balance FROM balance
-        WHERE item_group = 'PROMO' AND branch = '{c.BRANCH}' AND date = DATE '{c.DAY}'""",
+        WHERE item_group = 'PROMO' AND branch = '{c.BRANCH}' AND date = DATE '2000-01-27'""",
     "ask_item_balance": f"""WITH {BALANCE} SELECT item_name, branch, date, balance FROM balance
-        WHERE item_name = 'new gizmo' AND branch = '{c.BRANCH}' AND date = DATE '1998-03-02'""",
+        WHERE item_name = 'large plate' AND branch = '{c.BRANCH}' AND date = DATE '2000-01-27'""",
     "ask_item_price": f"""SELECT p_name AS item_name,
         CAST(round_even(max(p_retailprice), 0) AS INT) AS price, 'PKR' AS currency
         FROM part WHERE p_name = '{c.ITEM}' GROUP BY p_name""",

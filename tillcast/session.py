@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL_DIRS: dict[str, str] = {}
 
@@ -45,3 +45,15 @@ def shared_dir(spark: SparkSession) -> str:
 def run_dir(spark: SparkSession, label: str) -> str:
     """A fresh sub-folder of the shared folder, never used by another run."""
     return f"{shared_dir(spark)}/tillcast/{label}-{uuid.uuid4().hex}"
+
+
+def materialize(df: DataFrame, label: str) -> DataFrame:
+    """Write an intermediate result to the shared folder and go on from there.
+
+    For results that several later steps read: they are computed once, lost executors do not
+    lose them, each reader scans only its columns, and Spark knows their size when it chooses
+    between broadcast and shuffle joins.
+    """
+    path = run_dir(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

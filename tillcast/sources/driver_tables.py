@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tillcast.operators import enrich, lookup, rollup
 from tillcast.operators.ask import VOUCHER
+from tillcast.session import materialize
 
 TABLES = {
     "region": "r_regionkey int, r_name string",
@@ -118,8 +119,32 @@ class DriverTables:
             )
         )
 
+    def sales_lines(self) -> DataFrame:
+        """Sales not yet summed per day: enough for sums, ranges and distinct names.
+
+        The branch lookup is done here as two steps, supplier to nation key to name, on
+        tables whose size Spark knows; the joined map would look too big to broadcast.
+        """
+        return (
+            self.table("lineitem")
+            .join(self.table("part"), F.col("l_partkey") == F.col("p_partkey"))
+            .join(self.table("supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
+            .join(self.table("nation"), F.col("s_nationkey") == F.col("n_nationkey"), "left")
+            .select(
+                F.to_date("l_shipdate").alias("date"),
+                F.coalesce(F.lower("n_name"), F.col("s_name")).alias("branch"),
+                F.col("p_type").alias("item_group"),
+                F.col("p_name").alias("item_name"),
+                F.col("l_quantity").alias("qty_sold"),
+            )
+        )
+
     def sales(self) -> DataFrame:
-        return rollup.sales_daily(self.invoice_items(), self.branch_map())
+        return rollup.resum(self.sales_lines())
+
+    def stored_weather(self) -> DataFrame:
+        """Weather as the table it is in the field: one row per place and day."""
+        return materialize(self.weather(), "weather")
 
     def enriched_sales(self) -> DataFrame:
         """Sales with calendar and (unfilled) weather columns."""
@@ -127,10 +152,14 @@ class DriverTables:
             self.sales()
             .transform(enrich.add_calendar)
             .transform(lookup.add_branch_info, self.branch_dim())
-            .transform(enrich.add_weather, self.weather())
+            .transform(enrich.add_weather, self.stored_weather())
             .drop("city", "latitude", "longitude")
         )
 
+    def fact(self) -> DataFrame:
+        """The enriched sales as a written table, which the forecast reads several times."""
+        return materialize(self.enriched_sales(), "sales")
+
     def as_of(self) -> Column:
         """The last day with a line, used wherever the reports say today."""
         return self.table("lineitem").select(F.max("l_shipdate").cast("date")).scalar()
