@@ -1,7 +1,7 @@
 """Item and branch names in question texts: containment, fuzzy linking, screens, answers.
 
 Texts have columns text_id and text (normalised); names have the single column name
-(normalised). No step compares every text with every name: both sides meet in equi-joins on
+(normalised), with their kind where both kinds are handled together. No step compares every text with every name: both sides meet in equi-joins on
 short keys, and the exact test runs on what those joins leave.
 """
 
@@ -11,7 +11,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tillcast.functions import text as tx
+from tillcast.session import materialize
 
+ITEM, BRANCH = "item", "branch"
 GRAM = 5
 FUZZY_MIN_LENGTH = 4
 
@@ -40,6 +42,7 @@ def _grams(text: Column, size: int) -> Column:
 
 
 def _rarest_gram(names: DataFrame) -> DataFrame:
+    """Rows (name, _key): of each name's runs of characters the one fewest names share."""
     grams = names.select("name", F.explode(_grams(F.col("name"), GRAM)).alias("_key"))
     counts = grams.groupBy("_key").agg(F.count(F.lit(1)).alias("_names"))
     return (
@@ -54,13 +57,11 @@ def mentions(texts: DataFrame, names: DataFrame) -> DataFrame:
 
     A text can only hold a name if it holds each run of five characters of it. Of these the
     one that fewest names share becomes the name's key; both sides are joined on it and the
-    remaining pairs are tested. Shorter names are their own key and need no test.
+    remaining pairs are tested. Shorter names are their own key and need no test; the texts
+    are cut into shorter runs only if the catalogue has such names.
     """
-    filled = names.filter(F.length("name") > 0).distinct()
+    filled = names.select("name").filter(F.length("name") > 0).distinct()
     long_names = _rarest_gram(filled.filter(F.length("name") >= GRAM))
-    short_names = filled.filter(F.length("name") < GRAM).select(
-        F.col("name").alias("_key"), "name"
-    )
     keys = texts.select("text_id", F.explode(_grams(F.col("text"), GRAM)).alias("_key"))
     candidates = keys.join(long_names, "_key").select("text_id", "name")
     tested = (
@@ -68,21 +69,32 @@ def mentions(texts: DataFrame, names: DataFrame) -> DataFrame:
         .filter(F.contains("text", "name"))
         .select("text_id", "name")
     )
+    short_names = filled.filter(F.length("name") < GRAM)
+    if short_names.isEmpty():
+        return tested
     short_grams = F.concat(*[_grams(F.col("text"), k) for k in range(1, GRAM)])
-    short_keys = texts.select("text_id", F.explode(short_grams).alias("_key"))
-    exact = short_keys.join(short_names, "_key").select("text_id", "name")
-    return tested.unionByName(exact)
+    short_keys = texts.select("text_id", F.explode(short_grams).alias("name"))
+    return tested.unionByName(short_keys.join(short_names, "name").select("text_id", "name"))
 
 
-def text_mentions(texts: DataFrame, items: DataFrame, branches: DataFrame) -> DataFrame:
-    """Per text: does it hold any item name, any branch name."""
-    kinds = items.select("name", F.lit("item").alias("_kind")).unionByName(
-        branches.select("name", F.lit("branch").alias("_kind"))
+def catalogue(items: DataFrame, branches: DataFrame) -> DataFrame:
+    """Both kinds of names as rows (kind, name), written once as every step reads them."""
+    both = items.select(F.lit(ITEM).alias("kind"), "name").unionByName(
+        branches.select(F.lit(BRANCH).alias("kind"), "name")
     )
-    found = mentions(texts, kinds.select("name")).join(kinds, "name")
-    per_text = found.groupBy("text_id").agg(
-        F.max(F.col("_kind") == "item").alias("has_item"),
-        F.max(F.col("_kind") == "branch").alias("has_branch"),
+    return materialize(both.distinct(), "names")
+
+
+def text_mentions(texts: DataFrame, names: DataFrame) -> DataFrame:
+    """Per text: does it hold any item name, any branch name; ``names`` from ``catalogue``."""
+    per_text = (
+        mentions(texts, names)
+        .join(names, "name")
+        .groupBy("text_id")
+        .agg(
+            F.max(F.col("kind") == ITEM).alias("has_item"),
+            F.max(F.col("kind") == BRANCH).alias("has_branch"),
+        )
     )
     return texts.select("text_id").join(per_text, "text_id", "left").select(
         "text_id",
@@ -137,82 +149,87 @@ def similar_tokens(left: DataFrame, right: DataFrame) -> DataFrame:
 
 def _tokenized_names(names: DataFrame) -> DataFrame:
     distinct = F.array_distinct(tx.tokens(F.col("name")))
-    return (
-        names.select("name").distinct()
-        .select("name", distinct.alias("tokens"))
-        .filter(F.size("tokens") > 0)
-    )
+    return names.select("kind", "name", distinct.alias("tokens")).filter(F.size("tokens") > 0)
 
 
-def _index(tokenized: DataFrame, cutoff: int) -> DataFrame:
-    """Rows (name_token, name, tokens) for as few, and as rare, tokens as the cutoff allows.
+def _index(tokenized: DataFrame) -> DataFrame:
+    """Rows (name_token, name, ...) for as few, and as rare, tokens as the cutoff allows.
 
-    A name of n tokens needs m = ceil(cutoff * n / 100) matches to reach the cutoff, so at
+    A name of n tokens needs m = ceil(cutoff * n / 100) matches to reach its cutoff, so at
     least one of any n - m + 1 of its tokens must match. The rarest ones are taken, which
     keeps a word shared by many names from pairing every text with all of them.
     """
-    uses = tokenized.select("name", "tokens", F.explode("tokens").alias("name_token"))
-    counts = uses.groupBy("name_token").agg(F.count(F.lit(1)).alias("_uses"))
-    ordered = (
-        uses.join(counts, "name_token")
-        .groupBy("name")
-        .agg(
-            F.first("tokens").alias("tokens"),
-            F.array_sort(F.collect_list(F.struct("_uses", "name_token"))).alias("_rarest"),
-        )
+    uses = tokenized.withColumn("name_token", F.explode("tokens"))
+    counts = uses.groupBy("kind", "name_token").agg(F.count(F.lit(1)).alias("_uses"))
+    rarest = (
+        uses.join(counts, ["kind", "name_token"])
+        .groupBy("kind", "name")
+        .agg(F.array_sort(F.collect_list(F.struct("_uses", "name_token"))).alias("_rarest"))
     )
     n = F.size("tokens")
-    keep = n - F.ceil(n * F.lit(cutoff) / 100).cast("int") + 1
-    return ordered.select(
-        "name", "tokens", F.explode(F.slice("_rarest", F.lit(1), keep)).alias("_rare")
-    ).select(F.col("_rare.name_token").alias("name_token"), "name", "tokens")
+    keep = n - F.ceil(n * F.col("cutoff") / 100).cast("int") + 1
+    return (
+        tokenized.join(rarest, ["kind", "name"])
+        .withColumn("_rare", F.explode(F.slice("_rarest", F.lit(1), keep)))
+        .select(F.col("_rare.name_token").alias("name_token"), "kind", "name", "tokens", "cutoff")
+    )
 
 
-def _linked(hits: DataFrame, tokenized: DataFrame, cutoff: int, label: str) -> DataFrame:
-    """Names that reach the cutoff, per text, as one sorted comma-separated string."""
+def _linked(hits: DataFrame, tokenized: DataFrame) -> DataFrame:
+    """Pairs (text_id, kind, name) where the name reaches its cutoff; a pair may repeat."""
     score = 100 * F.size(F.array_intersect("tokens", "hits")) / F.size("tokens")
     return (
         hits.select("text_id", "hits", F.explode("hits").alias("name_token"))
-        .join(_index(tokenized, cutoff), "name_token")
-        .filter(score >= cutoff)
-        .groupBy("text_id")
-        .agg(F.concat_ws(", ", F.array_sort(F.collect_set("name"))).alias(label))
+        .join(_index(tokenized), "name_token")
+        .filter(score >= F.col("cutoff"))
+        .select("text_id", "kind", "name")
     )
 
 
+def _listed(kind: str) -> Column:
+    """The names of one kind, sorted and separated by commas."""
+    names = F.collect_set(F.when(F.col("kind") == kind, F.col("name")))
+    return F.concat_ws(", ", F.array_sort(names))
+
+
 def _hits(texts: DataFrame, tokenized: DataFrame) -> DataFrame:
     """Per text the name tokens it matches; bounded by the words of the text."""
     used = texts.select(
         "text_id", F.explode(F.array_distinct(tx.tokens(F.col("text")))).alias("token")
     )
-    catalogue = tokenized.select(F.explode("tokens").alias("token"))
+    spelt = tokenized.select(F.explode("tokens").alias("token"))
     return (
-        used.join(similar_tokens(used, catalogue), "token")
+        used.join(similar_tokens(used, spelt), "token")
         .groupBy("text_id")
         .agg(F.collect_set("name_token").alias("hits"))
     )
 
 
-def fuzzy_link(texts: DataFrame, items: DataFrame, branches: DataFrame) -> DataFrame:
+def fuzzy_link(texts: DataFrame, names: DataFrame) -> DataFrame:
     """Found items and branches of each text, and suggested items where nothing was found.
 
     The score of a name is the percentage of its tokens that match a token of the text. As
     branches are found at the suggestion threshold already, there are no suggested branches.
+    ``names`` comes from ``catalogue``.
     """
-    item_names, branch_names = _tokenized_names(items), _tokenized_names(branches)
-    item_hits, branch_hits = _hits(texts, item_names), _hits(texts, branch_names)
+    tokenized = _tokenized_names(names)
+    hits = materialize(_hits(texts, tokenized), "hits")
+    cutoff = F.when(F.col("kind") == ITEM, FOUND_ITEM).otherwise(FOUND_BRANCH)
     found = (
-        texts.select("text_id")
-        .join(_linked(item_hits, item_names, FOUND_ITEM, "found_items"), "text_id", "left")
-        .join(
-            _linked(branch_hits, branch_names, FOUND_BRANCH, "found_branches"), "text_id", "left"
-        )
+        _linked(hits, tokenized.withColumn("cutoff", cutoff))
+        .groupBy("text_id")
+        .agg(_listed(ITEM).alias("found_items"), _listed(BRANCH).alias("found_branches"))
+    )
+    items = tokenized.filter(F.col("kind") == ITEM).withColumn("cutoff", F.lit(SUGGESTED))
+    open_hits = hits.join(found.select("text_id"), "text_id", "left_anti")
+    suggested = (
+        _linked(open_hits, items).groupBy("text_id").agg(_listed(ITEM).alias("suggested_items"))
     )
-    nothing = F.col("found_items").isNull() & F.col("found_branches").isNull()
-    open_hits = item_hits.join(found.filter(nothing).select("text_id"), "text_id", "left_semi")
-    suggested = _linked(open_hits, item_names, SUGGESTED, "suggested_items")
-    return found.join(suggested, "text_id", "left").na.fill(
-        "", ["found_items", "found_branches", "suggested_items"]
+    return (
+        texts.select("text_id")
+        .join(found, "text_id", "left")
+        .join(suggested, "text_id", "left")
+        .na.fill("", ["found_items", "found_branches", "suggested_items"])
     )
 
 
@@ -247,23 +264,23 @@ def score_screen(scores: DataFrame, limit: float = 0.6) -> DataFrame:
     )
 
 
-def route(
-    texts: DataFrame, scores: DataFrame, items: DataFrame, branches: DataFrame
-) -> DataFrame:
+def route(texts: DataFrame, scores: DataFrame, names: DataFrame) -> DataFrame:
     """What happens to each question: refused, passed on as it is, or linked to names.
 
     A text without scores counts as harmless. ``answer`` is the refusal or the context; it
-    is null for a question that names nothing and is passed on unchanged.
+    is null for a question that names nothing and is passed on unchanged. ``names`` comes
+    from ``catalogue``.
     """
-    screened = (
-        texts.join(keyword_screen(texts), "text_id")
+    screened = materialize(
+        texts.withColumn("is_valid", ~tx.has_restricted_keyword(F.col("text")))
         .join(score_screen(scores), "text_id", "left")
-        .withColumn("is_abusive", F.coalesce("is_abusive", F.lit(False)))
+        .withColumn("is_abusive", F.coalesce("is_abusive", F.lit(False))),
+        "questions",
     )
     kept = screened.filter(F.col("is_valid") & ~F.col("is_abusive")).select("text_id", "text")
-    named = text_mentions(kept, items, branches).filter(F.col("has_item") | F.col("has_branch"))
-    to_link = kept.join(named.select("text_id"), "text_id", "left_semi")
-    contexts = answer_context(fuzzy_link(to_link, items, branches)).select("text_id", "context")
+    named = mentions(kept, names).select("text_id").distinct()
+    to_link = materialize(kept.join(named, "text_id", "left_semi"), "named-questions")
+    contexts = answer_context(fuzzy_link(to_link, names)).select("text_id", "context")
     return screened.join(contexts, "text_id", "left").select(
         "text_id",
         F.when(~F.col("is_valid"), "unsafe")

@@ -698,10 +698,9 @@ def _texts(t: DriverTables) -> DataFrame:
     return t.questions().select("text_id", text.normalize_question(F.col("text")).alias("text"))
 
 
-def _names(t: DriverTables) -> tuple[DataFrame, DataFrame]:
+def _names(t: DriverTables) -> DataFrame:
     items = ask.price_table(t.item_price()).select(F.col("item_name").alias("name"))
-    branches = t.branch_map().select(F.col("branch").alias("name"))
-    return items.distinct(), branches.distinct()
+    return linking.catalogue(items, t.branch_map().select(F.col("branch").alias("name")))
 
 
 @query
@@ -711,12 +710,13 @@ def text_normalize(t: DriverTables) -> DataFrame:
 
 @query
 def text_mentions(t: DriverTables) -> DataFrame:
-    return linking.text_mentions(_texts(t), *_names(t))
+    return linking.text_mentions(materialize(_texts(t), "texts"), _names(t))
 
 
 @query
 def fuzzy_entity_link(t: DriverTables) -> DataFrame:
-    return linking.answer_context(linking.fuzzy_link(_texts(t), *_names(t)))
+    texts = materialize(_texts(t), "texts")
+    return linking.answer_context(linking.fuzzy_link(texts, _names(t)))
 
 
 @query
@@ -731,4 +731,4 @@ def score_screen(t: DriverTables) -> DataFrame:
 
 @query
 def answer_route(t: DriverTables) -> DataFrame:
-    return linking.route(_texts(t), t.question_scores(), *_names(t))
+    return linking.route(_texts(t), t.question_scores(), _names(t))
