@@ -89,10 +89,8 @@ def branch_dim(t: DriverTables) -> DataFrame:
 
 @query
 def branch_map(t: DriverTables) -> DataFrame:
-    """Documents of {code: branch}, one per branch, exploded again."""
-    documents = t.branch_map().groupBy("branch").agg(
-        F.to_json(F.map_from_entries(F.collect_list(F.struct("code", "branch")))).alias("value")
-    )
+    """Documents of {code: branch}, one per code, exploded again."""
+    documents = t.branch_map().select(F.to_json(F.create_map("code", "branch")).alias("value"))
     return readers.branch_map_from_json(documents)
 
 
@@ -202,13 +200,13 @@ def clamp_range(t: DriverTables) -> DataFrame:
 
 @query
 def map_branches(t: DriverTables) -> DataFrame:
-    return lookup.map_branches(rollup.daily_rollup(t.invoice_items()), t.branch_map())
+    return lookup.map_branches(rollup.daily_rollup(t.invoice_items()), t.stored_branch_map())
 
 
 @query
 def map_branches_unknown(t: DriverTables) -> DataFrame:
     """With a map that lacks one branch: its codes pass through."""
-    known = t.branch_map().filter(F.col("branch") != BRANCH)
+    known = t.stored_branch_map().filter(F.col("branch") != BRANCH)
     return lookup.map_branches(rollup.daily_rollup(t.invoice_items()), known)
 
 
@@ -217,7 +215,7 @@ def unknown_branches(t: DriverTables) -> DataFrame:
     """Chosen names (regions and nations) that are no branch."""
     nations = t.table("nation").select(F.col("n_name").alias("branch"))
     regions = t.table("region").select(F.col("r_name").alias("branch"))
-    return lookup.unknown_branches(nations.union(regions), t.branch_map())
+    return lookup.unknown_branches(nations.union(regions), t.stored_branch_map())
 
 
 @query
@@ -237,7 +235,7 @@ def distinct_locations(t: DriverTables) -> DataFrame:
 
 @query
 def daily_total_window(t: DriverTables) -> DataFrame:
-    rows = lookup.map_branches(rollup.daily_rollup(t.invoice_items()), t.branch_map())
+    rows = lookup.map_branches(rollup.daily_rollup(t.invoice_items()), t.stored_branch_map())
     return rollup.with_daily_total(rows)
 
 
@@ -268,7 +266,7 @@ def ffill_regressor(t: DriverTables) -> DataFrame:
 @query
 def preprocess(t: DriverTables) -> DataFrame:
     enriched = enrich.preprocess(
-        rollup.daily_rollup(t.invoice_items()), t.branch_map(), t.branch_dim(), t.stored_weather()
+        rollup.daily_rollup(t.invoice_items()), t.stored_branch_map(), t.branch_dim(), t.stored_weather()
     )
     return rounded(enriched, 4, *enrich.TEMPERATURES)
 
@@ -289,7 +287,7 @@ def incremental_rollup(t: DriverTables) -> DataFrame:
 @query
 def resum_after_mapping(t: DriverTables) -> DataFrame:
     return rollup.resum(
-        lookup.map_branches(rollup.daily_rollup(t.invoice_items()), t.branch_map())
+        lookup.map_branches(rollup.daily_rollup(t.invoice_items()), t.stored_branch_map())
     )
 
 
@@ -315,8 +313,8 @@ def ingest_upsert(t: DriverTables) -> DataFrame:
     )
     first = DriverTables(t.spark, t.root)
     first.table = lambda name: early if name == "lineitem" else t.table(name)
-    refresh(first.invoice_items(), t.branch_map(), store)
-    refresh(t.invoice_items(), t.branch_map(), store)
+    refresh(first.invoice_items(), t.stored_branch_map(), store)
+    refresh(t.invoice_items(), t.stored_branch_map(), store)
     return store.read().drop("month")
 
 
@@ -552,26 +550,26 @@ def stock_ledger(t: DriverTables) -> DataFrame:
 @query
 def stock_min_range(t: DriverTables) -> DataFrame:
     return stock.minimum_balance(
-        t.stock_ledger(), t.item(), t.branch_map(), [b.upper() for b in BRANCHES], ITEMS, *RANGE
+        t.stock_ledger(), t.item(), t.stored_branch_map(), [b.upper() for b in BRANCHES], ITEMS, *RANGE
     )
 
 
 @query
 def stock_min_day(t: DriverTables) -> DataFrame:
     return stock.minimum_balance(
-        t.stock_ledger(), t.item(), t.branch_map(), BRANCHES, None, DAY
+        t.stock_ledger(), t.item(), t.stored_branch_map(), BRANCHES, None, DAY
     )
 
 
 @query
 def stock_today(t: DriverTables) -> DataFrame:
-    return stock.balance_today(t.stock_ledger(), t.item(), t.branch_map(), None, None, t.as_of())
+    return stock.balance_today(t.stock_ledger(), t.item(), t.stored_branch_map(), None, None, t.as_of())
 
 
 @query
 def balance_view(t: DriverTables) -> DataFrame:
     return stock.balance_view(
-        t.stock_ledger(), t.item(), t.branch_map(), BRANCHES, ITEMS, *LONG_RANGE
+        t.stock_ledger(), t.item(), t.stored_branch_map(), BRANCHES, ITEMS, *LONG_RANGE
     )
 
 
@@ -595,7 +593,7 @@ def _today(t: DriverTables, keep_unsold: bool) -> DataFrame:
     fact = t.fact()
     before = fact.filter(F.col("date") < t.as_of())
     in_hand = stock.balance_today(
-        t.stock_ledger(), t.item(), t.branch_map(), None, None, t.as_of()
+        t.stock_ledger(), t.item(), t.stored_branch_map(), None, None, t.as_of()
     )
     return today.today_forecast(
         fact,

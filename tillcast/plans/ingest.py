@@ -16,9 +16,10 @@ def refresh(invoice_items: DataFrame, branch_map: DataFrame, store: FactStore) -
     the new row wins. Only the months the new rows span are read, merged and written. Without a
     store everything is rolled up; without new rows nothing is written and False returned.
     """
-    mark = store.high_water_mark() if store.exists() else None
+    stored = store.read_if_exists()
+    mark = None if stored is None else store.high_water_mark(stored)
     if mark is None:
-        store.replace_months(rollup.sales_daily(invoice_items, branch_map))
+        store.create(rollup.sales_daily(invoice_items, branch_map))
         return True
     recent = rollup.since_mark(invoice_items, mark)
     month = F.date_format("creation", "yyyy-MM")
@@ -26,6 +27,6 @@ def refresh(invoice_items: DataFrame, branch_map: DataFrame, store: FactStore) -
     if first_month is None:
         return False
     batch = rollup.sales_daily(recent, branch_map)
-    stored = store.read().filter(F.col(MONTH).between(first_month, last_month)).drop(MONTH)
-    store.replace_months(rollup.upsert_last(stored, batch))
+    touched = stored.filter(F.col(MONTH).between(first_month, last_month)).drop(MONTH)
+    store.replace_months(rollup.upsert_last(touched, batch))
     return True

@@ -6,6 +6,8 @@ comes from the parquet tables under ``root``.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -39,6 +41,7 @@ class DriverTables:
     def __init__(self, spark: SparkSession, root: str):
         self.spark = spark
         self.root = root.rstrip("/")
+        self._written: dict[str, DataFrame] = {}
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.schema(TABLES[name]).parquet(f"{self.root}/{name}.parquet")
@@ -54,6 +57,19 @@ class DriverTables:
             .select(F.col("s_name").alias("code"), F.lower("n_name").alias("branch"))
         )
 
+    def _once(self, label: str, build: Callable[[], DataFrame]) -> DataFrame:
+        if label not in self._written:
+            self._written[label] = materialize(build(), label)
+        return self._written[label]
+
+    def stored_branch_map(self) -> DataFrame:
+        """The map as the file it is in the field.
+
+        Spark then knows its size and does not shuffle the sales to join it while it is
+        small; the size of the join it comes from would be put far too high.
+        """
+        return self._once("branch-map", self.branch_map)
+
     def branch_dim(self) -> DataFrame:
         """Region = city; the two keys serve as coordinates."""
         region = self.table("region")
@@ -144,7 +160,7 @@ class DriverTables:
 
     def stored_weather(self) -> DataFrame:
         """Weather as the table it is in the field: one row per place and day."""
-        return materialize(self.weather(), "weather")
+        return self._once("weather", self.weather)
 
     def enriched_sales(self) -> DataFrame:
         """Sales with calendar and (unfilled) weather columns."""
@@ -158,7 +174,7 @@ class DriverTables:
 
     def fact(self) -> DataFrame:
         """The enriched sales as a written table, which the forecast reads several times."""
-        return materialize(self.enriched_sales(), "sales")
+        return self._once("sales", self.enriched_sales)
 
     def as_of(self) -> Column:
         """The last day with a line, used wherever the reports say today."""
@@ -200,7 +216,7 @@ class DriverTables:
         """Lowest balance per branch, item, day and voucher, as the chat's balance file."""
         named = self.stock_ledger().join(self.item(), "item_code")
         return (
-            lookup.map_branches(named, self.branch_map())
+            lookup.map_branches(named, self.stored_branch_map())
             .groupBy("item_name", "branch", "item_group", "posting_date", "voucher_type")
             .agg(F.min("qty_after_transaction").cast("int").alias("balance"))
             .withColumnRenamed("posting_date", "date")

@@ -32,35 +32,37 @@ class FactStore:
         self.path = path.rstrip("/")
         self.schema = f"{schema}, {MONTH} string"
 
-    def exists(self) -> bool:
+    def read(self) -> DataFrame:
+        return self.spark.read.schema(self.schema).parquet(self.path)
+
+    def read_if_exists(self) -> DataFrame | None:
         try:
-            self.spark.read.schema(self.schema).parquet(self.path)
+            return self.read()
         except AnalysisException as error:
             if error.getCondition() == "PATH_NOT_FOUND":
-                return False
+                return None
             raise
-        return True
-
-    def read(self) -> DataFrame:
-        return self.spark.read.schema(self.schema).parquet(self.path)
 
-    def high_water_mark(self) -> date | None:
+    @staticmethod
+    def high_water_mark(stored: DataFrame) -> date | None:
         """Latest stored date, read from the newest month only."""
-        stored = self.read()
         newest = stored.select(F.max(MONTH)).first()[0]
         if newest is None:
             return None
         return stored.filter(F.col(MONTH) == newest).select(F.max("date")).first()[0]
 
+    @staticmethod
+    def _by_month(rows: DataFrame) -> DataFrame:
+        """Rows laid out for writing: a large month over several tasks, small ones together."""
+        return rows.withColumn(MONTH, month_of()).hint("rebalance", MONTH)
+
+    def create(self, rows: DataFrame) -> None:
+        """First load; there is nothing to protect yet, so it is written in place."""
+        self._by_month(rows).write.mode("overwrite").partitionBy(MONTH).parquet(self.path)
+
     def replace_months(self, rows: DataFrame) -> None:
         staging = f"{self.path}_staging/{uuid.uuid4().hex}"
-        # rebalance: a month with many rows is split over tasks, small ones share a file
-        (
-            rows.withColumn(MONTH, month_of())
-            .hint("rebalance", MONTH)
-            .write.partitionBy(MONTH)
-            .parquet(staging)
-        )
+        self._by_month(rows).write.partitionBy(MONTH).parquet(staging)
         self.promote(staging)
 
     def promote(self, staging: str) -> None:
