@@ -30,6 +30,7 @@ from tillcast.sources.schemas import SERIES_KEY
 HORIZON = 7
 ORIGIN = "1995-01-01"
 REGRESSORS = ["is_weekend", *TEMPERATURES, "day"]
+LINE = ["cap", "slope", "intercept", "last_date"]
 CONSTANT = 1e-9  # share of the mean square below which a variance is rounding error
 
 
@@ -85,7 +86,18 @@ def eligible_series(train: DataFrame, minimum: int = 2) -> DataFrame:
 
 def series_cap(train: DataFrame) -> DataFrame:
     """Most frequent quantity of each series, the smallest on ties."""
-    return train.groupBy(*SERIES_KEY).agg(F.mode("qty_sold", True).alias("cap"))
+    return (
+        train.filter(F.col("qty_sold").isNotNull())
+        .groupBy(*SERIES_KEY, "qty_sold")
+        .agg(F.count(F.lit(1)).alias("n"))
+        .groupBy(*SERIES_KEY)
+        .agg(_most_frequent().alias("cap"))
+    )
+
+
+def _most_frequent() -> Column:
+    """Over rows (qty_sold, n): the quantity with the largest n."""
+    return -F.max(F.struct("n", (-F.col("qty_sold")).alias("minus")))["minus"]
 
 
 # --- fitting -----------------------------------------------------------------------------
@@ -112,25 +124,52 @@ def _add_holiday(rows: DataFrame, holidays: DataFrame | None) -> DataFrame:
 
 
 def _fit_trend(rows: DataFrame, minimum: int) -> DataFrame:
-    quantity, t = F.col("qty_sold"), _day_number()
-    return (
-        rows.groupBy(*SERIES_KEY)
+    """Cap and least-squares line of each series, from sums per distinct quantity."""
+    y, n = F.col("qty_sold"), F.col("n")
+    per_quantity = (
+        rows.filter(y.isNotNull())
+        .withColumn("t", _day_number())
+        .groupBy(*SERIES_KEY, "qty_sold")
         .agg(
-            F.mode("qty_sold", True).alias("cap"),
-            F.coalesce(F.regr_intercept(quantity, t), F.avg(quantity)).alias("intercept"),
-            F.coalesce(F.regr_slope(quantity, t), F.lit(0.0)).alias("slope"),
-            F.count(quantity).alias("_n"),
+            F.count(F.lit(1)).alias("n"),
+            F.sum("t").alias("t"),
+            F.sum(F.col("t") * F.col("t")).alias("tt"),
             F.max("date").alias("last_date"),
-            F.min_by("item_group", F.struct("date", "item_group")).alias("item_group"),
         )
-        .filter(F.col("_n") >= minimum)
-        .drop("_n")
+    )
+    sums = per_quantity.groupBy(*SERIES_KEY).agg(
+        _most_frequent().alias("cap"),
+        F.sum(n).alias("n"),
+        F.sum(y * n).alias("y"),
+        F.sum("t").alias("t"),
+        F.sum("tt").alias("tt"),
+        F.sum(y * F.col("t")).alias("yt"),
+        F.max("last_date").alias("last_date"),
+    )
+    spread = n * F.col("tt") - F.col("t") * F.col("t")
+    slope = numeric.ratio(n * F.col("yt") - F.col("t") * F.col("y"), spread)
+    return (
+        sums.filter(n >= minimum)
+        .withColumn("slope", F.coalesce(slope, F.lit(0.0)))
+        .withColumn("intercept", (F.col("y") - F.col("slope") * F.col("t")) / n)
+        .select(*SERIES_KEY, *LINE)
+    )
+
+
+def first_group(rows: DataFrame) -> DataFrame:
+    """Item group of the first row of each series."""
+    return (
+        rows.groupBy(*SERIES_KEY, "item_group")
+        .agg(F.min("date").alias("date"))
+        .groupBy(*SERIES_KEY)
+        .agg(F.min(F.struct("date", "item_group"))["item_group"].alias("item_group"))
     )
 
 
 def _cells(rows: DataFrame, lines: DataFrame, regressors: Sequence[str]) -> DataFrame:
     """Sums per series, weekday and holiday: all that the effects and slopes are made of.
 
+    The line of the series is carried along in the keys, so it need not be joined again.
     ``left`` is what the trend leaves of the quantity, ``x`` a regressor.
     """
     parts = [F.count(F.lit(1)).alias("n"), F.sum("left").alias("left")]
@@ -140,15 +179,16 @@ def _cells(rows: DataFrame, lines: DataFrame, regressors: Sequence[str]) -> Data
         parts += [F.sum(F.col(f"x{j}") * x).alias(f"x{j}_x{k}") for j in range(k + 1)]
     return (
         rows.filter(F.col("qty_sold").isNotNull())
-        .join(lines.select(*SERIES_KEY, "cap", "slope", "intercept"), SERIES_KEY)
+        .join(lines, SERIES_KEY)
         .select(
             *SERIES_KEY,
+            *LINE,
             "holiday",
             F.weekday("date").alias("weekday"),
             (F.col("qty_sold") - _trend()).alias("left"),
             *[_value(r).alias(f"x{k}") for k, r in enumerate(regressors)],
         )
-        .groupBy(*SERIES_KEY, "weekday", "holiday")
+        .groupBy(*SERIES_KEY, *LINE, "weekday", "holiday")
         .agg(*parts)
     )
 
@@ -202,7 +242,7 @@ def _fit_effects(cells: DataFrame, regressors: Sequence[str]) -> DataFrame:
         moments += [covariance(f"x{j}_x{k}", mean[j], mean[k]).alias(f"cov{j}_{k}")
                     for j in range(k)]
     by_name = F.when(F.col("holiday").isNotNull(), F.struct("holiday", "holiday_mean"))
-    fitted = cells.groupBy(*SERIES_KEY).agg(
+    fitted = cells.groupBy(*SERIES_KEY, *LINE).agg(
         F.map_from_entries(F.collect_set(F.struct("weekday", "weekday_mean"))).alias(
             "weekday_effect"
         ),
@@ -224,6 +264,7 @@ def _fit_effects(cells: DataFrame, regressors: Sequence[str]) -> DataFrame:
 
     return fitted.select(
         *SERIES_KEY,
+        *LINE,
         "weekday_effect",
         "holiday_effect",
         listed("slope").alias("regressor_slope"),
@@ -243,9 +284,8 @@ def fit(
     passes over the rows: the trend, then the sums of what it leaves.
     """
     rows = _add_holiday(rows, holidays)
-    lines = _fit_trend(rows, minimum)
-    cells = _with_effects(_cells(rows, lines, regressors), regressors)
-    return lines.join(_fit_effects(cells, regressors), SERIES_KEY)
+    cells = _cells(rows, _fit_trend(rows, minimum), regressors)
+    return _fit_effects(_with_effects(cells, regressors), regressors)
 
 
 # --- predicting --------------------------------------------------------------------------
@@ -273,16 +313,9 @@ def add_future_regressors(frame: DataFrame, enriched: DataFrame) -> DataFrame:
     )
 
 
-def future_frame(
-    rows: DataFrame, enriched: DataFrame, horizon: int = HORIZON
-) -> DataFrame:
+def future_frame(rows: DataFrame, enriched: DataFrame, horizon: int = HORIZON) -> DataFrame:
     """History plus the coming days of each eligible series, with cap and regressors."""
-    eligible = eligible_series(train_part(split_series(rows, horizon))).select(*SERIES_KEY)
-    series = (
-        rows.groupBy(*SERIES_KEY)
-        .agg(F.mode("qty_sold", True).alias("cap"), F.max("date").alias("last_date"))
-        .join(eligible, SERIES_KEY)
-    )
+    series = _fit_trend(rows, horizon + 2).select(*SERIES_KEY, "cap", "last_date")
     columns = ["date", *SERIES_KEY, "cap", *REGRESSORS]
     history = rows.join(series, SERIES_KEY).select(columns)
     coming = add_future_regressors(future_dates(series, horizon), enriched).select(columns)
@@ -319,12 +352,15 @@ def forecast_forward(
     regressors: Sequence[str] = REGRESSORS,
     holidays: DataFrame | None = None,
 ) -> DataFrame:
-    """Fit on every row of the eligible series and predict the days after each one's last."""
+    """Fit on every row of the eligible series and predict the days after each one's last.
+
+    A series is eligible with two quantities more than the horizon, so that it could also
+    be backtested.
+    """
     rows = by_series(training_set(enriched))
-    eligible = eligible_series(train_part(split_series(rows, horizon))).select(*SERIES_KEY)
-    model = fit(rows, regressors, holidays).join(eligible, SERIES_KEY)
+    model = fit(rows, regressors, holidays, minimum=horizon + 2)
     frame = add_future_regressors(future_dates(model, horizon), enriched)
-    return predict(frame, regressors, holidays)
+    return predict(frame.join(first_group(rows), SERIES_KEY), regressors, holidays)
 
 
 def forecast_backtest(
@@ -335,6 +371,6 @@ def forecast_backtest(
 ) -> DataFrame:
     """Fit on all but the last rows of each series and predict those last rows."""
     split = split_series(by_series(training_set(enriched)), horizon)
-    model = fit(train_part(split), regressors, holidays).drop("item_group", "last_date")
+    model = fit(train_part(split), regressors, holidays).drop("last_date")
     frame = test_part(split).drop("qty_sold").join(model, SERIES_KEY)
     return predict(frame, regressors, holidays)
