@@ -678,7 +678,7 @@ def normalize_names(t: DriverTables) -> DataFrame:
 @query
 def catalog_items(t: DriverTables) -> DataFrame:
     return ask.catalog_items(
-        ask.sales_table(t.sales()),
+        ask.sales_table(t.sales_lines()),
         ask.balance_table(t.balance()),
         ask.price_table(t.item_price()),
     )
@@ -686,7 +686,8 @@ def catalog_items(t: DriverTables) -> DataFrame:
 
 @query
 def catalog_branches(t: DriverTables) -> DataFrame:
-    return ask.catalog_branches(ask.sales_table(t.sales()), ask.balance_table(t.balance()))
+    sold = ask.sales_table(t.sales_lines())
+    return ask.catalog_branches(sold, ask.balance_table(t.balance()))
 
 
 # --- texts -------------------------------------------------------------------------------
