@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from tillcast.functions import calendar, numeric
 from tillcast.operators import selection
 from tillcast.operators.enrich import TEMPERATURES, fill_mean
+from tillcast.session import materialize
 from tillcast.sources.schemas import SERIES_KEY
 
 HORIZON = 7
@@ -48,19 +49,41 @@ def by_series(rows: DataFrame) -> DataFrame:
     return rows.repartition(*SERIES_KEY)
 
 
+def series_cut(rows: DataFrame, horizon: int = HORIZON) -> DataFrame:
+    """Key of the newest training row of each series with more than ``horizon`` rows.
+
+    Spark limits the ranking to the newest rows before the shuffle, so each task sends at
+    most ``horizon`` + 1 rows of a series. The result, a row per series, is written once for
+    the steps that split by it.
+    """
+    newest = Window.partitionBy(*SERIES_KEY).orderBy(F.desc("date"), F.desc("item_group"))
+    cut = (
+        rows.select(*SERIES_KEY, "date", "item_group")
+        .withColumn("_age", F.row_number().over(newest))
+        .filter(F.col("_age") == horizon + 1)
+        .select(
+            *SERIES_KEY,
+            F.col("date").alias("_cut_date"),
+            F.coalesce("item_group", F.lit("")).alias("_cut_group"),
+        )
+    )
+    return materialize(cut, "series-cut")
+
+
 def split_series(rows: DataFrame, horizon: int = HORIZON) -> DataFrame:
     """Mark each series' last ``horizon`` rows as test, the others as train.
 
-    Series of at most ``horizon`` rows drop out.
+    Series of at most ``horizon`` rows drop out. The result is partitioned by series.
     """
-    series = Window.partitionBy(*SERIES_KEY)
-    newest = series.orderBy(F.desc("date"), F.desc("item_group"))
+    group = F.coalesce("item_group", F.lit(""))
+    newer = (F.col("date") > F.col("_cut_date")) | (
+        (F.col("date") == F.col("_cut_date")) & (group > F.col("_cut_group"))
+    )
     return (
-        rows.withColumn("_age", F.row_number().over(newest))
-        .withColumn("_size", F.count(F.lit(1)).over(series))
-        .filter(F.col("_size") > horizon)
-        .withColumn("part", F.when(F.col("_age") <= horizon, "test").otherwise("train"))
-        .drop("_age", "_size")
+        by_series(rows)
+        .join(series_cut(rows, horizon), SERIES_KEY)
+        .withColumn("part", F.when(newer, "test").otherwise("train"))
+        .drop("_cut_date", "_cut_group")
     )
 
 
@@ -370,7 +393,7 @@ def forecast_backtest(
     holidays: DataFrame | None = None,
 ) -> DataFrame:
     """Fit on all but the last rows of each series and predict those last rows."""
-    split = split_series(by_series(training_set(enriched)), horizon)
+    split = split_series(training_set(enriched), horizon)
     model = fit(train_part(split), regressors, holidays).drop("last_date")
     frame = test_part(split).drop("qty_sold").join(model, SERIES_KEY)
     return predict(frame, regressors, holidays)

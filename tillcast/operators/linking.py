@@ -1,8 +1,8 @@
 """Item and branch names in question texts: containment, fuzzy linking, screens, answers.
 
-Texts have columns text_id and text (normalised); names have the single column name
-(normalised), with their kind where both kinds are handled together. No step compares every text with every name: both sides meet in equi-joins on
-short keys, and the exact test runs on what those joins leave.
+Texts have columns text_id and text (normalised); names have the column name (normalised), with
+their kind where both kinds are handled together. No step compares every text with every name:
+both sides meet in equi-joins on short keys, and the exact test runs on what those joins leave.
 """
 
 from __future__ import annotations

@@ -15,7 +15,8 @@ def _chosen(
     df: DataFrame, day: Column, branches: Selection, items: Selection, groups: Selection
 ) -> DataFrame:
     kept = on_day(exclude_items(df), day)
-    return choose(choose(choose(kept, "branch", branches), "item_name", items), "item_group", groups)
+    kept = choose(choose(kept, "branch", branches), "item_name", items)
+    return choose(kept, "item_group", groups)
 
 
 def today_forecast(

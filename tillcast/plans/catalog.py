@@ -266,7 +266,10 @@ def ffill_regressor(t: DriverTables) -> DataFrame:
 @query
 def preprocess(t: DriverTables) -> DataFrame:
     enriched = enrich.preprocess(
-        rollup.daily_rollup(t.invoice_items()), t.stored_branch_map(), t.branch_dim(), t.stored_weather()
+        rollup.daily_rollup(t.invoice_items()),
+        t.stored_branch_map(),
+        t.branch_dim(),
+        t.stored_weather(),
     )
     return rounded(enriched, 4, *enrich.TEMPERATURES)
 
@@ -401,12 +404,8 @@ def monthly_bottom5(t: DriverTables) -> DataFrame:
 # --- forecast ----------------------------------------------------------------------------
 
 
-def _training(t: DriverTables) -> DataFrame:
-    return forecast.by_series(forecast.training_set(t.fact()))
-
-
 def _split(t: DriverTables) -> DataFrame:
-    return forecast.split_series(_training(t))
+    return forecast.split_series(forecast.training_set(t.fact()))
 
 
 @query
@@ -549,8 +548,9 @@ def stock_ledger(t: DriverTables) -> DataFrame:
 
 @query
 def stock_min_range(t: DriverTables) -> DataFrame:
+    capitals = [b.upper() for b in BRANCHES]
     return stock.minimum_balance(
-        t.stock_ledger(), t.item(), t.stored_branch_map(), [b.upper() for b in BRANCHES], ITEMS, *RANGE
+        t.stock_ledger(), t.item(), t.stored_branch_map(), capitals, ITEMS, *RANGE
     )
 
 
@@ -563,7 +563,9 @@ def stock_min_day(t: DriverTables) -> DataFrame:
 
 @query
 def stock_today(t: DriverTables) -> DataFrame:
-    return stock.balance_today(t.stock_ledger(), t.item(), t.stored_branch_map(), None, None, t.as_of())
+    return stock.balance_today(
+        t.stock_ledger(), t.item(), t.stored_branch_map(), None, None, t.as_of()
+    )
 
 
 @query

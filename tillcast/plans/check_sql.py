@@ -137,7 +137,8 @@ rest0 AS (
             sql += f""",
 slope{k} AS (
   SELECT branch, item_name, avg({x}) AS mean{k},
-         CASE WHEN var_pop({x}) > 1e-9 * avg({x} * {x}) THEN covar_pop(rest, {x}) / var_pop({x}) ELSE 0 END
+         CASE WHEN var_pop({x}) > 1e-9 * avg({x} * {x})
+              THEN covar_pop(rest, {x}) / var_pop({x}) ELSE 0 END
            AS beta{k}
   FROM rest{k} GROUP BY branch, item_name),
 rest{k + 1} AS (

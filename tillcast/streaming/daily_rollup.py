@@ -12,7 +12,11 @@ LOOK_BACK_DAYS = 1
 
 
 def stream_rollup(
-    lines: DataFrame, time: str, keys: Sequence[str], amount: Column, look_back: int = LOOK_BACK_DAYS
+    lines: DataFrame,
+    time: str,
+    keys: Sequence[str],
+    amount: Column,
+    look_back: int = LOOK_BACK_DAYS,
 ) -> DataFrame:
     """Sum per day and keys; a line older than the newest day minus ``look_back`` is late.
 
