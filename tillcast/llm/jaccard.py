@@ -29,6 +29,9 @@ CHUNK_GRAMS, CHUNK_REPORTS = 1 << 22, 1 << 15
 #: n-grams put last in the order, by estimated frequency. The estimate and this bound decide
 #: how long the lists of a prefix join are, not its result: any order is right.
 FREQUENT_GRAMS = 1 << 18
+#: Lists of an n-gram up to this length are paired row by row at once, longer ones class by class.
+PAIRED_ROWS = 64
+_LOW = 0xFFFFFFFF
 #: Prefixes that a task remembers, to send each but once.
 SENT_PREFIXES = 1 << 20
 
@@ -191,9 +194,44 @@ def _batch(columns: list[np.ndarray], names: list[str]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.asarray(c, np.int64)) for c in columns], names)
 
 
+def _possible(percent: int, x, i, y, j) -> np.ndarray:
+    """Whether sets of x and y n-grams with a common one at places i and j can be similar.
+
+    With overlap o that is 100 o >= percent (x + y - o); o is at most the lesser of what lies
+    before that n-gram in either set, and the lesser of what lies from it on.
+    """
+    most = np.minimum(i, j) + np.minimum(x - i, y - j)
+    return (100 + percent) * most >= percent * (x + y)
+
+
+def _near_pairs(
+    key: np.ndarray, size: np.ndarray, place: np.ndarray, percent: int
+) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows (i, j) of the same run of ``key`` that pass the filters, i < j, by distance."""
+    first = np.arange(len(key))
+    step = 0
+    while len(first):
+        step += 1
+        first = first[first + step < len(key)]
+        first = first[key[first] == key[first + step]]
+        second = first + step
+        good = _possible(percent, size[first], place[first], size[second], place[second])
+        yield first[good], second[good]
+
+
+def _long_runs(key: np.ndarray) -> np.ndarray:
+    """Whether each row is in a run of more than PAIRED_ROWS equal keys."""
+    cuts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
+    lengths = np.diff(cuts) if len(key) else np.zeros(0, np.int64)
+    return np.repeat(lengths > PAIRED_ROWS, lengths)
+
+
 def _meetings(prefixes: DataFrame, percent: int) -> DataFrame:
-    """From the prefixes of all: (kind 0, n-gram, group, size and position) where groups meet, (1,
-    group, set, 0) for all sets, and (2, group, hub, 0) for each group met and its hub there."""
+    """From the prefixes of all: (kind 0, n-gram, group, size and place) where groups meet, (1,
+    group, set, 0) for all sets, and (2, group, hub, 0) for each group met and its hub there.
+
+    Rows of short lists that pass the filters with no other row are left out.
+    """
     names = ["kind", "a", "b", "c"]
 
     def meet(records: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -204,28 +242,32 @@ def _meetings(prefixes: DataFrame, percent: int) -> DataFrame:
             member = more < 0
             yield _batch([member[member], key[member], owner[member], more[member]], names)
             key, owner, more = key[~member], owner[~member], more[~member]
-            again = key[1:] == key[:-1]
-            met = np.zeros(len(key), bool)
-            met[1:] |= again
-            met[:-1] |= again
+            met = _long_runs(key)
+            short = np.flatnonzero(~met)
+            size, place = more >> 32, more & _LOW
+            for i, j in _near_pairs(key[short], size[short], place[short], percent):
+                met[short[i]] = met[short[j]] = True
             key, owner, more = key[met], owner[met], more[met]
             yield _batch([np.zeros(len(key)), key, owner, more], names)
-            yield _batch(hubs(key, owner, more >> 32), names)
-
-    def hubs(key: np.ndarray, owner: np.ndarray, size: np.ndarray) -> list[np.ndarray]:
-        """Each row's hub: the smallest set of its n-gram, or the first one large enough."""
-        order = np.lexsort((owner, size, key))
-        key, owner, size = key[order], owner[order], size[order]
-        hub = np.zeros(len(key), np.int64)
-        for low, high in _limits(key):
-            while low < high:
-                fits = size[low:high] * percent <= 100 * size[low]
-                stop = low + int(np.argmin(fits)) if not fits.all() else high
-                hub[low:stop] = owner[low]
-                low = stop
-        other = hub != owner
-        n = int(other.sum())
-        return [np.full(n, 2), owner[other], hub[other], np.zeros(n)]
+            yield _batch(hubs(key, owner, size[met], place[met]), names)
+
+    def hubs(key, owner, size, place) -> list[np.ndarray]:
+        """Each row's hub: of the sets of its n-gram that it may be similar to in size, the one
+        with the fewest rarer n-grams, which is nearest to what they have in common."""
+        order = np.lexsort((owner, size, place, key))
+        key, owner, size, place = key[order], owner[order], size[order], place[order]
+        found = [np.zeros(0, np.int64)] * 2
+        while len(key):
+            starts = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+            hub = np.repeat(starts, np.diff(np.append(starts, len(key))))
+            small, large = np.minimum(size, size[hub]), np.maximum(size, size[hub])
+            fits = percent * large <= 100 * small
+            near = fits & (hub != np.arange(len(key)))
+            near &= _possible(percent, size, place, size[hub], place[hub])
+            found = [np.append(found[0], owner[near]), np.append(found[1], owner[hub[near]])]
+            key, owner, size, place = key[~fits], owner[~fits], size[~fits], place[~fits]
+        n = len(found[0])
+        return [np.full(n, 2), *found, np.zeros(n)]
 
     return (
         prefixes.repartition("key")
@@ -236,30 +278,44 @@ def _meetings(prefixes: DataFrame, percent: int) -> DataFrame:
 
 def _across(met: DataFrame, percent: int) -> DataFrame:
     """Pairs of (group, class) that meet under a key with different classes and pass the filters.
-
-    ``met``: key, owner (group), more (size and position), class. With overlap o of sets of x and y
-    n-grams, 100 o >= percent (x + y - o); o is at most what lies before the common n-gram, itself
-    and what lies behind it.
-    """
+    ``met``: key, owner (group), more (size and place), class."""
     names = ["key", "class", "owner", "more"]
+    made = ["group1", "class1", "group2", "class2"]
 
     def pair(records: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for key, class_, owner, more in _runs(records, names):
-            size, place = more >> 32, more & 0xFFFFFFFF
-            for low, high in _limits(key):
-                if class_[low] == class_[high - 1]:
-                    continue
-                for i in range(low, high - 1):
-                    later = slice(int(np.searchsorted(class_[low:high], class_[i], "right")) + low, high)
-                    x, y = size[i], size[later]
-                    most = 1 + np.minimum(place[i], place[later])
-                    most = most + np.minimum(x - place[i], y - place[later]) - 1
-                    near = (100 + percent) * most >= percent * (x + y)
-                    n = int(near.sum())
-                    if n:
-                        ones = np.ones(n, np.int64)
-                        found = [ones * owner[i], ones * class_[i], owner[later][near], class_[later][near]]
-                        yield _batch(found, ["group1", "class1", "group2", "class2"])
+            size, place = more >> 32, more & _LOW
+            long = _long_runs(key)
+            short = np.flatnonzero(~long)
+            found = []
+            for i, j in _near_pairs(key[short], size[short], place[short], percent):
+                apart = class_[short[i]] != class_[short[j]]
+                found.append((short[i][apart], short[j][apart]))
+            if found:
+                i, j = (np.concatenate(x) for x in zip(*found, strict=True))
+                yield distinct([owner[i], class_[i], owner[j], class_[j]])
+            rows = np.flatnonzero(long)
+            for low, high in _limits(key[rows]):
+                yield from across_run(*(x[rows[low] : rows[high - 1] + 1] for x in (class_, owner, size, place)))
+
+    def across_run(class_, owner, size, place) -> Iterator[pa.RecordBatch]:
+        """Of one long list, by class: each class against all after it."""
+        for low, high in _limits(class_):
+            for i in range(low, high if high < len(class_) else low):
+                rest = slice(high, None)
+                near = _possible(percent, size[i], place[i], size[rest], place[rest])
+                n = int(near.sum())
+                if n:
+                    ones = np.ones(n, np.int64)
+                    own = [ones * owner[i], ones * class_[i]]
+                    yield _batch([*own, owner[rest][near], class_[rest][near]], made)
+
+    def distinct(columns: list[np.ndarray]) -> pa.RecordBatch:
+        key = np.zeros(len(columns[0]), U64)
+        for column in columns:
+            key = mix(key + column.view(U64))
+        once = np.unique(key, return_index=True)[1]
+        return _batch([c[once] for c in columns], made)
 
     return (
         met.select(*names)
