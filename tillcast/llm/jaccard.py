@@ -204,6 +204,17 @@ def _possible(percent: int, x, i, y, j) -> np.ndarray:
     return (100 + percent) * most >= percent * (x + y)
 
 
+def _least_meetings(percent: int, x, y) -> np.ndarray:
+    """In how many lists similar sets of x and y n-grams meet at least.
+
+    Of two prefixes, that which ends earlier in the order holds nothing of the other set's
+    rest, so what the sets share beyond their prefixes lies in its own rest.
+    """
+    needed = -(-percent * (x + y) // (100 + percent))
+    rest = np.maximum(-(-percent * x // 100), -(-percent * y // 100)) - 1
+    return np.maximum(needed - rest, 1)
+
+
 def _near_pairs(
     key: np.ndarray, size: np.ndarray, place: np.ndarray, percent: int
 ) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -228,7 +239,8 @@ def _long_runs(key: np.ndarray) -> np.ndarray:
 
 def _meetings(prefixes: DataFrame, percent: int) -> DataFrame:
     """From the prefixes of all: (kind 0, n-gram, group, size and place) where groups meet, (1,
-    group, set, 0) for all sets, and (2, group, hub, 0) for each group met and its hub there.
+    group, set, 0) for all sets, and (2, group, hub, least number of meetings) for each group
+    met and its hub there.
 
     Rows of short lists that pass the filters with no other row are left out.
     """
@@ -256,7 +268,7 @@ def _meetings(prefixes: DataFrame, percent: int) -> DataFrame:
         with the fewest rarer n-grams, which is nearest to what they have in common."""
         order = np.lexsort((owner, size, place, key))
         key, owner, size, place = key[order], owner[order], size[order], place[order]
-        found = [np.zeros(0, np.int64)] * 2
+        found = [np.zeros(0, np.int64)] * 3
         while len(key):
             starts = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
             hub = np.repeat(starts, np.diff(np.append(starts, len(key))))
@@ -264,10 +276,12 @@ def _meetings(prefixes: DataFrame, percent: int) -> DataFrame:
             fits = percent * large <= 100 * small
             near = fits & (hub != np.arange(len(key)))
             near &= _possible(percent, size, place, size[hub], place[hub])
-            found = [np.append(found[0], owner[near]), np.append(found[1], owner[hub[near]])]
+            least = _least_meetings(percent, size[near], size[hub[near]])
+            new = owner[near], owner[hub[near]], least
+            found = [np.append(x, y) for x, y in zip(found, new, strict=True)]
             key, owner, size, place = key[~fits], owner[~fits], size[~fits], place[~fits]
         n = len(found[0])
-        return [np.full(n, 2), *found, np.zeros(n)]
+        return [np.full(n, 2), *found]
 
     return (
         prefixes.repartition("key")
@@ -277,10 +291,10 @@ def _meetings(prefixes: DataFrame, percent: int) -> DataFrame:
 
 
 def _across(met: DataFrame, percent: int) -> DataFrame:
-    """Pairs of (group, class) that meet under a key with different classes and pass the filters.
-    ``met``: key, owner (group), more (size and place), class."""
+    """Pairs of (group, class) of different classes that meet under as many keys as they must.
+    ``met``: key, owner (group), more (size and place), class. Parts of one group meet once."""
     names = ["key", "class", "owner", "more"]
-    made = ["group1", "class1", "group2", "class2"]
+    made = ["group1", "class1", "group2", "class2", "least", "met"]
 
     def pair(records: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for key, class_, owner, more in _runs(records, names):
@@ -293,7 +307,7 @@ def _across(met: DataFrame, percent: int) -> DataFrame:
                 found.append((short[i][apart], short[j][apart]))
             if found:
                 i, j = (np.concatenate(x) for x in zip(*found, strict=True))
-                yield distinct([owner[i], class_[i], owner[j], class_[j]])
+                yield counted([owner[i], class_[i], owner[j], class_[j]], size[i], size[j])
             rows = np.flatnonzero(long)
             for low, high in _limits(key[rows]):
                 yield from across_run(*(x[rows[low] : rows[high - 1] + 1] for x in (class_, owner, size, place)))
@@ -308,33 +322,43 @@ def _across(met: DataFrame, percent: int) -> DataFrame:
                 if n:
                     ones = np.ones(n, np.int64)
                     own = [ones * owner[i], ones * class_[i]]
-                    yield _batch([*own, owner[rest][near], class_[rest][near]], made)
+                    other = [owner[rest][near], class_[rest][near]]
+                    yield counted([*own, *other], ones * size[i], size[rest][near])
 
-    def distinct(columns: list[np.ndarray]) -> pa.RecordBatch:
-        key = np.zeros(len(columns[0]), U64)
+    def counted(columns: list[np.ndarray], x: np.ndarray, y: np.ndarray) -> pa.RecordBatch:
+        swap = columns[0] > columns[2]
+        columns = [np.where(swap, columns[(k + 2) % 4], columns[k]) for k in range(4)]
+        key = np.zeros(len(x), U64)
         for column in columns:
             key = mix(key + column.view(U64))
-        once = np.unique(key, return_index=True)[1]
-        return _batch([c[once] for c in columns], made)
+        _, once, met = np.unique(key, return_index=True, return_counts=True)
+        least = _least_meetings(percent, x[once], y[once])
+        return _batch([*(c[once] for c in columns), least, met], made)
 
     return (
         met.select(*names)
         .repartition("key")
         .sortWithinPartitions("key", "class", "owner")
-        .mapInArrow(pair, "group1 bigint, class1 bigint, group2 bigint, class2 bigint")
-        .distinct()
+        .mapInArrow(pair, ", ".join(f"{name} bigint" for name in made))
+        .groupBy(*made[:4])
+        .agg(F.max("least").alias("least"), F.sum("met").alias("met"))
+        .filter("met >= least OR group1 = group2")
+        .select(*made[:4])
     )
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Those of the pairs (a, b) whose sets are similar."""
-    left = sets.select(F.col("key").alias("a"), F.col("grams").alias("x"))
-    right = sets.select(F.col("key").alias("b"), F.col("grams").alias("y"))
+    pairs = materialize(pairs, "jaccard-pairs")
+    keys = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key")))
+    used = materialize(
+        sets.join(materialize(keys.distinct(), "jaccard-keys"), "key", "left_semi"), "jaccard-used"
+    )
     common = F.size(F.array_intersect("x", "y"))
     union = F.size("x") + F.size("y") - common
     return (
-        pairs.join(left, "a")
-        .join(right, "b")
+        pairs.join(used.toDF("a", "x"), "a")
+        .join(used.toDF("b", "y"), "b")
         .filter(100 * common >= percent * union)
         .select("a", "b")
     )
@@ -383,7 +407,8 @@ def jaccard_classes(
     best = (
         met.filter("kind = 2")
         .groupBy("a", "b")
-        .agg(F.count(F.lit(1)).alias("n"))
+        .agg(F.count(F.lit(1)).alias("n"), F.max("c").alias("least"))
+        .filter("2 * n >= least")  # a group may meet its hub elsewhere under another hub
         .groupBy("a")
         .agg(F.max_by("b", F.struct("n", -F.col("b"))).alias("b"))
     )
