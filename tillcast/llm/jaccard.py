@@ -32,6 +32,10 @@ FREQUENT_GRAMS = 1 << 18
 #: Lists of an n-gram up to this length are paired row by row at once, longer ones class by class.
 PAIRED_ROWS = 64
 _LOW = 0xFFFFFFFF
+_HIT = ["key", "owner", "more"]
+#: Bits of a filter that drops most texts no one needs before they are shuffled; with more texts
+#: needed than half of it, the join alone does that.
+FILTER_BITS = 1 << 23
 #: Prefixes that a task remembers, to send each but once.
 SENT_PREFIXES = 1 << 20
 
@@ -194,13 +198,14 @@ def _batch(columns: list[np.ndarray], names: list[str]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.asarray(c, np.int64)) for c in columns], names)
 
 
-def _possible(percent: int, x, i, y, j) -> np.ndarray:
-    """Whether sets of x and y n-grams with a common one at places i and j can be similar.
+def _possible(percent: int, x, i, m, y, j, n) -> np.ndarray:
+    """Whether sets of x and y n-grams with a common one at places i and j can be similar, if m
+    and n of the n-grams before it were met in other sets at all.
 
-    With overlap o that is 100 o >= percent (x + y - o); o is at most the lesser of what lies
-    before that n-gram in either set, and the lesser of what lies from it on.
+    With overlap o that is 100 o >= percent (x + y - o); o is at most the lesser of m and n, and
+    the lesser of what the sets hold from that place on.
     """
-    most = np.minimum(i, j) + np.minimum(x - i, y - j)
+    most = np.minimum(m, n) + np.minimum(x - i, y - j)
     return (100 + percent) * most >= percent * (x + y)
 
 
@@ -216,9 +221,10 @@ def _least_meetings(percent: int, x, y) -> np.ndarray:
 
 
 def _near_pairs(
-    key: np.ndarray, size: np.ndarray, place: np.ndarray, percent: int
+    key: np.ndarray, sets: tuple[np.ndarray, ...], percent: int
 ) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Rows (i, j) of the same run of ``key`` that pass the filters, i < j, by distance."""
+    """Rows (i, j) of the same run of ``key`` that pass the filters, i < j, by distance.
+    ``sets``: size, place and number of n-grams met before it."""
     first = np.arange(len(key))
     step = 0
     while len(first):
@@ -226,10 +232,19 @@ def _near_pairs(
         first = first[first + step < len(key)]
         first = first[key[first] == key[first + step]]
         second = first + step
-        good = _possible(percent, size[first], place[first], size[second], place[second])
+        good = _possible(percent, *(c[first] for c in sets), *(c[second] for c in sets))
         yield first[good], second[good]
 
 
+def _meeting(key: np.ndarray, sets: tuple[np.ndarray, ...], percent: int) -> np.ndarray:
+    """Whether each row is in a long list or passes the filters with another row of its list."""
+    met = _long_runs(key)
+    short = np.flatnonzero(~met)
+    for i, j in _near_pairs(key[short], tuple(c[short] for c in sets), percent):
+        met[short[i]] = met[short[j]] = True
+    return met
+
+
 def _long_runs(key: np.ndarray) -> np.ndarray:
     """Whether each row is in a run of more than PAIRED_ROWS equal keys."""
     cuts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
@@ -238,12 +253,9 @@ def _long_runs(key: np.ndarray) -> np.ndarray:
 
 
 def _meetings(prefixes: DataFrame, percent: int) -> DataFrame:
-    """From the prefixes of all: (kind 0, n-gram, group, size and place) where groups meet, (1,
-    group, set, 0) for all sets, and (2, group, hub, least number of meetings) for each group
-    met and its hub there.
-
-    Rows of short lists that pass the filters with no other row are left out.
-    """
+    """From the prefixes of all: (kind 0, n-gram, group, size and place) where groups meet, and
+    (1, group, set, -1) for all sets. Rows that pass the filters with no other row of their
+    list, if that is short, are left out: no similar set has that n-gram."""
     names = ["kind", "a", "b", "c"]
 
     def meet(records: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -254,76 +266,96 @@ def _meetings(prefixes: DataFrame, percent: int) -> DataFrame:
             member = more < 0
             yield _batch([member[member], key[member], owner[member], more[member]], names)
             key, owner, more = key[~member], owner[~member], more[~member]
-            met = _long_runs(key)
-            short = np.flatnonzero(~met)
-            size, place = more >> 32, more & _LOW
-            for i, j in _near_pairs(key[short], size[short], place[short], percent):
-                met[short[i]] = met[short[j]] = True
-            key, owner, more = key[met], owner[met], more[met]
-            yield _batch([np.zeros(len(key)), key, owner, more], names)
-            yield _batch(hubs(key, owner, size[met], place[met]), names)
-
-    def hubs(key, owner, size, place) -> list[np.ndarray]:
+            met = _meeting(key, (more >> 32, more & _LOW, more & _LOW), percent)
+            yield _batch([np.zeros(int(met.sum())), key[met], owner[met], more[met]], names)
+
+    return (
+        prefixes.repartition("key")
+        .sortWithinPartitions("key", "owner", "more")
+        .mapInArrow(meet, ", ".join(f"{name} bigint" for name in names))
+    )
+
+
+def _ranked(hits: DataFrame) -> DataFrame:
+    """Rows (key, owner, more) with ``before``: how many of the owner's n-grams before this one
+    were met. Those not met are in no similar set, which the filters then know."""
+    order = Window.partitionBy("owner").orderBy("more", "key")
+    return hits.select(*_HIT, (F.row_number().over(order) - 1).cast("bigint").alias("before"))
+
+
+def _hubs(hits: DataFrame, percent: int) -> DataFrame:
+    """The ranked rows that still pass the filters (kind 0, n-gram, group, size and place, number
+    before), and (2, group, hub, least number of meetings, 0) for each group and its hub there."""
+    names = ["kind", "a", "b", "c", "d"]
+
+    def star(records: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, owner, more, before in _runs(records, [*_HIT, "before"]):
+            met = _meeting(key, (more >> 32, more & _LOW, before), percent)
+            key, owner, more, before = key[met], owner[met], more[met], before[met]
+            yield _batch([np.zeros(len(key)), key, owner, more, before], names)
+            yield _batch(hubs(key, owner, more >> 32, more & _LOW, before), names)
+
+    def hubs(key, owner, size, place, before) -> list[np.ndarray]:
         """Each row's hub: of the sets of its n-gram that it may be similar to in size, the one
         with the fewest rarer n-grams, which is nearest to what they have in common."""
         order = np.lexsort((owner, size, place, key))
-        key, owner, size, place = key[order], owner[order], size[order], place[order]
+        key, owner, size, place, before = (x[order] for x in (key, owner, size, place, before))
         found = [np.zeros(0, np.int64)] * 3
         while len(key):
             starts = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
             hub = np.repeat(starts, np.diff(np.append(starts, len(key))))
             small, large = np.minimum(size, size[hub]), np.maximum(size, size[hub])
             fits = percent * large <= 100 * small
-            near = fits & (hub != np.arange(len(key)))
-            near &= _possible(percent, size, place, size[hub], place[hub])
+            own, other = (size, place, before), (size[hub], place[hub], before[hub])
+            near = fits & (hub != np.arange(len(key))) & _possible(percent, *own, *other)
             least = _least_meetings(percent, size[near], size[hub[near]])
             new = owner[near], owner[hub[near]], least
             found = [np.append(x, y) for x, y in zip(found, new, strict=True)]
-            key, owner, size, place = key[~fits], owner[~fits], size[~fits], place[~fits]
+            key, owner, size, place, before = (x[~fits] for x in (key, owner, size, place, before))
         n = len(found[0])
-        return [np.full(n, 2), *found]
+        return [np.full(n, 2), *found, np.zeros(n)]
 
     return (
-        prefixes.repartition("key")
-        .sortWithinPartitions("key", "owner", "more")
-        .mapInArrow(meet, "kind bigint, a bigint, b bigint, c bigint")
+        hits.repartition("key")
+        .sortWithinPartitions("key", "owner")
+        .mapInArrow(star, ", ".join(f"{name} bigint" for name in names))
     )
 
 
 def _across(met: DataFrame, percent: int) -> DataFrame:
     """Pairs of (group, class) of different classes that meet under as many keys as they must.
-    ``met``: key, owner (group), more (size and place), class. Parts of one group meet once."""
-    names = ["key", "class", "owner", "more"]
+    ``met``: ranked rows with their class. Parts of one group meet once."""
+    names = ["key", "class", "owner", "more", "before"]
     made = ["group1", "class1", "group2", "class2", "least", "met"]
 
     def pair(records: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, class_, owner, more in _runs(records, names):
-            size, place = more >> 32, more & _LOW
+        for key, class_, owner, more, before in _runs(records, names):
+            sets = more >> 32, more & _LOW, before
             long = _long_runs(key)
             short = np.flatnonzero(~long)
             found = []
-            for i, j in _near_pairs(key[short], size[short], place[short], percent):
+            for i, j in _near_pairs(key[short], tuple(c[short] for c in sets), percent):
                 apart = class_[short[i]] != class_[short[j]]
                 found.append((short[i][apart], short[j][apart]))
             if found:
                 i, j = (np.concatenate(x) for x in zip(*found, strict=True))
-                yield counted([owner[i], class_[i], owner[j], class_[j]], size[i], size[j])
+                yield counted([owner[i], class_[i], owner[j], class_[j]], sets[0][i], sets[0][j])
             rows = np.flatnonzero(long)
             for low, high in _limits(key[rows]):
-                yield from across_run(*(x[rows[low] : rows[high - 1] + 1] for x in (class_, owner, size, place)))
+                run = rows[low:high]
+                yield from across_run(class_[run], owner[run], tuple(c[run] for c in sets))
 
-    def across_run(class_, owner, size, place) -> Iterator[pa.RecordBatch]:
+    def across_run(class_, owner, sets) -> Iterator[pa.RecordBatch]:
         """Of one long list, by class: each class against all after it."""
         for low, high in _limits(class_):
-            for i in range(low, high if high < len(class_) else low):
-                rest = slice(high, None)
-                near = _possible(percent, size[i], place[i], size[rest], place[rest])
-                n = int(near.sum())
-                if n:
-                    ones = np.ones(n, np.int64)
+            rest = tuple(c[high:] for c in sets)
+            for i in range(low, high if len(rest[0]) else low):
+                near = np.flatnonzero(_possible(percent, *(c[i] for c in sets), *rest)) + high
+                if len(near):
+                    ones = np.ones(len(near), np.int64)
                     own = [ones * owner[i], ones * class_[i]]
-                    other = [owner[rest][near], class_[rest][near]]
-                    yield counted([*own, *other], ones * size[i], size[rest][near])
+                    other = [owner[near], class_[near]]
+                    yield counted([*own, *other], ones * sets[0][i], sets[0][near])
 
     def counted(columns: list[np.ndarray], x: np.ndarray, y: np.ndarray) -> pa.RecordBatch:
         swap = columns[0] > columns[2]
@@ -397,15 +429,15 @@ def jaccard_classes(
     order = spark.sparkContext.broadcast(_frequent(scanned))
     met = materialize(_meetings(_prefixes(chosen, size, percent, order), percent), "jaccard-met")
     members = met.filter("kind = 1").select(F.col("a").alias("owner"), F.col("b").alias("key"))
-    hits = met.filter("kind = 0").select(
-        F.col("a").alias("key"), F.col("b").alias("owner"), F.col("c").alias("more")
-    )
+    ranked = materialize(_ranked(met.filter("kind = 0").toDF("kind", *_HIT)), "jaccard-ranked")
+    stars = materialize(_hubs(ranked, percent), "jaccard-stars")
+    hits = stars.filter("kind = 0").toDF("kind", *_HIT, "before").drop("kind")
     leads = materialize(
         members.groupBy("owner").agg(F.min("key").alias("lead"), F.count(F.lit(1)).alias("n")),
         "jaccard-groups",
     )
     best = (
-        met.filter("kind = 2")
+        stars.filter("kind = 2")
         .groupBy("a", "b")
         .agg(F.count(F.lit(1)).alias("n"), F.max("c").alias("least"))
         .filter("2 * n >= least")  # a group may meet its hub elsewhere under another hub
@@ -423,13 +455,16 @@ def jaccard_classes(
         .filter("key <> lead")
         .select(F.col("key").alias("a"), F.col("lead").alias("b"))
     )
-    # whole sets of everything that meets anything, made once more from the texts
+    # whole sets of everything that may be similar to anything, made once more from the texts
     met_owners = hits.select("owner").distinct().unionByName(leads.filter("n > 1").select("owner"))
-    needed = members.join(met_owners.distinct(), "owner").select("key").distinct()
+    needed = materialize(
+        members.join(met_owners.distinct(), "owner").select("key").distinct(), "jaccard-needed"
+    )
     first = rows.filter("n > 0").groupBy("key").agg(F.min("row").alias("row"))
-    wanted = materialize(first.join(needed, "key"), "jaccard-needed")
+    wanted = materialize(first.join(needed, "key"), "jaccard-wanted")
     sets = materialize(
-        _grams(chosen.join(wanted, "row").select("key", "text"), size), "jaccard-grams"
+        _grams(_likely(chosen, wanted).join(wanted, "row").select("key", "text"), size),
+        "jaccard-grams",
     )
     star = materialize(_verified(hub_pairs.unionByName(inner), sets, percent), "jaccard-links")
     classes = materialize(components(star), "jaccard-classes")
@@ -443,11 +478,14 @@ def jaccard_classes(
     )
     parts = in_class.select("owner", "class").distinct()
     apart = parts.join(parts.groupBy("owner").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "owner")
-    sizes = hits.groupBy("owner").agg(F.max(F.expr("shiftright(more, 32)")).alias("size"))
     alone = apart.select(
-        F.col("owner").alias("key"), "owner", F.lit(1 << 32).cast("bigint").alias("more"), "class"
+        F.col("owner").alias("key"),
+        "owner",
+        F.lit(1 << 32).cast("bigint").alias("more"),
+        F.lit(0).cast("bigint").alias("before"),
+        "class",
     )
-    crossing = hits.join(parts, "owner").select("key", "owner", "more", "class")
+    crossing = hits.join(parts, "owner").select(*_HIT, "before", "class")
     pairs = _across(crossing.unionByName(alone), percent)
     side = in_class.select("owner", "key", "class")
     rest = (
@@ -489,6 +527,33 @@ def first_ids(rows: DataFrame, classes: DataFrame) -> DataFrame:
     )
 
 
+def _likely(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``docs`` (row, text) without most rows that ``wanted`` (row) lacks; none of it is lost."""
+    if wanted.count() > FILTER_BITS // 2:
+        return docs.select("row", "text")
+    spark = docs.sparkSession.sparkContext
+
+    def bit(rows: pa.Array) -> np.ndarray:
+        return (mix(rows.to_numpy(zero_copy_only=False).view(U64)) % U64(FILTER_BITS)).astype(np.int64)
+
+    def bits(records: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for record in records:
+            yield _batch([np.unique(bit(record.column("row")))], ["bit"])
+
+    table = np.zeros(FILTER_BITS, bool)
+    found = wanted.select("row").mapInArrow(bits, "bit bigint").distinct().toArrow()
+    table[found.column("bit").to_numpy()] = True
+    packed = spark.broadcast(np.packbits(table))
+
+    def keep(records: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for record in records:
+            at = bit(record.column("row"))
+            hit = packed.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1
+            yield record.filter(pa.array(hit.astype(bool)))
+
+    return docs.select("row", "text").mapInArrow(keep, "row bigint, text string")
+
+
 def _grams(docs: DataFrame, size: int) -> DataFrame:
     """(key, grams) of the rows whose set has the fingerprint that they are wanted for."""
 
