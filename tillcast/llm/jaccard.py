@@ -209,6 +209,12 @@ def _possible(percent: int, x, i, m, y, j, n) -> np.ndarray:
     return (100 + percent) * most >= percent * (x + y)
 
 
+def _first_possible(percent: int, x, a, m, y, b, n) -> np.ndarray:
+    """Whether sets of x and y n-grams can be similar if this is the first one they share: a and b
+    of their n-grams may be shared at all, m and n of these come before it."""
+    return (100 + percent) * np.minimum(a - m, b - n) >= percent * (x + y)
+
+
 def _least_meetings(percent: int, x, y) -> np.ndarray:
     """In how many lists similar sets of x and y n-grams meet at least.
 
@@ -221,10 +227,10 @@ def _least_meetings(percent: int, x, y) -> np.ndarray:
 
 
 def _near_pairs(
-    key: np.ndarray, sets: tuple[np.ndarray, ...], percent: int
+    key: np.ndarray, sets: tuple[np.ndarray, ...], percent: int, passes=_possible
 ) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Rows (i, j) of the same run of ``key`` that pass the filters, i < j, by distance.
-    ``sets``: size, place and number of n-grams met before it."""
+    """Rows (i, j) of the same run of ``key`` that pass the filter, i < j, by distance.
+    ``sets``: what the filter takes of either set."""
     first = np.arange(len(key))
     step = 0
     while len(first):
@@ -232,7 +238,7 @@ def _near_pairs(
         first = first[first + step < len(key)]
         first = first[key[first] == key[first + step]]
         second = first + step
-        good = _possible(percent, *(c[first] for c in sets), *(c[second] for c in sets))
+        good = passes(percent, *(c[first] for c in sets), *(c[second] for c in sets))
         yield first[good], second[good]
 
 
@@ -276,11 +282,18 @@ def _meetings(prefixes: DataFrame, percent: int) -> DataFrame:
     )
 
 
-def _ranked(hits: DataFrame) -> DataFrame:
+def _ranked(hits: DataFrame, percent: int) -> DataFrame:
     """Rows (key, owner, more) with ``before``: how many of the owner's n-grams before this one
-    were met. Those not met are in no similar set, which the filters then know."""
-    order = Window.partitionBy("owner").orderBy("more", "key")
-    return hits.select(*_HIT, (F.row_number().over(order) - 1).cast("bigint").alias("before"))
+    were met, and ``open``: how many it has in all but those of its prefix that weren't. These
+    are in no similar set, which the filters then know."""
+    own = Window.partitionBy("owner")
+    size = F.expr("shiftright(more, 32)")
+    rest = F.ceil(size * F.lit(percent) / 100) - 1
+    return hits.select(
+        *_HIT,
+        (F.row_number().over(own.orderBy("more", "key")) - 1).cast("bigint").alias("before"),
+        (F.count(F.lit(1)).over(own) + rest).cast("bigint").alias("open"),
+    )
 
 
 def _hubs(hits: DataFrame, percent: int) -> DataFrame:
@@ -323,23 +336,26 @@ def _hubs(hits: DataFrame, percent: int) -> DataFrame:
 
 
 def _across(met: DataFrame, percent: int) -> DataFrame:
-    """Pairs of (group, class) of different classes that meet under as many keys as they must.
-    ``met``: ranked rows with their class. Parts of one group meet once."""
-    names = ["key", "class", "owner", "more", "before"]
-    made = ["group1", "class1", "group2", "class2", "least", "met"]
+    """Pairs of (group, class) of different classes, of which some row may be the first n-gram
+    that two similar sets share. ``met``: ranked rows with the class of their group.
+
+    Only the first common n-gram need give a pair, so rows too far behind are left out before.
+    """
+    names = ["key", "class", "owner", "size", "open", "before"]
+    made = ["group1", "class1", "group2", "class2"]
 
     def pair(records: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, class_, owner, more, before in _runs(records, names):
-            sets = more >> 32, more & _LOW, before
+        for key, class_, owner, *sets in _runs(records, names):
             long = _long_runs(key)
             short = np.flatnonzero(~long)
             found = []
-            for i, j in _near_pairs(key[short], tuple(c[short] for c in sets), percent):
+            own = tuple(c[short] for c in sets)
+            for i, j in _near_pairs(key[short], own, percent, _first_possible):
                 apart = class_[short[i]] != class_[short[j]]
                 found.append((short[i][apart], short[j][apart]))
             if found:
                 i, j = (np.concatenate(x) for x in zip(*found, strict=True))
-                yield counted([owner[i], class_[i], owner[j], class_[j]], sets[0][i], sets[0][j])
+                yield distinct([owner[i], class_[i], owner[j], class_[j]])
             rows = np.flatnonzero(long)
             for low, high in _limits(key[rows]):
                 run = rows[low:high]
@@ -350,33 +366,50 @@ def _across(met: DataFrame, percent: int) -> DataFrame:
         for low, high in _limits(class_):
             rest = tuple(c[high:] for c in sets)
             for i in range(low, high if len(rest[0]) else low):
-                near = np.flatnonzero(_possible(percent, *(c[i] for c in sets), *rest)) + high
+                near = np.flatnonzero(_first_possible(percent, *(c[i] for c in sets), *rest)) + high
                 if len(near):
                     ones = np.ones(len(near), np.int64)
-                    own = [ones * owner[i], ones * class_[i]]
-                    other = [owner[near], class_[near]]
-                    yield counted([*own, *other], ones * sets[0][i], sets[0][near])
+                    yield distinct([ones * owner[i], ones * class_[i], owner[near], class_[near]])
 
-    def counted(columns: list[np.ndarray], x: np.ndarray, y: np.ndarray) -> pa.RecordBatch:
+    def distinct(columns: list[np.ndarray]) -> pa.RecordBatch:
         swap = columns[0] > columns[2]
         columns = [np.where(swap, columns[(k + 2) % 4], columns[k]) for k in range(4)]
-        key = np.zeros(len(x), U64)
+        key = np.zeros(len(swap), U64)
         for column in columns:
             key = mix(key + column.view(U64))
-        _, once, met = np.unique(key, return_index=True, return_counts=True)
-        least = _least_meetings(percent, x[once], y[once])
-        return _batch([*(c[once] for c in columns), least, met], made)
+        once = np.unique(key, return_index=True)[1]
+        return _batch([c[once] for c in columns], made)
 
     return (
-        met.select(*names)
+        met.withColumn("size", F.expr("shiftright(more, 32)"))
+        .filter((F.col("open") - F.col("before")) * 100 >= F.col("size") * percent)
+        .select(*names)
         .repartition("key")
         .sortWithinPartitions("key", "class", "owner")
         .mapInArrow(pair, ", ".join(f"{name} bigint" for name in made))
-        .groupBy(*made[:4])
-        .agg(F.max("least").alias("least"), F.sum("met").alias("met"))
-        .filter("met >= least OR group1 = group2")
-        .select(*made[:4])
+        .distinct()
+    )
+
+
+def _meet_enough(pairs: DataFrame, ranked: DataFrame, percent: int) -> DataFrame:
+    """Those of the pairs whose groups share as many n-grams of their prefixes as they must, and
+    parts of one group. A prefix bounds what is gathered for a group."""
+    lists = materialize(
+        ranked.groupBy("owner").agg(
+            F.collect_list("key").alias("keys"),
+            F.max(F.expr("shiftright(more, 32)")).alias("size"),
+        ),
+        "jaccard-lists",
+    )
+    parts = pairs.filter("group1 = group2")
+    joined = pairs.filter("group1 <> group2").join(lists.toDF("group1", "keys1", "size1"), "group1").join(
+        lists.toDF("group2", "keys2", "size2"), "group2"
     )
+    needed = F.ceil((F.col("size1") + F.col("size2")) * percent / (100 + percent))
+    rest = F.ceil(F.greatest("size1", "size2") * percent / 100) - 1
+    met = F.size(F.array_intersect("keys1", "keys2"))
+    enough = joined.filter(met >= F.greatest(needed - rest, F.lit(1)))
+    return enough.select(pairs.columns).unionByName(parts)
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -429,9 +462,10 @@ def jaccard_classes(
     order = spark.sparkContext.broadcast(_frequent(scanned))
     met = materialize(_meetings(_prefixes(chosen, size, percent, order), percent), "jaccard-met")
     members = met.filter("kind = 1").select(F.col("a").alias("owner"), F.col("b").alias("key"))
-    ranked = materialize(_ranked(met.filter("kind = 0").toDF("kind", *_HIT)), "jaccard-ranked")
-    stars = materialize(_hubs(ranked, percent), "jaccard-stars")
-    hits = stars.filter("kind = 0").toDF("kind", *_HIT, "before").drop("kind")
+    once = _ranked(met.filter("kind = 0").toDF("kind", *_HIT), percent)
+    stars = materialize(_hubs(once, percent), "jaccard-stars")
+    left = stars.filter("kind = 0").toDF("kind", *_HIT, "before")
+    hits = materialize(_ranked(left, percent), "jaccard-ranked")
     leads = materialize(
         members.groupBy("owner").agg(F.min("key").alias("lead"), F.count(F.lit(1)).alias("n")),
         "jaccard-groups",
@@ -483,10 +517,12 @@ def jaccard_classes(
         "owner",
         F.lit(1 << 32).cast("bigint").alias("more"),
         F.lit(0).cast("bigint").alias("before"),
+        F.lit(1).cast("bigint").alias("open"),
         "class",
     )
-    crossing = hits.join(parts, "owner").select(*_HIT, "before", "class")
-    pairs = _across(crossing.unionByName(alone), percent)
+    crossing = hits.join(parts, "owner").select(*_HIT, "before", "open", "class")
+    near = materialize(_across(crossing.unionByName(alone), percent), "jaccard-across")
+    pairs = _meet_enough(near, hits, percent)
     side = in_class.select("owner", "key", "class")
     rest = (
         pairs.join(side.toDF("group1", "a", "class1"), ["group1", "class1"])

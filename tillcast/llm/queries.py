@@ -79,7 +79,8 @@ def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan_secrets(table(spark, sf_dir, "documents"))
-    return found.select("row.doc_id", F.explode("findings").alias("f")).select(
+    each = found.select("row.doc_id", F.explode_outer("findings").alias("f"))
+    return each.filter("f IS NOT NULL").select(
         "doc_id",
         F.col("f.place").cast("bigint").alias("place"),
         F.length("f.text").cast("bigint").alias("length"),

@@ -178,7 +178,9 @@ def label_by_context(features: Column) -> Column:
 
 def labelled_findings(docs: DataFrame, language: Language, text: str, path: str) -> DataFrame:
     """Labelled findings (features, label) of a sample of documents."""
-    found = with_candidates(docs, language, text, path).select(F.explode("candidates").alias("c"))
+    # explode_outer: for explode, Spark would make the candidates once more to test for any
+    found = with_candidates(docs, language, text, path)
+    found = found.select(F.explode_outer("candidates").alias("c")).filter("c IS NOT NULL")
     return found.select(
         F.col("c.features").alias("features"), label_by_context(F.col("c.features")).alias("label")
     )
@@ -191,6 +193,7 @@ def train_forest(findings: DataFrame, seed: int = 5) -> str | None:
     Every finding is learned twice, with and without the features of its place, so that
     a key is also known where no word gives it away.
     """
+    findings = materialize(findings, "secret-labelled")
     told = findings.select("label", *(F.col("features")[n].alias(n) for n in FEATURES))
     blind = told.select(
         "label", *(F.lit(0.0).alias(n) if n in CONTEXT else F.col(n) for n in FEATURES)
