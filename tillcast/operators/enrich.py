@@ -58,7 +58,7 @@ def fill_mean(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def forward_fill(df: DataFrame, column: str, keys: list[str], order: list[str]) -> DataFrame:
-    """Take over the last known value within a series.
+    """Take over the last known value within a series; null keys are a series like any other.
 
     Two steps keep hot series apart: within each month first, then the last value of the
     earlier months is carried over through a table of one row per series and month.
@@ -79,10 +79,10 @@ def forward_fill(df: DataFrame, column: str, keys: list[str], order: list[str])
     carried = months.select(
         *keys, "_month", F.last("_last", ignorenulls=True).over(before).alias("_before")
     )
-    return (
-        filled.join(carried, [*keys, "_month"])
-        .withColumn(column, F.coalesce("_inside", "_before"))
-        .select(df.columns)
+    same = [F.col(f"rows.{k}").eqNullSafe(F.col(f"carried.{k}")) for k in [*keys, "_month"]]
+    value = F.coalesce("rows._inside", "carried._before").alias(column)
+    return filled.alias("rows").join(carried.alias("carried"), same).select(
+        *(value if c == column else F.col(f"rows.{c}") for c in df.columns)
     )
 
 

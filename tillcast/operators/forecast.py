@@ -107,6 +107,14 @@ def eligible_series(train: DataFrame, minimum: int = 2) -> DataFrame:
     )
 
 
+def forecastable(enriched_rows: DataFrame, horizon: int) -> DataFrame:
+    """Rows of the series that can be fitted without their last ``horizon`` rows: those with more
+    rows than that and two quantities before them."""
+    split = split_series(enriched_rows, horizon)
+    keys = eligible_series(train_part(split)).select(*SERIES_KEY)
+    return enriched_rows.join(keys, list(SERIES_KEY), "left_semi")
+
+
 def series_cap(train: DataFrame) -> DataFrame:
     """Most frequent quantity of each series, the smallest on ties."""
     return (
@@ -338,7 +346,8 @@ def add_future_regressors(frame: DataFrame, enriched: DataFrame) -> DataFrame:
 
 def future_frame(rows: DataFrame, enriched: DataFrame, horizon: int = HORIZON) -> DataFrame:
     """History plus the coming days of each eligible series, with cap and regressors."""
-    series = _fit_trend(rows, horizon + 2).select(*SERIES_KEY, "cap", "last_date")
+    rows = forecastable(rows, horizon)
+    series = _fit_trend(rows, 2).select(*SERIES_KEY, "cap", "last_date")
     columns = ["date", *SERIES_KEY, "cap", *REGRESSORS]
     history = rows.join(series, SERIES_KEY).select(columns)
     coming = add_future_regressors(future_dates(series, horizon), enriched).select(columns)
@@ -377,11 +386,10 @@ def forecast_forward(
 ) -> DataFrame:
     """Fit on every row of the eligible series and predict the days after each one's last.
 
-    A series is eligible with two quantities more than the horizon, so that it could also
-    be backtested.
+    A series is eligible by the rule of the backtest.
     """
-    rows = by_series(training_set(enriched))
-    model = fit(rows, regressors, holidays, minimum=horizon + 2)
+    rows = by_series(forecastable(training_set(enriched), horizon))
+    model = fit(rows, regressors, holidays)
     frame = add_future_regressors(future_dates(model, horizon), enriched)
     return predict(frame.join(first_group(rows), SERIES_KEY), regressors, holidays)
 

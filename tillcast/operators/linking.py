@@ -15,7 +15,9 @@ from tillcast.session import materialize
 
 ITEM, BRANCH = "item", "branch"
 GRAM = 5
-FUZZY_MIN_LENGTH = 4
+#: Words are alike if equal, or one edit apart and no less similar than this percentage: 100 less
+#: the share that the edit has of the longer word. It holds for letters and digits alike.
+SIMILAR_WORDS = 60
 
 # Scores (0 to 100) from which a name counts as found or as a suggestion.
 FOUND_ITEM = 60
@@ -106,11 +108,6 @@ def text_mentions(texts: DataFrame, names: DataFrame) -> DataFrame:
 # --- fuzzy linking -----------------------------------------------------------------------
 
 
-def _may_differ(token: Column) -> Column:
-    """Words of letters may be misspelt; numbers, codes and short words must be equal."""
-    return token.rlike(rf"^\p{{L}}{{{FUZZY_MIN_LENGTH},}}$")
-
-
 def _with_deletions(token: Column) -> Column:
     """The token and every form of it that lacks one character."""
     lacking = F.transform(
@@ -123,7 +120,7 @@ def _with_deletions(token: Column) -> Column:
 
 
 def similar_tokens(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Pairs (token, name_token) that are equal or at most one edit apart.
+    """Pairs (token, name_token) that are equal, or one edit apart and similar enough.
 
     Two words one edit apart share a form with one character deleted, so the join on those
     forms finds every pair; only distinct words are joined, not their uses.
@@ -131,15 +128,15 @@ def similar_tokens(left: DataFrame, right: DataFrame) -> DataFrame:
     words = left.select(F.col("token")).distinct()
     others = right.select(F.col("token").alias("name_token")).distinct()
     equal = words.join(others, words["token"] == others["name_token"])
-    left_forms = words.filter(_may_differ(F.col("token"))).select(
-        "token", F.explode(_with_deletions(F.col("token"))).alias("_form")
-    )
-    right_forms = others.filter(_may_differ(F.col("name_token"))).select(
+    left_forms = words.select("token", F.explode(_with_deletions(F.col("token"))).alias("_form"))
+    right_forms = others.select(
         "name_token", F.explode(_with_deletions(F.col("name_token"))).alias("_form")
     )
+    longer = F.greatest(F.length("token"), F.length("name_token"))
     near = (
         left_forms.join(right_forms, "_form")
         .filter(F.col("token") != F.col("name_token"))
+        .filter(100 * (longer - 1) >= SIMILAR_WORDS * longer)
         .filter(F.levenshtein("token", "name_token", 1) >= 0)
         .select("token", "name_token")
         .distinct()

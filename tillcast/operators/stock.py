@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tillcast.functions import calendar, numeric
-from tillcast.operators.lookup import codes_of_branches
+from tillcast.operators.lookup import codes_of_branches, map_branches
 from tillcast.operators.selection import Selection, choose
 
 
@@ -22,14 +22,19 @@ def _chosen_entries(
     start: Column,
     end: Column,
 ) -> DataFrame:
-    """Submitted ledger entries of the chosen branches and items within a closed range."""
+    """Submitted ledger entries of the chosen branches and items within a closed range.
+
+    Without a choice of branches all warehouses count, those without a branch under their code.
+    """
     submitted = ledger.filter(
         (F.col("docstatus") == 1) & F.col("posting_date").between(start, end)
     )
     wanted = choose(items, "item_name", names).select("item_code", "item_name")
-    chosen = branch_map if branches is None else codes_of_branches(branch_map, branches)
-    codes = chosen.withColumnRenamed("code", "warehouse")
-    return submitted.join(wanted, "item_code").join(codes, "warehouse")
+    entries = submitted.join(wanted, "item_code")
+    if branches is None:
+        return map_branches(entries.withColumn("code", F.col("warehouse")), branch_map, "code")
+    codes = codes_of_branches(branch_map, branches).withColumnRenamed("code", "warehouse")
+    return entries.join(codes, "warehouse")
 
 
 def _date(value: date | str | Column) -> Column:

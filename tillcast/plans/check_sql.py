@@ -266,8 +266,10 @@ alike AS (
   SELECT token, word
   FROM (SELECT DISTINCT token FROM used), (SELECT DISTINCT word FROM spelt)
   WHERE token = word
-     OR (regexp_matches(token, '^\p{{L}}{{4,}}$') AND regexp_matches(word, '^\p{{L}}{{4,}}$')
-         AND levenshtein(regexp_replace(token, '[^a-z]', '#', 'g'), word) <= 1)),
+     OR (abs(length(token) - length(word)) <= 1
+         AND 100 * (greatest(length(token), length(word)) - 1)
+           >= {linking.SIMILAR_WORDS} * greatest(length(token), length(word))
+         AND levenshtein(regexp_replace(token, '[^a-z0-9_]', '#', 'g'), word) <= 1)),
 scored AS (
   SELECT text_id, kind, name, 100.0 * count(DISTINCT word) / any_value(n) AS score
   FROM used JOIN alike USING (token) JOIN spelt USING (word)
