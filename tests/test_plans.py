@@ -72,6 +72,18 @@ def test_map_side_sums_before_the_shuffle(spark):
     assert "partial_sum" in plan
 
 
+def test_range_and_totals_sum_before_any_join(spark):
+    assert "Join" not in plan_of(QUERIES["available_range"](spark, FOLDER))
+    plan = plan_of(QUERIES["branch_totals"](spark, FOLDER))
+    assert plan.rindex("partial_sum(l_quantity") > plan.rindex("Join")
+
+
+def test_stock_choice_lies_below_the_window(spark):
+    plan = plan_of(QUERIES["stock_min_range"](spark, FOLDER))
+    below = plan[plan.index("Window ["):]
+    assert "LeftSemi" in below and "LessThan(l_shipdate" in below
+
+
 def test_top_five_needs_no_full_sort(spark):
     assert "TakeOrderedAndProject" in plan_of(QUERIES["top5_branches"](spark, FOLDER))
 

@@ -165,22 +165,22 @@ def exclude_items_dates(t: DriverTables) -> DataFrame:
 
 @query
 def facet_branches(t: DriverTables) -> DataFrame:
-    return selection.facet(t.sales_lines(), "branch")
+    return selection.facet(t.sold_branches(), "branch")
 
 
 @query
 def facet_groups(t: DriverTables) -> DataFrame:
-    return selection.facet(t.sales_lines(), "item_group")
+    return selection.facet(t.sold_items(), "item_group")
 
 
 @query
 def facet_items_by_group(t: DriverTables) -> DataFrame:
-    return selection.facet(t.sales_lines(), "item_name", GROUPS[:1])
+    return selection.facet(t.sold_items(), "item_name", GROUPS[:1])
 
 
 @query
 def available_range(t: DriverTables) -> DataFrame:
-    return selection.available_range(t.sales_lines())
+    return selection.available_range(t.sold_days())
 
 
 @query
@@ -340,22 +340,22 @@ def stream_daily_rollup(t: DriverTables) -> DataFrame:
 
 @query
 def branch_totals(t: DriverTables) -> DataFrame:
-    return reports.branch_totals(t.sales_lines())
+    return reports.branch_totals(t.sold_branches())
 
 
 @query
 def branch_count(t: DriverTables) -> DataFrame:
-    return reports.branch_count(t.sales_lines())
+    return reports.branch_count(t.sold_branches())
 
 
 @query
 def top5_branches(t: DriverTables) -> DataFrame:
-    return reports.ranked(reports.branch_totals(t.sales_lines()), ["branch"])
+    return reports.ranked(reports.branch_totals(t.sold_branches()), ["branch"])
 
 
 @query
 def bottom5_branches(t: DriverTables) -> DataFrame:
-    return reports.ranked(reports.branch_totals(t.sales_lines()), ["branch"], top=False)
+    return reports.ranked(reports.branch_totals(t.sold_branches()), ["branch"], top=False)
 
 
 @query
@@ -549,16 +549,16 @@ def stock_ledger(t: DriverTables) -> DataFrame:
 @query
 def stock_min_range(t: DriverTables) -> DataFrame:
     capitals = [b.upper() for b in BRANCHES]
+    ledger = t.stock_ledger(capitals, ITEMS, RANGE[1])
     return stock.minimum_balance(
-        t.stock_ledger(), t.item(), t.stored_branch_map(), capitals, ITEMS, *RANGE
+        ledger, t.item(), t.stored_branch_map(), capitals, ITEMS, *RANGE
     )
 
 
 @query
 def stock_min_day(t: DriverTables) -> DataFrame:
-    return stock.minimum_balance(
-        t.stock_ledger(), t.item(), t.stored_branch_map(), BRANCHES, None, DAY
-    )
+    ledger = t.stock_ledger(BRANCHES, until=DAY)
+    return stock.minimum_balance(ledger, t.item(), t.stored_branch_map(), BRANCHES, None, DAY)
 
 
 @query
@@ -570,8 +570,9 @@ def stock_today(t: DriverTables) -> DataFrame:
 
 @query
 def balance_view(t: DriverTables) -> DataFrame:
+    ledger = t.stock_ledger(BRANCHES, ITEMS, LONG_RANGE[1])
     return stock.balance_view(
-        t.stock_ledger(), t.item(), t.stored_branch_map(), BRANCHES, ITEMS, *LONG_RANGE
+        ledger, t.item(), t.stored_branch_map(), BRANCHES, ITEMS, *LONG_RANGE
     )
 
 
@@ -700,8 +701,10 @@ def _texts(t: DriverTables) -> DataFrame:
 
 
 def _names(t: DriverTables) -> DataFrame:
-    items = ask.price_table(t.item_price()).select(F.col("item_name").alias("name"))
-    return linking.catalogue(items, t.branch_map().select(F.col("branch").alias("name")))
+    """The names known to sales, balance or prices."""
+    sold, held = ask.sales_table(t.sales_lines()), ask.balance_table(t.balance())
+    items = ask.catalog_items(sold, held, ask.price_table(t.item_price()))
+    return linking.catalogue(items.toDF("name"), ask.catalog_branches(sold, held).toDF("name"))
 
 
 @query

@@ -245,9 +245,10 @@ QUESTIONS = r"""questions AS (
   FROM conversations LEFT JOIN part ON conv_id = p_partkey
   LEFT JOIN supplier ON conv_id = s_suppkey LEFT JOIN nation ON s_nationkey = n_nationkey)"""
 
-NAMES = QUESTIONS + """, items AS (SELECT DISTINCT lower(p_name) AS name FROM part),
-branches AS (SELECT DISTINCT lower(n_name) AS name
-             FROM supplier JOIN nation ON s_nationkey = n_nationkey)"""
+NAMES = QUESTIONS + f""", {SALES}, {BALANCE}, items AS (
+  SELECT lower(item_name) AS name FROM sales UNION SELECT lower(item_name) FROM balance
+  UNION SELECT lower(p_name) FROM part),
+branches AS (SELECT branch AS name FROM sales UNION SELECT branch FROM balance)"""
 
 MENTIONS = NAMES + """, mentions AS (
   SELECT text_id,

@@ -6,13 +6,14 @@ comes from the parquet tables under ``root``.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tillcast.operators import enrich, lookup, rollup
 from tillcast.operators.ask import VOUCHER
+from tillcast.operators.selection import Selection, choose
 from tillcast.session import materialize
 
 TABLES = {
@@ -155,6 +156,28 @@ class DriverTables:
             )
         )
 
+    def sold_branches(self) -> DataFrame:
+        """Quantity per warehouse under its branch's name: enough for totals by branch.
+
+        Lines are summed per warehouse key first, so the joins see a row per warehouse.
+        """
+        sums = self.table("lineitem").groupBy("l_suppkey").agg(
+            F.sum("l_quantity").alias("qty_sold")
+        )
+        return (
+            sums.join(self.table("supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
+            .join(self.table("nation"), F.col("s_nationkey") == F.col("n_nationkey"), "left")
+            .select(F.coalesce(F.lower("n_name"), F.col("s_name")).alias("branch"), "qty_sold")
+        )
+
+    def sold_items(self) -> DataFrame:
+        """Item and group of every item key with a line; names are joined to distinct keys."""
+        keys = self.table("lineitem").select(F.col("l_partkey").alias("item_code")).distinct()
+        return keys.join(self.item(), "item_code").select("item_group", "item_name")
+
+    def sold_days(self) -> DataFrame:
+        return self.table("lineitem").select(F.to_date("l_shipdate").alias("date"))
+
     def sales(self) -> DataFrame:
         return rollup.resum(self.sales_lines())
 
@@ -182,16 +205,33 @@ class DriverTables:
 
     # --- stock ----------------------------------------------------------------------------
 
-    def stock_ledger(self) -> DataFrame:
+    def stock_ledger(
+        self,
+        branches: Sequence[str] | None = None,
+        names: Selection = None,
+        until: str | None = None,
+    ) -> DataFrame:
         """One entry per warehouse, item, day, status and voucher, with the running balance.
 
         Lines are summed per entry before the running sum, so its windows grow with the
-        calendar and not with the number of lines.
+        calendar and not with the number of lines. A choice of branches and items, the keys of
+        the running sum, and the last day asked for leave out lines before it.
         """
         keys = ["warehouse", "item_code", "posting_date", "docstatus", "voucher_type"]
+        lines, suppliers = self.table("lineitem"), self.table("supplier")
+        if until is not None:
+            after = F.date_add(F.lit(until).cast("date"), 1).cast("timestamp_ntz")
+            lines = lines.filter(F.col("l_shipdate") < after)
+        if names is not None:
+            chosen = choose(self.item(), "item_name", names)
+            wanted = chosen.select(F.col("item_code").alias("l_partkey"))
+            lines = lines.join(wanted, "l_partkey", "left_semi")
+        if branches is not None:
+            codes = lookup.codes_of_branches(self.stored_branch_map(), branches)
+            wanted = codes.select(F.col("code").alias("s_name"))
+            suppliers = suppliers.join(wanted, "s_name", "left_semi")
         entries = (
-            self.table("lineitem")
-            .join(self.table("supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
+            lines.join(suppliers, F.col("l_suppkey") == F.col("s_suppkey"))
             .groupBy(
                 F.col("s_name").alias("warehouse"),
                 F.col("l_partkey").alias("item_code"),
