@@ -3,6 +3,7 @@
 import datetime as dt
 
 import pytest
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from tillcast.operators import lookup, rollup
@@ -113,6 +114,20 @@ def test_refresh_rewrites_only_touched_months(spark, branch_map, rows):
     assert not refresh(lines(spark, *new).filter("false"), branch_map, store)
 
 
+@pytest.mark.parametrize("whole", [True, False])
+def test_a_lost_run_is_finished_or_undone(spark, branch_map, rows, whole):
+    store = FactStore(spark, run_dir(spark, "test-store"))
+    refresh(lines(spark, ("2024-01-10", "cakes", "plain", "W1", 1.0)), branch_map, store)
+    staged = [(day("2024-01-10"), "north", "cakes", "plain", 7.0, "2024-01")]
+    left = f"{store.path}_staging/left"
+    (spark.createDataFrame(staged, store.schema).write.partitionBy("month")
+     .option("mapreduce.fileoutputcommitter.marksuccessfuljobs", whole).parquet(left))
+    store.recover()
+    assert rows(store.read(), "qty_sold") == [(7.0 if whole else 1.0,)]
+    with pytest.raises(AnalysisException):
+        spark.read.parquet(left)
+
+
 def test_mapping_keeps_the_total(spark, branch_map):
     sold = lines(spark, *[
         (f"2024-01-{1 + n % 28:02d}", f"g{n % 3}", f"i{n % 7}", f"W{n % 5}", float(n % 11))

@@ -27,7 +27,7 @@ def run(spark):
         lines = spark.readStream.schema(LINES).option("maxFilesPerTrigger", 1).parquet(source)
         totals = stream.stream_rollup(lines, "ts", ["item"], F.col("qty"))
         stream.start(totals, sink).awaitTermination()
-        return stream.current_totals(spark, sink, TOTALS, ["item"])
+        return stream.current_totals(spark, sink, TOTALS)
 
     return feed
 
@@ -59,8 +59,10 @@ def test_ordered_stream_equals_batch(spark, run, rows):
 
 def test_a_batch_run_twice_counts_once(spark, rows):
     sink = run_dir(spark, "test-sink")
+    store = stream.totals_store(spark, sink, TOTALS)
+    stream.upsert(spark.createDataFrame([(D("2024-02-01"), "b", 1.0)], TOTALS), store)
     batch = spark.createDataFrame([(D("2024-01-01"), "a", 3.0)], TOTALS)
     for _ in range(2):
-        batch.write.mode("overwrite").parquet(f"{sink}/totals/batch_id=0")
-    assert rows(stream.current_totals(spark, sink, TOTALS, ["item"])) == [
-        (D("2024-01-01"), "a", 3.0)]
+        stream.upsert(batch, store)
+    assert rows(stream.current_totals(spark, sink, TOTALS)) == [
+        (D("2024-01-01"), "a", 3.0), (D("2024-02-01"), "b", 1.0)]

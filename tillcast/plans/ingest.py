@@ -16,6 +16,7 @@ def refresh(invoice_items: DataFrame, branch_map: DataFrame, store: FactStore) -
     the new row wins. Only the months the new rows span are read, merged and written. Without a
     store everything is rolled up; without new rows nothing is written and False returned.
     """
+    store.recover()
     stored = store.read_if_exists()
     mark = None if stored is None else store.high_water_mark(stored)
     if mark is None:

@@ -24,7 +24,7 @@ class FactStore:
     ``replace_months`` writes in two steps. The new content of the touched months goes to a
     staging folder first; only then does a second job move it over the stored months with
     dynamic partition overwrite. A run that dies before the second step leaves the store
-    as it was, one that dies within it is finished by calling ``promote`` again.
+    as it was, one that dies within it is finished by ``recover`` when the next one starts.
     """
 
     def __init__(self, spark: SparkSession, path: str, schema: str = schemas.SALES):
@@ -74,3 +74,23 @@ class FactStore:
             .partitionBy(MONTH)
             .parquet(self.path)
         )
+        folder, files = self._folder(staging)
+        files.delete(folder, True)
+
+    def recover(self) -> None:
+        """Finish what a lost run left: a staging folder written to its end is promoted, any other
+        removed. To be called before a run reads the store, which has one writer at a time."""
+        root, files = self._folder(f"{self.path}_staging")
+        if not files.exists(root):
+            return
+        for status in files.listStatus(root):
+            staging = status.getPath().toString()
+            if files.exists(self._folder(f"{staging}/_SUCCESS")[0]):
+                self.promote(staging)
+            else:
+                files.delete(status.getPath(), True)
+
+    def _folder(self, path: str):
+        """A path and its file system, as Spark's own writers see them."""
+        folder = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return folder, folder.getFileSystem(self.spark._jsc.hadoopConfiguration())

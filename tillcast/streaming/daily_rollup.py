@@ -8,6 +8,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
+from tillcast.operators.rollup import upsert_last
+from tillcast.sources.fact_store import MONTH, FactStore, month_of
+
 LOOK_BACK_DAYS = 1
 
 
@@ -34,15 +37,45 @@ def stream_rollup(
     )
 
 
+def totals_store(spark: SparkSession, folder: str, schema: str) -> FactStore:
+    """Where a stream started with ``folder`` keeps its totals (date, keys, qty_sold)."""
+    return FactStore(spark, f"{folder}/totals", schema)
+
+
+def upsert(totals: DataFrame, store: FactStore) -> None:
+    """Put new totals in place of the stored ones of the same day and keys.
+
+    Totals are whole sums, so doing it twice changes nothing. Only the months they span are read
+    and written again; the look-back keeps these few.
+    """
+    store.recover()
+    stored = store.read_if_exists()
+    if stored is None:
+        store.create(totals)
+        return
+    month = month_of()
+    first, last = totals.select(F.min(month), F.max(month)).first()
+    between = F.col(MONTH).between(F.lit(first), F.lit(last))
+    touched = stored.filter(between | F.col(MONTH).isNull()).drop(MONTH)
+    keys = [c for c in totals.columns if c != "qty_sold"]
+    store.replace_months(upsert_last(touched, totals, keys))
+
+
 def start(rollup: DataFrame, folder: str) -> StreamingQuery:
-    """Write each micro-batch's changed totals to a folder of its own.
+    """Merge each micro-batch's changed totals into the stored ones.
 
-    A batch that is run again after a failure overwrites its folder, so nothing is counted
+    A batch that is run again after a failure writes the same totals, so nothing is counted
     twice. State and progress are kept in the same shared folder.
     """
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rollup.schema)
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{folder}/totals/batch_id={batch_id}")
+        batch.persist()  # the months and the totals are read from it, the state only once
+        try:
+            if not batch.isEmpty():
+                upsert(batch, totals_store(batch.sparkSession, folder, schema))
+        finally:
+            batch.unpersist()
 
     return (
         rollup.writeStream.outputMode("update")
@@ -53,7 +86,6 @@ def start(rollup: DataFrame, folder: str) -> StreamingQuery:
     )
 
 
-def current_totals(spark: SparkSession, folder: str, schema: str, keys: Sequence[str]) -> DataFrame:
-    """The totals as of the last batch: per day and keys the value written last."""
-    written = spark.read.schema(f"{schema}, batch_id bigint").parquet(f"{folder}/totals")
-    return written.groupBy("date", *keys).agg(F.max_by("qty_sold", "batch_id").alias("qty_sold"))
+def current_totals(spark: SparkSession, folder: str, schema: str) -> DataFrame:
+    """The totals as of the last batch."""
+    return totals_store(spark, folder, schema).read().drop(MONTH)
