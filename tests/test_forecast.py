@@ -101,11 +101,24 @@ def test_short_flat_and_single_weekday_series_stay_within_the_cap(spark):
 def test_future_frame_is_history_plus_seven_days(spark, rows):
     df = frame(spark, series("n", "a", [1.0] * 10), series("s", "b", [2.0] * 4))
     training = forecast.training_set(df)
-    got = forecast.future_frame(forecast.by_series(training), df)
+    got = forecast.future_frame(training)
     assert got.count() == training.filter("item_name = 'a'").count() + 7
     assert got.filter("date > '2023-05-10'").select("temperature_2m_max").distinct().count() == 1
 
 
+def test_coming_days_take_the_weather_of_their_branch(spark, rows):
+    df = frame(spark, series("n", "a", [1.0] * 10))
+    last = df.agg(F.max("date")).first()[0]
+    known = [("n", last + dt.timedelta(days=1), 41.0, 11.0), ("s", last + dt.timedelta(days=2), 99.0, 9.0)]
+    weather = spark.createDataFrame(
+        known, "branch string, date date, temperature_2m_max double, temperature_2m_min double")
+    training = forecast.training_set(df)
+    mean = training.agg(F.avg("temperature_2m_max")).first()[0]
+    got = forecast.future_frame(training, weather=weather).filter(F.col("date") > F.lit(last))
+    assert [r[0] for r in got.orderBy("date").select("temperature_2m_max").collect()] == pytest.approx(
+        [41.0] + [mean] * 6)
+
+
 def matched(spark, data):
     return spark.createDataFrame(
         data, "date date, item_name string, branch string, item_group string, prediction int, "
@@ -160,10 +173,10 @@ def test_melt(spark, rows):
 def test_gate_serves_the_stored_forecast(spark, rows):
     path = run_dir(spark, "test-gate")
     df = frame(spark, series("n", "a", [5.0] * 20))
-    first = rows(refresh_forecast(spark, df, df, path))
+    first = rows(refresh_forecast(spark, True, df, path))
     other = frame(spark, series("n", "a", [50.0] * 20))
-    assert rows(refresh_forecast(spark, other.filter("false"), other, path)) == first
-    assert rows(refresh_forecast(spark, other, other, path)) != first
+    assert rows(refresh_forecast(spark, False, other, path)) == first
+    assert rows(refresh_forecast(spark, True, other, path)) != first
 
 
 @pytest.fixture

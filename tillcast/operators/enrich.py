@@ -42,6 +42,16 @@ def add_weather(df: DataFrame, weather: DataFrame) -> DataFrame:
     )
 
 
+def weather_by_branch(weather: DataFrame, branch_dim: DataFrame) -> DataFrame:
+    """Daily temperatures at each branch's place, whether anything was sold or not."""
+    place = [F.col(c).cast("decimal(9,4)").alias(c) for c in ("latitude", "longitude")]
+    return (
+        weather.select("date", *place, *TEMPERATURES)
+        .join(branch_dim.select("branch", *place), ["latitude", "longitude"])
+        .select("branch", "date", *TEMPERATURES)
+    )
+
+
 def encode_label(df: DataFrame, column: str) -> DataFrame:
     """Replace a label of few values by its 0-based place in alphabetical order."""
     labels = df.select(F.array_sort(F.collect_set(column))).scalar()

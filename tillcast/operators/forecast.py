@@ -332,26 +332,39 @@ def future_dates(model: DataFrame, horizon: int = HORIZON) -> DataFrame:
     )
 
 
-def add_future_regressors(frame: DataFrame, enriched: DataFrame) -> DataFrame:
-    """Regressors of days not seen yet: calendar by date, temperatures by their mean."""
-    means = enriched.select(F.struct(*[F.avg(c).alias(c) for c in TEMPERATURES])).scalar()
+def add_future_regressors(
+    frame: DataFrame, training: DataFrame, weather: DataFrame | None = None
+) -> DataFrame:
+    """Regressors of days not seen yet: calendar by date, temperatures by branch and date.
+
+    ``weather`` has a row per branch and date with TEMPERATURES. Days that it does not know take
+    the mean of the training rows.
+    """
+    means = training.select(F.struct(*[F.avg(c).alias(c) for c in TEMPERATURES])).scalar()
+    if weather is None:
+        frame = frame.withColumns({c: F.lit(None).cast("double") for c in TEMPERATURES})
+    else:
+        known = weather.select("branch", "date", *TEMPERATURES)
+        frame = frame.join(known, ["branch", "date"], "left")
     return frame.withColumns(
         {
             "is_weekend": calendar.is_weekend(F.col("date")),
             "day": calendar.day_of_month(F.col("date")),
-            **{c: means[c] for c in TEMPERATURES},
+            **{c: F.coalesce(F.col(c), means[c]) for c in TEMPERATURES},
         }
     )
 
 
-def future_frame(rows: DataFrame, enriched: DataFrame, horizon: int = HORIZON) -> DataFrame:
+def future_frame(
+    training: DataFrame, horizon: int = HORIZON, weather: DataFrame | None = None
+) -> DataFrame:
     """History plus the coming days of each eligible series, with cap and regressors."""
-    rows = forecastable(rows, horizon)
+    rows = forecastable(by_series(training), horizon)
     series = _fit_trend(rows, 2).select(*SERIES_KEY, "cap", "last_date")
     columns = ["date", *SERIES_KEY, "cap", *REGRESSORS]
     history = rows.join(series, SERIES_KEY).select(columns)
-    coming = add_future_regressors(future_dates(series, horizon), enriched).select(columns)
-    return history.unionByName(coming)
+    coming = add_future_regressors(future_dates(series, horizon), training, weather)
+    return history.unionByName(coming.select(columns))
 
 
 def predict(
@@ -383,14 +396,16 @@ def forecast_forward(
     horizon: int = HORIZON,
     regressors: Sequence[str] = REGRESSORS,
     holidays: DataFrame | None = None,
+    weather: DataFrame | None = None,
 ) -> DataFrame:
     """Fit on every row of the eligible series and predict the days after each one's last.
 
-    A series is eligible by the rule of the backtest.
+    A series is eligible by the rule of the backtest. ``weather``: see ``add_future_regressors``.
     """
-    rows = by_series(forecastable(training_set(enriched), horizon))
+    training = training_set(enriched)
+    rows = by_series(forecastable(training, horizon))
     model = fit(rows, regressors, holidays)
-    frame = add_future_regressors(future_dates(model, horizon), enriched)
+    frame = add_future_regressors(future_dates(model, horizon), training, weather)
     return predict(frame.join(first_group(rows), SERIES_KEY), regressors, holidays)
 
 

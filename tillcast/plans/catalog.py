@@ -71,7 +71,7 @@ def scan_invoice_items(t: DriverTables) -> DataFrame:
 @query
 def csv_roundtrip_forecast(t: DriverTables) -> DataFrame:
     path = run_dir(t.spark, "forecast-csv")
-    readers.write_csv(forecast.forecast_forward(t.fact()), path)
+    readers.write_csv(forecast.forecast_forward(t.fact(), weather=t.branch_weather()), path)
     return readers.read_csv(t.spark, path, schemas.FORECAST)
 
 
@@ -149,7 +149,7 @@ def sales_history_single_day(t: DriverTables) -> DataFrame:
 
 @query
 def weekly_forecast_view(t: DriverTables) -> DataFrame:
-    rows = forecast.forecast_forward(t.fact())
+    rows = forecast.forecast_forward(t.fact(), weather=t.branch_weather())
     found = selection.weekly_forecast_view(rows, GROUPS, branches=BRANCHES)
     return found.withColumnsRenamed({"Model Prediction": "model_prediction"})
 
@@ -330,7 +330,7 @@ def stream_daily_rollup(t: DriverTables) -> DataFrame:
     )
     stream.start(totals, folder).awaitTermination()
     found = stream.current_totals(
-        t.spark, folder, "date date, event_type string, qty_sold decimal(28,2)", ["event_type"]
+        t.spark, folder, "date date, event_type string, qty_sold decimal(28,2)"
     )
     return found.withColumn("qty_sold", F.col("qty_sold").cast("double"))
 
@@ -430,15 +430,14 @@ def series_cap_mode(t: DriverTables) -> DataFrame:
 
 @query
 def future_frame(t: DriverTables) -> DataFrame:
-    fact = t.fact()
-    rows = forecast.by_series(forecast.training_set(fact))
-    frame = forecast.future_frame(rows, fact)
+    training = forecast.training_set(t.fact())
+    frame = forecast.future_frame(training, weather=t.branch_weather())
     return rounded(frame, 4, *enrich.TEMPERATURES)
 
 
 @query
 def series_forecast(t: DriverTables) -> DataFrame:
-    return forecast.forecast_forward(t.fact())
+    return forecast.forecast_forward(t.fact(), weather=t.branch_weather())
 
 
 @query
@@ -459,7 +458,9 @@ def series_forecast_holidays(t: DriverTables) -> DataFrame:
         .distinct()
         .withColumn("holiday", F.when(first, "first day").otherwise("last day"))
     )
-    return forecast.forecast_forward(t.fact(), holidays=holidays)
+    return forecast.forecast_forward(
+        t.fact(), holidays=holidays, weather=t.branch_weather()
+    )
 
 
 @query
@@ -469,14 +470,16 @@ def series_backtest(t: DriverTables) -> DataFrame:
 
 @query
 def forecast_gate(t: DriverTables) -> DataFrame:
-    """A first run with new rows stores the forecast, a second without serves it."""
+    """A first refresh brings new rows and stores the forecast, a second without serves it."""
     path = run_dir(t.spark, "forecast")
-    enriched = t.fact()
-    refresh_forecast(t.spark, t.table("lineitem"), enriched, path)
-    nothing_new = t.table("lineitem").filter(
-        F.col("l_shipdate") < F.lit(NOTHING_BEFORE).cast("timestamp_ntz")
-    )
-    return refresh_forecast(t.spark, nothing_new, enriched, path)
+    store = FactStore(t.spark, run_dir(t.spark, "sales"))
+    lines = t.invoice_items()
+    nothing_new = lines.filter(F.col("creation") < F.lit(NOTHING_BEFORE).cast("timestamp_ntz"))
+    served = None
+    for arrived in (lines, nothing_new):
+        has_new = refresh(arrived, t.stored_branch_map(), store)
+        served = refresh_forecast(t.spark, has_new, t.fact(), path, weather=t.branch_weather())
+    return served
 
 
 # --- forecast evaluation -----------------------------------------------------------------
@@ -600,7 +603,7 @@ def _today(t: DriverTables, keep_unsold: bool) -> DataFrame:
     )
     return today.today_forecast(
         fact,
-        forecast.forecast_forward(before),
+        forecast.forecast_forward(before, weather=t.branch_weather()),
         in_hand,
         t.as_of(),
         None,

@@ -168,12 +168,22 @@ def predicted(frame: str, regressors: bool = True) -> str:
                             AND f.holiday = h.holiday)"""
 
 
-FUTURE = """future AS (
-  SELECT CAST(last_date + ahead AS DATE) AS date, branch, item_name, item_group,
-         isodow(last_date + ahead) >= 6 AS is_weekend, mean_max AS temperature_2m_max,
-         mean_min AS temperature_2m_min, CAST(day(last_date + ahead) AS INT) AS day
-  FROM lines JOIN eligible USING (branch, item_name), means,
-       (SELECT CAST(unnest(range(1, 8)) AS INT) AS ahead))"""
+FUTURE = """usual AS (
+  SELECT avg(temperature_2m_max) AS usual_max, avg(temperature_2m_min) AS usual_min
+  FROM training),
+coming AS (
+  SELECT CAST(last_date + ahead AS DATE) AS date, branch, item_name, item_group
+  FROM lines JOIN eligible USING (branch, item_name),
+       (SELECT CAST(unnest(range(1, 8)) AS INT) AS ahead)),
+future AS (
+  SELECT c.date, c.branch, item_name, item_group, isodow(c.date) >= 6 AS is_weekend,
+         coalesce(w.temperature_2m_max, usual_max) AS temperature_2m_max,
+         coalesce(w.temperature_2m_min, usual_min) AS temperature_2m_min,
+         CAST(day(c.date) AS INT) AS day
+  FROM coming c LEFT JOIN places p ON p.branch = c.branch
+  LEFT JOIN weather w ON w.date = c.date AND w.latitude = p.latitude
+                     AND w.longitude = p.longitude
+  CROSS JOIN usual)"""
 
 
 def forward(holidays: str = NO_HOLIDAYS, regressors: bool = True, where: str = "TRUE") -> str:

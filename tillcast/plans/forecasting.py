@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tillcast.operators.forecast import forecast_forward
 from tillcast.sources import schemas
@@ -10,9 +13,24 @@ from tillcast.sources.readers import read_parquet
 
 
 def refresh_forecast(
-    spark: SparkSession, new_rows: DataFrame, enriched: DataFrame, path: str
+    spark: SparkSession,
+    has_new_rows: bool,
+    enriched: DataFrame,
+    path: str,
+    holidays: DataFrame | None = None,
+    weather: DataFrame | None = None,
 ) -> DataFrame:
-    """The stored forecast, computed anew first if there are new rows."""
-    if not new_rows.isEmpty():
-        forecast_forward(enriched).write.mode("overwrite").parquet(path)
-    return read_parquet(spark, path, schemas.FORECAST)
+    """The stored forecast, computed anew first if the refresh of the sales brought new rows.
+
+    Each run writes a folder of its own and then adds its name to the table of served runs, so
+    a run that is lost on the way leaves the forecast before it in service.
+    """
+    if has_new_rows:
+        run = uuid.uuid4().hex
+        made = forecast_forward(enriched, holidays=holidays, weather=weather)
+        made.write.parquet(f"{path}/runs/{run}")
+        entry = spark.range(1).select(F.lit(run).alias("run"), F.current_timestamp().alias("at"))
+        entry.coalesce(1).write.mode("append").parquet(f"{path}/served")
+    served = read_parquet(spark, f"{path}/served", "run string, at timestamp")
+    newest = served.agg(F.max_by("run", "at")).first()[0]
+    return read_parquet(spark, f"{path}/runs/{newest}", schemas.FORECAST)

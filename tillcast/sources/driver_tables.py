@@ -185,6 +185,9 @@ class DriverTables:
         """Weather as the table it is in the field: one row per place and day."""
         return self._once("weather", self.weather)
 
+    def branch_weather(self) -> DataFrame:
+        return enrich.weather_by_branch(self.stored_weather(), self.branch_dim())
+
     def enriched_sales(self) -> DataFrame:
         """Sales with calendar and (unfilled) weather columns."""
         return (
