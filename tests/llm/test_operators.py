@@ -149,6 +149,30 @@ def test_classes_of_odd_rows(spark, odd, empty, rows):
     assert jaccard.jaccard_classes(empty).count() == 0
 
 
+def test_pairs_of_unequal_size_beside_a_hub(spark, rows):
+    """Links just above the limit whose sets differ in size, and a third set that takes the place of
+    their hub: the smaller set's prefix holds n-grams that lie beyond the larger one's."""
+    pick = random.Random(6)
+    late = [f"late{i}" for i in range(400)]
+    texts = [[f"f{k}x{i}" for i in range(1700)] + late for k in range(5)]
+    sizes = [(100, 80, 78), (100, 78, 77), (400, 312, 306)]
+    while len(sizes) < 15:
+        x = pick.randrange(60, 400)
+        y = pick.randrange(78 * x // 100, 90 * x // 100)
+        sizes.append((x, y, -(-75 * (x + y) // 175)))
+    for t, (x, y, common) in enumerate(sizes):
+        needed = x - -(-75 * x // 100) + 1 - (x - common)
+        shared = [f"t{t}c{i}" for i in range(common)]
+        texts += [[f"e{t}x{k}x{i}" for i in range(1200)] + shared[needed:] for k in range(2)]
+        texts.append(shared + [f"t{t}a{i}" for i in range(x - common)])
+        texts.append(shared + [f"t{t}b{i}" for i in range(y - common)])
+        texts.append(shared[:needed] + late[: (x + y) // 2 - needed])
+    made = [(i, " ".join(words)) for i, words in enumerate(texts)]
+    frame = spark.createDataFrame(made, "doc_id long, text string").coalesce(1)
+    found = rows(jaccard.jaccard_classes(frame, size=1))
+    assert found == sorted(brute_classes(made, size=1), key=str)
+
+
 def test_components_equal_union_find(spark, rows):
     pick = random.Random(5)
     links = [(pick.randrange(300), pick.randrange(300)) for _ in range(170)]

@@ -209,10 +209,21 @@ def _possible(percent: int, x, i, m, y, j, n) -> np.ndarray:
     return (100 + percent) * most >= percent * (x + y)
 
 
-def _first_possible(percent: int, x, a, m, y, b, n) -> np.ndarray:
-    """Whether sets of x and y n-grams can be similar if this is the first one they share: a and b
-    of their n-grams may be shared at all, m and n of these come before it."""
-    return (100 + percent) * np.minimum(a - m, b - n) >= percent * (x + y)
+def _first_possible(percent: int, x, i, a, m, y, j, b, n) -> np.ndarray:
+    """Whether sets of x and y n-grams can be similar if the first one they share is at places i
+    and j: a and b of the n-grams of their prefixes were met, m and n of these come before it.
+
+    What both prefixes hold was met in both. A prefix n-gram that was met nowhere may still lie
+    beyond the other set's prefix, so as in ``_least_meetings`` the larger rest is added.
+    """
+    most = np.minimum(a - m, b - n) + _larger_rest(percent, x, y)
+    most = np.minimum(most, np.minimum(x - i, y - j))
+    return (100 + percent) * most >= percent * (x + y)
+
+
+def _larger_rest(percent: int, x, y) -> np.ndarray:
+    """The larger number of n-grams that sets of x and y have beyond their prefixes."""
+    return np.maximum(-(-percent * x // 100), -(-percent * y // 100)) - 1
 
 
 def _least_meetings(percent: int, x, y) -> np.ndarray:
@@ -222,8 +233,7 @@ def _least_meetings(percent: int, x, y) -> np.ndarray:
     rest, so what the sets share beyond their prefixes lies in its own rest.
     """
     needed = -(-percent * (x + y) // (100 + percent))
-    rest = np.maximum(-(-percent * x // 100), -(-percent * y // 100)) - 1
-    return np.maximum(needed - rest, 1)
+    return np.maximum(needed - _larger_rest(percent, x, y), 1)
 
 
 def _near_pairs(
@@ -282,17 +292,15 @@ def _meetings(prefixes: DataFrame, percent: int) -> DataFrame:
     )
 
 
-def _ranked(hits: DataFrame, percent: int) -> DataFrame:
-    """Rows (key, owner, more) with ``before``: how many of the owner's n-grams before this one
-    were met, and ``open``: how many it has in all but those of its prefix that weren't. These
-    are in no similar set, which the filters then know."""
+def _ranked(hits: DataFrame) -> DataFrame:
+    """Rows (key, owner, more) with ``met``: how many n-grams of the owner's prefix were met, and
+    ``before``: how many of these come before this one. The others are in no similar set's prefix,
+    which the filters then know."""
     own = Window.partitionBy("owner")
-    size = F.expr("shiftright(more, 32)")
-    rest = F.ceil(size * F.lit(percent) / 100) - 1
     return hits.select(
         *_HIT,
         (F.row_number().over(own.orderBy("more", "key")) - 1).cast("bigint").alias("before"),
-        (F.count(F.lit(1)).over(own) + rest).cast("bigint").alias("open"),
+        F.count(F.lit(1)).over(own).alias("met"),
     )
 
 
@@ -339,9 +347,9 @@ def _across(met: DataFrame, percent: int) -> DataFrame:
     """Pairs of (group, class) of different classes, of which some row may be the first n-gram
     that two similar sets share. ``met``: ranked rows with the class of their group.
 
-    Only the first common n-gram need give a pair, so rows too far behind are left out before.
+    Only the first common n-gram need give a pair, so rows too far behind give none.
     """
-    names = ["key", "class", "owner", "size", "open", "before"]
+    names = ["key", "class", "owner", "size", "place", "met", "before"]
     made = ["group1", "class1", "group2", "class2"]
 
     def pair(records: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -382,7 +390,7 @@ def _across(met: DataFrame, percent: int) -> DataFrame:
 
     return (
         met.withColumn("size", F.expr("shiftright(more, 32)"))
-        .filter((F.col("open") - F.col("before")) * 100 >= F.col("size") * percent)
+        .withColumn("place", F.col("more").bitwiseAND(F.lit(_LOW)))
         .select(*names)
         .repartition("key")
         .sortWithinPartitions("key", "class", "owner")
@@ -462,10 +470,10 @@ def jaccard_classes(
     order = spark.sparkContext.broadcast(_frequent(scanned))
     met = materialize(_meetings(_prefixes(chosen, size, percent, order), percent), "jaccard-met")
     members = met.filter("kind = 1").select(F.col("a").alias("owner"), F.col("b").alias("key"))
-    once = _ranked(met.filter("kind = 0").toDF("kind", *_HIT), percent)
+    once = _ranked(met.filter("kind = 0").toDF("kind", *_HIT))
     stars = materialize(_hubs(once, percent), "jaccard-stars")
     left = stars.filter("kind = 0").toDF("kind", *_HIT, "before")
-    hits = materialize(_ranked(left, percent), "jaccard-ranked")
+    hits = materialize(_ranked(left), "jaccard-ranked")
     leads = materialize(
         members.groupBy("owner").agg(F.min("key").alias("lead"), F.count(F.lit(1)).alias("n")),
         "jaccard-groups",
@@ -517,10 +525,10 @@ def jaccard_classes(
         "owner",
         F.lit(1 << 32).cast("bigint").alias("more"),
         F.lit(0).cast("bigint").alias("before"),
-        F.lit(1).cast("bigint").alias("open"),
+        F.lit(1).cast("bigint").alias("met"),
         "class",
     )
-    crossing = hits.join(parts, "owner").select(*_HIT, "before", "open", "class")
+    crossing = hits.join(parts, "owner").select(*_HIT, "before", "met", "class")
     near = materialize(_across(crossing.unionByName(alone), percent), "jaccard-across")
     pairs = _meet_enough(near, hits, percent)
     side = in_class.select("owner", "key", "class")
