@@ -31,14 +31,27 @@ def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def distinct_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, that with the smallest id; of rows with that
-    id, one. Documents without words are no copies of each other and stay, as do rows without an
-    id."""
-    classes = jaccard.jaccard_classes(docs.select("doc_id", "text"))
+    """One row of each group of near copies, that with the smallest id (no id comes last); of rows
+    with that id, one. Documents without words are no copies of each other and stay.
+
+    Ids may be null, repeated or shared by different texts, so rows are told apart by a number,
+    which is written with them to stay the same."""
+    number = F.monotonically_increasing_id().alias("number")
+    rows = materialize(docs.select(*COLUMNS, number), "pipeline-rows")
+    classes = materialize(
+        jaccard.jaccard_classes(rows.select("number", "text"), id="number"), "pipeline-classes"
+    )
+    place = F.struct(F.col("doc_id").isNull(), "doc_id", "number")
+    first = (
+        rows.select("doc_id", "number")
+        .join(classes, "number")
+        .groupBy("component_id")
+        .agg(F.min_by("number", place).alias("number"))
+    )
     copies = materialize(
-        classes.filter("doc_id <> component_id").select("doc_id").distinct(), "pipeline-copies"
+        classes.select("number").join(first, "number", "left_anti"), "pipeline-copies"
     )
-    return docs.select(COLUMNS).join(copies, "doc_id", "left_anti").select(COLUMNS)
+    return rows.join(copies, "number", "left_anti").select(COLUMNS)
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -43,6 +43,24 @@ def test_copies_stage_keeps_one_of_each_class(steps):
     assert by_id(steps[2]).keys() == {c for _, _, c in brute_classes(rows)}
 
 
+def test_copies_stage_of_repeated_null_and_reused_ids(spark):
+    """One row of each group is kept, whatever the ids; counted by rows, not by ids."""
+    text = lambda name: " ".join(f"{name}{i}" for i in range(60))
+    rows = [
+        (1, text("a")), (1, text("a")), (1, text("a")),  # repeated rows
+        (None, text("b")), (None, text("b")), (None, text("b") + " more"),  # no ids at all
+        (None, text("c")), (9, text("c")), (8, text("c")),  # no id comes last
+        (3, text("d")), (5, text("d")), (5, text("e")),  # 5 is a copy of 3, and a text of its own
+        (6, None), (6, None), (None, ""), (None, ""),  # no words: no copies
+    ]
+    made = spark.createDataFrame([(*r, "en", "s", 0) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    found = corpus_pipeline.distinct_documents(spark, made.repartition(3), FOLDER)
+    assert found.dtypes == made.dtypes
+    kept = sorted(((r["doc_id"], (r["text"] or "").split(" ")[0]) for r in found.collect()), key=str)
+    expected = [(1, "a0"), (None, "b0"), (8, "c0"), (3, "d0"), (5, "e0"), (6, ""), (6, ""), (None, ""), (None, "")]
+    assert kept == sorted(expected, key=str)
+
+
 def test_secrets_stage_changes_keys_alone(steps):
     before, after = by_id(steps[2]), by_id(steps[3])
     assert before.keys() == after.keys()
