@@ -573,6 +573,35 @@ def test_shards_are_even_and_shuffled(spark, tmp_path, monkeypatch):
     assert sorted(map(str, found)) == sorted(map(str, again))
 
 
+def test_buckets_follow_the_measured_bytes(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(sharding, "BUCKET_BYTES", 1 << 20)
+    made = spark.range(100).select("id", F.repeat(F.lit("é"), 20_000).alias("text"))
+    made.write.parquet(str(tmp_path / "wide"))
+    wide = spark.read.parquet(str(tmp_path / "wide"))
+    held = []
+    keep = sharding.materialize
+    monkeypatch.setattr(sharding, "materialize", lambda df, label: held.append(keep(df, label)) or held[-1])
+    assert sharding.shard_records(wide, 4).count() == 100
+    fullest = held[0].groupBy("bucket").agg(F.sum(F.octet_length("row.text")).alias("n"))
+    assert fullest.agg(F.max("n")).first()[0] <= 2 << 20
+    assert sharding.buckets_for(64 << 20, 1 << 10) == 64
+    assert sharding.buckets_for(64 << 20, 1 << 19) == 256
+    assert sharding.buckets_for(64 << 20, 1 << 30) == 512
+    assert sharding.buckets_for(0, 0) == 1
+
+
+def test_sharding_query_moves_whole_documents(spark, monkeypatch):
+    given = []
+    shard = sharding.shard_records
+    monkeypatch.setattr(sharding, "shard_records", lambda r, n: given.append(r) or shard(r, n))
+    found = QUERIES["op10_sharding"](spark, FOLDER).collect()
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    assert given[0].columns == docs.columns
+    texts = [(r["doc_id"], (r["text"] or "").encode()) for r in docs.collect()]
+    expected = sorted((d, len(t) + 1, zlib.crc32(t)) for d, t in texts)
+    assert sorted((r["doc_id"], r["size"], r["text_crc32"]) for r in found) == expected
+
+
 def test_written_shards_keep_the_order(spark, tmp_path):
     docs = spark.read.parquet(f"{FOLDER}/documents.parquet").select("doc_id", "text")
     sharded = sharding.shard_records(docs, 4)

@@ -98,17 +98,12 @@ def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    text = F.coalesce("text", F.lit(""))
-    records = table(spark, sf_dir, "documents").select(
-        "doc_id",
-        (F.octet_length(text) + 1).cast("bigint").alias("size"),
-        F.crc32(text.cast("binary")).alias("text_crc32"),
-    )
-    dealt = sharding.shard_records(records, SHARDS)
+    dealt = sharding.shard_records(table(spark, sf_dir, "documents"), SHARDS)
+    text = F.coalesce("row.text", F.lit(""))
     return dealt.select(
         "row.doc_id",
-        "row.size",
-        "row.text_crc32",
+        (F.octet_length(text) + 1).cast("bigint").alias("size"),
+        F.crc32(text.cast("binary")).alias("text_crc32"),
         F.lit("rows").alias("law"),
         "shard",
         "slot",
