@@ -2,6 +2,7 @@
 
 import collections
 import heapq
+import itertools
 import math
 import os
 import random
@@ -473,6 +474,37 @@ def test_forest_tells_keys_from_look_alikes(spark):
         assert text == expected
 
 
+def test_language_is_counted_on_all_documents(spark, monkeypatch):
+    """However small the sample for labelled findings; the dictionary holds rarer words too."""
+    names = ["".join(x) for x in itertools.product("bcdfg", "aeiou", "klmnp", "aeiou")]
+    rows = [(i, f"{name} {name} {'x' * 100} zq9", "src") for i, name in enumerate(names)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+    monkeypatch.setattr(secrets, "SAMPLE_DOCS", 5)
+    seen = []
+    learn = secrets.learn_language
+    monkeypatch.setattr(secrets, "learn_language", lambda *a: seen.append(learn(*a)) or seen[-1])
+    secrets.scan_secrets(frame)
+    pairs = collections.Counter()
+    for _, text, _ in rows:
+        for word in re.findall("[a-z0-9]+", text):
+            pairs.update(a + b for a, b in itertools.pairwise(word))
+    total = sum(pairs.values()) + 36**2
+    signs = "abcdefghijklmnopqrstuvwxyz0123456789"
+    expected = [math.log10((pairs[a + b] + 1) / total) for a in signs for b in signs]
+    assert np.allclose(seen[0].pairs, expected) and set(seen[0].words) == set(names)
+
+
+def test_dictionary_pattern_finds_the_longest_word():
+    pick = random.Random(3)
+    words = {"".join(pick.choices("abc", k=pick.randrange(1, 7))) for _ in range(200)}
+    slow = "|".join(sorted(words, key=lambda w: (-len(w), w)))
+    pattern = secrets._any_word(tuple(words))
+    for _ in range(300):
+        text = "".join(pick.choices("abcd", k=30))
+        assert re.sub(pattern, "-", text) == re.sub(slow, "-", text)
+    assert not re.search(secrets._any_word(()), "any")
+
+
 def test_scans_of_odd_rows(spark, odd, empty):
     scanned = secrets.scan_secrets(odd)
     assert scanned.count() == odd.count()

@@ -3,8 +3,9 @@
 Candidates are long runs of the characters that keys are made of. Each gets numbers for its
 length, its character transitions, its coverage by dictionary words, its path and its
 neighbouring words. A forest trained on labelled findings then tells secrets from look-alikes.
-The trained trees become one SQL expression, so a scan is a projection of the table: nothing
-is shuffled, no Python runs, and hot sources don't matter.
+What a text looks like (pairs of characters, words) is counted on all documents first, summed by
+task before it is shuffled. The trained trees become one SQL expression, so the scan itself is a
+projection of the table: nothing is shuffled, no Python runs, and hot sources don't matter.
 """
 
 from __future__ import annotations
@@ -20,8 +21,10 @@ from pyspark.sql import functions as F
 
 from tillcast.session import materialize
 
-#: Bounds of what is learned from: documents sampled, findings labelled, words in the dictionary.
-SAMPLE_DOCS, LABELLED_FINDINGS, DICTIONARY_WORDS = 30_000, 20_000, 256
+#: Bounds of the labelled findings: documents sampled for them, and findings.
+SAMPLE_DOCS, LABELLED_FINDINGS = 30_000, 20_000
+#: Bounds of the dictionary, which is counted on all documents: words, and letters of a word.
+DICTIONARY_WORDS, WORD_LETTERS = 8192, 32
 TREES, DEPTH = 15, 6
 
 _RUN = r"[A-Za-z0-9+/_\-]{16,}={0,2}"
@@ -50,8 +53,8 @@ class Language:
 
 
 def learn_language(docs: DataFrame, text: str = "text") -> Language:
-    """From a sample: log10 frequency of each pair of characters within words, and the most
-    frequent words of four letters or more. Both are bounded in size."""
+    """From all texts given: log10 frequency of each pair of characters within words, and the
+    DICTIONARY_WORDS most frequent words of 4 to WORD_LETTERS letters. Both are bounded in size."""
     words = docs.select(F.explode(F.split(F.lower(docs[text]), r"[^a-z0-9]+")).alias("word"))
     counts = materialize(
         words.filter(F.length("word") > 1).groupBy("word").agg(F.count(F.lit(1)).alias("n")),
@@ -68,7 +71,7 @@ def learn_language(docs: DataFrame, text: str = "text") -> Language:
     total = sum(found.values()) + len(_ALPHABET) ** 2
     logs = [math.log10((found.get(a + b, 0) + 1) / total) for a in _ALPHABET for b in _ALPHABET]
     frequent = (
-        counts.filter(F.col("word").rlike("^[a-z]{4,}$"))
+        counts.filter(F.col("word").rlike(f"^[a-z]{{4,{WORD_LETTERS}}}$"))
         .orderBy(F.desc("n"), "word")
         .limit(DICTIONARY_WORDS)
         .collect()
@@ -77,6 +80,27 @@ def learn_language(docs: DataFrame, text: str = "text") -> Language:
     return Language(tuple(logs), tuple(longest_first))
 
 
+def _any_word(words: tuple[str, ...]) -> str:
+    """Pattern of the longest of the words that stands at a place, as a tree of their letters, so
+    that a match takes a step per letter however many words there are."""
+    tree: dict = {}
+    for word in words:
+        node = tree
+        for letter in word:
+            node = node.setdefault(letter, {})
+        node[""] = {}
+
+    def pattern(node: dict) -> str:
+        tails = [letter + pattern(node[letter]) for letter in sorted(node) if letter]
+        if not tails:
+            return ""
+        if len(tails) == 1 and "" not in node:
+            return tails[0]
+        return f"(?:{'|'.join(tails)})" + ("?" if "" in node else "")
+
+    return pattern(tree) or "(?!)"
+
+
 def _share(found: Column, pattern: str) -> Column:
     kept = F.length(F.regexp_replace(found, pattern, ""))
     return (F.length(found) - kept) / F.length(found)
@@ -112,7 +136,7 @@ def _features(found: Column, words: Column, path: Column, language: Language) ->
     shape = F.translate(text, "bcdefghijklmnopqrstuvwxyz", "a" * 25)
     shape = F.translate(shape, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "A" * 26)
     shape = F.translate(shape, "123456789", "0" * 9)
-    known = "|".join(language.words) or "(?!)"
+    known = _any_word(language.words)
     made = {
         "length": F.length(text),
         "digits": _share(text, "[0-9]"),
@@ -247,16 +271,16 @@ def scan_secrets(
     """All rows in a column ``row`` (a struct), and ``findings``: array of struct(text, place,
     features, probability, is_secret), empty where a text holds no candidate.
 
-    ``findings``: labelled findings (features, label) to train on; without them they are
-    labelled by rule in a sample of at most about SAMPLE_DOCS documents and LABELLED_FINDINGS
-    findings. Only training uses the sample: every row is scanned, whole. A null text has no
+    Pairs of characters and words are counted on all rows. ``findings``: labelled findings
+    (features, label) to train on; without them they are labelled by rule in a sample of at most
+    about SAMPLE_DOCS documents and LABELLED_FINDINGS findings. Only training uses the sample:
+    every row is scanned, whole. A null text has no
     findings, a null path is not a trial path. Repeated rows stay. Without any labelled
     finding nothing is called a secret. Other columns are kept in ``row``, whatever their names.
     """
-    count = docs.count()
-    sample = docs.sample(min(1.0, SAMPLE_DOCS / max(count, 1)), seed)
-    language = learn_language(sample.select(docs[text].alias("text")))
+    language = learn_language(docs, text)
     if findings is None:
+        sample = docs.sample(min(1.0, SAMPLE_DOCS / max(docs.count(), 1)), seed)
         findings = labelled_findings(sample, language, text, path).limit(LABELLED_FINDINGS)
     trees = train_forest(findings, seed)
 
