@@ -107,7 +107,90 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM judged
 """
 
+
+
+def _vector_codes(parts: int = 4, entries: int = 256, rounds: int = 4) -> str:
+    """Every part against every entry, round by round, in numbers that doubles hold exactly."""
+
+    def near(book: str) -> str:
+        return f"""
+  SELECT vec_id, p, arg_min(e, d * {entries} + e) AS e, min(d) AS d FROM (
+    SELECT vec_id, p, e, list_dot_product(x, x) + list_dot_product(c, c)
+      - 2 * list_dot_product(x, c) AS d
+    FROM parts JOIN {book} USING (p)) GROUP BY vec_id, p"""
+
+    sql = f"""
+WITH kept AS MATERIALIZED (
+  SELECT vec_id, label,
+    list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS v
+  FROM embeddings
+  WHERE embedding IS NOT NULL
+    AND list_bool_and(list_transform(embedding, lambda x: coalesce(isfinite(x), false)))
+), parts AS MATERIALIZED (
+  SELECT vec_id, p, v[p * (len(v) // {parts}) + 1:(p + 1) * (len(v) // {parts})] AS x
+  FROM kept, range({parts}) r(p)
+), book0 AS MATERIALIZED (
+  SELECT p, row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS e, x AS c
+  FROM parts WHERE vec_id IN (SELECT vec_id FROM kept ORDER BY vec_id LIMIT {entries})
+)"""
+    for k in range(rounds):
+        sql += f""", near{k} AS MATERIALIZED ({near(f"book{k}")}
+), book{k + 1} AS MATERIALIZED (
+  SELECT p, e, coalesce(m, c) AS c FROM book{k} LEFT JOIN (
+    SELECT p, e, list(m ORDER BY j) AS m FROM (
+      SELECT p, e, j, floor(sum(x[j]) / count(*)) AS m
+      FROM near{k} JOIN parts USING (vec_id, p), unnest(range(1, len(x) + 1)) u(j)
+      GROUP BY p, e, j) GROUP BY p, e) USING (p, e)
+)"""
+    last = f"book{rounds}"
+    return f"""{sql}, last AS ({near(last)}
+), coded AS (
+  SELECT vec_id, string_agg(printf('%02x', e), '' ORDER BY p) AS code,
+    CAST(sum(d) AS BIGINT) AS error
+  FROM last GROUP BY vec_id
+), shown AS (
+  SELECT sha256(string_agg(
+    array_to_string(list_transform(c, lambda x: CAST(CAST(x AS BIGINT) AS VARCHAR)), ','),
+    ',' ORDER BY p, e)) AS codebooks_sha256 FROM {last}
+)
+SELECT vec_id, code, error,
+  CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256
+FROM coded JOIN kept USING (vec_id), shown
+"""
+
+
+OP13 = """
+WITH d AS (
+  SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents
+), w AS MATERIALIZED (
+  SELECT doc_id, i, substr(h, 2 * i + 1, 100) AS s
+  FROM d, unnest(range(0, len(h) // 2 - 49)) u(i)
+), firsts AS (
+  SELECT s, min(doc_id) AS doc FROM w GROUP BY s HAVING min(doc_id) < max(doc_id)
+), hits AS (
+  SELECT doc_id, i, i > 50 + lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS apart
+  FROM w JOIN firsts USING (s) WHERE doc_id > doc
+), numbered AS (
+  SELECT doc_id, i, count(*) FILTER (coalesce(apart, true))
+    OVER (PARTITION BY doc_id ORDER BY i) AS span FROM hits
+), spans AS (
+  SELECT doc_id, min(i) AS low, max(i) + 50 AS high FROM numbered GROUP BY doc_id, span
+), cut AS (
+  SELECT *, coalesce(lag(high) OVER (PARTITION BY doc_id ORDER BY low), 0) AS before FROM spans
+), gone AS (
+  SELECT doc_id, CAST(sum(high - low) AS BIGINT) AS n_removed, count(*) AS n_spans,
+    string_agg(substr(h, 2 * before + 1, 2 * (low - before)), '' ORDER BY low)
+      || substr(any_value(h), 2 * max(high) + 1) AS kept
+  FROM cut JOIN d USING (doc_id) GROUP BY doc_id
+)
+SELECT doc_id, len(h) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed,
+  coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256
+FROM d LEFT JOIN gone USING (doc_id)
+"""
+
 CHECK_SQL = {
+    "op11_vector_codes": _vector_codes(),
+    "op13_suffix_array_dedup": OP13,
     "op1_chat_formatting": OP1,
     "op2_ngram_jaccard_join": OP2,
     "op4_exact_topk": OP4,

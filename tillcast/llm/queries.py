@@ -7,7 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillcast.llm import chat, jaccard, mixing, packing, ppm, quality, secrets, sharding, tokens, topk
+from tillcast.llm import (
+    chat,
+    codes,
+    jaccard,
+    mixing,
+    packing,
+    ppm,
+    quality,
+    repeats,
+    secrets,
+    sharding,
+    tokens,
+    topk,
+)
 
 #: Production parameters.
 VOCABULARY = "word_bpe_49k.json"
@@ -111,6 +124,16 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.compress_vectors(
+        table(spark, sf_dir, "embeddings"), parts=4, entries=256, rounds=4, scale=1024
+    )
+
+
+def op13_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(table(spark, sf_dir, "documents"), length=50).drop("kept")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -122,6 +145,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         op1_chat_formatting, op2_ngram_jaccard_join, op3_token_counts, op4_exact_topk,
         op5_best_fit_packing, op6_quality_rules, op7_lm_scoring, op8_secret_scans,
-        op9_source_mixing, op10_sharding, pipeline,
+        op9_source_mixing, op10_sharding, op11_vector_codes, op13_suffix_array_dedup, pipeline,
     )
 }
