@@ -159,6 +159,36 @@ FROM coded JOIN kept USING (vec_id), shown
 """
 
 
+_TERMS = (
+    "unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',"
+    " 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS t"
+)
+
+OP12 = f"""
+WITH tf AS (
+  SELECT doc_id, t, count(*) AS tf FROM (SELECT doc_id, {_TERMS} FROM documents) GROUP BY ALL
+), lengths AS (
+  SELECT doc_id, CAST(sum(tf) AS BIGINT) AS n FROM tf GROUP BY doc_id
+), total AS (
+  SELECT count(*) AS nn, CAST(sum(n) AS BIGINT) AS l FROM lengths
+), wanted AS (
+  SELECT DISTINCT item_id, t FROM (SELECT item_id, {_TERMS} FROM benchmark)
+), weights AS (
+  SELECT t, CAST(floor(1000 * ln(CAST(2 * any_value(nn) + 2 AS DOUBLE) / (2 * count(*) + 1)))
+    AS BIGINT) AS w FROM tf, total GROUP BY t
+), scored AS (
+  SELECT item_id, doc_id, CAST(sum(w * ((1000000000 * tf) //
+    (1000 * tf + 8 * (10 + (90 * n * nn) // l)))) AS BIGINT) AS score
+  FROM wanted JOIN weights USING (t) JOIN tf USING (t) JOIN lengths USING (doc_id), total
+  GROUP BY item_id, doc_id
+), ranked AS (
+  SELECT item_id, CAST(row_number() OVER (
+    PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
+  FROM scored WHERE score > 0
+)
+SELECT * FROM ranked WHERE rank <= 10
+"""
+
 OP13 = """
 WITH d AS (
   SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents
@@ -190,6 +220,7 @@ FROM d LEFT JOIN gone USING (doc_id)
 
 CHECK_SQL = {
     "op11_vector_codes": _vector_codes(),
+    "op12_lexical_search": OP12,
     "op13_suffix_array_dedup": OP13,
     "op1_chat_formatting": OP1,
     "op2_ngram_jaccard_join": OP2,

@@ -11,6 +11,7 @@ from tillcast.llm import (
     chat,
     codes,
     jaccard,
+    lexical,
     mixing,
     packing,
     ppm,
@@ -130,6 +131,12 @@ def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.rank_documents(
+        table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=10
+    )
+
+
 def op13_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.remove_repeats(table(spark, sf_dir, "documents"), length=50).drop("kept")
 
@@ -145,6 +152,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         op1_chat_formatting, op2_ngram_jaccard_join, op3_token_counts, op4_exact_topk,
         op5_best_fit_packing, op6_quality_rules, op7_lm_scoring, op8_secret_scans,
-        op9_source_mixing, op10_sharding, op11_vector_codes, op13_suffix_array_dedup, pipeline,
+        op9_source_mixing, op10_sharding, op11_vector_codes, op12_lexical_search, op13_suffix_array_dedup, pipeline,
     )
 }
