@@ -2,6 +2,7 @@
 
 import datetime as dt
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -77,6 +78,80 @@ def test_regressor_is_learned_and_constant_one_ignored(spark):
     assert model["regressor_slope"][2] == 0.0  # the other temperature never changes
 
 
+def joint_fit(days, quantities, values, feasts):
+    """The model of one series by dense least squares: growth, rate and weights of standard terms."""
+    y, days = np.array(quantities), np.array(days)
+    numbers = np.array([4 * d.year + (d.month + 2) // 3 for d in days])
+    t = (numbers - numbers.min()) / 4
+    angle = np.array([d.weekday() for d in days]) * 2 * np.pi / 7
+    week = [f(k * angle) for k in (1, 2, 3) for f in (np.sin, np.cos)]
+    spread = [(v - v.mean()) / v.std() if v.std() > 1e-6 else 0 * v for v in values]
+    z = np.stack([np.ones(len(y)), *week, *feasts, *spread], axis=1)
+    counts = {q: quantities.count(q) for q in quantities}
+    cap = min(counts, key=lambda q: (-counts[q], q))
+    now = np.zeros(2)
+    for _ in range(forecast.ROUNDS):
+        share = 1 / (1 + np.exp(-(now[0] + now[1] * t)))
+        slope = cap * share * (1 - share)
+        x = np.column_stack([slope, slope * t, z])
+        right = x.T @ (y - cap * share) - forecast.RIDGE * np.r_[now, np.zeros(z.shape[1])]
+        change = np.linalg.solve(x.T @ x + forecast.RIDGE * np.eye(x.shape[1]), right)[:2]
+        now = now + np.clip(change, -forecast.STEP, forecast.STEP)
+    share = 1 / (1 + np.exp(-(now[0] + now[1] * t)))
+    ridge = forecast.RIDGE * np.eye(z.shape[1])
+    return cap, now, np.linalg.solve(z.T @ z + ridge, z.T @ (y - cap * share))
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_joint_fit_equals_a_dense_solve_of_each_series(spark, seed):
+    """Growth, week, holidays and regressors are fitted at once, whatever their correlation."""
+    random = np.random.default_rng(seed)
+    parts, expected = [], {}
+    holiday_days = {D("2023-05-01") + dt.timedelta(days=31 * k): "ab"[k % 2] for k in range(16)}
+    for item, size in (("long", 480), ("short", 12), ("odd", 95)):
+        warm = 20 + 10 * random.standard_normal(size)
+        grown = 30 / (1 + np.exp(-np.arange(size) / 90))
+        quantities = [float(q) for q in np.round(grown + 0.3 * warm + random.integers(0, 9, size))]
+        rows = series("n", item, quantities, temperature=lambda n, w=warm: float(w[n]))
+        parts.append(rows)
+        days = [r[0] for r in rows]
+        values = [np.array([float(r[6]) for r in rows]), warm, np.full(size, 10.0),
+                  np.array([float(d.day) for d in days])]
+        feasts = [np.array([float(holiday_days.get(d) == name) for d in days]) for name in "ab"]
+        expected[item] = joint_fit(days, quantities, values, feasts)
+    holidays = spark.createDataFrame(list(holiday_days.items()), "date date, holiday string")
+    training = frame(spark, *parts).withColumn("day", F.dayofmonth("date"))
+    found = {r["item_name"]: r for r in forecast.fit(training, holidays=holidays).collect()}
+    assert set(found) == set(expected)
+    for item, (cap, growth, weights) in expected.items():
+        got = found[item]
+        assert got["cap"] == cap
+        assert [got["growth"], got["rate"]] == pytest.approx(list(growth), abs=1e-7)
+        assert got["weights"] == pytest.approx(list(weights), abs=1e-6)
+
+
+def test_forecast_shuffles_rows_at_most_three_times(spark):
+    df = frame(spark, series("n", "a", [1.0] * 20))
+    plan = forecast.forecast_forward(df)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") <= 3 and "Python" not in plan
+
+
+def test_only_the_chosen_series_are_fitted(spark, rows):
+    df = frame(spark, series("n", "a", [1.0, 3.0] * 10), series("s", "a", [2.0] * 20))
+    ahead = forecast.forecast_forward(df, only=lambda r: r.filter("branch = 's'"))
+    whole = forecast.forecast_forward(df)
+    assert rows(ahead) == rows(whole.filter("branch = 's'")) and ahead.count() == 7
+
+
+def test_too_many_holidays_are_refused(spark):
+    df = frame(spark, series("n", "a", [1.0] * 20))
+    many = spark.createDataFrame(
+        [(D("2023-05-01"), f"h{k}") for k in range(forecast.MOST_HOLIDAYS + 1)],
+        "date date, holiday string")
+    with pytest.raises(ValueError):
+        forecast.fit(df, [], many)
+
+
 def test_holiday_effect(spark, rows):
     quantities = [10.0] * 60
     for n in (5, 16, 31):

@@ -85,12 +85,12 @@ word = st.text(alphabet="abé1", min_size=1, max_size=6)
           suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(st.sets(word, min_size=5, max_size=40), st.sets(word, min_size=5, max_size=40))
 def test_similar_tokens_equal_brute_force(spark, left, right):
-    def fuzzy(token):
-        return len(token) >= linking.FUZZY_MIN_LENGTH and token.isalpha()
+    def alike(a, b):
+        """One edit, which leaves 60 percent of the longer word."""
+        longer = max(len(a), len(b))
+        return edit_distance(a, b) <= 1 and 100 * (longer - 1) >= 60 * longer
 
-    expected = {
-        (a, b) for a in left for b in right
-        if a == b or (fuzzy(a) and fuzzy(b) and edit_distance(a, b) <= 1)}
+    expected = {(a, b) for a in left for b in right if a == b or alike(a, b)}
     got = linking.similar_tokens(
         spark.createDataFrame([(a,) for a in left], "token string"),
         spark.createDataFrame([(b,) for b in right], "token string"))

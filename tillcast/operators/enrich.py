@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillcast.functions import calendar
@@ -58,12 +58,14 @@ def encode_label(df: DataFrame, column: str) -> DataFrame:
     return df.withColumn(column, (F.array_position(labels, F.col(column)) - 1).cast("int"))
 
 
-def fill_mean(df: DataFrame, columns: list[str]) -> DataFrame:
+def fill_mean(df: DataFrame, columns: list[str], means: Column | None = None) -> DataFrame:
     """Fill nulls with the mean of the whole column; a column without values stays null.
 
-    The means come from one aggregate used as a scalar subquery: one row, no window.
+    The means come from one aggregate used as a scalar subquery: one row, no window. A store
+    that keeps sums gives them as ``means``, a struct, without reading the rows.
     """
-    means = df.select(F.struct(*[F.avg(c).alias(c) for c in columns])).scalar()
+    if means is None:
+        means = df.select(F.struct(*[F.avg(c).alias(c) for c in columns])).scalar()
     return df.withColumns({c: F.coalesce(F.col(c), means[c]) for c in columns})
 
 
@@ -96,6 +98,16 @@ def forward_fill(df: DataFrame, column: str, keys: list[str], order: list[str])
     )
 
 
+def enrich_sales(sales: DataFrame, branch_dim: DataFrame, weather: DataFrame) -> DataFrame:
+    """Sales with calendar and (unfilled) weather columns."""
+    return (
+        sales.transform(add_calendar)
+        .transform(add_branch_info, branch_dim)
+        .transform(add_weather, weather)
+        .drop("city", "latitude", "longitude")
+    )
+
+
 def preprocess(
     rollup: DataFrame, branch_map: DataFrame, branch_dim: DataFrame, weather: DataFrame
 ) -> DataFrame:
@@ -104,13 +116,8 @@ def preprocess(
     The joined rows are written once: the weekday codes and the temperature means each need
     a pass over one or two of their columns before the rows themselves are finished.
     """
-    joined = (
-        rollup.transform(map_branches, branch_map)
-        .transform(resum)
-        .transform(add_calendar)
-        .transform(add_branch_info, branch_dim)
-        .transform(add_weather, weather)
-        .drop("city", "latitude", "longitude")
+    joined = enrich_sales(
+        rollup.transform(map_branches, branch_map).transform(resum), branch_dim, weather
     )
     return (
         materialize(joined, "preprocess")

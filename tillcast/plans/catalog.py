@@ -23,10 +23,11 @@ from tillcast.operators import (
     today,
 )
 from tillcast.plans.forecasting import refresh_forecast
-from tillcast.plans.ingest import refresh
+from tillcast.plans.ingest import refresh, refresh_enriched
 from tillcast.session import materialize, run_dir
 from tillcast.sources import readers, schemas
 from tillcast.sources.driver_tables import DriverTables
+from tillcast.sources.enriched_store import EnrichedStore
 from tillcast.sources.fact_store import FactStore
 from tillcast.streaming import daily_rollup as stream
 
@@ -71,7 +72,8 @@ def scan_invoice_items(t: DriverTables) -> DataFrame:
 @query
 def csv_roundtrip_forecast(t: DriverTables) -> DataFrame:
     path = run_dir(t.spark, "forecast-csv")
-    readers.write_csv(forecast.forecast_forward(t.fact(), weather=t.branch_weather()), path)
+    made = forecast.forecast_forward(t.fact(), weather=t.branch_weather(), means=t.means())
+    readers.write_csv(made, path)
     return readers.read_csv(t.spark, path, schemas.FORECAST)
 
 
@@ -149,7 +151,12 @@ def sales_history_single_day(t: DriverTables) -> DataFrame:
 
 @query
 def weekly_forecast_view(t: DriverTables) -> DataFrame:
-    rows = forecast.forecast_forward(t.fact(), weather=t.branch_weather())
+    rows = forecast.forecast_forward(
+        t.fact(),
+        weather=t.branch_weather(),
+        means=t.means(),
+        only=lambda rows: selection.choose(rows, "branch", BRANCHES),
+    )
     found = selection.weekly_forecast_view(rows, GROUPS, branches=BRANCHES)
     return found.withColumnsRenamed({"Model Prediction": "model_prediction"})
 
@@ -321,6 +328,35 @@ def ingest_upsert(t: DriverTables) -> DataFrame:
     return store.read().drop("month")
 
 
+def _grown_store(t: DriverTables) -> EnrichedStore:
+    """A store loaded up to a day, some of that day's lines missing, and then refreshed."""
+    store = EnrichedStore(t.spark, run_dir(t.spark, "enriched"))
+    day_of_cut = F.lit(CUT).cast("timestamp_ntz")
+    line, shipped = t.table("lineitem"), F.col("l_shipdate")
+    missing = (shipped == day_of_cut) & (F.col("l_linenumber") == HELD_BACK_LINE)
+    early = line.filter((shipped <= day_of_cut) & ~missing)
+    first = DriverTables(t.spark, t.root)
+    first.table = lambda name: early if name == "lineitem" else t.table(name)
+    for arrived in (first, t):
+        refresh_enriched(
+            arrived.invoice_items(), t.stored_branch_map(), t.branch_dim(),
+            t.stored_weather(), store,
+        )
+    return store
+
+
+@query
+def enriched_upsert(t: DriverTables) -> DataFrame:
+    """The refreshed store must equal the enriched rollup of all lines."""
+    return rounded(_grown_store(t).read(), 4, *enrich.TEMPERATURES)
+
+
+@query
+def series_statistics(t: DriverTables) -> DataFrame:
+    """Rows, quantities and last day of each series, from the refreshed store's sums."""
+    return _grown_store(t).series().drop("print")
+
+
 @query
 def stream_daily_rollup(t: DriverTables) -> DataFrame:
     """Event values as quantities: the stream's totals per day and type."""
@@ -405,12 +441,12 @@ def monthly_bottom5(t: DriverTables) -> DataFrame:
 
 
 def _split(t: DriverTables) -> DataFrame:
-    return forecast.split_series(forecast.training_set(t.fact()))
+    return forecast.split_series(forecast.training_set(t.fact(), t.means()))
 
 
 @query
 def forecast_training_set(t: DriverTables) -> DataFrame:
-    return rounded(forecast.training_set(t.fact()), 4, *enrich.TEMPERATURES)
+    return rounded(forecast.training_set(t.fact(), t.means()), 4, *enrich.TEMPERATURES)
 
 
 @query
@@ -430,20 +466,22 @@ def series_cap_mode(t: DriverTables) -> DataFrame:
 
 @query
 def future_frame(t: DriverTables) -> DataFrame:
-    training = forecast.training_set(t.fact())
+    training = forecast.training_set(t.fact(), t.means())
     frame = forecast.future_frame(training, weather=t.branch_weather())
     return rounded(frame, 4, *enrich.TEMPERATURES)
 
 
 @query
 def series_forecast(t: DriverTables) -> DataFrame:
-    return forecast.forecast_forward(t.fact(), weather=t.branch_weather())
+    return forecast.forecast_forward(
+        t.fact(), weather=t.branch_weather(), means=t.means()
+    )
 
 
 @query
 def series_forecast_trend(t: DriverTables) -> DataFrame:
     """Trend and weekday only."""
-    return forecast.forecast_forward(t.fact(), regressors=[])
+    return forecast.forecast_forward(t.fact(), regressors=[], means=t.means())
 
 
 @query
@@ -459,13 +497,13 @@ def series_forecast_holidays(t: DriverTables) -> DataFrame:
         .withColumn("holiday", F.when(first, "first day").otherwise("last day"))
     )
     return forecast.forecast_forward(
-        t.fact(), holidays=holidays, weather=t.branch_weather()
+        t.fact(), holidays=holidays, weather=t.branch_weather(), means=t.means()
     )
 
 
 @query
 def series_backtest(t: DriverTables) -> DataFrame:
-    return forecast.forecast_backtest(t.fact())
+    return forecast.forecast_backtest(t.fact(), means=t.means())
 
 
 @query
@@ -487,7 +525,7 @@ def forecast_gate(t: DriverTables) -> DataFrame:
 
 def _matched(t: DriverTables) -> DataFrame:
     fact = t.fact()
-    return evaluate.match(forecast.forecast_backtest(fact), fact)
+    return evaluate.match(forecast.forecast_backtest(fact, means=t.means()), fact)
 
 
 def _stored_match(t: DriverTables) -> DataFrame:
@@ -595,15 +633,26 @@ def today_forecast_full(t: DriverTables) -> DataFrame:
 
 
 def _today(t: DriverTables, keep_unsold: bool) -> DataFrame:
-    """Forecast as known on the as-of day: from the sales before it."""
+    """Forecast as known on the as-of day: from the sales before it.
+
+    A series has a forecast for the day only if it sold within the horizon before it; without
+    unsold items only those of the day before are shown. The others are not fitted.
+    """
     fact = t.fact()
     before = fact.filter(F.col("date") < t.as_of())
+    days = forecast.HORIZON if keep_unsold else 1
+    recent = before.filter(F.col("date") >= F.date_sub(t.as_of(), days))
+    active = materialize(recent.select(*schemas.SERIES_KEY).distinct(), "active-series")
     in_hand = stock.balance_today(
         t.stock_ledger(), t.item(), t.stored_branch_map(), None, None, t.as_of()
     )
     return today.today_forecast(
         fact,
-        forecast.forecast_forward(before, weather=t.branch_weather()),
+        forecast.forecast_forward(
+            before,
+            weather=t.branch_weather(),
+            only=lambda rows: rows.join(active, schemas.SERIES_KEY, "left_semi"),
+        ),
         in_hand,
         t.as_of(),
         None,

@@ -98,74 +98,125 @@ NO_HOLIDAYS = """holidays AS (
 
 REGRESSORS = ["CAST(is_weekend AS DOUBLE)", "temperature_2m_max", "temperature_2m_min",
               "CAST(day AS DOUBLE)"]
+HOLIDAY_NAMES = ["first day", "last day"]
+QUARTER = "(4 * year(date) + quarter(date))"
+ROUNDS, RIDGE = 6, 0.1
+
+
+def raw_terms(names: list[str], regressors: bool) -> list[str]:
+    week = [f"{f}(2 * pi() * {k} * (isodow(date) - 1) / 7)" for k in (1, 2, 3) for f in ("sin", "cos")]
+    feasts = [f"CASE WHEN holiday = '{n}' THEN 1.0 ELSE 0.0 END" for n in names]
+    found = ["1.0", *week, *feasts, *(REGRESSORS if regressors else [])]
+    return [f"CAST({x} AS DOUBLE)" for x in found]
+
+
+def elimination(name: str, matrix: str, size: int) -> str:
+    """Lines of coefficients and a right side; solved at ``j`` = size + 1."""
+    return f"""{name} AS (
+  SELECT branch, item_name, 1 AS j, m FROM {matrix}
+  UNION ALL
+  SELECT branch, item_name, j + 1, list_transform(m, lambda line, i: CASE WHEN i = j
+      THEN list_transform(line, lambda v: v / m[j][j])
+      ELSE list_transform(line, lambda v, c: v - line[j] * m[j][c] / m[j][j]) END)
+  FROM {name} WHERE j <= {size})"""
 
 
 def model(rows: str, holidays: str = NO_HOLIDAYS, regressors: bool = True) -> str:
     """Table expressions up to ``model``: one row per series, fitted on table ``rows``.
 
-    The slopes are fitted one after the other, each on the remainder of the one before.
+    Every round reads every row: curve, slopes and all products with the terms.
     """
+    names = HOLIDAY_NAMES if holidays == HOLIDAYS else []
+    raw = raw_terms(names, regressors)
+    p, r = len(raw), len(REGRESSORS) if regressors else 0
+    plain = p - r
+    centre = ["0.0"] * plain + [f"avg(raw[{k + 1}])" for k in range(plain, p)]
+    scale = ["1.0"] * plain + [
+        f"CASE WHEN var_pop(raw[{k + 1}]) > 1e-9 * avg(raw[{k + 1}] * raw[{k + 1}])"
+        f" THEN 1 / stddev_pop(raw[{k + 1}]) ELSE 0 END" for k in range(plain, p)
+    ]
+    terms = f"range(1, {p + 1})"
     sql = f"""{holidays}, caps AS ({CAP.format(rows=rows)}),
-fit_rows AS (
-  SELECT r.*, datediff('day', DATE '1995-01-01', r.date)::DOUBLE AS t, holiday
-  FROM {rows} r LEFT JOIN holidays h ON r.date = h.date),
 lines AS (
-  SELECT branch, item_name, coalesce(regr_slope(qty_sold, t), 0) AS slope,
-         coalesce(regr_intercept(qty_sold, t), avg(qty_sold)) AS intercept,
-         max(date) AS last_date, arg_min(item_group, (date, item_group)) AS item_group,
-         count(qty_sold) AS n
-  FROM fit_rows GROUP BY branch, item_name HAVING count(qty_sold) >= 2),
-trended AS (
-  SELECT f.*, qty_sold - greatest(0, least(cap, intercept + slope * t)) AS left0
-  FROM fit_rows f JOIN lines l USING (branch, item_name) JOIN caps USING (branch, item_name)),
-weekday_effect AS (
-  SELECT branch, item_name, isodow(date) AS wd, avg(left0) AS effect
-  FROM trended GROUP BY ALL),
-left1 AS (
-  SELECT t.*, left0 - effect AS left1 FROM trended t
-  JOIN weekday_effect w ON t.branch = w.branch AND t.item_name = w.item_name
-                       AND isodow(t.date) = w.wd),
-holiday_effect AS (
-  SELECT branch, item_name, holiday, avg(left1) AS effect
-  FROM left1 WHERE holiday IS NOT NULL GROUP BY ALL),
-rest0 AS (
-  SELECT l.*, left1 - coalesce(effect, 0) AS rest FROM left1 l
-  LEFT JOIN holiday_effect h ON l.branch = h.branch AND l.item_name = h.item_name
-                            AND l.holiday = h.holiday)"""
-    if regressors:
-        for k, x in enumerate(REGRESSORS):
-            sql += f""",
-slope{k} AS (
-  SELECT branch, item_name, avg({x}) AS mean{k},
-         CASE WHEN var_pop({x}) > 1e-9 * avg({x} * {x})
-              THEN covar_pop(rest, {x}) / var_pop({x}) ELSE 0 END
-           AS beta{k}
-  FROM rest{k} GROUP BY branch, item_name),
-rest{k + 1} AS (
-  SELECT r.* REPLACE (rest - beta{k} * ({x} - mean{k}) AS rest)
-  FROM rest{k} r JOIN slope{k} USING (branch, item_name))"""
-        joins = " ".join(f"JOIN slope{k} USING (branch, item_name)" for k in range(4))
-    else:
-        joins = ""
-    return sql + f""", model AS (
-  SELECT * FROM lines JOIN caps USING (branch, item_name) {joins})"""
-
-
-def predicted(frame: str, regressors: bool = True) -> str:
+  SELECT branch, item_name, max(date) AS last_date,
+         arg_min(item_group, (date, item_group)) AS item_group
+  FROM {rows} GROUP BY branch, item_name HAVING count(qty_sold) >= 2),
+fit_rows AS (
+  SELECT r.branch, r.item_name, qty_sold AS y, {QUARTER.replace("date", "r.date")} AS q,
+         [{", ".join(raw).replace("date", "r.date")}] AS raw
+  FROM {rows} r LEFT JOIN holidays h ON r.date = h.date WHERE qty_sold IS NOT NULL),
+norms AS (
+  SELECT branch, item_name, min(q) AS first_quarter, [{", ".join(centre)}] AS centre,
+         [{", ".join(scale)}] AS scale
+  FROM fit_rows GROUP BY branch, item_name),
+z_rows AS MATERIALIZED (
+  SELECT branch, item_name, y, cap, (q - first_quarter) / 4.0 AS t,
+         list_transform(raw, lambda v, k: (v - centre[k]) * scale[k]) AS z
+  FROM fit_rows JOIN norms USING (branch, item_name) JOIN caps USING (branch, item_name)
+  JOIN lines USING (branch, item_name)),
+products AS MATERIALIZED (
+  SELECT branch, item_name, i, list(s ORDER BY k) AS line FROM (
+    SELECT branch, item_name, i, k,
+           sum(z[i] * z[k]) + CASE WHEN i = k THEN {RIDGE} ELSE 0 END AS s
+    FROM z_rows, unnest({terms}) a(i), unnest({terms}) b(k)
+    GROUP BY branch, item_name, i, k)
+  GROUP BY branch, item_name, i),
+curve0 AS (SELECT branch, item_name, 0.0::DOUBLE AS growth, 0.0::DOUBLE AS rate FROM lines)"""
+    for k in range(ROUNDS + 1):
+        sql += f""",
+at{k} AS MATERIALIZED (
+  SELECT branch, item_name, y, z, growth, rate, cap * s AS c, cap * s * (1 - s) AS ja,
+         t * cap * s * (1 - s) AS jb
+  FROM (SELECT *, 1 / (1 + exp(-(growth + rate * t))) AS s
+        FROM z_rows JOIN curve{k} USING (branch, item_name))),
+side{k} AS (
+  SELECT branch, item_name, i, sum(ja * z[i]) AS a, sum(jb * z[i]) AS b,
+         sum((y - c) * z[i]) AS o
+  FROM at{k}, unnest({terms}) u(i) GROUP BY ALL)"""
+        if k == ROUNDS:
+            break
+        sql += f""",
+own{k} AS (
+  SELECT branch, item_name, sum(ja * ja) + {RIDGE} AS aa, sum(ja * jb) AS ab,
+         sum(jb * jb) + {RIDGE} AS bb, sum(ja * (y - c)) - {RIDGE} * any_value(growth) AS oa,
+         sum(jb * (y - c)) - {RIDGE} * any_value(rate) AS ob
+  FROM at{k} GROUP BY branch, item_name),
+matrix{k} AS (
+  SELECT branch, item_name, list_concat(
+      [list_concat(list_concat([any_value(aa), any_value(ab)], list(a ORDER BY i)), [any_value(oa)]),
+       list_concat(list_concat([any_value(ab), any_value(bb)], list(b ORDER BY i)), [any_value(ob)])],
+      list(list_concat(list_concat([a, b], line), [o]) ORDER BY i)) AS m
+  FROM own{k} JOIN side{k} USING (branch, item_name) JOIN products USING (branch, item_name, i)
+  GROUP BY branch, item_name),
+{elimination(f"solved{k}", f"matrix{k}", p + 2)},
+curve{k + 1} AS MATERIALIZED (
+  SELECT branch, item_name, growth + greatest(-1, least(1, m[1][{p + 3}])) AS growth,
+         rate + greatest(-1, least(1, m[2][{p + 3}])) AS rate
+  FROM curve{k} JOIN (SELECT * FROM solved{k} WHERE j = {p + 3}) USING (branch, item_name))"""
+    return sql + f""",
+last_matrix AS (
+  SELECT branch, item_name, list(list_concat(line, [o]) ORDER BY i) AS m
+  FROM side{ROUNDS} JOIN products USING (branch, item_name, i) GROUP BY branch, item_name),
+{elimination("last_solved", "last_matrix", p)},
+model AS MATERIALIZED (
+  SELECT *, list_transform(m, lambda line: line[{p + 1}]) AS weights
+  FROM lines JOIN caps USING (branch, item_name) JOIN norms USING (branch, item_name)
+  JOIN curve{ROUNDS} USING (branch, item_name)
+  JOIN (SELECT branch, item_name, m FROM last_solved WHERE j = {p + 1})
+    USING (branch, item_name))"""
+
+
+def predicted(frame: str, regressors: bool = True, names: list[str] | None = None) -> str:
     """Predictions for table ``frame``: dates, series and regressors."""
-    terms = "".join(f" + beta{k} * ({x} - mean{k})" for k, x in enumerate(REGRESSORS))
+    raw = ", ".join(raw_terms(names or [], regressors))
     return f"""predicted AS (
-  SELECT f.date, CAST(round_even(abs(round(
-           greatest(0, least(cap, intercept + slope * datediff('day', DATE '1995-01-01', f.date)))
-           + coalesce(w.effect, 0) + coalesce(h.effect, 0) {terms if regressors else ""}, 6)), 0)
-           AS INT) AS prediction, f.item_name, f.branch, f.item_group
+  SELECT date, CAST(round_even(abs(round(
+           cap / (1 + exp(-(growth + rate * ({QUARTER} - first_quarter) / 4.0)))
+           + list_sum(list_transform([{raw}],
+               lambda v, k: weights[k] * (v - centre[k]) * scale[k])), 6)), 0)
+           AS INT) AS prediction, item_name, branch, item_group
   FROM (SELECT {frame}.*, holiday FROM {frame} LEFT JOIN holidays USING (date)) f
-  JOIN (SELECT * EXCLUDE (item_group) FROM model) m
-    ON f.branch = m.branch AND f.item_name = m.item_name
-  LEFT JOIN weekday_effect w ON f.branch = w.branch AND f.item_name = w.item_name
-                            AND isodow(f.date) = w.wd
-  LEFT JOIN holiday_effect h ON f.branch = h.branch AND f.item_name = h.item_name
-                            AND f.holiday = h.holiday)"""
+  JOIN (SELECT * EXCLUDE (item_group) FROM model) m USING (branch, item_name))"""
 
 
 FUTURE = """usual AS (
@@ -187,13 +238,15 @@ future AS (
 
 
 def forward(holidays: str = NO_HOLIDAYS, regressors: bool = True, where: str = "TRUE") -> str:
-    return ", ".join(
+    """To follow WITH: the elimination calls itself."""
+    names = HOLIDAY_NAMES if holidays == HOLIDAYS else []
+    return "RECURSIVE " + ", ".join(
         [training(where), SPLIT, model("training", holidays, regressors), FUTURE,
-         predicted("future", regressors)]
+         predicted("future", regressors, names)]
     )
 
 
-BACKTEST = ", ".join(
+BACKTEST = "RECURSIVE " + ", ".join(
     [training(), SPLIT, "train AS (SELECT * FROM split WHERE part = 'train')",
      "test AS (SELECT * FROM split WHERE part = 'test')", model("train"), predicted("test")]
 )
@@ -503,6 +556,11 @@ CHECK_SQL: dict[str, str] = {
     "weekly_bottom5": weekly(False),
     "monthly_top5": monthly(True),
     "monthly_bottom5": monthly(False),
+    "enriched_upsert": f"""WITH {ENRICHED} SELECT * REPLACE (
+  round(temperature_2m_max, 4) AS temperature_2m_max,
+  round(temperature_2m_min, 4) AS temperature_2m_min) FROM enriched""",
+    "series_statistics": f"""WITH {SALES} SELECT branch, item_name, count(*) AS n_rows,
+  count(qty_sold) AS n_values, max(date) AS last_date FROM sales GROUP BY ALL""",
     "forecast_training_set": f"""WITH {training()} SELECT {SALES_COLUMNS}, day, is_weekend,
         round(temperature_2m_max, 4) AS temperature_2m_max,
         round(temperature_2m_min, 4) AS temperature_2m_min FROM training""",

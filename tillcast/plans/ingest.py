@@ -1,4 +1,4 @@
-"""Incremental refresh of the stored sales fact."""
+"""Incremental refresh of the stored sales fact, bare or enriched."""
 
 from __future__ import annotations
 
@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tillcast.operators import rollup
+from tillcast.operators.enrich import enrich_sales
+from tillcast.sources.enriched_store import EnrichedStore
 from tillcast.sources.fact_store import MONTH, FactStore
 
 
@@ -31,3 +33,35 @@ def refresh(invoice_items: DataFrame, branch_map: DataFrame, store: FactStore) -
     touched = stored.filter(F.col(MONTH).between(first_month, last_month)).drop(MONTH)
     store.replace_months(rollup.upsert_last(touched, batch))
     return True
+
+
+def refresh_enriched(
+    invoice_items: DataFrame,
+    branch_map: DataFrame,
+    branch_dim: DataFrame,
+    weather: DataFrame,
+    store: EnrichedStore,
+) -> bool:
+    """The same for the store of enriched sales and their statistics.
+
+    Only the new rows are enriched: the weather is read for the days since the mark. Stored rows of
+    the touched months are kept as they are, and the statistics of these months alone are made anew.
+    """
+    store.recover()
+    if not store.exists():
+        sales = rollup.sales_daily(invoice_items, branch_map)
+        store.create(enrich_sales(sales, branch_dim, weather))
+        return True
+    stored = store.facts.read()
+    mark = store.facts.high_water_mark(stored)
+    recent = invoice_items if mark is None else rollup.since_mark(invoice_items, mark)
+    month = F.date_format("creation", "yyyy-MM")
+    first_month, last_month = recent.select(F.min(month), F.max(month)).first()
+    if first_month is None:
+        return False
+    sales = rollup.sales_daily(recent, branch_map)
+    days = weather.filter(F.col("date") >= F.lit(f"{first_month}-01").cast("date"))
+    batch = enrich_sales(sales, branch_dim, days)
+    touched = stored.filter(F.col(MONTH).between(first_month, last_month)).drop(MONTH)
+    store.replace_months(rollup.upsert_last(touched, batch))
+    return True

@@ -11,10 +11,13 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tillcast.operators import enrich, lookup, rollup
+from tillcast.operators import enrich, lookup
 from tillcast.operators.ask import VOUCHER
 from tillcast.operators.selection import Selection, choose
-from tillcast.session import materialize
+from tillcast.plans.ingest import refresh_enriched
+from tillcast.session import materialize, run_dir
+from tillcast.sources.enriched_store import EnrichedStore
+from tillcast.sources.schemas import SALES_KEY
 
 TABLES = {
     "region": "r_regionkey int, r_name string",
@@ -36,6 +39,8 @@ TABLES = {
 }
 
 OPENING_STOCK = 5000
+#: Folder of the store of each application and data folder.
+_STORES: dict[tuple[str, str], str] = {}
 
 
 class DriverTables:
@@ -178,8 +183,21 @@ class DriverTables:
     def sold_days(self) -> DataFrame:
         return self.table("lineitem").select(F.to_date("l_shipdate").alias("date"))
 
+    def store(self) -> EnrichedStore:
+        """The store of enriched sales that ingest keeps for these tables: loaded when it is first
+        asked for in a session, and read by all later queries."""
+        key = (self.spark.sparkContext.applicationId, self.root)
+        if key not in _STORES:
+            store = EnrichedStore(self.spark, run_dir(self.spark, "store"))
+            refresh_enriched(
+                self.invoice_items(), self.stored_branch_map(), self.branch_dim(),
+                self.stored_weather(), store,
+            )
+            _STORES[key] = store.path
+        return EnrichedStore(self.spark, _STORES[key])
+
     def sales(self) -> DataFrame:
-        return rollup.resum(self.sales_lines())
+        return self.store().read().select(*SALES_KEY, "qty_sold")
 
     def stored_weather(self) -> DataFrame:
         """Weather as the table it is in the field: one row per place and day."""
@@ -188,19 +206,13 @@ class DriverTables:
     def branch_weather(self) -> DataFrame:
         return enrich.weather_by_branch(self.stored_weather(), self.branch_dim())
 
-    def enriched_sales(self) -> DataFrame:
-        """Sales with calendar and (unfilled) weather columns."""
-        return (
-            self.sales()
-            .transform(enrich.add_calendar)
-            .transform(lookup.add_branch_info, self.branch_dim())
-            .transform(enrich.add_weather, self.stored_weather())
-            .drop("city", "latitude", "longitude")
-        )
-
     def fact(self) -> DataFrame:
-        """The enriched sales as a written table, which the forecast reads several times."""
-        return self._once("sales", self.enriched_sales)
+        """The stored enriched sales."""
+        return self.store().read()
+
+    def means(self) -> Column:
+        """Mean temperatures of the stored sales."""
+        return self.store().means()
 
     def as_of(self) -> Column:
         """The last day with a line, used wherever the reports say today."""

@@ -54,7 +54,9 @@ class FactStore:
     @staticmethod
     def _by_month(rows: DataFrame) -> DataFrame:
         """Rows laid out for writing: a large month over several tasks, small ones together."""
-        return rows.withColumn(MONTH, month_of()).hint("rebalance", MONTH)
+        if MONTH not in rows.columns:
+            rows = rows.withColumn(MONTH, month_of())
+        return rows.hint("rebalance", MONTH)
 
     def create(self, rows: DataFrame) -> None:
         """First load; there is nothing to protect yet, so it is written in place."""
@@ -62,35 +64,44 @@ class FactStore:
 
     def replace_months(self, rows: DataFrame) -> None:
         staging = f"{self.path}_staging/{uuid.uuid4().hex}"
-        self._by_month(rows).write.partitionBy(MONTH).parquet(staging)
+        self.stage(rows, staging)
         self.promote(staging)
 
-    def promote(self, staging: str) -> None:
+    def stage(self, rows: DataFrame, staging: str) -> None:
+        self._by_month(rows).write.partitionBy(MONTH).parquet(staging)
+
+    def staged(self, staging: str) -> DataFrame:
+        return self.spark.read.schema(self.schema).parquet(staging)
+
+    def overwrite(self, staging: str) -> None:
+        """Put staged months over the stored ones; doing it twice changes nothing."""
         (
-            self.spark.read.schema(self.schema)
-            .parquet(staging)
+            self.staged(staging)
             .write.mode("overwrite")
             .option("partitionOverwriteMode", "dynamic")
             .partitionBy(MONTH)
             .parquet(self.path)
         )
-        folder, files = self._folder(staging)
+
+    def promote(self, staging: str) -> None:
+        self.overwrite(staging)
+        folder, files = self.folder(staging)
         files.delete(folder, True)
 
     def recover(self) -> None:
         """Finish what a lost run left: a staging folder written to its end is promoted, any other
         removed. To be called before a run reads the store, which has one writer at a time."""
-        root, files = self._folder(f"{self.path}_staging")
+        root, files = self.folder(f"{self.path}_staging")
         if not files.exists(root):
             return
         for status in files.listStatus(root):
             staging = status.getPath().toString()
-            if files.exists(self._folder(f"{staging}/_SUCCESS")[0]):
+            if files.exists(self.folder(f"{staging}/_SUCCESS")[0]):
                 self.promote(staging)
             else:
                 files.delete(status.getPath(), True)
 
-    def _folder(self, path: str):
+    def folder(self, path: str):
         """A path and its file system, as Spark's own writers see them."""
         folder = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         return folder, folder.getFileSystem(self.spark._jsc.hadoopConfiguration())

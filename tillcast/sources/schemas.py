@@ -3,6 +3,15 @@
 from __future__ import annotations
 
 SALES = "date date, branch string, item_group string, item_name string, qty_sold double"
+ENRICHED = (
+    f"{SALES}, day string, is_weekend boolean, "
+    "temperature_2m_max double, temperature_2m_min double"
+)
+#: Mergeable sums of one series and month of the enriched sales.
+STATISTICS = (
+    "branch string, item_name string, n_rows bigint, n_values bigint, last_date date, "
+    "print bigint, max_sum double, max_count bigint, min_sum double, min_count bigint"
+)
 INVOICE_ITEM = (
     "creation timestamp_ntz, item_group string, item_name string, warehouse string, qty double"
 )
