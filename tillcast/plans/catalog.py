@@ -26,10 +26,11 @@ from tillcast.plans.forecasting import refresh_forecast
 from tillcast.plans.ingest import refresh, refresh_enriched
 from tillcast.session import materialize, run_dir
 from tillcast.sources import readers, schemas
-from tillcast.sources.driver_tables import DriverTables
+from tillcast.sources.driver_tables import TABLES, DriverTables
 from tillcast.sources.enriched_store import EnrichedStore
 from tillcast.sources.fact_store import FactStore
 from tillcast.streaming import daily_rollup as stream
+from tillcast.streaming import sales_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -47,6 +48,7 @@ YEAR = 1998
 CUT = date(2000, 6, 15)
 HELD_BACK_LINE = 7
 NOTHING_BEFORE = "1900-01-01"
+ARRIVALS = ["1900-01-01", "1998-01-01", "2000-03-15", "2100-01-01"]
 
 QUERIES: dict[str, Query] = {}
 
@@ -371,6 +373,38 @@ def stream_daily_rollup(t: DriverTables) -> DataFrame:
     return found.withColumn("qty_sold", F.col("qty_sold").cast("double"))
 
 
+def _streamed_store(t: DriverTables) -> EnrichedStore:
+    """The lines arriving in parts, by day; each run of the stream goes on where the last one ended."""
+    store = EnrichedStore(t.spark, run_dir(t.spark, "streamed"))
+    folder = run_dir(t.spark, "arriving")
+    shipped = F.col("l_shipdate")
+    arriving = DriverTables(t.spark, t.root)
+    arriving.table = lambda name: (
+        t.spark.readStream.schema(TABLES["lineitem"]).parquet(folder)
+        if name == "lineitem"
+        else t.table(name)
+    )
+    for first, end in zip(ARRIVALS, ARRIVALS[1:], strict=False):
+        part = t.table("lineitem").filter((shipped >= first) & (shipped < end))
+        part.write.mode("append").parquet(folder)
+        sales_stream.start(
+            arriving.invoice_items(), t.stored_branch_map(), t.branch_dim(), t.stored_weather(), store
+        ).awaitTermination()
+    return store
+
+
+@query
+def stream_sales(t: DriverTables) -> DataFrame:
+    """Streamed lines must give the enriched rollup of all lines."""
+    return rounded(_streamed_store(t).read(), 4, *enrich.TEMPERATURES)
+
+
+@query
+def stream_ledger(t: DriverTables) -> DataFrame:
+    """What each batch of the streamed lines added."""
+    return _streamed_store(t).ledger()
+
+
 # --- totals and rankings -----------------------------------------------------------------
 
 

@@ -559,6 +559,15 @@ CHECK_SQL: dict[str, str] = {
     "enriched_upsert": f"""WITH {ENRICHED} SELECT * REPLACE (
   round(temperature_2m_max, 4) AS temperature_2m_max,
   round(temperature_2m_min, 4) AS temperature_2m_min) FROM enriched""",
+    "stream_sales": f"""WITH {ENRICHED} SELECT * REPLACE (
+  round(temperature_2m_max, 4) AS temperature_2m_max,
+  round(temperature_2m_min, 4) AS temperature_2m_min) FROM enriched""",
+    "stream_ledger": f"""SELECT batch, count(*) AS n_lines, CAST(0 AS BIGINT) AS n_late,
+  CAST(min(l_shipdate) AS DATE) AS first_day, CAST(max(l_shipdate) AS DATE) AS last_day
+  FROM (SELECT l_shipdate, CAST(CASE {" ".join(
+      f"WHEN l_shipdate < DATE '{end}' THEN {k}" for k, end in enumerate(c.ARRIVALS[1:])
+  )} END AS BIGINT) AS batch FROM lineitem JOIN part ON l_partkey = p_partkey
+  JOIN supplier ON l_suppkey = s_suppkey) GROUP BY batch""",
     "series_statistics": f"""WITH {SALES} SELECT branch, item_name, count(*) AS n_rows,
   count(qty_sold) AS n_values, max(date) AS last_date FROM sales GROUP BY ALL""",
     "forecast_training_set": f"""WITH {training()} SELECT {SALES_COLUMNS}, day, is_weekend,

@@ -52,9 +52,18 @@ class EnrichedStore:
         self.facts.create(rows)
         self.statistics.create(month_statistics(self.facts.read()))
 
-    def replace_months(self, rows: DataFrame) -> None:
+    def replace_months(
+        self, rows: DataFrame, entry: dict | None = None, late: DataFrame | None = None
+    ) -> None:
+        """Put ``rows`` in place of the months that they span. ``entry``: of a streamed batch, for the
+        ledger, with its late lines; both become visible with the months."""
         staging = f"{self.path}/staging/{uuid.uuid4().hex}"
         self.facts.stage(rows, f"{staging}/facts")
+        if entry is not None:
+            batch = F.lit(entry["batch"]).cast("bigint").alias("batch")
+            self._write(late.select("*", batch), f"{staging}/late")
+            written = self.spark.createDataFrame([entry], schemas.LEDGER)
+            self._write(written.coalesce(1), f"{staging}/ledger")
         found = month_statistics(self.facts.staged(f"{staging}/facts"))
         self.statistics.stage(found, f"{staging}/statistics")
         self.finish(staging)
@@ -62,9 +71,40 @@ class EnrichedStore:
     def finish(self, staging: str) -> None:
         self.facts.overwrite(f"{staging}/facts")
         self.statistics.overwrite(f"{staging}/statistics")
+        for name, schema in (("late", schemas.LATE_LINE), ("ledger", schemas.LEDGER)):
+            found, files = self.facts.folder(f"{staging}/{name}")
+            if files.exists(found):
+                self._write(self.spark.read.schema(schema).parquet(f"{staging}/{name}"), f"{self.path}/{name}")
         folder, files = self.facts.folder(staging)
         files.delete(folder, True)
 
+    @staticmethod
+    def _write(rows: DataFrame, path: str) -> None:
+        """By batch; a batch written twice is there once."""
+        (
+            rows.write.mode("overwrite")
+            .option("partitionOverwriteMode", "dynamic")
+            .partitionBy("batch")
+            .parquet(path)
+        )
+
+    def _batches(self, name: str, schema: str) -> DataFrame:
+        folder, files = self.facts.folder(f"{self.path}/{name}")
+        if not files.exists(folder):
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(f"{self.path}/{name}")
+
+    def ledger(self) -> DataFrame:
+        """A row per streamed batch: lines, late ones, and the days of the others."""
+        return self._batches("ledger", schemas.LEDGER)
+
+    def late_lines(self) -> DataFrame:
+        """Lines that came too late to be added, with their batch."""
+        return self._batches("late", schemas.LATE_LINE)
+
+    def has_batch(self, batch: int) -> bool:
+        return not self.ledger().filter(F.col("batch") == batch).isEmpty()
+
     def recover(self) -> None:
         """Finish or remove what lost runs left. To be called before a run reads the store, which has
         one writer at a time."""

@@ -12,9 +12,15 @@ STATISTICS = (
     "branch string, item_name string, n_rows bigint, n_values bigint, last_date date, "
     "print bigint, max_sum double, max_count bigint, min_sum double, min_count bigint"
 )
+#: What a streamed batch added to the store.
+LEDGER = "n_lines bigint, n_late bigint, first_day date, last_day date, batch bigint"
 INVOICE_ITEM = (
     "creation timestamp_ntz, item_group string, item_name string, warehouse string, qty double"
 )
+LATE_LINE = (
+    "creation timestamp_ntz, item_group string, item_name string, qty double, branch string, "
+    "batch bigint"
+)
 FORECAST = "date date, prediction int, item_name string, branch string, item_group string"
 WEATHER = (
     "date date, latitude double, longitude double, "
