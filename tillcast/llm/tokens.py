@@ -24,7 +24,7 @@ from tillcast.llm.words import Texts, batches
 #: Bytes of a long text that are split into words at once, and of words encoded at once.
 SLICE_BYTES, BATCH_BYTES = 1 << 20, 1 << 15
 #: Words that a worker remembers; it then starts anew. This bounds memory, not what is counted.
-MEMO_WORDS = 300_000
+MEMO_WORDS = 1_000_000
 
 # How the word tokenizer that drops white space is set up in its file.
 _NORMAL_FORM = ["NFC", "Replace", "Lowercase"]
