@@ -276,6 +276,17 @@ def test_minimum_balance(stock_tables, rows):
     assert rows(nothing, "balance") == [(None,)]
 
 
+def test_unknown_names_of_a_choice_are_told(stock_tables, rows):
+    ledger, items, codes = stock_tables
+    choice = ["North", "west"], ["a", "c", "c"]
+    found, problems = stock.checked(stock.minimum_balance, ledger, items, codes, *choice, "2024-01-02")
+    assert rows(found, "item_name", "balance") == [("a", 4), ("a", 7)]
+    assert rows(problems, "kind", "name") == [("branch", "west"), ("item", "c")]
+    nothing, sound = stock.checked(stock.balance_today, ledger, items, codes, ["south"], ["b"], "2024-01-02")
+    assert nothing.count() == 0 and sound.count() == 0
+    assert stock.unknown_choice(items, codes, None, None).count() == 0
+
+
 def test_balance_view_shortens_long_ranges(spark, stock_tables, rows):
     got = stock.balance_view(*stock_tables, ["north", "south"], ["a"], "2023-01-01", "2024-03-02")
     assert rows(got, "Branch", "Date") == [("north", D("2024-01-02")), ("north", D("2024-01-02"))]

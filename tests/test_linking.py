@@ -112,3 +112,26 @@ def test_index_keeps_every_pair_that_reaches_the_cutoff(spark):
         used = set(line.split())
         found = sorted(n for n in items if 100 * len(used & set(n.split())) / 3 >= 60)
         assert got[text_id] == ", ".join(found)
+
+
+@settings(max_examples=8, deadline=None,
+          suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.sets(st.text(alphabet="ab.( é", min_size=1, max_size=7), min_size=1, max_size=25),
+       st.lists(st.text(alphabet="ab.( é", max_size=20), min_size=1, max_size=15))
+def test_both_ways_to_find_names_equal_brute_force(spark, names, lines):
+    texts = spark.createDataFrame([(str(k), t) for k, t in enumerate(lines)], "text_id string, text string")
+    table = spark.createDataFrame([(n,) for n in names], "name string")
+    expected = {(str(k), n) for k, t in enumerate(lines) for n in names if n in t}
+    for found in (linking.mentions(texts, table), linking._mentions_by_grams(texts, table)):
+        pairs = [tuple(r) for r in found.collect()]
+        assert set(pairs) == expected and len(pairs) == len(expected)
+
+
+def test_a_text_sends_its_matches_only(spark):
+    texts = spark.createDataFrame([("1", "a red ring and a red ringlet")], "text_id string, text string")
+    names = spark.createDataFrame([("red",), ("red ring",), ("ring",), ("blue",)], "name string")
+    found = linking.mentions(texts, names)
+    assert sorted(r["name"] for r in found.collect()) == ["red", "red ring", "ring"]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate") == 1 and "contains" not in plan.lower()
+    assert linking.mentions(texts, names.filter("false")).count() == 0

@@ -7,6 +7,8 @@ both sides meet in equi-joins on short keys, and the exact test runs on what tho
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,6 +17,8 @@ from tillcast.session import materialize
 
 ITEM, BRANCH = "item", "branch"
 GRAM = 5
+#: Letters of all names up to which they become one pattern, which every task holds.
+PATTERN_LETTERS = 20_000
 #: Words are alike if equal, or one edit apart and no less similar than this percentage: 100 less
 #: the share that the edit has of the longer word. It holds for letters and digits alike.
 SIMILAR_WORDS = 60
@@ -54,15 +58,72 @@ def _rarest_gram(names: DataFrame) -> DataFrame:
     )
 
 
+def any_of(names: Sequence[str]) -> str:
+    """Pattern of the longest of the names that starts at a place.
+
+    The names share their beginnings as in a tree, so a place costs a step per letter, however many
+    names there are."""
+    tree: dict = {}
+    for name in names:
+        node = tree
+        for letter in name:
+            node = node.setdefault(letter, {})
+        node[""] = {}
+
+    def literal(letter: str) -> str:
+        return f"\\{letter}" if letter.isascii() and not letter.isalnum() else letter
+
+    def pattern(node: dict) -> str:
+        tails = [literal(c) + pattern(node[c]) for c in sorted(node) if c]
+        if not tails:
+            return ""
+        if len(tails) == 1 and "" not in node:
+            return tails[0]
+        return f"(?:{'|'.join(tails)})" + ("?" if "" in node else "")
+
+    return pattern(tree)
+
+
+def _mentions_in_one_pass(texts: DataFrame, names: Sequence[str]) -> DataFrame:
+    """The same for few names: one scan of each text for all of them.
+
+    At each place the longest name is found, and the others that stand there are its beginnings, so
+    a text sends its matches only."""
+    known = set(names)
+    starts = [
+        (longest, longest[:k]) for longest in names for k in range(1, len(longest) + 1)
+        if longest[:k] in known
+    ]
+    starting = texts.sparkSession.createDataFrame(starts, "_longest string, name string")
+    found = F.regexp_extract_all(F.col("text"), F.lit(f"(?s)(?=({any_of(names)}))"), F.lit(1))
+    return (
+        texts.select("text_id", F.explode(F.array_distinct(found)).alias("_longest"))
+        .join(starting, "_longest")
+        .select("text_id", "name")
+        .distinct()
+    )
+
+
 def mentions(texts: DataFrame, names: DataFrame) -> DataFrame:
     """Pairs (text_id, name) where the text holds the name as a substring.
 
-    A text can only hold a name if it holds each run of five characters of it. Of these the
-    one that fewest names share becomes the name's key; both sides are joined on it and the
+    Up to PATTERN_LETTERS letters of names are looked for in one pass over each text. For a larger
+    catalogue, texts and names meet in joins: a text can only hold a name if it holds each run of
+    five characters of it. Of these the one that fewest names share becomes the name's key; both sides are joined on it and the
     remaining pairs are tested. Shorter names are their own key and need no test; the texts
     are cut into shorter runs only if the catalogue has such names.
     """
     filled = names.select("name").filter(F.length("name") > 0).distinct()
+    letters = filled.agg(F.sum(F.length("name"))).first()[0] or 0
+    if letters <= PATTERN_LETTERS:
+        some = [r["name"] for r in filled.collect()]
+        if not some:
+            return texts.select("text_id", F.lit("").alias("name")).limit(0)
+        return _mentions_in_one_pass(texts, some)
+    return _mentions_by_grams(texts, filled)
+
+
+def _mentions_by_grams(texts: DataFrame, filled: DataFrame) -> DataFrame:
     long_names = _rarest_gram(filled.filter(F.length("name") >= GRAM))
     keys = texts.select("text_id", F.explode(_grams(F.col("text"), GRAM)).alias("_key"))
     candidates = keys.join(long_names, "_key").select("text_id", "name")

@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from datetime import date
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tillcast.functions import calendar, numeric
-from tillcast.operators.lookup import codes_of_branches, map_branches
+from tillcast.operators.lookup import codes_of_branches, map_branches, unknown_branches
 from tillcast.operators.selection import Selection, choose
 
+NO_WAREHOUSE, NO_ITEM = "no warehouse of this branch", "no item of this name"
+
 
 def _chosen_entries(
     ledger: DataFrame,
@@ -41,6 +43,45 @@ def _date(value: date | str | Column) -> Column:
     return (value if isinstance(value, Column) else F.lit(value)).cast("date")
 
 
+def unknown_choice(
+    items: DataFrame,
+    branch_map: DataFrame,
+    branches: Sequence[str] | None,
+    names: Sequence[str] | None,
+) -> DataFrame:
+    """(kind, name, reason) of the chosen names that a stock view has no rows for because it doesn't
+    know them: branches without a warehouse, compared without case, and items not in the list.
+
+    Only distinct known names meet the choice. An empty result says that the choice is sound, so an
+    empty view then means that nothing moved."""
+    spark = items.sparkSession
+
+    def chosen(given: Sequence[str] | None) -> DataFrame:
+        return spark.createDataFrame([(n,) for n in dict.fromkeys(given or [])], "name string")
+
+    unknown = unknown_branches(chosen(branches).withColumnRenamed("name", "branch"), branch_map)
+    missing = chosen(names).join(
+        items.select(F.col("item_name").alias("name")).distinct(), "name", "left_anti"
+    )
+    return unknown.select(
+        F.lit("branch").alias("kind"), F.col("branch").alias("name"), F.lit(NO_WAREHOUSE).alias("reason")
+    ).unionByName(missing.select(F.lit("item").alias("kind"), "name", F.lit(NO_ITEM).alias("reason")))
+
+
+def checked(
+    view: Callable[..., DataFrame],
+    ledger: DataFrame,
+    items: DataFrame,
+    branch_map: DataFrame,
+    branches: Sequence[str] | None,
+    names: Sequence[str] | None,
+    *when: date | str | Column,
+) -> tuple[DataFrame, DataFrame]:
+    """Any of the stock views, and beside it what ``unknown_choice`` says of its choice."""
+    found = view(ledger, items, branch_map, branches, names, *when)
+    return found, unknown_choice(items, branch_map, branches, names)
+
+
 def minimum_balance(
     ledger: DataFrame,
     items: DataFrame,

@@ -643,6 +643,14 @@ def stock_today(t: DriverTables) -> DataFrame:
     )
 
 
+@query
+def stock_unknown_choice(t: DriverTables) -> DataFrame:
+    """What a stock view says of a choice with names of a region, an item spelt wrong and real ones."""
+    branches = [*BRANCHES, "Europe", "NATION_3", "nowhere"]
+    items = [*ITEMS, "red rign", "Blue Bolt"]
+    return stock.unknown_choice(t.item(), t.stored_branch_map(), branches, items)
+
+
 @query
 def balance_view(t: DriverTables) -> DataFrame:
     ledger = t.stock_ledger(BRANCHES, ITEMS, LONG_RANGE[1])
@@ -766,17 +774,14 @@ def normalize_names(t: DriverTables) -> DataFrame:
 
 @query
 def catalog_items(t: DriverTables) -> DataFrame:
-    return ask.catalog_items(
-        ask.sales_table(t.sales_lines()),
-        ask.balance_table(t.balance()),
-        ask.price_table(t.item_price()),
-    )
+    """Names of the distinct keys of sales and invoices, and of all prices."""
+    tables = t.sold_items(), t.sold_items(t.invoiced_lines()), t.item_price()
+    return ask.catalog_items(*(ask.normalize_names(names) for names in tables))
 
 
 @query
 def catalog_branches(t: DriverTables) -> DataFrame:
-    sold = ask.sales_table(t.sales_lines())
-    return ask.catalog_branches(sold, ask.balance_table(t.balance()))
+    return ask.catalog_branches(t.sold_branches(), t.sold_branches(t.invoiced_lines()))
 
 
 # --- texts -------------------------------------------------------------------------------
@@ -788,9 +793,10 @@ def _texts(t: DriverTables) -> DataFrame:
 
 def _names(t: DriverTables) -> DataFrame:
     """The names known to sales, balance or prices."""
-    sold, held = ask.sales_table(t.sales_lines()), ask.balance_table(t.balance())
-    items = ask.catalog_items(sold, held, ask.price_table(t.item_price()))
-    return linking.catalogue(items.toDF("name"), ask.catalog_branches(sold, held).toDF("name"))
+    items, branches = QUERIES["catalog_items"], QUERIES["catalog_branches"]
+    return linking.catalogue(
+        items(t.spark, t.root).toDF("name"), branches(t.spark, t.root).toDF("name")
+    )
 
 
 @query

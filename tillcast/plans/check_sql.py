@@ -559,6 +559,12 @@ CHECK_SQL: dict[str, str] = {
     "enriched_upsert": f"""WITH {ENRICHED} SELECT * REPLACE (
   round(temperature_2m_max, 4) AS temperature_2m_max,
   round(temperature_2m_min, 4) AS temperature_2m_min) FROM enriched""",
+    "stock_unknown_choice": f"""SELECT 'branch' AS kind, name, 'no warehouse of this branch' AS reason
+  FROM (SELECT unnest([{quoted([*c.BRANCHES, "Europe", "NATION_3", "nowhere"])}]) AS name)
+  WHERE lower(name) NOT IN (SELECT lower(n_name) FROM nation JOIN supplier ON s_nationkey = n_nationkey)
+  UNION ALL SELECT 'item', name, 'no item of this name'
+  FROM (SELECT unnest([{quoted([*c.ITEMS, "red rign", "Blue Bolt"])}]) AS name)
+  WHERE name NOT IN (SELECT p_name FROM part)""",
     "stream_sales": f"""WITH {ENRICHED} SELECT * REPLACE (
   round(temperature_2m_max, 4) AS temperature_2m_max,
   round(temperature_2m_min, 4) AS temperature_2m_min) FROM enriched""",

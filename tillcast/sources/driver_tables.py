@@ -161,12 +161,17 @@ class DriverTables:
             )
         )
 
-    def sold_branches(self) -> DataFrame:
+    def invoiced_lines(self) -> DataFrame:
+        """Order lines that the stock ledger calls invoices."""
+        return self.table("lineitem").filter(F.col("l_returnflag") == "N")
+
+    def sold_branches(self, lines: DataFrame | None = None) -> DataFrame:
         """Quantity per warehouse under its branch's name: enough for totals by branch.
 
         Lines are summed per warehouse key first, so the joins see a row per warehouse.
         """
-        sums = self.table("lineitem").groupBy("l_suppkey").agg(
+        lines = self.table("lineitem") if lines is None else lines
+        sums = lines.groupBy("l_suppkey").agg(
             F.sum("l_quantity").alias("qty_sold")
         )
         return (
@@ -175,9 +180,10 @@ class DriverTables:
             .select(F.coalesce(F.lower("n_name"), F.col("s_name")).alias("branch"), "qty_sold")
         )
 
-    def sold_items(self) -> DataFrame:
+    def sold_items(self, lines: DataFrame | None = None) -> DataFrame:
         """Item and group of every item key with a line; names are joined to distinct keys."""
-        keys = self.table("lineitem").select(F.col("l_partkey").alias("item_code")).distinct()
+        lines = self.table("lineitem") if lines is None else lines
+        keys = lines.select(F.col("l_partkey").alias("item_code")).distinct()
         return keys.join(self.item(), "item_code").select("item_group", "item_name")
 
     def sold_days(self) -> DataFrame:
