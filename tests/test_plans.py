@@ -82,6 +82,22 @@ def test_stock_choice_lies_below_the_window(spark):
     plan = plan_of(QUERIES["stock_min_range"](spark, FOLDER))
     below = plan[plan.index("Window ["):]
     assert "LeftSemi" in below and "LessThan(l_shipdate" in below
+    assert "GreaterThanOrEqual(l_shipdate" in below
+
+
+def test_one_days_balance_reads_its_month_and_earlier_sums(spark):
+    """Equal to the running sum over all history, with the days pushed to both scans."""
+    t = DriverTables(spark, FOLDER)
+    day = "1998-05-17"
+    found = t.stock_ledger(until=day, since=day)
+    plan = details_of(found)
+    pushed = next(x for x in re.findall(r"PushedFilters: \[(.*)\]", plan) if "l_shipdate" in x)
+    assert "GreaterThanOrEqual(l_shipdate,1998-05-01" in pushed
+    assert "LessThan(l_shipdate,1998-05-18" in pushed
+    assert re.search(r"PartitionFilters: \[.*month#\d+ < 1998-05", plan)
+    whole = t.stock_ledger().filter(F.col("posting_date") == day)
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, whole.collect()))
+    assert whole.count() > 0
 
 
 def test_top_five_needs_no_full_sort(spark):

@@ -43,6 +43,19 @@ def _date(value: date | str | Column) -> Column:
     return (value if isinstance(value, Column) else F.lit(value)).cast("date")
 
 
+def month_moves(moves: DataFrame) -> DataFrame:
+    """What left each warehouse of each item in a month: rows (month, keys, moved) of a table of moves
+    (date, warehouse_key, item_code, moved). Months merge by sum."""
+    month = F.date_format("date", "yyyy-MM").alias("month")
+    return moves.groupBy(month, "warehouse_key", "item_code").agg(F.sum("moved").alias("moved"))
+
+
+def moved_before(months: DataFrame, day: date) -> DataFrame:
+    """(warehouse_key, item_code, moved_before): sums of the months before that of ``day``."""
+    earlier = months.filter(F.col("month") < f"{day:%Y-%m}")
+    return earlier.groupBy("warehouse_key", "item_code").agg(F.sum("moved").alias("moved_before"))
+
+
 def unknown_choice(
     items: DataFrame,
     branch_map: DataFrame,

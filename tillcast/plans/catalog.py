@@ -624,7 +624,7 @@ def stock_ledger(t: DriverTables) -> DataFrame:
 @query
 def stock_min_range(t: DriverTables) -> DataFrame:
     capitals = [b.upper() for b in BRANCHES]
-    ledger = t.stock_ledger(capitals, ITEMS, RANGE[1])
+    ledger = t.stock_ledger(capitals, ITEMS, RANGE[1], since=RANGE[0])
     return stock.minimum_balance(
         ledger, t.item(), t.stored_branch_map(), capitals, ITEMS, *RANGE
     )
@@ -632,15 +632,20 @@ def stock_min_range(t: DriverTables) -> DataFrame:
 
 @query
 def stock_min_day(t: DriverTables) -> DataFrame:
-    ledger = t.stock_ledger(BRANCHES, until=DAY)
+    ledger = t.stock_ledger(BRANCHES, until=DAY, since=DAY)
     return stock.minimum_balance(ledger, t.item(), t.stored_branch_map(), BRANCHES, None, DAY)
 
 
+def _in_hand(t: DriverTables) -> DataFrame:
+    """Balances of the last day with a line, from that month's lines and the sums of earlier months."""
+    day = t.last_day()
+    ledger = t.stock_ledger(until=day, since=day)
+    return stock.balance_today(ledger, t.item(), t.stored_branch_map(), None, None, day)
+
+
 @query
 def stock_today(t: DriverTables) -> DataFrame:
-    return stock.balance_today(
-        t.stock_ledger(), t.item(), t.stored_branch_map(), None, None, t.as_of()
-    )
+    return _in_hand(t)
 
 
 @query
@@ -653,7 +658,9 @@ def stock_unknown_choice(t: DriverTables) -> DataFrame:
 
 @query
 def balance_view(t: DriverTables) -> DataFrame:
-    ledger = t.stock_ledger(BRANCHES, ITEMS, LONG_RANGE[1])
+    start = calendar.clamp_start(F.lit(LONG_RANGE[0]).cast("date"), F.lit(LONG_RANGE[1]).cast("date"))
+    since = str(t.spark.range(1).select(start).first()[0])
+    ledger = t.stock_ledger(BRANCHES, ITEMS, LONG_RANGE[1], since=since)
     return stock.balance_view(
         ledger, t.item(), t.stored_branch_map(), BRANCHES, ITEMS, *LONG_RANGE
     )
@@ -685,9 +692,7 @@ def _today(t: DriverTables, keep_unsold: bool) -> DataFrame:
     days = forecast.HORIZON if keep_unsold else 1
     recent = before.filter(F.col("date") >= F.date_sub(t.as_of(), days))
     active = materialize(recent.select(*schemas.SERIES_KEY).distinct(), "active-series")
-    in_hand = stock.balance_today(
-        t.stock_ledger(), t.item(), t.stored_branch_map(), None, None, t.as_of()
-    )
+    in_hand = _in_hand(t)
     return today.today_forecast(
         fact,
         forecast.forecast_forward(
@@ -708,7 +713,7 @@ def _today(t: DriverTables, keep_unsold: bool) -> DataFrame:
 
 
 def _ask(t: DriverTables, question: str, **args: str | int) -> DataFrame:
-    ask.publish_views(t.sales(), t.balance(), t.item_price())
+    ask.publish_views(t.sales(), t.balance(args.get("day")), t.item_price())
     return ask.ask(t.spark, question, **args)
 
 

@@ -7,16 +7,18 @@ comes from the parquet tables under ``root``.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from datetime import date
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tillcast.operators import enrich, lookup
+from tillcast.operators import enrich, lookup, stock
 from tillcast.operators.ask import VOUCHER
 from tillcast.operators.selection import Selection, choose
 from tillcast.plans.ingest import refresh_enriched
 from tillcast.session import materialize, run_dir
 from tillcast.sources.enriched_store import EnrichedStore
+from tillcast.sources.fact_store import FactStore
 from tillcast.sources.schemas import SALES_KEY
 
 TABLES = {
@@ -39,6 +41,7 @@ TABLES = {
 }
 
 OPENING_STOCK = 5000
+MOVES = "warehouse_key bigint, item_code bigint, moved double"
 #: Folder of the store of each application and data folder.
 _STORES: dict[tuple[str, str], str] = {}
 
@@ -220,26 +223,52 @@ class DriverTables:
         """Mean temperatures of the stored sales."""
         return self.store().means()
 
+    def last_day(self) -> str:
+        """The same day as text, for what reads the months around it only."""
+        return str(self.table("lineitem").agg(F.max("l_shipdate").cast("date")).first()[0])
+
     def as_of(self) -> Column:
         """The last day with a line, used wherever the reports say today."""
         return self.table("lineitem").select(F.max("l_shipdate").cast("date")).scalar()
 
     # --- stock ----------------------------------------------------------------------------
 
+    def month_moves(self) -> DataFrame:
+        """Stored sums of what left a warehouse per item and month; loaded once in a session."""
+        key = (self.spark.sparkContext.applicationId, f"{self.root}#moves")
+        if key not in _STORES:
+            path = run_dir(self.spark, "moves")
+            moves = self.table("lineitem").select(
+                F.to_date("l_shipdate").alias("date"),
+                F.col("l_suppkey").alias("warehouse_key"),
+                F.col("l_partkey").alias("item_code"),
+                F.col("l_quantity").alias("moved"),
+            )
+            FactStore(self.spark, path, MOVES).create(stock.month_moves(moves))
+            _STORES[key] = path
+        return FactStore(self.spark, _STORES[key], MOVES).read()
+
     def stock_ledger(
         self,
         branches: Sequence[str] | None = None,
         names: Selection = None,
         until: str | None = None,
+        since: str | None = None,
     ) -> DataFrame:
         """One entry per warehouse, item, day, status and voucher, with the running balance.
 
         Lines are summed per entry before the running sum, so its windows grow with the
         calendar and not with the number of lines. A choice of branches and items, the keys of
-        the running sum, and the last day asked for leave out lines before it.
+        the running sum, and the last day asked for leave out lines before it. With ``since``, only
+        lines from the start of that day's month on are read, and entries before the day left out:
+        what moved in earlier months comes from stored sums.
         """
         keys = ["warehouse", "item_code", "posting_date", "docstatus", "voucher_type"]
         lines, suppliers = self.table("lineitem"), self.table("supplier")
+        first = None if since is None else date.fromisoformat(since)
+        if first is not None:
+            month = F.lit(first.replace(day=1)).cast("timestamp_ntz")
+            lines = lines.filter(F.col("l_shipdate") >= month)
         if until is not None:
             after = F.date_add(F.lit(until).cast("date"), 1).cast("timestamp_ntz")
             lines = lines.filter(F.col("l_shipdate") < after)
@@ -255,6 +284,7 @@ class DriverTables:
             lines.join(suppliers, F.col("l_suppkey") == F.col("s_suppkey"))
             .groupBy(
                 F.col("s_name").alias("warehouse"),
+                F.col("l_suppkey").alias("warehouse_key"),
                 F.col("l_partkey").alias("item_code"),
                 F.to_date("l_shipdate").alias("posting_date"),
                 F.when(F.col("l_linestatus") == "F", 1).otherwise(0).alias("docstatus"),
@@ -266,16 +296,24 @@ class DriverTables:
             .agg(F.sum("l_quantity").alias("moved"))
         )
         so_far = (
-            Window.partitionBy("warehouse", "item_code")
+            Window.partitionBy("warehouse_key", "item_code")
             .orderBy("posting_date", "docstatus", "voucher_type")
             .rowsBetween(Window.unboundedPreceding, Window.currentRow)
         )
-        balance = OPENING_STOCK - F.sum("moved").over(so_far)
-        return entries.select(*keys, balance.alias("qty_after_transaction"))
+        found = entries.withColumn("moved", F.sum("moved").over(so_far))
+        left = OPENING_STOCK - F.col("moved")
+        if first is not None:
+            before = stock.moved_before(self.month_moves(), first)
+            found = found.filter(F.col("posting_date") >= F.lit(first)).join(
+                before, ["warehouse_key", "item_code"], "left"
+            )
+            left = left - F.coalesce("moved_before", F.lit(0.0))
+        return found.select(*keys, left.alias("qty_after_transaction"))
 
-    def balance(self) -> DataFrame:
-        """Lowest balance per branch, item, day and voucher, as the chat's balance file."""
-        named = self.stock_ledger().join(self.item(), "item_code")
+    def balance(self, day: str | None = None) -> DataFrame:
+        """Lowest balance per branch, item, day and voucher, as the chat's balance file; of one
+        day, if that is all that is asked for."""
+        named = self.stock_ledger(until=day, since=day).join(self.item(), "item_code")
         return (
             lookup.map_branches(named, self.stored_branch_map())
             .groupBy("item_name", "branch", "item_group", "posting_date", "voucher_type")
