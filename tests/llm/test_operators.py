@@ -474,6 +474,39 @@ def test_forest_tells_keys_from_look_alikes(spark):
         assert text == expected
 
 
+def test_a_secret_within_a_longer_one_leaves_no_rest(spark):
+    """Whatever their order in the text; and one that stands in many places goes everywhere."""
+    short, long = "A1b2C3d4E5f6G7h8", "A1b2C3d4E5f6G7h8ZZtop99secretTail0"
+    texts = [f"{short} and {long}", f"{long} then {short} {long}", f"x{short}y", None]
+    found = "array<struct<text string, is_secret boolean>>"
+    rows = [((i, t), [(short, True), (long, True), ("harmless", False)]) for i, t in enumerate(texts)]
+    scanned = spark.createDataFrame(rows, f"row struct<doc_id long, text string>, findings {found}")
+    clean = {r["doc_id"]: r["text"] for r in secrets.redact(scanned).collect()}
+    assert clean == {0: "[SECRET] and [SECRET]", 1: "[SECRET] then [SECRET] [SECRET]",
+                     2: "x[SECRET]y", 3: None}
+
+
+def test_transitions_equal_brute_force_and_long_candidates_end(spark):
+    signs = "abcdefghijklmnopqrstuvwxyz0123456789"
+    pick = random.Random(6)
+    language = secrets.Language(tuple(pick.uniform(-6, -1) for _ in range(36**2)), ("word",))
+    texts = ["".join(pick.choices("abcxyzABC012_+/", k=n)) for n in (16, 17, 40, 400)] + ["a" * 1_000_000]
+
+    def mean(text):
+        rare = min(language.pairs)
+        codes = [signs.find(c) for c in text.lower()]
+        pairs = [language.pairs[a * 36 + b] if a >= 0 and b >= 0 else rare
+                 for a, b in itertools.pairwise(codes)]
+        return sum(pairs) / len(pairs)
+
+    frame = spark.createDataFrame([(t, "src") for t in texts], "text string, source string")
+    found = secrets.with_candidates(frame, language).select("candidates").collect()
+    got = {c["text"]: c["features"]["transitions"] for r in found for c in r["candidates"]}
+    assert set(got) == set(texts)
+    for text in texts:
+        assert got[text] == pytest.approx(mean(text), abs=1e-5)
+
+
 def test_language_is_counted_on_all_documents(spark, monkeypatch):
     """However small the sample for labelled findings; the dictionary holds rarer words too."""
     names = ["".join(x) for x in itertools.product("bcdfg", "aeiou", "klmnp", "aeiou")]

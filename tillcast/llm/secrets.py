@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.ml.classification import RandomForestClassifier
@@ -60,10 +61,10 @@ def learn_language(docs: DataFrame, text: str = "text") -> Language:
         words.filter(F.length("word") > 1).groupBy("word").agg(F.count(F.lit(1)).alias("n")),
         "secret-words",
     )
-    place = F.explode(F.sequence(F.lit(1), F.length("word") - 1))
+    letters = F.split("word", "")  # once, as counting to a place would start at the first each time
     pairs = (
-        counts.withColumn("at", place)
-        .groupBy(F.expr("substring(word, at, 2)").alias("pair"))
+        counts.select("n", F.explode(_neighbours(letters, lambda a, b: F.concat(a, b))).alias("pair"))
+        .groupBy("pair")
         .agg(F.sum("n").alias("n"))
         .collect()
     )
@@ -80,6 +81,12 @@ def learn_language(docs: DataFrame, text: str = "text") -> Language:
     return Language(tuple(logs), tuple(longest_first))
 
 
+def _neighbours(values: Column, join: Callable[[Column, Column], Column]) -> Column:
+    """``join`` of each value of an array and the next one."""
+    rest = F.size(values) - 1
+    return F.zip_with(F.slice(values, F.lit(1), rest), F.slice(values, F.lit(2), rest), join)
+
+
 def _any_word(words: tuple[str, ...]) -> str:
     """Pattern of the longest of the words that stands at a place, as a tree of their letters, so
     that a match takes a step per letter however many words there are."""
@@ -108,20 +115,18 @@ def _share(found: Column, pattern: str) -> Column:
 
 def _transition_score(found: Column, language: Language) -> Column:
     """Mean logarithm of the frequencies of the pairs of characters in the string."""
-    letters, width = F.lower(found), len(_ALPHABET)
+    width = len(_ALPHABET)
     table = F.array(*(F.lit(round(x, 6)) for x in language.pairs))
     rare = min(language.pairs)
 
-    def code(at: Column) -> Column:
-        return F.instr(F.lit(_ALPHABET), F.substring(letters, at, F.lit(1)))
+    codes = F.transform(F.split(F.lower(found), ""), lambda c: F.instr(F.lit(_ALPHABET), c))
 
-    def pair(total: Column, at: Column) -> Column:
-        a, b = code(at), code(at + 1)
+    def pair(a: Column, b: Column) -> Column:
         seen = F.element_at(table, F.greatest((a - 1) * width + b, F.lit(1)))
-        return total + F.when((a > 0) & (b > 0), seen).otherwise(rare)
+        return F.when((a > 0) & (b > 0), seen).otherwise(rare)
 
-    places = F.sequence(F.lit(1), F.length(found) - 1)
-    return F.aggregate(places, F.lit(0.0), pair) / (F.length(found) - 1)
+    pairs = _neighbours(codes, pair)
+    return F.aggregate(pairs, F.lit(0.0), lambda total, x: total + x) / (F.length(found) - 1)
 
 
 def _features(found: Column, words: Column, path: Column, language: Language) -> Column:
@@ -273,15 +278,19 @@ def scan_secrets(
 
     Pairs of characters and words are counted on all rows. ``findings``: labelled findings
     (features, label) to train on; without them they are labelled by rule in a sample of at most
-    about SAMPLE_DOCS documents and LABELLED_FINDINGS findings. Only training uses the sample:
-    every row is scanned, whole. A null text has no
+    about SAMPLE_DOCS documents and LABELLED_FINDINGS findings, both chosen by seeded hashes and so
+    the same in every run. Only training uses the sample: every row is scanned, whole. A null text has no
     findings, a null path is not a trial path. Repeated rows stay. Without any labelled
     finding nothing is called a secret. Other columns are kept in ``row``, whatever their names.
     """
     language = learn_language(docs, text)
     if findings is None:
-        sample = docs.sample(min(1.0, SAMPLE_DOCS / max(docs.count(), 1)), seed)
-        findings = labelled_findings(sample, language, text, path).limit(LABELLED_FINDINGS)
+        share = int(2**30 * min(1.0, SAMPLE_DOCS / max(docs.count(), 1)))
+        chosen = F.pmod(F.xxhash64(docs[text], F.lit(seed)), F.lit(2**30)) < share
+        sample = docs.filter(chosen)
+        findings = labelled_findings(sample, language, text, path)
+        by_print = F.xxhash64("features", F.lit(seed))
+        findings = findings.orderBy(by_print, "label").limit(LABELLED_FINDINGS)
     trees = train_forest(findings, seed)
 
     def judged(c: Column) -> Column:
@@ -299,11 +308,17 @@ def scan_secrets(
 
 
 def redact(scanned: DataFrame, text: str = "text", mark: str = "[SECRET]") -> DataFrame:
-    """The rows that were scanned, with ``mark`` in place of every secret found in the text."""
-    secrets = F.array_distinct(
-        F.transform(F.filter("findings", lambda f: f["is_secret"]), lambda f: f["text"])
+    """The rows that were scanned, with ``mark`` in place of every secret found in the text.
+
+    Longer secrets go first, so that one that holds another leaves no rest in the text."""
+    secrets = F.transform(
+        F.filter("findings", lambda f: f["is_secret"]),
+        lambda f: F.struct((-F.length(f["text"])).alias("size"), f["text"].alias("text")),
+    )
+    ordered = F.array_sort(F.array_distinct(secrets))
+    clean = F.aggregate(
+        ordered, F.col("row")[text], lambda t, s: F.replace(t, s["text"], F.lit(mark))
     )
-    clean = F.aggregate(secrets, F.col("row")[text], lambda t, s: F.replace(t, s, F.lit(mark)))
     names = scanned.schema["row"].dataType.names
     return scanned.select(
         *((clean if name == text else F.col("row")[name]).alias(name) for name in names)
