@@ -275,15 +275,15 @@ _LEVELS = pa.list_(pa.struct([(c, pa.binary()) for c in ("limits", "columns", "i
 
 def _indexed(postings: DataFrame, sent, total: int, length: int) -> DataFrame:
     """Rows (ids, levels): an index block each."""
-    names = ["ids", "levels"]
+    names, block = ["ids", "levels"], BLOCK
 
     def build(records: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, count = [], 0
         for record in records:
-            for low in range(0, len(record), BLOCK):
-                held.append(record.slice(low, BLOCK))
+            for low in range(0, len(record), block):
+                held.append(record.slice(low, block))
                 count += len(held[-1])
-                if count >= BLOCK:
+                if count >= block:
                     yield made(pa.Table.from_batches(held))
                     held, count = [], 0
         if count:

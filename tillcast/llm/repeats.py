@@ -2,10 +2,10 @@
 
 Every string of ``length`` bytes has an anchor: its ``GRAM``-byte piece with the smallest hash, the
 first of equals. Equal strings have equal anchors, so all strings meet if texts are dealt by anchor:
-what is sent for an anchor is its surroundings, the bytes of the successive strings that share it.
-Anchors met in one document only are left out first; equal surroundings are sent once a task and
-become one row. The different surroundings of an anchor are joined to a string of their own, whose
-suffix array shows the repeats: suffixes that share ``length`` bytes are neighbours.
+an anchor stands for its surroundings, the bytes of the successive strings that share it. Anchors met in
+one document only are left out first, and fingerprints tell equal surroundings. Where an anchor has
+different ones with a like side, the bytes of each are fetched once and joined to a string of their
+own, whose suffix array shows the repeats: suffixes that share ``length`` bytes are neighbours.
 
 Suffix arrays are made by linear grouping. Suffixes start in groups by their first byte. Groups are
 taken in descending order; the previous smaller group's suffix before each member is found by
@@ -14,8 +14,9 @@ one, by how many members pointed at them. Each group then holds the suffixes wit
 An ascending pass puts suffixes at the front of their groups, which orders each group; no suffix is
 renamed and nothing recurs. Many strings are treated in lockstep, a group of each at a time.
 
-An anchor with more than ``SURROUNDINGS`` different ones (a line that a large part of all documents
-holds) isn't sorted in one task: its strings are dealt by their own fingerprints.
+Anchors with more than ``SURROUNDINGS`` different ones (a line that a large part of all documents
+holds) would hold up the lockstep, so their strings are told by fingerprints; those with more than
+``USES`` uses aren't even gathered in one task, but their strings dealt by their fingerprints.
 """
 
 from __future__ import annotations
@@ -28,18 +29,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tillcast.llm.scratch import Scratch
 from tillcast.llm.words import U64, Texts, batches, mix, run_hashes
-from tillcast.session import materialize
 
 #: Bytes of the piece whose hash makes an anchor.
 GRAM = 16
 #: Strings whose anchors are found at once; their numbers fill the low bits of a hash.
-STEP_BITS = 19
-#: Different surroundings of an anchor up to which they are sorted together.
-SURROUNDINGS = 256
+STEP_BITS = 15
+#: Uses of an anchor up to which its surroundings are compared in one task, and different
+#: surroundings up to which they get a suffix array; the strings of more are told by fingerprints.
+USES, SURROUNDINGS = 4096, 64
 #: Bytes of surroundings that a task sorts in lockstep. Anchors with more than ``FEW`` wait for others
 #: of that kind, as a lockstep takes as long as its longest string.
-LOCKSTEP_BYTES, FEW = 1 << 20, 12
+LOCKSTEP_BYTES, FEW = 1 << 20, 10
 #: Bits of the filter of shared anchors; with more of them than a quarter of it they are joined.
 FILTER_BITS = 1 << 26
 _NO_ID = np.iinfo(np.int64).max  # a null id is later than all others
@@ -172,9 +174,12 @@ def _emitted(group, before, starts, ends) -> np.ndarray:
 # --- anchors -----------------------------------------------------------------------------
 
 
+_BYTES = mix(np.arange(256, dtype=U64) + U64(0x9E3779B97F4A7C15))
+
+
 def _gram_hashes(data: np.ndarray, size: int) -> np.ndarray:
     """Hash of the ``size`` bytes from each place on (a power of two)."""
-    grown = mix(data.astype(U64) + U64(0x9E3779B97F4A7C15))
+    grown = _BYTES[data]
     step = 1
     while step < size:
         factor = U64(pow(0xA0761D6478BD642F, step, 2**64))
@@ -194,9 +199,9 @@ def _window_minimum(values: np.ndarray, width: int) -> np.ndarray:
 
 def surroundings(
     texts: Texts, length: int
-) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(anchor, first string, number of strings, text) of the runs of strings with one anchor."""
-    low_bits = U64((1 << STEP_BITS) - 1)
+) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(anchor, its place, first string, number of strings, text) of runs of strings with one anchor."""
+    low_bits = U64((2 << STEP_BITS) - 1)  # room for the pieces beyond the last string's start
     data, limits = texts.data, texts.limits
     for low in range(0, max(len(data) - length + 1, 0), 1 << STEP_BITS):
         count = min(1 << STEP_BITS, len(data) - length + 1 - low)
@@ -205,18 +210,23 @@ def surroundings(
         # the number in the low bits makes the first of equal hashes the smallest
         numbered = (hashes & ~low_bits) | (np.arange(len(hashes), dtype=U64) & low_bits)
         least = _window_minimum(numbered, length - GRAM + 1)
-        shift = (least & low_bits).astype(np.int64) - np.arange(count)
-        place = np.arange(count) + np.where(shift < 0, shift + (1 << STEP_BITS), shift)
-        text = np.searchsorted(limits, np.arange(low, low + count), "right") - 1
-        inside = np.flatnonzero(np.arange(low, low + count) + length <= limits[text + 1])
-        if not len(inside):
-            continue
-        cut = np.ones(len(inside), bool)
-        cut[1:] = (place[inside[1:]] != place[inside[:-1]]) | (np.diff(inside) != 1)
+        place = (least & low_bits).astype(np.int64)
+        # strings that run into the next text are none
+        depth = np.zeros(count + 1, np.int32)
+        ends = limits[np.searchsorted(limits, low, "right") :]
+        ends = ends[: np.searchsorted(ends, low + count + length)] - low
+        np.add.at(depth, np.clip(ends - length + 1, 0, count), 1)
+        np.add.at(depth, np.clip(ends, 0, count), -1)
+        inside = np.cumsum(depth[:count]) == 0
+        cut = np.ones(count, bool)
+        cut[1:] = (place[1:] != place[:-1]) | (inside[1:] != inside[:-1])
         first = np.flatnonzero(cut)
-        size = np.diff(np.append(first, len(inside)))
-        start = inside[first]
-        yield hashes[place[start]], start + low, size, text[start]
+        size = np.diff(np.append(first, count))
+        good = inside[first]
+        first, size = first[good], size[good]
+        at = place[first]
+        start = first + low
+        yield hashes[at], at + low, start, size, np.searchsorted(limits, start, "right") - 1
 
 
 def _numbers(part: pa.RecordBatch) -> np.ndarray:
@@ -225,100 +235,194 @@ def _numbers(part: pa.RecordBatch) -> np.ndarray:
 
 
 def _shared(docs: DataFrame, length: int) -> DataFrame:
-    """Anchors met in more than one document."""
+    """Anchors met in more than one document, with their number of uses."""
 
     def scan(records: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for record in records:
             for part, texts in batches(record, "text", False):
                 ids = _numbers(part)
-                for key, _, _, text in surroundings(texts, length):
+                for key, _, _, _, text in surroundings(texts, length):
                     order = np.lexsort((ids[text], key))
                     key, own = key[order], ids[text][order]
                     cut = np.ones(len(key), bool)
                     cut[1:] = key[1:] != key[:-1]
                     first = np.flatnonzero(cut)
-                    last = np.append(first[1:], len(key)) - 1
-                    columns = [key[first].view(np.int64), own[first], own[last]]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(c) for c in columns], names=["key", "low", "high"]
-                    )
+                    after = np.append(first[1:], len(key))
+                    yield _batch(
+                        {"key": key[first], "low": own[first], "high": own[after - 1],
+                         "uses": after - first}
+                    )
+
+    met = docs.mapInArrow(scan, "key bigint, low bigint, high bigint, uses bigint")
+    sums = F.min("low").alias("low"), F.max("high").alias("high"), F.sum("uses").alias("uses")
+    return met.groupBy("key").agg(*sums).filter("low < high").select("key", "uses")
+
+
+def _filter(tags: DataFrame):
+    """A broadcast bit table of numbers (``FILTER_BITS``, whatever their number), or None if there
+    are too many for it to leave out much. It holds every number, and a few others."""
+    size = FILTER_BITS
+    if tags.count() > size // 4:
+        return None
+
+    def bits(records: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for record in records:
+            at = np.unique(_bit(record.column(0).to_numpy(zero_copy_only=False), size))
+            cut = np.flatnonzero(np.append(True, np.diff(at >> 6) != 0)) if len(at) else at
+            words = np.bitwise_or.reduceat(np.int64(1) << (at & 63), cut) if len(at) else at
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(at[cut] >> 6), pa.array(words)], names=["word", "bits"]
+            )
+
+    found = (
+        tags.mapInArrow(bits, "word bigint, bits bigint")
+        .groupBy("word")
+        .agg(F.bit_or("bits").alias("bits"))
+        .toArrow()
+    )
+    table = np.zeros(size // 64, np.int64)
+    table[found.column("word").to_numpy()] = found.column("bits").to_numpy()
+    return tags.sparkSession.sparkContext.broadcast(table)
 
-    met = docs.mapInArrow(scan, "key bigint, low bigint, high bigint")
-    least, most = F.min("low").alias("low"), F.max("high").alias("high")
-    return met.groupBy("key").agg(least, most).filter("low < high").select("key")
 
+def _bit(tags: np.ndarray, size: int) -> np.ndarray:
+    return (mix(tags.view(U64)) % U64(size)).astype(np.int64)
 
-def _bit(keys: np.ndarray) -> np.ndarray:
-    return (mix(keys.view(U64)) % U64(FILTER_BITS)).astype(np.int64)
 
+def _held(table, tags: np.ndarray) -> np.ndarray:
+    if table is None:
+        return np.ones(len(tags), bool)
+    at = _bit(tags, 64 * len(table.value))
+    return (table.value[at >> 6] >> (at & 63) & 1).astype(bool)
 
-def _filter(shared: DataFrame):
-    """A broadcast bit table of the anchors (``FILTER_BITS``, whatever their number), or None if
-    there are too many for it."""
-    if shared.count() > FILTER_BITS // 4:
-        return None
 
-    def bits(records: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for record in records:
-            at = np.unique(_bit(record.column("key").to_numpy(zero_copy_only=False)))
-            yield pa.RecordBatch.from_arrays([pa.array(at)], names=["bit"])
+def _tag(key: np.ndarray, own: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    return mix(key.view(U64) ^ mix(own.view(U64) + mix(ids.astype(np.int64).view(U64))))
+
 
-    table = np.zeros(FILTER_BITS, bool)
-    found = shared.mapInArrow(bits, "bit bigint").distinct().toArrow()
-    table[found.column("bit").to_numpy()] = True
-    return shared.sparkSession.sparkContext.broadcast(np.packbits(table))
+def _prints(texts: Texts, start: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    low = int(start.min()) if len(start) else 0
+    part = texts.data[low : int(ends.max()) if len(ends) else 0]
+    return run_hashes(part, start - low, ends - low, False)
 
 
-def _met(docs: DataFrame, length: int, packed) -> DataFrame:
-    """Rows of surroundings: (kind 0, key, print, id, text print, first string) for each place, and
-    (kind 1, key, print, smallest id, largest id, bytes) for those that differ in a batch."""
-    names = ["kind", "key", "print", "id", "more", "start", "bytes"]
+def _batch(columns: dict[str, np.ndarray], **arrays: pa.Array) -> pa.RecordBatch:
+    made = {
+        name: pa.array(c.view(np.int64) if c.dtype == U64 else c.astype(np.int64))
+        for name, c in columns.items()
+    }
+    return pa.RecordBatch.from_pydict(made | arrays)
+
+
+def _sides(texts: Texts, at: np.ndarray, start: np.ndarray, ends: np.ndarray, length: int):
+    """Two 16-bit prints: of the bytes up to the anchor's end and of those from its start on, as
+    many as one of both sides of any string holds; 0 where the surroundings are shorter."""
+    reach = GRAM + (length - GRAM) // 2
+    found = np.zeros(len(at), np.int64)
+    for shift, low in ((0, at + GRAM - reach), (16, at)):
+        good = (low >= start) & (low + reach <= ends)
+        prints = _prints(texts, low[good], low[good] + reach)
+        found[good] |= ((prints >> U64(48)) | U64(1)).astype(np.int64) << shift
+    return found
+
+
+def _places(docs: DataFrame, length: int, shared, hot) -> DataFrame:
+    """(key, print, id, text_print, start, n, sides, hot) of the surroundings of shared anchors; hot is
+    1 for all anchors in the table ``hot``, and maybe for others."""
 
     def scan(records: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for record in records:
             for part, texts in batches(record, "text", False):
                 ids = _numbers(part)
-                prints = part.column("print").to_numpy(zero_copy_only=False)
-                for key, start, size, text in surroundings(texts, length):
-                    if packed is not None:
-                        at = _bit(key)
-                        hit = packed.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1
-                        hit = hit.astype(bool)
-                        key, start, size, text = (x[hit] for x in (key, start, size, text))
-                    if len(key):
-                        yield from rows(texts, key, start, size, ids[text], prints[text])
-
-    def rows(texts, key, start, size, ids, prints) -> Iterator[pa.RecordBatch]:
-        ends = start + size + length - 1
-        low = int(start.min())
-        part = texts.data[low : int(ends.max())]
-        own = run_hashes(part, start - low, ends - low, False)
-        offset = np.searchsorted(texts.limits, start, "right") - 1
-        within = start - texts.limits[offset]
-        columns = [np.zeros(len(key)), key, own, ids, prints, within]
-        yield batch(columns, pa.nulls(len(key), pa.binary()))
+                of_text = part.column("print").to_numpy(zero_copy_only=False)
+                for found in surroundings(texts, length):
+                    hit = _held(shared, found[0])
+                    key, at, start, n, text = (x[hit] for x in found)
+                    ends = start + n + length - 1
+                    yield _batch(
+                        {"key": key, "print": _prints(texts, start, ends), "id": ids[text],
+                         "text_print": of_text[text], "start": start - texts.limits[text],
+                         "n": n, "sides": _sides(texts, at, start, ends, length),
+                         "hot": _held(hot, key)}
+                    )
+
+    names = ["key", "print", "id", "text_print", "start", "n", "sides", "hot"]
+    return docs.mapInArrow(scan, ", ".join(f"{c} bigint" for c in names))
+
+
+def _compared(places: DataFrame) -> DataFrame:
+    """(key, print, low, high, n, alone): the different surroundings of each anchor; alone if no other
+    one of the anchor has a side like theirs, so that they share no string with it."""
+    names = ["key", "print", "low", "high", "n", "alone"]
+
+    def compare(records: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = [np.zeros(0, np.int64)] * 5
+        for record in records:
+            new = [record.column(k).to_numpy(zero_copy_only=False) for k in range(5)]
+            held = [np.concatenate(x) for x in zip(held, new, strict=True)]
+            cut = int(np.searchsorted(held[0], held[0][-1])) if len(held[0]) else 0
+            if cut:
+                yield whole(*(x[:cut] for x in held))
+                held = [x[cut:] for x in held]
+        if len(held[0]):
+            yield whole(*held)
+
+    def whole(key, own, ids, n, sides) -> pa.RecordBatch:
         order = np.lexsort((ids, own, key))
-        cut = np.ones(len(key), bool)
-        cut[1:] = (key[order][1:] != key[order][:-1]) | (own[order][1:] != own[order][:-1])
-        first = np.flatnonzero(cut)
-        last = order[np.append(first[1:], len(key)) - 1]
-        first = order[first]
-        bytes_ = texts.data[_ranges(start[first], ends[first] - start[first])]
-        limits = np.concatenate([[0], np.cumsum(ends[first] - start[first])]).astype(np.int32)
-        held = pa.Array.from_buffers(
-            pa.binary(), len(first), [None, pa.py_buffer(limits), pa.py_buffer(bytes_)]
-        )
-        columns = [np.ones(len(first)), key[first], own[first], ids[first], ids[last]]
-        yield batch([*columns, np.zeros(len(first))], held)
+        key, own, ids, n, sides = (x[order] for x in (key, own, ids, n, sides))
+        new = np.ones(len(key), bool)
+        new[1:] = (key[1:] != key[:-1]) | (own[1:] != own[:-1])
+        first = np.flatnonzero(new)
+        last = np.append(first[1:], len(key)) - 1
+        key, own, low, high, n, sides = key[first], own[first], ids[first], ids[last], n[first], sides[first]
+        alone = np.ones(len(key), bool)
+        for side in (sides & 0xFFFF, sides >> 16):
+            order = np.lexsort((side, key))
+            same = (key[order][1:] == key[order][:-1]) & (side[order][1:] == side[order][:-1])
+            same &= side[order][1:] != 0
+            alone[order[1:][same]] = alone[order[:-1][same]] = False
+        return _batch({"key": key, "print": own, "low": low, "high": high, "n": n, "alone": alone})
+
+    return (
+        places.select("key", "print", "id", "n", "sides")
+        .repartition("key")
+        .sortWithinPartitions("key")
+        .mapInArrow(compare, ", ".join(f"{c} bigint" for c in names))
+    )
+
+
+def _bytes(docs: DataFrame, length: int, wanted: DataFrame) -> DataFrame:
+    """(key, print, null, null, bytes) of all of ``wanted`` (key, print, low, high), taken from document
+    ``low``, and maybe of others."""
+
+    def tags(records: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for record in records:
+            columns = [record.column(c).to_numpy(zero_copy_only=False) for c in range(3)]
+            yield _batch({"tag": _tag(*columns)})
+
+    table = _filter(wanted.select("key", "print", "low").mapInArrow(tags, "tag bigint"))
 
-    def batch(columns: list[np.ndarray], held: pa.Array) -> pa.RecordBatch:
-        arrays = [
-            pa.array(c.view(np.int64) if c.dtype == U64 else c.astype(np.int64)) for c in columns
-        ]
-        return pa.RecordBatch.from_arrays([*arrays, held], names=names)
+    def scan(records: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for record in records:
+            for part, texts in batches(record, "text", False):
+                ids = _numbers(part)
+                for key, _, start, n, text in surroundings(texts, length):
+                    ends = start + n + length - 1
+                    own = _prints(texts, start, ends)
+                    hit = _held(table, _tag(key, own, ids[text]))
+                    key, own, start, ends = key[hit], own[hit], start[hit], ends[hit]
+                    limits = np.concatenate([[0], np.cumsum(ends - start)]).astype(np.int32)
+                    held = texts.data[_ranges(start, ends - start)]
+                    bytes_ = pa.Array.from_buffers(
+                        pa.binary(), len(key), [None, pa.py_buffer(limits), pa.py_buffer(held)]
+                    )
+                    none = pa.nulls(len(key), pa.int64())
+                    yield _batch({"key": key, "print": own}, low=none, high=none, bytes=bytes_)
 
-    types = [*(f"{name} bigint" for name in names[:-1]), "bytes binary"]
-    return docs.mapInArrow(scan, ", ".join(types))
+    found = docs.mapInArrow(
+        scan, "key bigint, print bigint, low bigint, high bigint, bytes binary"
+    )
+    return found if table is not None else found.join(wanted, ["key", "print"], "left_semi")
 
 
 # --- repeats -----------------------------------------------------------------------------
@@ -366,10 +470,29 @@ def first_ids(
     return found
 
 
-def _repeats(contexts: DataFrame, length: int) -> DataFrame:
+def _first_by_print(
+    bytes_: np.ndarray, limits: np.ndarray, key: np.ndarray, ids: np.ndarray, length: int
+) -> np.ndarray:
+    """The same as ``first_ids`` by 64-bit fingerprints of the strings."""
+    strings = np.diff(limits) - length + 1
+    starts = _ranges(limits[:-1], strings)
+    of = np.repeat(np.arange(len(key)), strings)
+    prints = run_hashes(bytes_, starts, starts + length, False)
+    order = np.lexsort((ids[of], prints, key[of]))
+    new = np.ones(len(order), bool)
+    same = (prints[order][1:] == prints[order][:-1]) & (key[of[order]][1:] == key[of[order]][:-1])
+    new[1:] = ~same
+    found = np.empty(len(order), np.int64)
+    found[order] = ids[of[order[np.flatnonzero(new)]]][np.cumsum(new) - 1]
+    return found
+
+
+def _repeats(wanted: DataFrame, known: DataFrame, length: int) -> DataFrame:
     """Rows (key, print, at, n, first): from string ``at`` on, n strings of these surroundings
-    occur first in the document ``first``, and the surroundings in a later one."""
+    occur first in the document ``first``, and the surroundings in a later one. ``wanted``: different
+    surroundings (key, print, low, high), ``known``: their bytes, see ``_bytes``."""
     names = ["key", "print", "at", "n", "first"]
+    most, few_of, at_once = SURROUNDINGS, FEW, LOCKSTEP_BYTES
 
     def sort(records: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -380,31 +503,39 @@ def _repeats(contexts: DataFrame, length: int) -> DataFrame:
                 continue
             held.append(record)
             count += record.nbytes
-            if count >= LOCKSTEP_BYTES:
+            if count >= at_once:
                 rows = pa.Table.from_batches(held).combine_chunks()
                 keys = rows.column("key").to_numpy()
                 cut = int(np.searchsorted(keys, keys[-1]))  # the last key may go on
                 if cut:
-                    few, more = parted(rows.slice(0, cut))
+                    few, more = parted(paired(rows.slice(0, cut)))
                     yield from found(few)
                     many.append(more)
                     waiting += more.nbytes
                     rows = rows.slice(cut)
                 held, count = rows.combine_chunks().to_batches(), rows.nbytes
-                if waiting >= 4 * LOCKSTEP_BYTES:
+                if waiting >= 4 * at_once:
                     yield from found(pa.concat_tables(many).combine_chunks())
                     many, waiting = [], 0
         if count:
-            few, more = parted(pa.Table.from_batches(held).combine_chunks())
+            few, more = parted(paired(pa.Table.from_batches(held).combine_chunks()))
             yield from found(few)
             many.append(more)
         if many:
             yield from found(pa.concat_tables(many).combine_chunks())
 
+    def paired(rows: pa.Table) -> pa.Table:
+        """Each of the wanted with its bytes, which follow it."""
+        told = rows.column("low").is_valid().to_numpy()
+        key, own = rows.column("key").to_numpy(), rows.column("print").to_numpy()
+        one = np.flatnonzero(told[:-1] & ~told[1:] & (key[1:] == key[:-1]) & (own[1:] == own[:-1]))
+        bytes_ = rows.column("bytes").take(pa.array(one + 1))
+        return rows.take(pa.array(one)).drop_columns("bytes").append_column("bytes", bytes_)
+
     def parted(rows: pa.Table) -> tuple[pa.Table, pa.Table]:
         keys = rows.column("key").to_numpy()
         sizes = np.searchsorted(keys, keys, "right") - np.searchsorted(keys, keys)
-        return tuple(rows.filter(pa.array(x)).combine_chunks() for x in (sizes <= FEW, sizes > FEW))
+        return tuple(rows.filter(pa.array(x)).combine_chunks() for x in (sizes <= few_of, sizes > few_of))
 
     def found(rows: pa.Table) -> Iterator[pa.RecordBatch]:
         low = 0
@@ -412,7 +543,7 @@ def _repeats(contexts: DataFrame, length: int) -> DataFrame:
         keys = rows.column("key").to_numpy()
         while low < len(rows):
             start = int(sizes[low - 1]) if low else 0
-            high = int(np.searchsorted(sizes, start + 2 * LOCKSTEP_BYTES)) + 1
+            high = int(np.searchsorted(sizes, start + 2 * at_once)) + 1
             high = int(np.searchsorted(keys, keys[min(high, len(rows)) - 1], "right"))
             yield part(rows.slice(low, high - low))
             low = high
@@ -424,15 +555,15 @@ def _repeats(contexts: DataFrame, length: int) -> DataFrame:
         bytes_ = np.frombuffer(b"".join(texts), np.uint8)
         limits = np.concatenate([[0], np.cumsum(sizes)])
         strings = sizes - length + 1
-        alone = np.ones(len(key), bool)
-        alone[1:] &= key[1:] != key[:-1]
-        alone[:-1] &= key[1:] != key[:-1]
-        first = np.repeat(ids, strings)
-        some = np.flatnonzero(~alone)  # a lone one has nothing to be compared with
-        if len(some):
-            chosen = bytes_[_ranges(limits[some], sizes[some])]
-            inner = np.concatenate([[0], np.cumsum(sizes[some])])
-            first[np.repeat(~alone, strings)] = first_ids(chosen, inner, key[some], ids[some], length)
+        different = np.searchsorted(key, key, "right") - np.searchsorted(key, key)
+        first = np.repeat(ids, strings)  # right for a lone one, which has no other to share with
+        many = different > most
+        for rows_, way in ((~many & (different > 1), first_ids), (many, _first_by_print)):
+            some = np.flatnonzero(rows_)
+            if len(some):
+                chosen = bytes_[_ranges(limits[some], sizes[some])]
+                inner = np.concatenate([[0], np.cumsum(sizes[some])])
+                first[np.repeat(rows_, strings)] = way(chosen, inner, key[some], ids[some], length)
         of = np.repeat(np.arange(len(key)), strings)
         new = np.ones(len(of), bool)
         new[1:] = (of[1:] != of[:-1]) | (first[1:] != first[:-1])
@@ -444,14 +575,16 @@ def _repeats(contexts: DataFrame, length: int) -> DataFrame:
         columns = [key[row], own[row], heads - before[row], n, first[heads]]
         return pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in columns], names=names)
 
+    told = wanted.select("key", "print", "low", "high", F.lit(None).cast("binary").alias("bytes"))
     return (
-        contexts.repartition("key")
-        .sortWithinPartitions("key")
+        told.unionByName(known)
+        .repartition("key")
+        .sortWithinPartitions("key", "print", F.col("low").asc_nulls_last())
         .mapInArrow(sort, ", ".join(f"{c} bigint" for c in names))
     )
 
 
-def _dealt_singly(contexts: DataFrame, length: int) -> DataFrame:
+def _dealt_singly(contexts: DataFrame, length: int, scratch: Scratch) -> DataFrame:
     """The same for surroundings of very frequent anchors, by fingerprints of their strings."""
     names = ["key", "print", "at", "string", "low", "high"]
 
@@ -473,14 +606,16 @@ def _dealt_singly(contexts: DataFrame, length: int) -> DataFrame:
         columns = [own[0], own[1], starts - limits[of], prints, own[2], own[3]]
         return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)
 
-    strings = materialize(
-        contexts.mapInArrow(cut, ", ".join(f"{c} bigint" for c in names)), "repeats-strings"
+    strings = scratch.keep(
+        contexts.mapInArrow(cut, ", ".join(f"{c} bigint" for c in names)), "strings"
+    )
+    first = scratch.keep(
+        strings.groupBy("key", "string")
+        .agg(F.min("low").alias("first"), F.max("high").alias("last"))
+        .filter("first < last")
+        .drop("last"),
+        "firsts",
     )
-    first = materialize(
-        strings.groupBy("key", "string").agg(F.min("low").alias("first"), F.max("high").alias("last"))
-        .filter("first < last").drop("last"),
-        "repeats-firsts",
-    )
     return (
         strings.join(first, ["key", "string"])
         .filter("first < high")
@@ -504,38 +639,45 @@ def remove_repeats(
     number = docs[id].cast("bigint")
     body = F.coalesce(docs[text].cast("string"), F.lit(""))
     chosen = docs.select(number.alias("id"), F.xxhash64(body).alias("print"), body.alias("text"))
-    shared = materialize(_shared(chosen, length), "repeats-anchors")
-    packed = _filter(shared)
-    met = _met(chosen, length, packed)
-    if packed is None:
-        met = met.join(shared, "key", "left_semi")
-    met = materialize(met, "repeats-met")
-    if packed is not None:
-        packed.unpersist()
-    contexts = materialize(
-        met.filter("kind = 1")
-        .groupBy("key", "print")
-        .agg(F.min("id").alias("low"), F.max("more").alias("high"), F.first("bytes").alias("bytes")),
-        "repeats-contexts",
+    scratch = Scratch(docs.sparkSession, "repeats")
+    shared = scratch.keep(_shared(chosen, length), "anchors")
+    table = _filter(shared.select("key"))
+    hot = shared.filter(F.col("uses") > USES).select("key")
+    any_hot = not hot.isEmpty()
+    places = _places(chosen, length, table, _filter(hot))
+    if table is None:
+        places = places.join(shared.select("key"), "key", "left_semi")
+    places = scratch.keep(places, "places")
+    scratch.drop("anchors")
+    compared = scratch.keep(_compared(places.filter("hot = 0")), "compared")
+    wanted = compared.filter("alone = 0")
+    found = _repeats(wanted, _bytes(chosen, length, wanted), length).unionByName(
+        compared.filter("alone = 1 AND low < high").select(
+            "key", "print", F.lit(0).cast("bigint").alias("at"), "n", F.col("low").alias("first")
+        )
     )
-    counts = contexts.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
-    often = materialize(counts.filter(F.col("n") > SURROUNDINGS).select("key"), "repeats-often")
-    found = _repeats(contexts.join(often, "key", "left_anti"), length)
-    if not often.isEmpty():
-        found = found.unionByName(
-            _dealt_singly(contexts.join(often, "key", "left_semi"), length)
+    if any_hot:
+        different = places.filter("hot = 1").groupBy("key", "print").agg(
+            F.min("id").alias("low"), F.max("id").alias("high")
+        )
+        different = scratch.keep(different, "hot-surroundings")
+        held = _bytes(chosen, length, different).groupBy("key", "print").agg(
+            F.first("bytes").alias("bytes")
         )
-    found = materialize(found, "repeats-found")
+        known = different.join(held, ["key", "print"])
+        found = found.unionByName(_dealt_singly(known, length, scratch))
+    found = scratch.keep(found, "found")
+    scratch.drop("compared")
     start = F.col("start") + F.col("at")
     spans = (
-        met.filter("kind = 0")
-        .select("key", "print", "id", F.col("more").alias("text_print"), "start")
+        places.select("key", "print", "id", "text_print", "start")
         .join(found, ["key", "print"])
         .filter("first < id")
         .groupBy("id", "text_print")
         .agg(F.collect_set(F.struct(start.alias("low"), (start + F.col("n")).alias("high"))).alias("spans"))
     )
-    spans = materialize(spans, "repeats-spans")
+    spans = scratch.keep(spans, "spans")
+    scratch.drop("places", "found")
     rows = chosen.withColumn("number", F.coalesce("id", F.lit(int(_NO_ID)))).join(
         spans.select(F.col("id").alias("number"), F.col("text_print").alias("print"), "spans"),
         ["number", "print"],
