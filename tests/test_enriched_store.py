@@ -6,11 +6,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from tillcast.operators import forecast
-from tillcast.plans.forecasting import refit_changed
+from tillcast.plans.forecasting import KEPT_RUNS, refit_changed, refresh_forecast
 from tillcast.plans.ingest import refresh_enriched
 from tillcast.session import run_dir
 from tillcast.sources import schemas
 from tillcast.sources.enriched_store import EnrichedStore, month_statistics
+from tillcast.sources.fact_store import folder_of
 
 MAP = [("W1", "north"), ("W2", "north"), ("W3", "south")]
 FIRST = dt.date(2024, 1, 1)
@@ -101,3 +102,18 @@ def test_only_changed_series_are_fitted_again(spark, tables, rows, monkeypatch):
     assert south.agg(F.min("date")).first()[0] == FIRST + dt.timedelta(days=33)
     assert rows(second.filter("branch <> 'south'")) == [r for r in first if "south" not in r]
     assert second.count() == len(first)
+
+
+def test_old_and_lost_runs_leave_no_folders(spark, rows):
+    path = run_dir(spark, "test-runs")
+    made = [(FIRST + dt.timedelta(days=n), "n", "g", "a", float(n % 3)) for n in range(12)]
+    enriched = spark.createDataFrame([(*r, "Monday", False, 1.0, 2.0) for r in made], schemas.ENRICHED)
+    held = None
+    for k in range(6):
+        spark.range(1).write.parquet(f"{path}/runs/lost{k}")
+        before, held = held, refresh_forecast(spark, True, enriched, path)
+        if before is not None:
+            assert rows(before) == rows(held)  # a reader of the last run goes on reading
+    root, files = folder_of(spark, f"{path}/runs")
+    assert len(files.listStatus(root)) == KEPT_RUNS
+    assert rows(refresh_forecast(spark, False, enriched, path)) == rows(held)

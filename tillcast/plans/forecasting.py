@@ -12,9 +12,12 @@ from tillcast.operators.forecast import forecast_forward
 from tillcast.session import materialize
 from tillcast.sources import schemas
 from tillcast.sources.enriched_store import EnrichedStore
+from tillcast.sources.fact_store import folder_of
 from tillcast.sources.readers import read_parquet
 from tillcast.sources.schemas import SERIES_KEY
 
+#: Runs of which the forecast is kept; at least two, for those who read the one before.
+KEPT_RUNS = 3
 SERVED = "run string, at timestamp"
 PRINTS = "branch string, item_name string, print bigint"
 
@@ -43,6 +46,24 @@ def refresh_forecast(
 def _serve(spark: SparkSession, path: str, run: str) -> None:
     entry = spark.range(1).select(F.lit(run).alias("run"), F.current_timestamp().alias("at"))
     entry.coalesce(1).write.mode("append").parquet(f"{path}/served")
+    retire_runs(spark, path)
+
+
+def retire_runs(spark: SparkSession, path: str, keep: int = KEPT_RUNS) -> None:
+    """Remove the folders of all runs but the ``keep`` served last, lost ones included.
+
+    A reader has the forecast it was given for that many further runs. There is one writer at a time
+    and it calls this after its own run is served, so no unserved folder is still being written.
+    """
+    served = read_parquet(spark, f"{path}/served", SERVED)
+    newest = {r["run"] for r in served.orderBy(F.desc("at")).limit(keep).collect()}
+    for kind in ("runs", "prints"):
+        root, files = folder_of(spark, f"{path}/{kind}")
+        if not files.exists(root):
+            continue
+        for status in files.listStatus(root):
+            if status.getPath().getName() not in newest:
+                files.delete(status.getPath(), True)
 
 
 def _served(spark: SparkSession, path: str) -> str | None:

@@ -18,6 +18,12 @@ def month_of(column: str = "date"):
     return F.date_format(F.col(column), "yyyy-MM")
 
 
+def folder_of(spark: SparkSession, path: str):
+    """A path and its file system, as Spark's own writers see them."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return folder, folder.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
 class FactStore:
     """Stored sales, one folder per month.
 
@@ -102,6 +108,4 @@ class FactStore:
                 files.delete(status.getPath(), True)
 
     def folder(self, path: str):
-        """A path and its file system, as Spark's own writers see them."""
-        folder = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        return folder, folder.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        return folder_of(self.spark, path)
