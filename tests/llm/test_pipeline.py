@@ -83,3 +83,40 @@ def test_mix_stage_repeats_documents_towards_the_targets(steps):
 def test_packing_stage_places_every_token(steps):
     rows = [(r["doc_id"], r["text"]) for r in steps[4].collect()]
     check_packing(steps[5].collect(), rows, 4096)
+
+
+COLUMNS = "doc_id long, text string, lang string, source string, n_chars long, size int, row string"
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """Nulls, empty and long texts, ties, repeated rows, and columns named like results."""
+    base = " ".join(f"w{i % 97}x{i % 13}" for i in range(300)) + "."
+    long = " ".join(f"word{i % 5000}" for i in range(40_000))
+    rows = [(1, base, "a"), (1, base, "a"), (2, base + " more", None), (3, None, "b"), (4, "", "b"),
+            (5, " \n\t ", None), (None, base, None), (6, long, "a"), (7, "x" * 50_000, "b"),
+            (None, None, None), (8, f'{base} token = "{"0123456789abcdef" * 3}" end', "c")]
+    made = [(d, t, None, s, None, 1, "r") for d, t, s in rows]
+    return spark.createDataFrame(made, COLUMNS).repartition(3)
+
+
+@pytest.mark.parametrize("name", [name for name, _ in corpus_pipeline.STAGES])
+def test_each_stage_of_odd_rows_and_of_none(spark, odd, name):
+    stage = dict(corpus_pipeline.STAGES)[name]
+    given = [(r["doc_id"], r["text"]) for r in odd.collect()]
+    found = stage(spark, odd, FOLDER).collect()
+    assert stage(spark, odd.filter("false"), FOLDER).count() == 0
+    if name == "best_fit_packing":
+        check_packing(found, given, 4096)
+        return
+    own = [(r["doc_id"], r["text"]) for r in found]
+    count = {x: given.count(x) for x in given}
+    if name == "quality_rules":
+        assert all(own.count(x) == count[x] for x in own) and None not in [t for _, t in own]
+    if name == "ngram_jaccard_join":
+        kept = brute_classes([(k, t) for k, (_, t) in enumerate(given)])
+        assert len(own) == len({c for _, _, c in kept})
+    if name == "secret_scans":
+        assert sorted(str(d) for d, _ in own) == sorted(str(d) for d, _ in given)
+    if name == "source_mixing":
+        assert all(own.count(x) <= 2 * count[x] for x in own)

@@ -46,6 +46,8 @@ def n_symbols(texts: Texts) -> np.ndarray:
 
 def n_dup_lines(texts: Texts) -> np.ndarray:
     r"""Lines, split at \n, that hold a word and equal an earlier line of the same text."""
+    if not len(texts.data):
+        return np.zeros(len(texts), np.int64)
     breaks = np.flatnonzero(texts.data == 10)
     starts = np.union1d(texts.limits[:-1], breaks + 1)
     starts = starts[starts < len(texts.data)]
