@@ -24,8 +24,10 @@ from tillcast.llm.components import components
 from tillcast.llm.words import U64, Texts, batches, mix
 from tillcast.session import materialize
 
+#: Bytes of texts whose n-grams are made at once.
+SLICE_BYTES = 1 << 20
 #: n-grams that a task counts at once, and the most frequent of them that it reports.
-CHUNK_GRAMS, CHUNK_REPORTS = 1 << 22, 1 << 15
+CHUNK_GRAMS, CHUNK_REPORTS = 1 << 20, 1 << 14
 #: n-grams put last in the order, by estimated frequency. The estimate and this bound decide
 #: how long the lists of a prefix join are, not its result: any order is right.
 FREQUENT_GRAMS = 1 << 18
@@ -37,7 +39,7 @@ _HIT = ["key", "owner", "more"]
 #: needed than half of it, the join alone does that.
 FILTER_BITS = 1 << 23
 #: Prefixes that a task remembers, to send each but once.
-SENT_PREFIXES = 1 << 20
+SENT_PREFIXES = 1 << 18
 
 
 def text_sets(texts: Texts, size: int) -> Iterator[np.ndarray]:
@@ -76,7 +78,7 @@ def _sets(docs: DataFrame, size: int) -> DataFrame:
         held: list[np.ndarray] = []
         count, seen = 0, set()
         for record in records:
-            for part, texts in batches(record, "text", True):
+            for part, texts in batches(record, "text", True, SLICE_BYTES):
                 n, keys = [], []
                 for grams in text_sets(texts, size):
                     key = set_key(grams)
@@ -145,7 +147,7 @@ def _prefixes(docs: DataFrame, size: int, percent: int, order) -> DataFrame:
         frequent, places = order.value
         sets, groups = set(), set()
         for record in records:
-            for _, texts in batches(record, "text", True):
+            for _, texts in batches(record, "text", True, SLICE_BYTES):
                 keys, owners, more = [], [], []
                 for grams in text_sets(texts, size):
                     n = len(grams)
@@ -603,7 +605,7 @@ def _grams(docs: DataFrame, size: int) -> DataFrame:
 
     def scan(records: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for record in records:
-            for part, texts in batches(record, "text", True):
+            for part, texts in batches(record, "text", True, SLICE_BYTES):
                 keys = part.column("key").to_pylist()
                 found = {}
                 for key, grams in zip(keys, text_sets(texts, size), strict=True):
