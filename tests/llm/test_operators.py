@@ -430,6 +430,20 @@ def test_scores_without_training_or_rows(spark, empty):
     assert ppm.score_texts(empty).count() == 0
 
 
+@pytest.mark.parametrize("head", [40, 0])
+def test_runs_beyond_the_broadcast_are_joined(spark, head, monkeypatch):
+    monkeypatch.setattr(ppm, "HEAD_GRAMS", head)
+    pick = random.Random(6)
+    rows = [(i, " ".join(pick.choices(["the", "then", "a", "é", "zz", "odd"], k=pick.randrange(25)))) for i in range(60)]
+    rows += [(None, "the odd zebra QUIZ"), (None, None), (None, "\u4e00 thenthe"), (101, "")]
+    held = lambda d: zlib.crc32(b"" if d is None else str(d).encode()) % 10 == 0
+    low = [(d, " ".join(WORD.findall((t or "").lower())).encode()) for d, t in rows]
+    train = [w for d, w in low if not held(d)]
+    expected = collections.Counter((d, round(slow_ppm(train, w), 6)) for d, w in low)
+    found = ppm.score_texts(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert collections.Counter((r["doc_id"], round(r["score"], 6)) for r in found) == expected
+
+
 def test_shedding_rare_runs_keeps_a_model(spark, documents, monkeypatch):
     rows = [(r["doc_id"], r["text"]) for r in documents[:60]]
     frame = spark.createDataFrame(rows, "doc_id long, text string")

@@ -7,9 +7,10 @@ followers those of the longer one are excluded. In the end all bytes not yet exc
 likely. As the followers of a context are among those of any shorter one, what is excluded
 depends on the next longer context alone, so sums over it are made once per context.
 
-The counts come from all training texts, by Spark. What a task needs of them is bounded: the
-trie keeps at most GRAMS of the longest byte runs and sheds the rarest, and of the word counts
-the most frequent HEAD_WORDS go to the tasks; counts of all other words meet their uses in a join.
+The counts come from all training texts, by Spark, and none is shed. What a task holds of them is
+bounded: up to HEAD_GRAMS longest byte runs the whole trie. Of more, the most frequent HEAD_GRAMS
+with their logarithms; all others, and runs that no training text has, meet theirs in a join. So do
+words beyond the most frequent HEAD_WORDS.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillcast.llm.words import _WHITE, U64, Texts, batches
@@ -28,8 +29,10 @@ from tillcast.session import materialize
 
 #: Length of the longest context in bytes.
 ORDER = 5
-#: Bounds of what is broadcast: byte runs of the trie, words whose counts each task has.
-GRAMS, HEAD_WORDS = 1 << 21, 1 << 20
+#: Bounds of what is broadcast: byte runs and words that each task has; the others are joined.
+HEAD_GRAMS, HEAD_WORDS = 1 << 21, 1 << 20
+#: Byte runs of a smaller model on purpose, that sheds the rarest; None, as always here, keeps all.
+GRAMS: int | None = None
 #: Entries that a task counts before it hands them on.
 CHUNK = 1 << 20
 #: Ends a text and pads the context before its start; no word holds this byte.
@@ -186,21 +189,100 @@ def corpus_counts(docs: DataFrame) -> DataFrame:
     return found.groupBy("kind", "key").agg(F.sum("n").alias("n"))
 
 
-def _most_frequent(counts: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray, float]:
-    """Keys and counts of all entries met so often that at most ``most`` are, sorted by key, and
-    the least count. Counts are cut at steps of a sixteenth of a power of two."""
-    step = F.floor(F.log2("n") * 16).cast("int")
-    sizes = counts.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("rows")).collect()
-    least, total = 0, 0
+def _step() -> Column:
+    """Place of a count among steps of a sixteenth of a power of two."""
+    return F.floor(F.log2("n") * 16).cast("int")
+
+
+def _least_step(counts: DataFrame, most: int) -> int:
+    """The first step from which on at most ``most`` entries lie; 0 if all do."""
+    sizes = counts.groupBy(_step().alias("step")).agg(F.count(F.lit(1)).alias("rows")).collect()
+    total = 0
     for row in sorted(sizes, key=lambda r: -r["step"]):
         total += row["rows"]
         if total > most:
-            least = row["step"] + 1
-            break
-    kept = counts.filter(step >= least).select("key", "n").toArrow()
-    keys, n = kept.column("key").to_numpy(), kept.column("n").to_numpy()
+            return row["step"] + 1
+    return 0
+
+
+def _collected(entries: DataFrame, value: str) -> tuple[np.ndarray, np.ndarray]:
+    """Keys in order and a value of each."""
+    kept = entries.select("key", value).toArrow()
+    keys, values = kept.column("key").to_numpy(), kept.column(value).to_numpy()
     order = np.argsort(keys)
-    return keys[order], n[order], least
+    return keys[order], values[order]
+
+
+def _most_frequent(counts: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """Keys and counts of all entries met so often that at most ``most`` are, sorted by key, and
+    the least step of their counts."""
+    least = _least_step(counts, most)
+    return *_collected(counts.filter(_step() >= least), "n"), least
+
+
+def run_logs(runs: DataFrame) -> DataFrame:
+    """(key, n, log) of runs (key, n): log10 of the probability of each run's last byte, which is
+    always coded in the longest context. A context has at most 256 runs."""
+    context = Window.partitionBy(F.shiftright("key", 8))
+    whole = F.sum("n").over(context) + F.count(F.lit(1)).over(context)
+    return runs.select("key", "n", F.log10(F.col("n") / whole).alias("log"))
+
+
+def escaped_logs(unseen: DataFrame, runs: DataFrame) -> DataFrame:
+    """(key, log) of distinct runs (key) that are not among ``runs`` (key, n): as ``gram_log10``,
+    with the levels of the trie as a table that is joined by context and by run.
+
+    Shorter contexts of a known one are known, so the next longer level tells what is excluded."""
+
+    def low_bytes(count: str) -> Column:
+        return F.col("key").bitwiseAND(F.expr(f"shiftleft(1L, 8 * ({count})) - 1"))
+
+    shorter = runs.select("n", "key", F.explode(F.sequence(F.lit(0), F.lit(ORDER - 1))).alias("level"))
+    levels = materialize(
+        shorter.groupBy("level", low_bytes("level + 1").alias("key"))
+        .agg(F.sum("n").alias("n"))
+        .unionByName(runs.select(F.lit(ORDER).alias("level"), "key", "n")),
+        "ppm-levels",
+    )
+    below = Window.partitionBy("level", low_bytes("level"))  # one run of the next shorter level
+    contexts = (
+        levels.withColumn("below", F.sum("n").over(below))
+        .groupBy("level", F.shiftright("key", 8).alias("context"))
+        .agg(
+            F.sum("n").alias("total"), F.count(F.lit(1)).alias("kinds"), F.sum("below").alias("shadow")
+        )
+    )
+    places = F.explode(F.sequence(F.lit(0), F.lit(ORDER))).alias("level")
+    asked = unseen.select(F.col("key").alias("run"), "key", places).withColumn(
+        "key", low_bytes("level + 1")
+    )
+    numbers = ("n", "total", "kinds", "shadow")
+    met = (
+        asked.withColumn("context", F.shiftright("key", 8))
+        .join(levels, ["level", "key"], "left")
+        .join(contexts, ["level", "context"], "left")
+        .groupBy("run")
+        .agg(
+            *(
+                F.max(F.when(F.col("level") == o, F.col(c))).alias(f"{c}{o}")
+                for o in range(ORDER + 1)
+                for c in numbers
+            )
+        )
+    )
+    kinds0 = F.coalesce("kinds0", F.lit(0))
+    log = F.when(F.col("n0").isNull(), -F.log10(256 - kinds0)).otherwise(0.0)
+    for o in range(ORDER + 1):
+        shadow = hidden = F.lit(0)
+        left = F.lit(True)
+        if o < ORDER:
+            shadow, hidden = (F.coalesce(f"{c}{o + 1}", F.lit(0)) for c in ("shadow", "kinds"))
+            left = F.col(f"n{o + 1}").isNull()
+        kinds = F.col(f"kinds{o}") - hidden
+        whole = F.col(f"total{o}") - shadow + kinds
+        coded = F.when(F.col(f"n{o}").isNotNull(), F.log10(F.col(f"n{o}") / whole))
+        log += F.when(left, coded.when(kinds > 0, F.log10(kinds / whole)).otherwise(0.0)).otherwise(0.0)
+    return met.select(F.col("run").alias("key"), log.alias("log"))
 
 
 def score_texts(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -219,8 +301,15 @@ def score_texts(docs: DataFrame, id: str = "doc_id", text: str = "text") -> Data
     words = counts.filter("kind = 1")
     trained = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     n, v = int(trained[0]), int(trained[1])
-    grams, often, _ = _most_frequent(counts.filter("kind = 0"), GRAMS)
-    trie = spark.broadcast(trie_levels(grams, often))
+    runs = counts.filter("kind = 0").select("key", "n")
+    if GRAMS is not None:
+        runs = runs.filter(_step() >= _least_step(runs, GRAMS))
+    rarest = _least_step(runs, HEAD_GRAMS)
+    if rarest:
+        runs = materialize(run_logs(runs), "ppm-runs")
+        model = spark.broadcast(_collected(runs.filter(_step() >= rarest), "log"))
+    else:
+        model = spark.broadcast(trie_levels(*_collected(runs, "n")))
     head, head_n, least = _most_frequent(words, HEAD_WORDS)
     common = spark.broadcast((head, np.log10(head_n + 0.1)))
 
@@ -233,7 +322,16 @@ def score_texts(docs: DataFrame, id: str = "doc_id", text: str = "text") -> Data
                 ids = part.column("id")
                 run, places, owner = stream(texts)
                 distinct, at = np.unique(grams_at(run, places), return_inverse=True)
-                total = np.bincount(owner, gram_log10(trie.value, distinct)[at], size)
+                if rarest:
+                    frequent, run_log = model.value
+                    coded, logs_of = np.zeros(len(distinct), bool), np.zeros(len(distinct))
+                    if len(frequent):
+                        place = np.minimum(np.searchsorted(frequent, distinct), len(frequent) - 1)
+                        coded = frequent[place] == distinct
+                        logs_of[coded] = run_log[place[coded]]
+                else:
+                    coded, logs_of = np.ones(len(distinct), bool), gram_log10(model.value, distinct)
+                total = np.bincount(owner, logs_of[at], size)
                 own = np.concatenate([texts.words.view(np.int64), np.full(size, END_WORD)])
                 whose = np.concatenate([np.repeat(np.arange(size), texts.counts), np.arange(size)])
                 known = np.zeros(len(own), bool)
@@ -258,9 +356,14 @@ def score_texts(docs: DataFrame, id: str = "doc_id", text: str = "text") -> Data
                     pa.nulls(size, pa.int64()),
                 ]
                 yield pa.RecordBatch.from_arrays(columns, names=names)
-                yield tail(rows[whose[~known]], own[~known], ids.type)
-
-    def tail(rows: np.ndarray, keys: np.ndarray, kind_of_id: pa.DataType) -> pa.RecordBatch:
+                yield tail(1, rows[whose[~known]], own[~known], ids.type)
+                if not coded.all():
+                    rare = ~coded[at]
+                    yield tail(2, rows[owner[rare]], distinct[at[rare]], ids.type)
+
+    def tail(
+        kind: int, rows: np.ndarray, keys: np.ndarray, kind_of_id: pa.DataType
+    ) -> pa.RecordBatch:
         order = np.lexsort((keys, rows))
         rows, keys = rows[order], keys[order]
         new = np.ones(len(rows), bool)
@@ -269,10 +372,10 @@ def score_texts(docs: DataFrame, id: str = "doc_id", text: str = "text") -> Data
         uses = np.diff(np.append(first, len(rows)))
         size = len(first)
         columns = {
-            "kind": pa.array(np.ones(size, np.int32)),
+            "kind": pa.array(np.full(size, kind, np.int32)),
             "row": pa.array(rows[first]),
             "n_tokens": pa.array(uses),
-            "word": pa.array(keys[first]),
+            "key": pa.array(keys[first]),
         }
         types = dict(zip(names, kinds_of(kind_of_id), strict=True))
         return pa.RecordBatch.from_arrays(
@@ -284,26 +387,35 @@ def score_texts(docs: DataFrame, id: str = "doc_id", text: str = "text") -> Data
         return [pa.int32(), whole, kind_of_id, pa.bool_(), whole, whole, real, real, whole, whole]
 
     names = [
-        "kind", "row", "id", "held_out", "n_tokens", "n_known", "base", "score", "n_bytes", "word",
+        "kind", "row", "id", "held_out", "n_tokens", "n_known", "base", "score", "n_bytes", "key",
     ]
     kind_of_id = docs.schema[id].dataType.simpleString()
     scored = materialize(
         chosen.mapInArrow(
             score,
             f"kind int, row bigint, id {kind_of_id}, held_out boolean, n_tokens bigint,"
-            " n_known bigint, base double, score double, n_bytes bigint, word bigint",
+            " n_known bigint, base double, score double, n_bytes bigint, key bigint",
         ),
         "ppm-scores",
     )
-    step = F.floor(F.log2("n") * 16).cast("int")
-    rare = words.filter(step < least).select(F.col("key").alias("word"), "n")
-    uses = scored.filter("kind = 1").select("row", "word", F.col("n_tokens").alias("uses"))
+    logs = words.filter(_step() < least).select(
+        F.lit(1).alias("kind"), "key", F.log10(F.col("n") + 0.1).alias("log")
+    )
+    uses = scored.filter("kind > 0").select("kind", "row", "key", F.col("n_tokens").alias("uses"))
+    if rarest:
+        others = runs.filter(_step() < rarest).select("key", "log")
+        asked = uses.filter("kind = 2").select("key").distinct()
+        unseen = materialize(asked.join(others, "key", "left_anti"), "ppm-unseen")
+        others = others.unionByName(escaped_logs(unseen, runs.select("key", "n")))
+        logs = logs.unionByName(others.select(F.lit(2).alias("kind"), "key", "log"))
+    word, used = F.col("kind") == 1, F.col("uses") * F.col("log")
     added = (
-        uses.join(rare, "word", "left")
+        uses.join(logs, ["kind", "key"], "left")
         .groupBy("row")
         .agg(
-            F.sum(F.when(F.col("n").isNotNull(), F.col("uses"))).alias("more_known"),
-            F.sum(F.col("uses") * F.log10(F.coalesce("n", F.lit(0)) + F.lit(0.1))).alias("more"),
+            F.sum(F.when(word & F.col("log").isNotNull(), F.col("uses"))).alias("more_known"),
+            F.sum(F.when(word, F.coalesce(used, F.col("uses") * F.log10(F.lit(0.1))))).alias("more"),
+            F.sum(F.when(~word, used)).alias("more_score"),
         )
     )
     below = F.log10(F.lit(n + 0.1 * (v + 1)))
@@ -319,7 +431,7 @@ def score_texts(docs: DataFrame, id: str = "doc_id", text: str = "text") -> Data
             (
                 F.col("base") + F.coalesce("more", F.lit(0.0)) - F.col("n_tokens") * below
             ).alias("base_score"),
-            "score",
+            (F.col("score") + F.coalesce("more_score", F.lit(0.0))).alias("score"),
             "n_bytes",
         )
     )
