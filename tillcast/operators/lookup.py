@@ -20,6 +20,28 @@ def map_branches(df: DataFrame, branch_map: DataFrame, code: str = "warehouse")
     )
 
 
+def distinct_names(branch_map: DataFrame) -> DataFrame:
+    """The map with each pair of code and branch once, and how often it was there as ``copies``.
+
+    Where a code stands in the map many times, sums and minima join this: every row met once for
+    each copy would make the work grow with lines times copies."""
+    return branch_map.groupBy("code", "branch").agg(F.count(F.lit(1)).alias("copies"))
+
+
+def map_branches_counted(df: DataFrame, branch_map: DataFrame, code: str = "warehouse") -> DataFrame:
+    """``map_branches``, but equal rows of the map give one row, and their number as ``copies``."""
+    names = distinct_names(branch_map).select(
+        F.col("code").alias(code), F.col("branch").alias("_branch"), F.col("copies").alias("_copies")
+    )
+    return (
+        df.join(names, code, "left")
+        .withColumns(
+            {"branch": F.coalesce("_branch", F.col(code)), "copies": F.coalesce("_copies", F.lit(1))}
+        )
+        .drop("_branch", "_copies", *([code] if code != "branch" else []))
+    )
+
+
 def add_branch_info(df: DataFrame, branch_dim: DataFrame) -> DataFrame:
     """Add city, latitude and longitude; null for an unknown branch."""
     return df.join(branch_dim.select("branch", "city", "latitude", "longitude"), "branch", "left")

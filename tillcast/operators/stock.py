@@ -9,9 +9,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tillcast.functions import calendar, numeric
-from tillcast.operators.lookup import codes_of_branches, map_branches, unknown_branches
+from tillcast.operators.lookup import (
+    codes_of_branches,
+    distinct_names,
+    map_branches_counted,
+    unknown_branches,
+)
 from tillcast.operators.selection import Selection, choose
 
+#: Tasks that a month's moves are dealt to at most.
+MOVE_SLICES = 16
 NO_WAREHOUSE, NO_ITEM = "no warehouse of this branch", "no item of this name"
 
 
@@ -26,7 +33,8 @@ def _chosen_entries(
 ) -> DataFrame:
     """Submitted ledger entries of the chosen branches and items within a closed range.
 
-    Without a choice of branches all warehouses count, those without a branch under their code.
+    Without a choice of branches all warehouses count, those without a branch under their code. Equal
+    rows of the map count once, as the views ask for lowest balances only.
     """
     submitted = ledger.filter(
         (F.col("docstatus") == 1) & F.col("posting_date").between(start, end)
@@ -34,8 +42,9 @@ def _chosen_entries(
     wanted = choose(items, "item_name", names).select("item_code", "item_name")
     entries = submitted.join(wanted, "item_code")
     if branches is None:
-        return map_branches(entries.withColumn("code", F.col("warehouse")), branch_map, "code")
-    codes = codes_of_branches(branch_map, branches).withColumnRenamed("code", "warehouse")
+        named = map_branches_counted(entries.withColumn("code", F.col("warehouse")), branch_map, "code")
+        return named.drop("copies")
+    codes = distinct_names(codes_of_branches(branch_map, branches)).drop("copies").withColumnRenamed("code", "warehouse")
     return entries.join(codes, "warehouse")
 
 
@@ -45,14 +54,25 @@ def _date(value: date | str | Column) -> Column:
 
 def month_moves(moves: DataFrame) -> DataFrame:
     """What left each warehouse of each item in a month: rows (month, keys, moved) of a table of moves
-    (date, warehouse_key, item_code, moved). Months merge by sum."""
-    month = F.date_format("date", "yyyy-MM").alias("month")
-    return moves.groupBy(month, "warehouse_key", "item_code").agg(F.sum("moved").alias("moved"))
+    (date, warehouse_key, item_code, moved). Months merge by sum.
 
+    A warehouse seldom moves an item twice in a month, so sums before the shuffle would save nothing.
+    Moves are dealt by month and a slice of the warehouses instead, which is how they are stored."""
+    slices = F.pmod(F.hash("warehouse_key"), F.lit(MOVE_SLICES)).alias("slice")
+    dealt = moves.select(
+        F.date_format("date", "yyyy-MM").alias("month"), slices, "warehouse_key", "item_code", "moved"
+    ).repartition("month", "slice")
+    sums = dealt.groupBy("month", "slice", "warehouse_key", "item_code").agg(F.sum("moved").alias("moved"))
+    return sums.drop("slice")
 
-def moved_before(months: DataFrame, day: date) -> DataFrame:
-    """(warehouse_key, item_code, moved_before): sums of the months before that of ``day``."""
+
+def moved_before(months: DataFrame, day: date, keys: DataFrame | None = None) -> DataFrame:
+    """(warehouse_key, item_code, moved_before): sums of the months before that of ``day``; of the
+    warehouses and items among ``keys`` only, if these are given."""
     earlier = months.filter(F.col("month") < f"{day:%Y-%m}")
+    if keys is not None:
+        wanted = keys.select("warehouse_key", "item_code")
+        earlier = earlier.join(wanted, ["warehouse_key", "item_code"], "left_semi")
     return earlier.groupBy("warehouse_key", "item_code").agg(F.sum("moved").alias("moved_before"))
 
 

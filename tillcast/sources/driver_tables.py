@@ -244,7 +244,7 @@ class DriverTables:
                 F.col("l_partkey").alias("item_code"),
                 F.col("l_quantity").alias("moved"),
             )
-            FactStore(self.spark, path, MOVES).create(stock.month_moves(moves))
+            FactStore(self.spark, path, MOVES).create(stock.month_moves(moves), by_month=True)
             _STORES[key] = path
         return FactStore(self.spark, _STORES[key], MOVES).read()
 
@@ -261,7 +261,8 @@ class DriverTables:
         calendar and not with the number of lines. A choice of branches and items, the keys of
         the running sum, and the last day asked for leave out lines before it. With ``since``, only
         lines from the start of that day's month on are read, and entries before the day left out:
-        what moved in earlier months comes from stored sums.
+        what moved in earlier months comes from stored sums. These entries are written, so that their
+        size is known where the sums are looked up by their keys.
         """
         keys = ["warehouse", "item_code", "posting_date", "docstatus", "voucher_type"]
         lines, suppliers = self.table("lineitem"), self.table("supplier")
@@ -303,10 +304,9 @@ class DriverTables:
         found = entries.withColumn("moved", F.sum("moved").over(so_far))
         left = OPENING_STOCK - F.col("moved")
         if first is not None:
-            before = stock.moved_before(self.month_moves(), first)
-            found = found.filter(F.col("posting_date") >= F.lit(first)).join(
-                before, ["warehouse_key", "item_code"], "left"
-            )
+            found = materialize(found.filter(F.col("posting_date") >= F.lit(first)), "entries")
+            before = stock.moved_before(self.month_moves(), first, found)
+            found = found.join(before, ["warehouse_key", "item_code"], "left")
             left = left - F.coalesce("moved_before", F.lit(0.0))
         return found.select(*keys, left.alias("qty_after_transaction"))
 
@@ -315,7 +315,7 @@ class DriverTables:
         day, if that is all that is asked for."""
         named = self.stock_ledger(until=day, since=day).join(self.item(), "item_code")
         return (
-            lookup.map_branches(named, self.stored_branch_map())
+            lookup.map_branches_counted(named, self.stored_branch_map())
             .groupBy("item_name", "branch", "item_group", "posting_date", "voucher_type")
             .agg(F.min("qty_after_transaction").cast("int").alias("balance"))
             .withColumnRenamed("posting_date", "date")

@@ -64,9 +64,11 @@ class FactStore:
             rows = rows.withColumn(MONTH, month_of())
         return rows.hint("rebalance", MONTH)
 
-    def create(self, rows: DataFrame) -> None:
-        """First load; there is nothing to protect yet, so it is written in place."""
-        self._by_month(rows).write.mode("overwrite").partitionBy(MONTH).parquet(self.path)
+    def create(self, rows: DataFrame, by_month: bool = False) -> None:
+        """First load; there is nothing to protect yet, so it is written in place. ``by_month``: the
+        rows have their month and lie by it already, so they aren't shuffled again."""
+        laid_out = rows if by_month else self._by_month(rows)
+        laid_out.write.mode("overwrite").partitionBy(MONTH).parquet(self.path)
 
     def replace_months(self, rows: DataFrame) -> None:
         staging = f"{self.path}_staging/{uuid.uuid4().hex}"
