@@ -6,7 +6,7 @@ import pytest
 from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
-from tillcast.operators import lookup, rollup
+from tillcast.operators import lookup, rollup, stock
 from tillcast.plans.ingest import refresh
 from tillcast.session import run_dir
 from tillcast.sources import schemas
@@ -158,3 +158,32 @@ def test_hot_key_sends_one_row_per_task(spark, branch_map):
     plan = daily._jdf.queryExecution().executedPlan().toString()
     assert "partial_sum" in plan
     assert daily.filter("item_name = 'hot'").first()["qty_sold"] == 100000.0
+
+
+def test_repeated_codes_count_without_a_row_each(spark):
+    """A code that is in the map 50 times counts 50 times, but no line is met that often."""
+    sold = spark.createDataFrame(
+        [("2024-01-01 10:00:00", "g", "i", "w", 2.0), ("2024-01-01 11:00:00", "g", "i", "v", 1.0)],
+        "creation string, item_group string, item_name string, warehouse string, qty double",
+    ).withColumn("creation", F.col("creation").cast("timestamp_ntz"))
+    repeated = spark.createDataFrame([("w", "b")] * 50 + [("w", "c"), (None, "d")], "code string, branch string")
+    found = {r["branch"]: r["qty_sold"] for r in rollup.sales_daily(sold, repeated).collect()}
+    assert found == {"b": 100.0, "c": 2.0, "v": 1.0}
+    met = lookup.map_branches_counted(sold, repeated)
+    assert sorted((r["branch"], r["copies"]) for r in met.collect()) == [("b", 50), ("c", 1), ("v", 1)]
+
+
+def test_months_of_moves_lie_by_month_and_are_looked_up_by_keys(spark):
+    moves = spark.createDataFrame(
+        [("2024-01-03", 1, 7, 2.0), ("2024-01-09", 1, 7, 3.0), ("2024-01-09", 2, 7, 1.0), ("2024-02-01", 1, 7, 5.0), ("2024-02-01", None, 7, 4.0)],
+        "date string, warehouse_key bigint, item_code bigint, moved double",
+    ).withColumn("date", F.col("date").cast("date"))
+    months = stock.month_moves(moves)
+    assert months._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    store = FactStore(spark, run_dir(spark, "moves"), "warehouse_key bigint, item_code bigint, moved double")
+    store.create(months, by_month=True)
+    found = {tuple(r) for r in store.read().select("month", "warehouse_key", "item_code", "moved").collect()}
+    assert found == {("2024-01", 1, 7, 5.0), ("2024-01", 2, 7, 1.0), ("2024-02", 1, 7, 5.0), ("2024-02", None, 7, 4.0)}
+    asked = spark.createDataFrame([(1, 7), (1, 7), (3, 7)], "warehouse_key bigint, item_code bigint")
+    before = stock.moved_before(store.read(), dt.date(2024, 3, 5), asked).collect()
+    assert [tuple(r) for r in before] == [(1, 7, 10.0)]

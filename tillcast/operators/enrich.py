@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillcast.functions import calendar
-from tillcast.operators.lookup import add_branch_info, map_branches
+from tillcast.operators.lookup import add_branch_info, map_branches_counted
 from tillcast.operators.rollup import resum
 from tillcast.session import materialize
 
@@ -117,7 +117,7 @@ def preprocess(
     a pass over one or two of their columns before the rows themselves are finished.
     """
     joined = enrich_sales(
-        rollup.transform(map_branches, branch_map).transform(resum), branch_dim, weather
+        rollup.transform(map_branches_counted, branch_map).transform(resum), branch_dim, weather
     )
     return (
         materialize(joined, "preprocess")

@@ -11,7 +11,7 @@ from datetime import date, timedelta
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tillcast.operators.lookup import map_branches
+from tillcast.operators.lookup import map_branches_counted
 from tillcast.sources.schemas import SALES_KEY
 
 
@@ -36,16 +36,20 @@ def incremental_rollup(invoice_items: DataFrame, mark: date) -> DataFrame:
 
 
 def resum(sales: DataFrame) -> DataFrame:
-    """One row per sales key, after several warehouse codes took the same branch name."""
-    return sales.groupBy(*SALES_KEY).agg(F.sum("qty_sold").alias("qty_sold"))
+    """One row per sales key, after several warehouse codes took the same branch name; a row counts
+    as often as its ``copies`` say, if it has them."""
+    sold = F.col("qty_sold") * F.col("copies") if "copies" in sales.columns else F.col("qty_sold")
+    return sales.groupBy(*SALES_KEY).agg(F.sum(sold).alias("qty_sold"))
 
 
 def sales_daily(invoice_items: DataFrame, branch_map: DataFrame) -> DataFrame:
-    """The sales fact from invoice lines: name the branch first, then sum once."""
-    named = map_branches(invoice_items, branch_map)
+    """The sales fact from invoice lines: name the branch first, then sum once.
+
+    A line counts once for each row that the map has for its code."""
+    named = map_branches_counted(invoice_items, branch_map)
     return named.groupBy(
         F.to_date("creation").alias("date"), "branch", "item_group", "item_name"
-    ).agg(F.sum("qty").alias("qty_sold"))
+    ).agg(F.sum(F.col("qty") * F.col("copies")).alias("qty_sold"))
 
 
 def with_daily_total(sales: DataFrame) -> DataFrame:
