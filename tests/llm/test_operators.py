@@ -227,6 +227,19 @@ def test_small_memory_gives_the_same_ids(documents, monkeypatch):
         assert np.frombuffer(library.ids(text.encode()), "<u4").tolist() == whole_ids(text)
 
 
+def test_words_of_many_texts_are_learnt_at_once(documents, monkeypatch):
+    library = tokens.WordTexts(open(vocabulary(), "rb").read())
+    learnt = []
+    learn = library._learn
+    monkeypatch.setattr(library, "_learn", lambda words: (learnt.append(len(words)), learn(words)))
+    texts = [*TRICKY, "", *(r["text"] or "" for r in documents[:50])]
+    found = [np.frombuffer(x, "<u4").tolist() for x in library.each_ids(t.encode() for t in texts)]
+    assert found == [whole_ids(t) for t in texts] and len(learnt) == 1
+    assert list(library.counts(t.encode() for t in texts)) == [len(x) for x in found]
+    monkeypatch.setattr(tokens, "SLICE_BYTES", 300)  # some texts are longer, others share a slice
+    assert list(library.counts(t.encode() for t in texts)) == [len(x) for x in found]
+
+
 def test_other_vocabularies(spark):
     import public_tokenizers as P
 
@@ -276,6 +289,19 @@ def test_packing_odd_rows_in_small_rounds(spark, odd, empty, monkeypatch):
     assert packing.pack_documents(empty, vocabulary(), 4096).count() == 0
 
 
+def test_first_bins_are_made_in_one_python_function(spark, documents, monkeypatch):
+    plans, keep = [], packing.materialize
+
+    def noted(df, label):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return keep(df, label)
+
+    monkeypatch.setattr(packing, "materialize", noted)
+    docs = spark.createDataFrame([(r["doc_id"], r["text"]) for r in documents], "doc_id long, text string")
+    packing.pack_documents(docs, vocabulary()).count()
+    assert plans[0].count("MapIn") == 1  # two would be two workers of each task
+
+
 def test_best_fit_takes_the_fullest_bin():
     assert sorted(map(sorted, packing.best_fit(np.array([6, 5, 4, 5, 10]), 10))) == [[0, 2], [1, 3], [4]]
 

@@ -58,32 +58,53 @@ def best_fit(sizes: np.ndarray, limit: int) -> list[list[int]]:
     return bins
 
 
-def _pieces(docs: DataFrame, vocabulary: str, limit: int, end_id: int) -> DataFrame:
-    """One item per piece of each document: its length and its packed description."""
+def _pieces(library, record: pa.RecordBatch, limit: int, last: bytes) -> Iterator[np.ndarray]:
+    """The pieces of each document of a record batch, some MB of text at a time."""
+    for part, texts in batches(record, "text", False):
+        found = []
+        each = library.each_ids(text_bytes(texts))
+        for doc, ids in zip(part.column("id").to_pylist(), each, strict=True):
+            ids += last
+            for number, at in enumerate(range(0, len(ids), 4 * limit)):
+                own = ids[at : at + 4 * limit]
+                row = (doc or 0, doc is not None, number, at // 4, len(own) // 4)
+                found.append((*row, zlib.crc32(own)))
+        yield np.array(found, _PIECE)
+
+
+def _first_bins(docs: DataFrame, vocabulary: str, limit: int, end_id: int) -> DataFrame:
+    """Bins of the pieces that each task has, at most about ITEMS at a time. A task cuts and packs in
+    one function, so an executor holds one Python worker for each and no piece goes back and forth."""
     blob, kind = sent_vocabulary(docs, vocabulary)
     last = np.array([end_id], "<u4").tobytes()
+    most = ITEMS
 
-    def cut(records: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def pack(records: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         library = encoder(blob.value, kind)
+        held: list[np.ndarray] = []
+        count = 0
         for record in records:
-            for part, texts in batches(record, "text", False):
-                found = []
-                for doc, text in zip(part.column("id").to_pylist(), text_bytes(texts), strict=True):
-                    ids = library.ids(text) + last
-                    for number, at in enumerate(range(0, len(ids), 4 * limit)):
-                        own = ids[at : at + 4 * limit]
-                        row = (doc or 0, doc is not None, number, at // 4, len(own) // 4)
-                        found.append((*row, zlib.crc32(own)))
-                packed = np.array(found, _PIECE)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(packed["length"].astype(np.int32)),
-                        pa.array([x.tobytes() for x in packed], pa.binary()),
-                    ],
-                    names=["fill", "pieces"],
-                )
-
-    return docs.mapInArrow(cut, "fill int, pieces binary")
+            for pieces in _pieces(library, record, limit, last):
+                held.append(pieces)
+                count += len(pieces)
+                if count >= most:
+                    yield bins_of(np.concatenate(held))
+                    held, count = [], 0
+        if count:
+            yield bins_of(np.concatenate(held))
+
+    def bins_of(pieces: np.ndarray) -> pa.RecordBatch:
+        sizes = pieces["length"].astype(np.int64)
+        bins = best_fit(sizes, limit)
+        order = np.concatenate([np.array(b) for b in bins])
+        ends = np.cumsum([len(b) for b in bins])
+        fill = np.add.reduceat(sizes[order], np.append(0, ends[:-1]))
+        limits = np.append(0, ends).astype(np.int64) * _PIECE.itemsize
+        buffers = [None, pa.py_buffer(limits.astype(np.int32)), pa.py_buffer(pieces[order].tobytes())]
+        packed = pa.Array.from_buffers(pa.binary(), len(bins), buffers)
+        return pa.RecordBatch.from_arrays([pa.array(fill.astype(np.int32)), packed], ["fill", "pieces"])
+
+    return docs.mapInArrow(pack, "fill int, pieces binary")
 
 
 def _packed(items: DataFrame, limit: int) -> DataFrame:
@@ -135,7 +156,7 @@ def pack_documents(
     """
     full = limit - int(limit * SLACK)
     chosen = docs.select(docs[id].cast("bigint").alias("id"), docs[text].alias("text"))
-    bins = materialize(_packed(_pieces(chosen, vocabulary, limit, end_id), limit), "packed")
+    bins = materialize(_first_bins(chosen, vocabulary, limit, end_id), "packed")
     done = bins.filter(F.col("fill") >= full)
     rest = bins.filter(F.col("fill") < full)
     count = rest.count()

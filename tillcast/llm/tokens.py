@@ -12,17 +12,18 @@ from __future__ import annotations
 import json
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from tillcast.llm.words import Texts, batches
 
-#: Bytes of a long text that are split into words at once, and of words encoded at once.
-SLICE_BYTES, BATCH_BYTES = 1 << 20, 1 << 15
+#: Bytes of texts that are split into words at once, and of words encoded at once.
+SLICE_BYTES, BATCH_BYTES = 1 << 22, 1 << 15
 #: Words that a worker remembers; it then starts anew. This bounds memory, not what is counted.
 MEMO_WORDS = 1_000_000
 
@@ -31,7 +32,7 @@ _NORMAL_FORM = ["NFC", "Replace", "Lowercase"]
 _WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 # Letters whose small form is one letter of the same set, then signs that start no contraction
 # and no special token.
-_PLAIN_WORD = re.compile(r"([a-zA-ZÀ-ÖØ-öø-ÿ]+)([.,;:!?|$%&*#]*)")
+_PLAIN_LINE = re.compile(r"([a-zA-ZÀ-ÖØ-öø-ÿ]+)([.,;:!?|$%&*#]*)\n|([^\n]*)\n")
 
 
 class WholeTexts:
@@ -54,8 +55,11 @@ class WholeTexts:
     def ids(self, text: bytes) -> bytes:
         return np.array(self._encode(text.decode("utf-8", "replace")), "<u4").tobytes()
 
-    def count(self, text: bytes) -> int:
-        return len(self.ids(text)) // 4
+    def each_ids(self, texts: Iterable[bytes]) -> Iterator[bytes]:
+        return map(self.ids, texts)
+
+    def counts(self, texts: Iterable[bytes]) -> Iterator[int]:
+        return (len(self.ids(text)) // 4 for text in texts)
 
 
 class WordTexts:
@@ -93,7 +97,9 @@ class WordTexts:
                 size += len(parts[stop]) + 1
                 stop += 1
             text = " ".join(parts[at:stop])
-            ids = np.array(self._library.encode(text, add_special_tokens=False).ids, "<u4")
+            # the same ids as ``encode`` gives, without the offsets that it makes of each token
+            found = self._library.encode_batch_fast([text], add_special_tokens=False)
+            ids = np.array(found[0].ids, "<u4")
             cuts = [0, *(np.flatnonzero(self._ends[ids]) + 1).tolist()]
             if len(cuts) != stop - at + 1 or cuts[-1] != len(ids):
                 raise ValueError("a run of letters or signs was not one word to the tokenizer")
@@ -102,50 +108,99 @@ class WordTexts:
                 self._parts[part] = raw[4 * low : 4 * high]
             at = stop
 
-    def _learn(self, words: set[bytes]) -> None:
-        plain, other = [], []
-        for word in words:
-            text = word.decode("utf-8", "replace")
-            if found := _PLAIN_WORD.fullmatch(text):
-                plain.append((word, found[1].lower(), found[2]))
+    def _learn(self, words: list[bytes]) -> None:
+        lines = _PLAIN_LINE.findall((b"\n".join(words) + b"\n").decode("utf-8", "replace"))
+        small = [letters.lower() for letters, _, _ in lines]
+        wanted = {*small, *(signs for _, signs, _ in lines)}
+        self._learn_parts(list(wanted.difference(self._parts)))
+        of = self._parts
+        other = []
+        for word, letters, (_, signs, text) in zip(words, small, lines, strict=True):
+            if letters:
+                self._words[word] = of[letters] + of[signs]
             else:
                 other.append((word, text))
-        wanted = {part for _, *parts in plain for part in parts}
-        self._learn_parts(sorted(part for part in wanted if part not in self._parts))
-        for word, letters, signs in plain:
-            self._words[word] = self._parts[letters] + self._parts[signs]
         found = self._library.encode_batch_fast([t for _, t in other], add_special_tokens=False)
         for (word, _), encoding in zip(other, found, strict=True):
             self._words[word] = np.array(encoding.ids, "<u4").tobytes()
 
-    def _slices(self, text: bytes) -> Iterator[list[bytes]]:
-        if len(text) <= SLICE_BYTES:
-            yield text.split()
-            return
+    @staticmethod
+    def _slices(text: bytes) -> Iterator[bytes]:
         low = 0
         while low < len(text):
             high = low + SLICE_BYTES
             gap = re.compile(rb"[ \t-\r]").search(text, high)
             high = gap.start() if gap and high < len(text) else len(text)
-            yield text[low:high].split()
+            yield text[low:high]
             low = high
 
-    def _each(self, text: bytes) -> Iterator[list[bytes]]:
-        for words in self._slices(text):
-            try:
-                yield list(map(self._words.__getitem__, words))
-            except KeyError:
-                missing = {w for w in words if w not in self._words}
-                if max(len(self._words) + len(missing), len(self._parts)) > MEMO_WORDS:
-                    self._words, self._parts, missing = {}, {"": b""}, set(words)
-                self._learn(missing)
-                yield list(map(self._words.__getitem__, words))
+    def _known(self, words: list[bytes]) -> list[bytes]:
+        """The ids of different words; what isn't in memory yet is learnt at once."""
+        found = list(map(self._words.get, words))
+        missing = [at for at, ids in enumerate(found) if ids is None]
+        if not missing:
+            return found
+        if max(len(self._words) + len(missing), len(self._parts)) > MEMO_WORDS:
+            self._words, self._parts = {}, {"": b""}
+            missing = range(len(words))
+        self._learn([words[at] for at in missing])
+        for at in missing:
+            found[at] = self._words[words[at]]
+        return found
+
+    def _words_of(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+        """Words of each text: where its numbers begin (and the last end), numbers of words, and
+        the ids of the different words. Python meets each different word once."""
+        limits = np.concatenate([[0], np.cumsum([len(text) for text in texts])])
+        buffers = [None, pa.py_buffer(limits), pa.py_buffer(b"".join(texts))]
+        lists = pc.ascii_split_whitespace(pa.Array.from_buffers(pa.large_string(), len(texts), buffers))
+        words = lists.flatten().dictionary_encode()
+        found = self._known(words.dictionary.cast(pa.large_binary()).to_pylist())
+        return lists.offsets.to_numpy(), words.indices.to_numpy(), found
+
+    def _each(self, texts: Iterable[bytes], made: Callable) -> Iterator[list]:
+        """For each text what ``made`` makes of its slices. Short texts are held until they make a
+        slice, as words are learnt faster many at once."""
+        held: list[bytes] = []
+        size = 0
+        for text in texts:
+            if held and size + len(text) > SLICE_BYTES:
+                yield from ([x] for x in made(held))
+                held, size = [], 0
+            if len(text) > SLICE_BYTES:
+                yield [found for part in self._slices(text) for found in made([part])]
+            else:
+                held.append(text)
+                size += len(text)
+        if held:
+            yield from ([x] for x in made(held))
+
+    def _slice_ids(self, texts: list[bytes]) -> Iterator[bytes]:
+        limits, words, found = self._words_of(texts)
+        sizes = np.array([len(ids) // 4 for ids in found], np.int64)
+        first = np.cumsum(sizes) - sizes
+        n = sizes[words]
+        ends = np.concatenate([[0], np.cumsum(n)])
+        at = np.arange(ends[-1]) + np.repeat(first[words] - ends[:-1], n)
+        ids = np.frombuffer(b"".join(found), "<u4")[at]
+        cuts = ends[limits].tolist()
+        return (ids[low:high].tobytes() for low, high in zip(cuts, cuts[1:], strict=False))
+
+    def _slice_counts(self, texts: list[bytes]) -> list[int]:
+        limits, words, found = self._words_of(texts)
+        sizes = np.array([len(ids) // 4 for ids in found], np.int64)
+        return np.diff(np.concatenate([[0], np.cumsum(sizes[words])])[limits]).tolist()
+
+    def each_ids(self, texts: Iterable[bytes]) -> Iterator[bytes]:
+        """Ids of each text, in order."""
+        return map(b"".join, self._each(texts, self._slice_ids))
+
+    def counts(self, texts: Iterable[bytes]) -> Iterator[int]:
+        """Number of ids of each text, in order."""
+        return map(sum, self._each(texts, self._slice_counts))
 
     def ids(self, text: bytes) -> bytes:
-        return b"".join(b"".join(part) for part in self._each(text))
-
-    def count(self, text: bytes) -> int:
-        return sum(sum(map(len, part)) for part in self._each(text)) // 4
+        return next(self.each_ids([text]))
 
 
 _ENCODERS: dict[tuple[str, int], WordTexts | WholeTexts] = {}
@@ -188,7 +243,7 @@ def count_tokens(
         library = encoder(blob.value, kind)
         for record in records:
             for part, texts in batches(record, "text", False):
-                n = np.fromiter((library.count(t) for t in text_bytes(texts)), np.int64, len(part))
+                n = np.fromiter(library.counts(text_bytes(texts)), np.int64, len(part))
                 size = np.diff(texts.limits)
                 yield pa.RecordBatch.from_arrays(
                     [part.column("id"), pa.array(size), pa.array(n), pa.array(n > limit)],
