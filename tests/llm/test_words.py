@@ -52,3 +52,13 @@ def test_batches_cut_by_bytes_keep_every_row():
 def test_empty_column():
     assert len(Texts(pa.array([], pa.string()))) == 0
     assert Texts(pa.array([], pa.string())).words.tolist() == []
+
+
+def test_a_batch_gives_its_memory_back(monkeypatch):
+    calls = []
+    monkeypatch.setattr(words, "give_back", lambda: calls.append(1))
+    record = pa.RecordBatch.from_pydict({"text": ["a b", None, "c", "d" * 9]})
+    assert sum(len(part) for part, _ in words.batches(record, "text", False, 4)) == 4
+    assert calls == [1]
+    monkeypatch.undo()
+    words.give_back()

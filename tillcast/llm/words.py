@@ -7,6 +7,7 @@ Equal words have equal hashes; different words share one with a chance of about
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -185,3 +186,12 @@ def batches(
         if high > low:
             part = record.slice(low, high - low)
             yield part, Texts(column.slice(low, high - low), fold)
+    give_back()
+
+
+def give_back() -> None:
+    """Return freed memory to the system. A worker waits for its next task, of this step or a later one,
+    beside others on its executor, and would keep what its largest batch took."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # of the GNU C library
+        trim(0)
