@@ -422,13 +422,16 @@ def _meet_enough(pairs: DataFrame, ranked: DataFrame, percent: int) -> DataFrame
     return enough.select(pairs.columns).unionByName(parts)
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Those of the pairs (a, b) whose sets are similar."""
+def _verified(
+    pairs: DataFrame, docs: DataFrame, first: DataFrame, size: int, percent: int
+) -> DataFrame:
+    """Those of the pairs (a, b) whose sets are similar. The whole sets of the pairs, and of nothing
+    else, are made once more from the texts; ``first`` (key, row): the row that a set is read from."""
     pairs = materialize(pairs, "jaccard-pairs")
     keys = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key")))
-    used = materialize(
-        sets.join(materialize(keys.distinct(), "jaccard-keys"), "key", "left_semi"), "jaccard-used"
-    )
+    wanted = materialize(first.join(keys.distinct(), "key"), "jaccard-wanted")
+    texts = _likely(docs, wanted).join(wanted, "row").select("key", "text")
+    used = materialize(_grams(texts, size), "jaccard-used")
     common = F.size(F.array_intersect("x", "y"))
     union = F.size("x") + F.size("y") - common
     return (
@@ -499,18 +502,14 @@ def jaccard_classes(
         .filter("key <> lead")
         .select(F.col("key").alias("a"), F.col("lead").alias("b"))
     )
-    # whole sets of everything that may be similar to anything, made once more from the texts
+    # everything that may be similar to anything
     met_owners = hits.select("owner").distinct().unionByName(leads.filter("n > 1").select("owner"))
     needed = materialize(
         members.join(met_owners.distinct(), "owner").select("key").distinct(), "jaccard-needed"
     )
     first = rows.filter("n > 0").groupBy("key").agg(F.min("row").alias("row"))
-    wanted = materialize(first.join(needed, "key"), "jaccard-wanted")
-    sets = materialize(
-        _grams(_likely(chosen, wanted).join(wanted, "row").select("key", "text"), size),
-        "jaccard-grams",
-    )
-    star = materialize(_verified(hub_pairs.unionByName(inner), sets, percent), "jaccard-links")
+    hub_links = _verified(hub_pairs.unionByName(inner), chosen, first, size, percent)
+    star = materialize(hub_links, "jaccard-links")
     classes = materialize(components(star), "jaccard-classes")
 
     own = F.coalesce("component", "key").alias("class")
@@ -540,7 +539,7 @@ def jaccard_classes(
         .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         .distinct()
     )
-    more = materialize(_verified(rest, sets, percent), "jaccard-more")
+    more = materialize(_verified(rest, chosen, first, size, percent), "jaccard-more")
     final = materialize(components(star.unionByName(more)), "jaccard-final")
 
     found = first_ids(rows, final)
