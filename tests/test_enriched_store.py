@@ -39,6 +39,22 @@ def store(spark):
     return EnrichedStore(spark, run_dir(spark, "test-enriched"))
 
 
+def test_a_first_load_shuffles_bare_sums(spark, tables, monkeypatch):
+    """Rows are laid out by month before they are enriched, not with all that they gain."""
+    seen = []
+    create = EnrichedStore.create
+    monkeypatch.setattr(
+        EnrichedStore, "create", lambda self, rows, *args, **kw: (seen.append(rows), create(self, rows, *args, **kw))
+    )
+    own = store(spark)
+    assert refresh_enriched(lines(spark, range(40)), *tables, own)
+    plan = seen[0]._jdf.queryExecution().optimizedPlan().toString()
+    assert "RebalancePartitions" in plan
+    assert "temperature" not in plan.split("RebalancePartitions")[1].split("LogicalRDD")[0]
+    paths = own.facts.read().select("month", F.input_file_name()).distinct().collect()
+    assert len(paths) == len({p[0] for p in paths}) == 2
+
+
 def test_refreshed_equals_rebuilt(spark, tables, rows):
     grown, whole = store(spark), store(spark)
     assert refresh_enriched(lines(spark, range(40)), *tables, grown)

@@ -46,11 +46,15 @@ def refresh_enriched(
 
     Only the new rows are enriched: the weather is read for the days since the mark. Stored rows of
     the touched months are kept as they are, and the statistics of these months alone are made anew.
+
+    A first load lays the sums out by month before they are enriched, so that what the rows gain is
+    not shuffled with them. That layout holds where Spark broadcasts the places and the weather, as
+    it does below its threshold; above it their joins deal the rows anew, to more files a month.
     """
     store.recover()
     if not store.exists():
-        sales = rollup.sales_daily(invoice_items, branch_map)
-        store.create(enrich_sales(sales, branch_dim, weather))
+        sales = store.facts.by_month(rollup.sales_daily(invoice_items, branch_map))
+        store.create(enrich_sales(sales, branch_dim, weather), by_month=True)
         return True
     stored = store.facts.read()
     mark = store.facts.high_water_mark(stored)

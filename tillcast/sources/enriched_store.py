@@ -47,9 +47,9 @@ class EnrichedStore:
         folder, files = self.facts.folder(f"{self.statistics.path}/_SUCCESS")
         return files.exists(folder)
 
-    def create(self, rows: DataFrame) -> None:
-        """First load, or one anew where a first load was lost."""
-        self.facts.create(rows)
+    def create(self, rows: DataFrame, by_month: bool = False) -> None:
+        """First load, or one anew where a first load was lost; ``by_month``: see ``FactStore``."""
+        self.facts.create(rows, by_month)
         self.statistics.create(month_statistics(self.facts.read()))
 
     def replace_months(

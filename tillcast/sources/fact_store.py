@@ -58,7 +58,7 @@ class FactStore:
         return stored.filter(F.col(MONTH) == newest).select(F.max("date")).first()[0]
 
     @staticmethod
-    def _by_month(rows: DataFrame) -> DataFrame:
+    def by_month(rows: DataFrame) -> DataFrame:
         """Rows laid out for writing: a large month over several tasks, small ones together."""
         if MONTH not in rows.columns:
             rows = rows.withColumn(MONTH, month_of())
@@ -67,7 +67,7 @@ class FactStore:
     def create(self, rows: DataFrame, by_month: bool = False) -> None:
         """First load; there is nothing to protect yet, so it is written in place. ``by_month``: the
         rows have their month and lie by it already, so they aren't shuffled again."""
-        laid_out = rows if by_month else self._by_month(rows)
+        laid_out = rows if by_month else self.by_month(rows)
         laid_out.write.mode("overwrite").partitionBy(MONTH).parquet(self.path)
 
     def replace_months(self, rows: DataFrame) -> None:
@@ -76,7 +76,7 @@ class FactStore:
         self.promote(staging)
 
     def stage(self, rows: DataFrame, staging: str) -> None:
-        self._by_month(rows).write.partitionBy(MONTH).parquet(staging)
+        self.by_month(rows).write.partitionBy(MONTH).parquet(staging)
 
     def staged(self, staging: str) -> DataFrame:
         return self.spark.read.schema(self.schema).parquet(staging)
