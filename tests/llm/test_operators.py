@@ -10,12 +10,14 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from tillcast.llm import chat, jaccard, mixing, packing, ppm, quality, secrets, sharding, tokens, topk
 from tillcast.llm.components import components
 from tillcast.llm.queries import QUERIES, vocabulary
+from tillcast.session import materialize
 
 FOLDER = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables")
@@ -150,6 +152,58 @@ def test_classes_of_odd_rows(spark, odd, empty, rows):
     assert jaccard.jaccard_classes(empty).count() == 0
 
 
+def test_whole_sets_are_written_of_the_compared_texts_only(spark, monkeypatch):
+    """A set that no pair names, or the set of a pair a second time, would grow the disk used."""
+    base = [f"w{i}" for i in range(60)]
+    # near copies, and texts that share a run of words with them but are similar to nothing
+    texts = [" ".join(base[k:] + [f"e{k}"]) for k in range(3)]
+    texts += [" ".join(base[:20] + [f"r{k}x{i}" for i in range(60)]) for k in range(12)]
+    written = []
+
+    def kept(df, label):
+        found = materialize(df, label)
+        written.append((label, found))
+        return found
+
+    monkeypatch.setattr(jaccard, "materialize", kept)
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = jaccard.jaccard_classes(frame).orderBy("doc_id").collect()
+    assert [r["component_id"] for r in found] == [0, 0, 0, *range(3, 15)]
+    pairs = [df.selectExpr("explode(array(a, b)) key").distinct() for label, df in written if label == "jaccard-pairs"]
+    sets = [df.select("key") for _, df in written if "grams" in df.columns]
+    assert pairs and len(sets) == len(pairs)
+    for used, named in zip(sets, pairs, strict=True):
+        assert sorted(used.collect()) == sorted(named.collect())
+
+
+def test_few_needed_texts_are_looked_up_by_the_join_alone(spark, monkeypatch):
+    """A filter in Python would give their tasks two workers each; it changes no rows."""
+    docs = spark.range(100).selectExpr("id row", "cast(id as string) text")
+    wanted = spark.range(0, 100, 7).selectExpr("id row", "id key")
+    plan = jaccard._likely(docs, wanted)._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" not in plan
+    few = jaccard._likely(docs, wanted).join(wanted, "row").orderBy("row").collect()
+    monkeypatch.setattr(jaccard, "LOOKED_UP", 3)
+    filtered = jaccard._likely(docs, wanted)
+    assert "MapInArrow" in filtered._jdf.queryExecution().optimizedPlan().toString()
+    assert filtered.join(wanted, "row").orderBy("row").collect() == few and len(few) == 15
+
+
+def test_workers_keep_no_words_of_ended_tasks(spark):
+    """They wait, and serve other steps, beside those of the next tasks."""
+    frame = spark.createDataFrame([(n, f"some{n} words{n}") for n in range(200)], "doc_id long, text string")
+    assert packing.pack_documents(frame, vocabulary()).count() == 200
+    assert tokens.count_tokens(frame, vocabulary(), 9).count() == 200
+
+    def kept(records):
+        for record in records:
+            held = sum(len(x._words) + len(x._parts) - 1 for x in tokens._ENCODERS.values())
+            yield pa.RecordBatch.from_arrays([pa.array([held])], names=["held"])
+
+    found = spark.range(0, 16, 1, 16).mapInArrow(kept, "held long").agg(F.sum("held")).first()[0]
+    assert found == 0
+
+
 def test_pairs_of_unequal_size_beside_a_hub(spark, rows):
     """Links just above the limit whose sets differ in size, and a third set that takes the place of
     their hub: the smaller set's prefix holds n-grams that lie beyond the larger one's."""

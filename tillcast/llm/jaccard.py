@@ -38,6 +38,9 @@ _HIT = ["key", "owner", "more"]
 #: Bits of a filter that drops most texts no one needs before they are shuffled; with more texts
 #: needed than half of it, the join alone does that.
 FILTER_BITS = 1 << 23
+#: Up to so many needed texts (4 MB of ids and keys) need no filter: Spark broadcasts their list, and the
+#: join drops the others itself. A filter before it would give each task a second Python worker.
+LOOKED_UP = 1 << 18
 #: Prefixes that a task remembers, to send each but once.
 SENT_PREFIXES = 1 << 18
 
@@ -574,7 +577,7 @@ def first_ids(rows: DataFrame, classes: DataFrame) -> DataFrame:
 
 def _likely(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """``docs`` (row, text) without most rows that ``wanted`` (row) lacks; none of it is lost."""
-    if wanted.count() > FILTER_BITS // 2:
+    if not LOOKED_UP < wanted.count() <= FILTER_BITS // 2:
         return docs.select("row", "text")
     spark = docs.sparkSession.sparkContext
 

@@ -3,7 +3,7 @@
 Texts go through Arrow functions that return lengths only. The tokenizer sees batches of equal
 size in bytes, and long texts are cut where no token can cross: at ASCII white space, which the
 word tokenizers drop before they encode. Equal words get equal tokens, so a batch holds each
-word that the worker hasn't met lately once. A vocabulary that keeps white space is given whole
+word that the task hasn't met lately once. A vocabulary that keeps white space is given whole
 texts instead.
 """
 
@@ -13,6 +13,7 @@ import json
 import re
 import zlib
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 import numpy as np
@@ -20,11 +21,11 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from tillcast.llm.words import Texts, batches
+from tillcast.llm.words import Texts, batches, give_back
 
 #: Bytes of texts that are split into words at once, and of words encoded at once.
 SLICE_BYTES, BATCH_BYTES = 1 << 22, 1 << 15
-#: Words that a worker remembers; it then starts anew. This bounds memory, not what is counted.
+#: Words that a task remembers; it then starts anew. This bounds memory, not what is counted.
 MEMO_WORDS = 1_000_000
 
 # How the word tokenizer that drops white space is set up in its file.
@@ -61,6 +62,9 @@ class WholeTexts:
     def counts(self, texts: Iterable[bytes]) -> Iterator[int]:
         return (len(self.ids(text)) // 4 for text in texts)
 
+    def forget(self) -> None:
+        """Nothing is remembered."""
+
 
 class WordTexts:
     """Token ids of texts from the ids of their words, as little-endian 32-bit numbers."""
@@ -88,6 +92,10 @@ class WordTexts:
         suffix = setup["model"].get("end_of_word_suffix")
         return steps == _NORMAL_FORM and split == _WORD_PATTERN and bool(suffix)
 
+    def forget(self) -> None:
+        """Give up the words met so far; they are learnt again when they are met."""
+        self._words, self._parts = {}, {"": b""}
+
     def _learn_parts(self, parts: list[str]) -> None:
         """Encode runs of letters or of signs, many in one text: each ends with an end token."""
         at = 0
@@ -141,7 +149,7 @@ class WordTexts:
         if not missing:
             return found
         if max(len(self._words) + len(missing), len(self._parts)) > MEMO_WORDS:
-            self._words, self._parts = {}, {"": b""}
+            self.forget()
             missing = range(len(words))
         self._learn([words[at] for at in missing])
         for at in missing:
@@ -215,6 +223,19 @@ def encoder(blob: bytes, kind: str) -> WordTexts | WholeTexts:
     return _ENCODERS[key]
 
 
+@contextmanager
+def encoding(blob: bytes, kind: str) -> Iterator[WordTexts | WholeTexts]:
+    """The worker's encoder for one task. What it remembers ends with the task: tasks go round all the
+    workers of an executor, and those that wait, or serve other steps, would keep it beside them."""
+    library = encoder(blob, kind)
+    give_back()
+    try:
+        yield library
+    finally:
+        library.forget()
+        give_back()
+
+
 def sent_vocabulary(docs: DataFrame, path: str):
     """The vocabulary file (some MB, whatever the number of texts), broadcast, and its kind."""
     blob = Path(path).read_bytes()
@@ -240,15 +261,15 @@ def count_tokens(
     blob, kind = sent_vocabulary(docs, vocabulary)
 
     def lengths(records: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        library = encoder(blob.value, kind)
-        for record in records:
-            for part, texts in batches(record, "text", False):
-                n = np.fromiter(library.counts(text_bytes(texts)), np.int64, len(part))
-                size = np.diff(texts.limits)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("id"), pa.array(size), pa.array(n), pa.array(n > limit)],
-                    names=[id, "n_bytes", "n_tokens", "over_limit"],
-                )
+        with encoding(blob.value, kind) as library:
+            for record in records:
+                for part, texts in batches(record, "text", False):
+                    n = np.fromiter(library.counts(text_bytes(texts)), np.int64, len(part))
+                    size = np.diff(texts.limits)
+                    yield pa.RecordBatch.from_arrays(
+                        [part.column("id"), pa.array(size), pa.array(n), pa.array(n > limit)],
+                        names=[id, "n_bytes", "n_tokens", "over_limit"],
+                    )
 
     kind_of_id = docs.schema[id].dataType.simpleString()
     return docs.select(docs[id].alias("id"), docs[text].alias("text")).mapInArrow(
