@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tillcast.llm.tokens import encoding, sent_vocabulary, text_bytes
+from tillcast.llm.tokens import encoder, sent_vocabulary, text_bytes
 from tillcast.llm.words import batches
 from tillcast.session import materialize
 
@@ -80,16 +80,16 @@ def _first_bins(docs: DataFrame, vocabulary: str, limit: int, end_id: int) -> Da
     most = ITEMS
 
     def pack(records: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        library = encoder(blob.value, kind)
         held: list[np.ndarray] = []
         count = 0
-        with encoding(blob.value, kind) as library:
-            for record in records:
-                for pieces in _pieces(library, record, limit, last):
-                    held.append(pieces)
-                    count += len(pieces)
-                    if count >= most:
-                        yield bins_of(np.concatenate(held))
-                        held, count = [], 0
+        for record in records:
+            for pieces in _pieces(library, record, limit, last):
+                held.append(pieces)
+                count += len(pieces)
+                if count >= most:
+                    yield bins_of(np.concatenate(held))
+                    held, count = [], 0
         if count:
             yield bins_of(np.concatenate(held))
 
