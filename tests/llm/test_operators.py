@@ -10,6 +10,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -265,6 +266,52 @@ def test_words_of_many_texts_are_learnt_at_once(documents, monkeypatch):
     assert list(library.counts(t.encode() for t in texts)) == [len(x) for x in found]
 
 
+def test_words_are_remembered_in_little_memory():
+    import gc
+    import tracemalloc
+
+    library = tokens.WordTexts(open(vocabulary(), "rb").read())
+    library.ids(b"any")
+    letters = "abcdefghij"
+    names = ["".join(letters[int(d)] for d in f"{n:07d}") for n in range(0, 4_000_000, 80)]
+    gc.collect()
+    tracemalloc.start()
+    before = pa.total_allocated_bytes()
+    for at in range(0, len(names), 10_000):
+        library.ids(" ".join(names[at : at + 10_000]).encode())
+    gc.collect()
+    used = tracemalloc.get_traced_memory()[0] + pa.total_allocated_bytes() - before
+    tracemalloc.stop()
+    assert used < 150 * len(names)  # each is kept as a word and as a run of letters
+
+
+def test_words_with_one_hash_keep_their_ids(documents, monkeypatch):
+    monkeypatch.setattr(tokens.Memo, "_hashes", staticmethod(lambda words: np.full(len(words), 7)))
+    monkeypatch.setattr(tokens, "LONG_BYTES", 12)
+    monkeypatch.setattr(tokens, "LEARN_WORDS", 5)
+    library = tokens.WordTexts(open(vocabulary(), "rb").read())
+    for text in [*TRICKY, *(r["text"] or "" for r in documents[:5])] * 2:
+        assert np.frombuffer(library.ids(text.encode()), "<u4").tolist() == whole_ids(text)
+
+
+def test_packing_gives_memory_back_after_each_slice(monkeypatch):
+    calls = []
+    monkeypatch.setattr(packing, "SLICE_BYTES", 4)
+    monkeypatch.setattr(packing, "give_back", lambda: calls.append(1))
+    library = tokens.WordTexts(open(vocabulary(), "rb").read())
+    record = pa.RecordBatch.from_pydict({"id": [1, 2, None], "text": ["a b c", None, "d" * 9]})
+    pieces = np.concatenate(list(packing._pieces(library, record, 2, bytes(4))))
+    assert len(calls) == 2 and sorted(pieces["named"].tolist()) == [0] * (len(pieces) - 3) + [1] * 3
+
+
+def test_packing_workers_do_not_load_pandas():
+    import subprocess
+    import sys
+
+    code = "import sys, tillcast.llm.packing; sys.exit('pandas' in sys.modules)"
+    assert subprocess.run([sys.executable, "-c", code]).returncode == 0
+
+
 def test_other_vocabularies(spark):
     import public_tokenizers as P
 

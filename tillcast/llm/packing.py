@@ -12,13 +12,12 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tillcast.llm.tokens import encoder, sent_vocabulary, text_bytes
-from tillcast.llm.words import batches
+from tillcast.llm.tokens import SLICE_BYTES, encoder, sent_vocabulary, text_bytes
+from tillcast.llm.words import batches, give_back
 from tillcast.session import materialize
 
 #: Items that a task packs at once.
@@ -60,7 +59,7 @@ def best_fit(sizes: np.ndarray, limit: int) -> list[list[int]]:
 
 def _pieces(library, record: pa.RecordBatch, limit: int, last: bytes) -> Iterator[np.ndarray]:
     """The pieces of each document of a record batch, some MB of text at a time."""
-    for part, texts in batches(record, "text", False):
+    for part, texts in batches(record, "text", False, SLICE_BYTES):
         found = []
         each = library.each_ids(text_bytes(texts))
         for doc, ids in zip(part.column("id").to_pylist(), each, strict=True):
@@ -70,6 +69,19 @@ def _pieces(library, record: pa.RecordBatch, limit: int, last: bytes) -> Iterato
                 row = (doc or 0, doc is not None, number, at // 4, len(own) // 4)
                 found.append((*row, zlib.crc32(own)))
         yield np.array(found, _PIECE)
+        give_back()
+
+
+def _bins(sizes: np.ndarray, pieces: pa.Array, limit: int) -> pa.RecordBatch:
+    """Bins of items: how full each is, and the pieces of its items one after the other."""
+    bins = best_fit(sizes, limit)
+    order = np.concatenate([np.array(b) for b in bins])
+    ends = np.cumsum([len(b) for b in bins])
+    fill = np.add.reduceat(sizes[order], np.append(0, ends[:-1]))
+    _, offsets, data = (taken := pieces.take(pa.array(order))).buffers()
+    limits = np.frombuffer(offsets, np.int32)[: len(taken) + 1][np.append(0, ends)]
+    packed = pa.Array.from_buffers(pa.binary(), len(bins), [None, pa.py_buffer(limits), data])
+    return pa.RecordBatch.from_arrays([pa.array(fill.astype(np.int32)), packed], ["fill", "pieces"])
 
 
 def _first_bins(docs: DataFrame, vocabulary: str, limit: int, end_id: int) -> DataFrame:
@@ -94,15 +106,10 @@ def _first_bins(docs: DataFrame, vocabulary: str, limit: int, end_id: int) -> Da
             yield bins_of(np.concatenate(held))
 
     def bins_of(pieces: np.ndarray) -> pa.RecordBatch:
-        sizes = pieces["length"].astype(np.int64)
-        bins = best_fit(sizes, limit)
-        order = np.concatenate([np.array(b) for b in bins])
-        ends = np.cumsum([len(b) for b in bins])
-        fill = np.add.reduceat(sizes[order], np.append(0, ends[:-1]))
-        limits = np.append(0, ends).astype(np.int64) * _PIECE.itemsize
-        buffers = [None, pa.py_buffer(limits.astype(np.int32)), pa.py_buffer(pieces[order].tobytes())]
-        packed = pa.Array.from_buffers(pa.binary(), len(bins), buffers)
-        return pa.RecordBatch.from_arrays([pa.array(fill.astype(np.int32)), packed], ["fill", "pieces"])
+        limits = np.arange(len(pieces) + 1, dtype=np.int32) * _PIECE.itemsize
+        buffers = [None, pa.py_buffer(limits), pa.py_buffer(pieces.tobytes())]
+        held = pa.Array.from_buffers(pa.binary(), len(pieces), buffers)
+        return _bins(pieces["length"].astype(np.int64), held, limit)
 
     return docs.mapInArrow(pack, "fill int, pieces binary")
 
@@ -111,30 +118,24 @@ def _packed(items: DataFrame, limit: int) -> DataFrame:
     """Items of each task packed into bins, at most ITEMS at a time."""
     most = ITEMS
 
-    def pack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[pd.DataFrame] = []
+    def pack(records: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
         count = 0
-        for frame in frames:
-            held.append(frame)
-            count += len(frame)
+        for record in records:
+            held.append(record)
+            count += len(record)
             if count >= most:
-                yield bins_of(pd.concat(held))
+                yield bins_of(held)
                 held, count = [], 0
         if count:
-            yield bins_of(pd.concat(held))
-
-    def bins_of(frame: pd.DataFrame) -> pd.DataFrame:
-        sizes = frame["fill"].to_numpy(np.int64)
-        parts = frame["pieces"].tolist()
-        bins = best_fit(sizes, limit)
-        return pd.DataFrame(
-            {
-                "fill": np.array([sizes[b].sum() for b in bins], np.int32),
-                "pieces": [b"".join(parts[i] for i in b) for b in bins],
-            }
-        )
-
-    return items.mapInPandas(pack, "fill int, pieces binary")
+            yield bins_of(held)
+
+    def bins_of(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        sizes = np.concatenate([record.column("fill").to_numpy() for record in held]).astype(np.int64)
+        pieces = pa.concat_arrays([record.column("pieces").cast(pa.binary()) for record in held])
+        return _bins(sizes, pieces, limit)
+
+    return items.mapInArrow(pack, "fill int, pieces binary")
 
 
 def pack_documents(

@@ -10,6 +10,7 @@ texts instead.
 from __future__ import annotations
 
 import json
+import os
 import re
 import zlib
 from collections.abc import Callable, Iterable, Iterator
@@ -20,12 +21,15 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from tillcast.llm.words import Texts, batches
+from tillcast.llm.words import Texts, batches, give_back
 
 #: Bytes of texts that are split into words at once, and of words encoded at once.
-SLICE_BYTES, BATCH_BYTES = 1 << 22, 1 << 15
-#: Words that a worker remembers; it then starts anew. This bounds memory, not what is counted.
-MEMO_WORDS = 1_000_000
+SLICE_BYTES, BATCH_BYTES = 1 << 21, 1 << 15
+#: Words that a worker remembers, and their bytes; it then starts anew. Longer words than LONG_BYTES are
+#: learnt each time. This bounds memory, not what is counted.
+MEMO_WORDS, MEMO_BYTES, LONG_BYTES = 1_000_000, 1 << 26, 256
+#: Words that are Python objects at once while they are looked up or learnt.
+LEARN_WORDS = 1 << 15
 
 # How the word tokenizer that drops white space is set up in its file.
 _NORMAL_FORM = ["NFC", "Replace", "Lowercase"]
@@ -62,6 +66,69 @@ class WholeTexts:
         return (len(self.ids(text)) // 4 for text in texts)
 
 
+def _objects(words: pa.Array) -> list[bytes]:
+    """The values of a binary array without nulls; ``to_pylist`` takes some times longer."""
+    _, offsets, data = words.buffers()
+    limits = np.frombuffer(offsets, np.int32)[words.offset : words.offset + len(words) + 1]
+    if not len(words) or limits[0] == limits[-1]:
+        return [b""] * len(words)
+    first = int(limits[0])
+    data = data[first : int(limits[-1])].to_pybytes()
+    limits = (limits - first).tolist()
+    return [data[low:high] for low, high in zip(limits, limits[1:], strict=False)]
+
+
+class Memo:
+    """Token ids of words in flat arrays: some 40 bytes a word, of which Python objects take 200."""
+
+    def __init__(self):
+        self.words = self.ids = pa.array([], pa.binary())
+        self._keys = np.zeros(0, np.int64)  # hashes, ascending, and the numbers of their words
+        self._numbers = np.zeros(0, np.int32)
+
+    def __len__(self) -> int:
+        return len(self.words)
+
+    @staticmethod
+    def _hashes(words: pa.Array) -> np.ndarray:
+        found = np.empty(len(words), np.int64)
+        for at in range(0, len(words), LEARN_WORDS):
+            part = _objects(words.slice(at, LEARN_WORDS))
+            found[at : at + len(part)] = np.fromiter(map(hash, part), np.int64, len(part))
+        return found
+
+    def find(self, words: pa.Array) -> np.ndarray:
+        """Number of each word, -1 if it isn't here. Words are compared whole, not by hash alone."""
+        found = np.full(len(words), -1, np.int32)
+        if len(self) and len(words):
+            hashes = self._hashes(words)
+            place = np.minimum(np.searchsorted(self._keys, hashes), len(self._keys) - 1)
+            like = np.flatnonzero(self._keys[place] == hashes)
+            number = self._numbers[place[like]]
+            same = pc.equal(self.words.take(pa.array(number)), words.take(pa.array(like)))
+            same = same.to_numpy(zero_copy_only=False)
+            found[like[same]] = number[same]
+        return found
+
+    def add(self, words: pa.Array, ids: pa.Array) -> None:
+        """Remember different words that aren't here; not those that are long or share a hash."""
+        short = np.flatnonzero(pc.binary_length(words).to_numpy(zero_copy_only=False) <= LONG_BYTES)
+        hashes, first = np.unique(self._hashes(words.take(pa.array(short))), return_index=True)
+        place = np.searchsorted(self._keys, hashes)
+        new = np.ones(len(hashes), bool)
+        if len(self):
+            new = self._keys[np.minimum(place, len(self._keys) - 1)] != hashes
+        chosen = pa.array(short[first[new]])
+        numbers = np.arange(len(self), len(self) + len(chosen), dtype=np.int32)
+        self._keys = np.insert(self._keys, place[new], hashes[new])
+        self._numbers = np.insert(self._numbers, place[new], numbers)
+        self.words = pa.concat_arrays([self.words, words.take(chosen)])
+        self.ids = pa.concat_arrays([self.ids, ids.take(chosen)])
+
+    def has_room(self, more: int = 0) -> bool:
+        return len(self) + more <= MEMO_WORDS and self.words.nbytes + self.ids.nbytes <= MEMO_BYTES
+
+
 class WordTexts:
     """Token ids of texts from the ids of their words, as little-endian 32-bit numbers."""
 
@@ -75,8 +142,7 @@ class WordTexts:
         vocabulary = self._library.get_vocab()
         self._ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self._ends[[i for token, i in vocabulary.items() if token.endswith(suffix)]] = True
-        self._words: dict[bytes, bytes] = {}
-        self._parts: dict[str, bytes] = {"": b""}
+        self._words, self._parts = Memo(), Memo()
 
     @staticmethod
     def fits(blob: bytes) -> bool:
@@ -88,9 +154,9 @@ class WordTexts:
         suffix = setup["model"].get("end_of_word_suffix")
         return steps == _NORMAL_FORM and split == _WORD_PATTERN and bool(suffix)
 
-    def _learn_parts(self, parts: list[str]) -> None:
+    def _encode_parts(self, parts: list[str]) -> list[bytes]:
         """Encode runs of letters or of signs, many in one text: each ends with an end token."""
-        at = 0
+        at, found = 0, []
         while at < len(parts):
             size, stop = 0, at
             while stop < len(parts) and size < BATCH_BYTES:
@@ -98,31 +164,51 @@ class WordTexts:
                 stop += 1
             text = " ".join(parts[at:stop])
             # the same ids as ``encode`` gives, without the offsets that it makes of each token
-            found = self._library.encode_batch_fast([text], add_special_tokens=False)
-            ids = np.array(found[0].ids, "<u4")
+            ids = self._library.encode_batch_fast([text], add_special_tokens=False)[0].ids
+            ids = np.array(ids, "<u4")
             cuts = [0, *(np.flatnonzero(self._ends[ids]) + 1).tolist()]
             if len(cuts) != stop - at + 1 or cuts[-1] != len(ids):
                 raise ValueError("a run of letters or signs was not one word to the tokenizer")
             raw = ids.tobytes()
-            for part, low, high in zip(parts[at:stop], cuts, cuts[1:], strict=False):
-                self._parts[part] = raw[4 * low : 4 * high]
+            found += [raw[4 * low : 4 * high] for low, high in zip(cuts, cuts[1:], strict=False)]
             at = stop
+        return found
 
-    def _learn(self, words: list[bytes]) -> None:
+    def _part_ids(self, parts: list[str]) -> dict[str, bytes]:
+        """Ids of different runs; those that aren't in memory yet are encoded."""
+        words = pa.array(parts, pa.string()).cast(pa.binary())
+        at = self._parts.find(words)
+        known, missing = np.flatnonzero(at >= 0), np.flatnonzero(at < 0)
+        kept = _objects(self._parts.ids.take(pa.array(at[known])))
+        of = dict(zip([parts[i] for i in known.tolist()], kept, strict=True))
+        if len(missing):
+            new = [parts[i] for i in missing.tolist()]
+            ids = self._encode_parts(new)
+            of.update(zip(new, ids, strict=True))
+            self._parts.add(words.take(pa.array(missing)), pa.array(ids, pa.binary()))
+        return of
+
+    def _learn(self, words: pa.Array) -> None:
+        """Remember different words, and keep their ids as the ones just learnt."""
+        learnt = []
+        for at in range(0, len(words), LEARN_WORDS):
+            learnt.append(self._ids_of(_objects(words.slice(at, LEARN_WORDS))))
+        self._learnt = pa.concat_arrays(learnt)
+        self._words.add(words, self._learnt)
+
+    def _ids_of(self, words: list[bytes]) -> pa.Array:
         lines = _PLAIN_LINE.findall((b"\n".join(words) + b"\n").decode("utf-8", "replace"))
         small = [letters.lower() for letters, _, _ in lines]
-        wanted = {*small, *(signs for _, signs, _ in lines)}
-        self._learn_parts(list(wanted.difference(self._parts)))
-        of = self._parts
-        other = []
-        for word, letters, (_, signs, text) in zip(words, small, lines, strict=True):
-            if letters:
-                self._words[word] = of[letters] + of[signs]
-            else:
-                other.append((word, text))
-        found = self._library.encode_batch_fast([t for _, t in other], add_special_tokens=False)
-        for (word, _), encoding in zip(other, found, strict=True):
-            self._words[word] = np.array(encoding.ids, "<u4").tobytes()
+        wanted = {*small, *(signs for _, signs, _ in lines)} - {""}
+        of = self._part_ids(list(wanted))
+        of[""] = b""
+        ids = [of[letters] + of[signs] for letters, (_, signs, _) in zip(small, lines, strict=True)]
+        other = [at for at, letters in enumerate(small) if not letters]
+        texts = [lines[at][2] for at in other]
+        found = self._library.encode_batch_fast(texts, add_special_tokens=False)
+        for at, encoding in zip(other, found, strict=True):
+            ids[at] = np.array(encoding.ids, "<u4").tobytes()
+        return pa.array(ids, pa.binary())
 
     @staticmethod
     def _slices(text: bytes) -> Iterator[bytes]:
@@ -134,29 +220,33 @@ class WordTexts:
             yield text[low:high]
             low = high
 
-    def _known(self, words: list[bytes]) -> list[bytes]:
-        """The ids of different words; what isn't in memory yet is learnt at once."""
-        found = list(map(self._words.get, words))
-        missing = [at for at, ids in enumerate(found) if ids is None]
-        if not missing:
-            return found
-        if max(len(self._words) + len(missing), len(self._parts)) > MEMO_WORDS:
-            self._words, self._parts = {}, {"": b""}
-            missing = range(len(words))
-        self._learn([words[at] for at in missing])
-        for at in missing:
-            found[at] = self._words[words[at]]
-        return found
-
-    def _words_of(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
-        """Words of each text: where its numbers begin (and the last end), numbers of words, and
+    def _known(self, words: pa.Array) -> tuple[pa.Array, np.ndarray]:
+        """Ids of different words and each word's place there; what isn't in memory yet is learnt at once."""
+        at = self._words.find(words)
+        missing = np.flatnonzero(at < 0)
+        if not len(missing):
+            return self._words.ids.take(pa.array(at)), np.arange(len(words))
+        if not (self._words.has_room(len(missing)) and self._parts.has_room()):
+            self._words, self._parts = Memo(), Memo()
+            at[:] = -1
+            missing = np.arange(len(words))
+        known = np.flatnonzero(at >= 0)
+        kept = self._words.ids.take(pa.array(at[known]))
+        self._learn(words.take(pa.array(missing)))
+        place = np.empty(len(words), np.int64)
+        place[known] = np.arange(len(known))
+        place[missing] = np.arange(len(known), len(words))
+        return pa.concat_arrays([kept, self._learnt]), place
+
+    def _words_of(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+        """Words of each text: where its numbers begin (and the last end), places of words, and
         the ids of the different words. Python meets each different word once."""
         limits = np.concatenate([[0], np.cumsum([len(text) for text in texts])])
         buffers = [None, pa.py_buffer(limits), pa.py_buffer(b"".join(texts))]
         lists = pc.ascii_split_whitespace(pa.Array.from_buffers(pa.large_string(), len(texts), buffers))
         words = lists.flatten().dictionary_encode()
-        found = self._known(words.dictionary.cast(pa.large_binary()).to_pylist())
-        return lists.offsets.to_numpy(), words.indices.to_numpy(), found
+        found, place = self._known(words.dictionary.cast(pa.large_binary()).cast(pa.binary()))
+        return lists.offsets.to_numpy(), place[words.indices.to_numpy()], found
 
     def _each(self, texts: Iterable[bytes], made: Callable) -> Iterator[list]:
         """For each text what ``made`` makes of its slices. Short texts are held until they make a
@@ -177,18 +267,16 @@ class WordTexts:
 
     def _slice_ids(self, texts: list[bytes]) -> Iterator[bytes]:
         limits, words, found = self._words_of(texts)
-        sizes = np.array([len(ids) // 4 for ids in found], np.int64)
-        first = np.cumsum(sizes) - sizes
-        n = sizes[words]
-        ends = np.concatenate([[0], np.cumsum(n)])
-        at = np.arange(ends[-1]) + np.repeat(first[words] - ends[:-1], n)
-        ids = np.frombuffer(b"".join(found), "<u4")[at]
-        cuts = ends[limits].tolist()
-        return (ids[low:high].tobytes() for low, high in zip(cuts, cuts[1:], strict=False))
+        ids = found.cast(pa.large_binary()).take(pa.array(words))
+        _, offsets, data = ids.buffers()
+        ends = np.frombuffer(offsets, np.int64)[limits] if len(words) else np.zeros(len(limits), np.int64)
+        data = memoryview(data or b"")
+        cuts = ends.tolist()
+        return (bytes(data[low:high]) for low, high in zip(cuts, cuts[1:], strict=False))
 
     def _slice_counts(self, texts: list[bytes]) -> list[int]:
         limits, words, found = self._words_of(texts)
-        sizes = np.array([len(ids) // 4 for ids in found], np.int64)
+        sizes = pc.binary_length(found).to_numpy(zero_copy_only=False).astype(np.int64) // 4
         return np.diff(np.concatenate([[0], np.cumsum(sizes[words])])[limits]).tolist()
 
     def each_ids(self, texts: Iterable[bytes]) -> Iterator[bytes]:
@@ -207,11 +295,14 @@ _ENCODERS: dict[tuple[str, int], WordTexts | WholeTexts] = {}
 
 
 def encoder(blob: bytes, kind: str) -> WordTexts | WholeTexts:
-    """The worker's encoder for a vocabulary file; it stays for later tasks."""
+    """The worker's encoder for a vocabulary file; it stays for later tasks. A task has one core, so
+    the library takes no threads, each of which would keep memory of its own."""
     key = (kind, zlib.crc32(blob))
     if key not in _ENCODERS:
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         words = kind == ".json" and WordTexts.fits(blob)
         _ENCODERS[key] = WordTexts(blob) if words else WholeTexts(blob, kind)
+        give_back()
     return _ENCODERS[key]
 
 
@@ -242,13 +333,14 @@ def count_tokens(
     def lengths(records: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         library = encoder(blob.value, kind)
         for record in records:
-            for part, texts in batches(record, "text", False):
+            for part, texts in batches(record, "text", False, SLICE_BYTES):
                 n = np.fromiter(library.counts(text_bytes(texts)), np.int64, len(part))
                 size = np.diff(texts.limits)
                 yield pa.RecordBatch.from_arrays(
                     [part.column("id"), pa.array(size), pa.array(n), pa.array(n > limit)],
                     names=[id, "n_bytes", "n_tokens", "over_limit"],
                 )
+                give_back()
 
     kind_of_id = docs.schema[id].dataType.simpleString()
     return docs.select(docs[id].alias("id"), docs[text].alias("text")).mapInArrow(
