@@ -5,6 +5,7 @@ import math
 import os
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tillcast.llm import codes, lexical, repeats
 from tillcast.llm.queries import QUERIES
+from tillcast.llm.scratch import CLEANUP, Scratch
 
 FOLDER = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables")
@@ -296,6 +298,62 @@ def test_repeats_of_odd_rows(odd, empty):
     assert repeats.remove_repeats(empty).count() == 0
 
 
+def test_filters_beyond_their_share_still_leave_out(spark, monkeypatch):
+    """However many numbers there are, the others aren't all let through, and none of them is lost."""
+    monkeypatch.setattr(repeats, "FILTER_BITS", 1 << 16)
+    monkeypatch.setattr(repeats, "FILTER_STEP", 1000)
+    for size in (0, 1, 3000, 20_000, 30_000):  # the last two are more than a quarter of the bits
+        found = repeats._filter(spark.range(0, size, 1, 3))
+        assert found is not None
+        assert repeats._held(found, np.arange(size)).all()
+        assert repeats._held(found, np.arange(10**6, 10**6 + 20_000)).mean() < 0.5
+
+
+def test_bytes_of_many_are_not_all_shuffled(spark, monkeypatch):
+    """With more wanted than a quarter of a filter's bits, others are still left out where they are read."""
+    monkeypatch.setattr(repeats, "FILTER_BITS", 1 << 10)
+    pick = random.Random(5)
+    texts = [(i, "".join(pick.choices("abcdefgh", k=3000))) for i in range(20)]
+    docs = spark.createDataFrame(texts, "id long, text string").coalesce(1)
+
+    def some(records):
+        for record in records:
+            for part, texts in repeats.batches(record, "text", False):
+                for key, _, start, n, text in repeats.surroundings(texts, 50):
+                    own = repeats._prints(texts, start, start + n + 49)
+                    low = repeats._numbers(part)[text]
+                    yield repeats._batch({"key": key[:300], "print": own[:300], "low": low[:300]})
+
+    wanted = docs.mapInArrow(some, "key long, print long, low long").localCheckpoint()
+    assert wanted.count() > (1 << 10) // 4
+    fetched = repeats._bytes(docs, 50, wanted)
+    assert "Exchange" not in fetched._jdf.queryExecution().executedPlan().toString()
+    assert fetched.join(wanted, ["key", "print"], "left_semi").count() >= wanted.count()
+    assert fetched.count() < 3000
+
+
+def test_scratch_leaves_no_shuffle_files(spark):
+    """What was shuffled to write a table is gone soon after, and the session's setting is as before."""
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def shuffled():
+        files = disk.getAllFiles()
+        names = [files.apply(k).getName() for k in range(files.size())]
+        return {x for x in names if x.startswith("shuffle_")}
+
+    before, setting = shuffled(), spark.conf.get(CLEANUP, None)
+    scratch = Scratch(spark, "test")
+    kept = scratch.keep(spark.range(1000).repartition("id"), "rows")
+    for _ in range(50):
+        if not shuffled() - before:
+            break
+        time.sleep(0.2)
+    assert not shuffled() - before
+    assert kept.count() == 1000
+    assert spark.conf.get(CLEANUP, None) == setting
+    scratch.drop("rows")
+
+
 def test_queries_read_whole_tables(spark):
     docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
     assert QUERIES["op13_suffix_array_dedup"](spark, FOLDER).count() == docs.count()

@@ -3,9 +3,10 @@
 Every string of ``length`` bytes has an anchor: its ``GRAM``-byte piece with the smallest hash, the
 first of equals. Equal strings have equal anchors, so all strings meet if texts are dealt by anchor:
 an anchor stands for its surroundings, the bytes of the successive strings that share it. Anchors met in
-one document only are left out first, and fingerprints tell equal surroundings. Where an anchor has
-different ones with a like side, the bytes of each are fetched once and joined to a string of their
-own, whose suffix array shows the repeats: suffixes that share ``length`` bytes are neighbours.
+one document only are left out first (but for those a filter takes for others), and fingerprints tell
+equal surroundings. Where an anchor has different ones with a like side, the bytes of each are fetched
+once and joined to a string of their own, whose suffix array shows the repeats: suffixes that share
+``length`` bytes are neighbours. All others are settled where the uses of their anchor meet.
 
 Suffix arrays are made by linear grouping. Suffixes start in groups by their first byte. Groups are
 taken in descending order; the previous smaller group's suffix before each member is found by
@@ -42,8 +43,13 @@ USES, SURROUNDINGS = 4096, 64
 #: Bytes of surroundings that a task sorts in lockstep. Anchors with more than ``FEW`` wait for others
 #: of that kind, as a lockstep takes as long as its longest string.
 LOCKSTEP_BYTES, FEW = 1 << 20, 10
-#: Bits of the filter of shared anchors; with more of them than a quarter of it they are joined.
-FILTER_BITS = 1 << 26
+#: Bits of a filter for each of its numbers, and at least and at most in all; fuller ones let more other
+#: numbers through, which later steps leave out. Bits that are gathered in one row.
+FILTER_SHARE, FEWEST_BITS, FILTER_BITS, BLOCK_BITS = 8, 1 << 22, 1 << 29, 1 << 16
+#: Numbers of a task that are put into blocks of a filter at once.
+FILTER_STEP = 1 << 20
+#: Kinds of rows that ``_compared`` makes.
+DONE, OPEN, HOT, PLACE = range(4)
 _NO_ID = np.iinfo(np.int64).max  # a null id is later than all others
 
 
@@ -259,41 +265,63 @@ def _shared(docs: DataFrame, length: int) -> DataFrame:
 
 
 def _filter(tags: DataFrame):
-    """A broadcast bit table of numbers (``FILTER_BITS``, whatever their number), or None if there
-    are too many for it to leave out much. It holds every number, and a few others."""
-    size = FILTER_BITS
-    if tags.count() > size // 4:
-        return None
+    """A broadcast bit table of numbers, and how many bits each has. It holds every number, and others."""
+    count = tags.count()
+    size = min(FILTER_BITS, max(FEWEST_BITS, 1 << (FILTER_SHARE * count).bit_length()))
+    ways = 2 if size > 2 * count else 1
+    block, at_once = min(size, BLOCK_BITS), FILTER_STEP
+
+    def places(records: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        for record in records:
+            held.append(record.column(0).to_numpy(zero_copy_only=False))
+            if sum(map(len, held)) >= at_once:
+                yield dealt(np.concatenate(held))
+                held = []
+        if held:
+            yield dealt(np.concatenate(held))
+
+    def dealt(numbers: np.ndarray) -> pa.RecordBatch:
+        at = np.unique(np.concatenate(_bits(numbers, size, ways)))
+        own = at // block
+        cut = np.flatnonzero(np.diff(own, prepend=-1))
+        limits = np.append(cut, len(at)).astype(np.int32) * 2
+        inside = (at % block).astype(np.uint16)
+        rows = pa.Array.from_buffers(
+            pa.binary(), len(cut), [None, pa.py_buffer(limits), pa.py_buffer(inside)]
+        )
+        return pa.RecordBatch.from_arrays([pa.array(own[cut]), rows], names=["block", "bits"])
 
-    def bits(records: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def filled(records: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blocks: dict[int, np.ndarray] = {}
         for record in records:
-            at = np.unique(_bit(record.column(0).to_numpy(zero_copy_only=False), size))
-            cut = np.flatnonzero(np.append(True, np.diff(at >> 6) != 0)) if len(at) else at
-            words = np.bitwise_or.reduceat(np.int64(1) << (at & 63), cut) if len(at) else at
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(at[cut] >> 6), pa.array(words)], names=["word", "bits"]
-            )
-
-    found = (
-        tags.mapInArrow(bits, "word bigint, bits bigint")
-        .groupBy("word")
-        .agg(F.bit_or("bits").alias("bits"))
-        .toArrow()
-    )
-    table = np.zeros(size // 64, np.int64)
-    table[found.column("word").to_numpy()] = found.column("bits").to_numpy()
-    return tags.sparkSession.sparkContext.broadcast(table)
+            for own, places in zip(record.column(0).to_pylist(), record.column(1).to_pylist(), strict=True):
+                held = blocks.setdefault(own, np.zeros(block, np.uint8))
+                held[np.frombuffer(places, np.uint16)] = 1
+        for own, held in blocks.items():
+            bits = np.packbits(held, bitorder="little").tobytes()
+            yield pa.RecordBatch.from_arrays([pa.array([own]), pa.array([bits])], names=["block", "bits"])
+
+    kind = "block bigint, bits binary"
+    found = tags.mapInArrow(places, kind).repartition("block").mapInArrow(filled, kind).toArrow()
+    table = np.zeros(size // 8, np.uint8)
+    for own, bits in zip(found.column("block").to_pylist(), found.column("bits"), strict=True):
+        table[own * block // 8 : (own + 1) * block // 8] = np.frombuffer(bits.as_buffer(), np.uint8)
+    return tags.sparkSession.sparkContext.broadcast((table, ways))
 
 
-def _bit(tags: np.ndarray, size: int) -> np.ndarray:
-    return (mix(tags.view(U64)) % U64(size)).astype(np.int64)
+def _bits(tags: np.ndarray, size: int, ways: int) -> list[np.ndarray]:
+    """The bits of numbers in a table of ``size`` (a power of two, 2**32 at most)."""
+    spread = mix(tags.view(U64))
+    return [((spread >> U64(32 * k)) & U64(size - 1)).astype(np.int64) for k in range(ways)]
 
 
-def _held(table, tags: np.ndarray) -> np.ndarray:
-    if table is None:
-        return np.ones(len(tags), bool)
-    at = _bit(tags, 64 * len(table.value))
-    return (table.value[at >> 6] >> (at & 63) & 1).astype(bool)
+def _held(filter_, tags: np.ndarray) -> np.ndarray:
+    table, ways = filter_.value
+    hit = np.ones(len(tags), bool)
+    for at in _bits(tags, 8 * len(table), ways):
+        hit &= (table[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+    return hit
 
 
 def _tag(key: np.ndarray, own: np.ndarray, ids: np.ndarray) -> np.ndarray:
@@ -327,8 +355,9 @@ def _sides(texts: Texts, at: np.ndarray, start: np.ndarray, ends: np.ndarray, le
 
 
 def _places(docs: DataFrame, length: int, shared, hot) -> DataFrame:
-    """(key, print, id, text_print, start, n, sides, hot) of the surroundings of shared anchors; hot is
-    1 for all anchors in the table ``hot``, and maybe for others."""
+    """(key, print, id, text_print, at, sides) of the surroundings of shared anchors, and maybe of others;
+    at is their first string above 32 bits with their number, sides has bit 32 set for all anchors in the
+    filter ``hot``, and maybe for others."""
 
     def scan(records: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for record in records:
@@ -341,51 +370,80 @@ def _places(docs: DataFrame, length: int, shared, hot) -> DataFrame:
                     ends = start + n + length - 1
                     yield _batch(
                         {"key": key, "print": _prints(texts, start, ends), "id": ids[text],
-                         "text_print": of_text[text], "start": start - texts.limits[text],
-                         "n": n, "sides": _sides(texts, at, start, ends, length),
-                         "hot": _held(hot, key)}
+                         "text_print": of_text[text], "at": start - texts.limits[text] << 32 | n,
+                         "sides": _sides(texts, at, start, ends, length)
+                         | _held(hot, key).astype(np.int64) << 32}
                     )
 
-    names = ["key", "print", "id", "text_print", "start", "n", "sides", "hot"]
+    names = ["key", "print", "id", "text_print", "at", "sides"]
     return docs.mapInArrow(scan, ", ".join(f"{c} bigint" for c in names))
 
 
 def _compared(places: DataFrame) -> DataFrame:
-    """(key, print, low, high, n, alone): the different surroundings of each anchor; alone if no other
-    one of the anchor has a side like theirs, so that they share no string with it."""
-    names = ["key", "print", "low", "high", "n", "alone"]
+    """Rows (kind, key, print, low, high, id, text_print, start, n) from the uses of each anchor:
+
+    DONE (id, text_print, start, n): strings that occur in an earlier document; of surroundings like no other
+    of the anchor's on either side, so that they share no string with these.
+    OPEN (key, print, low, high): the other surroundings, with their first and last document.
+    HOT (the same): of surroundings of hot anchors, by parts.
+    PLACE (key, print, id, text_print, start): where those of the last two kinds are that may have to go.
+    """
+    names = ["kind", "key", "print", "low", "high", "id", "text_print", "start", "n"]
 
     def compare(records: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = [np.zeros(0, np.int64)] * 5
+        held: list[np.ndarray] = [np.zeros(0, np.int64)] * 6
         for record in records:
-            new = [record.column(k).to_numpy(zero_copy_only=False) for k in range(5)]
+            new = [record.column(k).to_numpy(zero_copy_only=False) for k in range(6)]
             held = [np.concatenate(x) for x in zip(held, new, strict=True)]
             cut = int(np.searchsorted(held[0], held[0][-1])) if len(held[0]) else 0
             if cut:
-                yield whole(*(x[:cut] for x in held))
+                yield from whole(*(x[:cut] for x in held))
                 held = [x[cut:] for x in held]
         if len(held[0]):
-            yield whole(*held)
+            yield from whole(*held)
 
-    def whole(key, own, ids, n, sides) -> pa.RecordBatch:
-        order = np.lexsort((ids, own, key))
-        key, own, ids, n, sides = (x[order] for x in (key, own, ids, n, sides))
+    def whole(*columns: np.ndarray) -> Iterator[pa.RecordBatch]:
+        order = np.lexsort((columns[2], columns[1], columns[0]))
+        key, own, ids, of_text, at, sides = (x[order] for x in columns)
         new = np.ones(len(key), bool)
         new[1:] = (key[1:] != key[:-1]) | (own[1:] != own[:-1])
         first = np.flatnonzero(new)
-        last = np.append(first[1:], len(key)) - 1
-        key, own, low, high, n, sides = key[first], own[first], ids[first], ids[last], n[first], sides[first]
-        alone = np.ones(len(key), bool)
-        for side in (sides & 0xFFFF, sides >> 16):
-            order = np.lexsort((side, key))
-            same = (key[order][1:] == key[order][:-1]) & (side[order][1:] == side[order][:-1])
-            same &= side[order][1:] != 0
+        uses = np.diff(np.append(first, len(key)))
+        last = first + uses - 1
+        heads = np.flatnonzero(np.diff(np.searchsorted(key[first], key[first]), prepend=-1))
+        different = np.diff(np.append(heads, len(first)))  # surroundings of each anchor
+        least = np.repeat(np.minimum.reduceat(ids[first], heads), different)
+        most = np.repeat(np.maximum.reduceat(ids[last], heads), different)
+        hot = (sides[first] >> 32 & 1).astype(bool)
+        alone = np.ones(len(first), bool)
+        for side in (sides[first] & 0xFFFF, sides[first] >> 16 & 0xFFFF):
+            order = np.lexsort((side, key[first]))
+            by, of = side[order], key[first][order]
+            same = (of[1:] == of[:-1]) & (by[1:] == by[:-1]) & (by[1:] != 0)
             alone[order[1:][same]] = alone[order[:-1][same]] = False
-        return _batch({"key": key, "print": own, "low": low, "high": high, "n": n, "alone": alone})
-
+        alone &= ~hot
+        start, n = at >> 32, at & 0xFFFFFFFF
+        go = np.repeat(alone, uses) & (ids > np.repeat(ids[first], uses))
+        yield rows(DONE, id=ids[go], text_print=of_text[go], start=start[go], n=n[go])
+        for kind, which in ((OPEN, ~alone & ~hot & (least < most)), (HOT, hot)):
+            some = first[which]
+            yield rows(kind, key=key[some], print=own[some], low=ids[some], high=ids[last[which]])
+            go = np.repeat(which, uses)
+            if kind == OPEN:
+                go &= ids > np.repeat(least, uses)
+            yield rows(PLACE, key=key[go], print=own[go], id=ids[go], text_print=of_text[go], start=start[go])
+
+    def rows(kind: int, **columns: np.ndarray) -> pa.RecordBatch:
+        size = len(next(iter(columns.values())))
+        columns["kind"] = np.full(size, kind)
+        none = pa.nulls(size, pa.int64())
+        made = [pa.array(columns[c]) if c in columns else none for c in names]
+        return pa.RecordBatch.from_arrays(made, names=names)
+
+    # the uses of a hot anchor are dealt singly, those of any other meet
+    one_by_one = F.xxhash64("id", "text_print", "at")
     return (
-        places.select("key", "print", "id", "n", "sides")
-        .repartition("key")
+        places.repartition(F.when(F.col("sides") >= 1 << 32, one_by_one).otherwise(F.col("key")))
         .sortWithinPartitions("key")
         .mapInArrow(compare, ", ".join(f"{c} bigint" for c in names))
     )
@@ -419,10 +477,9 @@ def _bytes(docs: DataFrame, length: int, wanted: DataFrame) -> DataFrame:
                     none = pa.nulls(len(key), pa.int64())
                     yield _batch({"key": key, "print": own}, low=none, high=none, bytes=bytes_)
 
-    found = docs.mapInArrow(
+    return docs.mapInArrow(
         scan, "key bigint, print bigint, low bigint, high bigint, bytes binary"
     )
-    return found if table is not None else found.join(wanted, ["key", "print"], "left_semi")
 
 
 # --- repeats -----------------------------------------------------------------------------
@@ -644,21 +701,13 @@ def remove_repeats(
     table = _filter(shared.select("key"))
     hot = shared.filter(F.col("uses") > USES).select("key")
     any_hot = not hot.isEmpty()
-    places = _places(chosen, length, table, _filter(hot))
-    if table is None:
-        places = places.join(shared.select("key"), "key", "left_semi")
-    places = scratch.keep(places, "places")
+    met = scratch.keep(_compared(_places(chosen, length, table, _filter(hot))), "met")
     scratch.drop("anchors")
-    compared = scratch.keep(_compared(places.filter("hot = 0")), "compared")
-    wanted = compared.filter("alone = 0")
-    found = _repeats(wanted, _bytes(chosen, length, wanted), length).unionByName(
-        compared.filter("alone = 1 AND low < high").select(
-            "key", "print", F.lit(0).cast("bigint").alias("at"), "n", F.col("low").alias("first")
-        )
-    )
+    wanted = met.filter(F.col("kind") == OPEN).select("key", "print", "low", "high")
+    found = _repeats(wanted, _bytes(chosen, length, wanted), length)
     if any_hot:
-        different = places.filter("hot = 1").groupBy("key", "print").agg(
-            F.min("id").alias("low"), F.max("id").alias("high")
+        different = met.filter(F.col("kind") == HOT).groupBy("key", "print").agg(
+            F.min("low").alias("low"), F.max("high").alias("high")
         )
         different = scratch.keep(different, "hot-surroundings")
         held = _bytes(chosen, length, different).groupBy("key", "print").agg(
@@ -667,27 +716,79 @@ def remove_repeats(
         known = different.join(held, ["key", "print"])
         found = found.unionByName(_dealt_singly(known, length, scratch))
     found = scratch.keep(found, "found")
-    scratch.drop("compared")
     start = F.col("start") + F.col("at")
-    spans = (
-        places.select("key", "print", "id", "text_print", "start")
+    strings = (
+        met.filter(F.col("kind") == PLACE)
+        .select("key", "print", "id", "text_print", "start")
         .join(found, ["key", "print"])
         .filter("first < id")
-        .groupBy("id", "text_print")
-        .agg(F.collect_set(F.struct(start.alias("low"), (start + F.col("n")).alias("high"))).alias("spans"))
+        .select("id", "text_print", start.alias("low"), (start + F.col("n")).alias("high"))
+    ).unionByName(
+        met.filter(F.col("kind") == DONE).select(
+            "id", "text_print", F.col("start").alias("low"), (F.col("start") + F.col("n")).alias("high")
+        )
     )
+    spans = _merged(strings, length)
     spans = scratch.keep(spans, "spans")
-    scratch.drop("places", "found")
+    scratch.drop("met", "found")
     rows = chosen.withColumn("number", F.coalesce("id", F.lit(int(_NO_ID)))).join(
         spans.select(F.col("id").alias("number"), F.col("text_print").alias("print"), "spans"),
         ["number", "print"],
         "left",
     )
-    return _cleaned(rows.select("id", "text", "spans"), length, id)
+    return _cleaned(rows.select("id", "text", "spans"), id)
+
+
+def _merged(strings: DataFrame, length: int) -> DataFrame:
+    """(id, text_print, spans): the runs of bytes of each text that lie in strings which start from low on
+    and before high."""
+
+    def merge(records: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = [np.zeros(0, np.int64)] * 4
+        for record in records:
+            new = [record.column(k).to_numpy(zero_copy_only=False) for k in range(4)]
+            new[3] = new[3] + (length - 1)
+            held = runs(*(np.concatenate(x) for x in zip(held, new, strict=True)))
+            # the last text may go on
+            cut = int(np.flatnonzero(changes(*held[:2]))[-1]) if len(held[0]) else 0
+            if cut:
+                yield listed(*(x[:cut] for x in held))
+                held = [x[cut:] for x in held]
+        if len(held[0]):
+            yield listed(*held)
+
+    def changes(ids: np.ndarray, of_text: np.ndarray) -> np.ndarray:
+        new = np.ones(len(ids), bool)
+        new[1:] = (ids[1:] != ids[:-1]) | (of_text[1:] != of_text[:-1])
+        return new
+
+    def runs(ids, of_text, low, end) -> list[np.ndarray]:
+        apart = np.cumsum(changes(ids, of_text)) << 40  # more than any text is long
+        reach = np.maximum.accumulate(end + apart)
+        new = np.ones(len(ids), bool)
+        new[1:] = (low + apart)[1:] > reach[:-1]
+        first = np.flatnonzero(new)
+        last = np.append(first[1:], len(ids)) - 1 if len(first) else first
+        return [ids[first], of_text[first], low[first], (reach - apart)[last]]
+
+    def listed(ids, of_text, low, end) -> pa.RecordBatch:
+        first = np.flatnonzero(changes(ids, of_text))
+        limits = pa.array(np.append(first, len(ids)).astype(np.int32))
+        spans = pa.StructArray.from_arrays([pa.array(low), pa.array(end)], names=["low", "high"])
+        return pa.RecordBatch.from_arrays(
+            [pa.array(ids[first]), pa.array(of_text[first]), pa.ListArray.from_arrays(limits, spans)],
+            names=["id", "text_print", "spans"],
+        )
+
+    return (
+        strings.repartition("id", "text_print")
+        .sortWithinPartitions("id", "text_print", "low")
+        .mapInArrow(merge, "id bigint, text_print bigint, spans array<struct<low bigint, high bigint>>")
+    )
 
 
-def _cleaned(rows: DataFrame, length: int, id: str) -> DataFrame:
-    """The results, from texts and where the strings removed from them start."""
+def _cleaned(rows: DataFrame, id: str) -> DataFrame:
+    """The results, from texts and the spans removed from them."""
 
     def clean(records: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for record in records:
@@ -710,7 +811,7 @@ def _cleaned(rows: DataFrame, length: int, id: str) -> DataFrame:
             if a < b:
                 depth = np.zeros(len(data) + 1, np.int32)
                 np.add.at(depth, lows[a:b], 1)
-                np.add.at(depth, highs[a:b] + length - 1, -1)
+                np.add.at(depth, highs[a:b], -1)
                 gone = np.cumsum(depth)[:-1] > 0
                 n = int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum())
                 data = data[~gone]
