@@ -1,10 +1,13 @@
 """Names in texts, checked against brute force."""
 
+import os
+
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
 from tillcast.operators import linking
+from tillcast.sources.driver_tables import DriverTables
 
 ITEMS = ["three milk 2.5 lbs", "belgian chocolate 2.5 lbs", "strawberry donut", "red velvet", "pie"]
 BRANCHES = ["lake city", "f10 markaz"]
@@ -135,3 +138,45 @@ def test_a_text_sends_its_matches_only(spark):
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Generate") == 1 and "contains" not in plan.lower()
     assert linking.mentions(texts, names.filter("false")).count() == 0
+
+
+def test_hits_are_not_broadcast_for_their_small_file(spark):
+    """Texts that share their words make a small file of many rows; the few names are broadcast instead."""
+    items = [f"{a} {b}" for a in ("red", "blue", "green", "black") for b in ("ring", "bolt", "plate")]
+    names = linking.catalogue(
+        spark.createDataFrame([(n,) for n in items], "name string"),
+        spark.createDataFrame([(n,) for n in BRANCHES], "name string"),
+    )
+    said = " ".join(sorted({w for n in items for w in n.split()}))
+    texts = linking.materialize(
+        spark.range(4000).selectExpr("CAST(id AS STRING) AS text_id", f"'{said}' AS text"), "texts")
+    linked = linking.fuzzy_link(texts, names)
+    assert {r["found_items"] for r in linked.collect()} == {", ".join(sorted(items))}
+    plan = linked._jdf.queryExecution().executedPlan().toString()  # as it was run
+    joins = [x for x in plan[: plan.index("Initial Plan")].splitlines() if "HashJoin [name_token" in x]
+    assert joins and not any("BuildLeft" in x for x in joins)
+
+
+@pytest.mark.parametrize("pairs", [0, 100_000])
+def test_many_names_are_linked_alike(spark, texts, names, rows, monkeypatch, pairs):
+    """Without any broadcast, and with that of the similar words alone, the links are the same."""
+    few = rows(linking.fuzzy_link(texts, names))
+    monkeypatch.setattr(linking, "LOOKUP_LETTERS", 0)
+    monkeypatch.setattr(linking, "LOOKUP_PAIRS", pairs)
+    linked = linking.fuzzy_link(texts, names)
+    plan = linked._jdf.queryExecution().executedPlan().toString()
+    assert "HashJoin [name_token" not in plan
+    assert rows(linked) == few
+
+
+def test_items_are_looked_up_in_keys(spark):
+    """Neither the items of the sales nor those of the questions are broadcast whole."""
+    folder = "/root/testdata/sf0.001"
+    if not os.path.isdir(folder):
+        pytest.skip("no test tables")
+    tables = DriverTables(spark, folder)
+    for found in (tables.sold_items(), tables.questions()):
+        assert "LeftSemi" in found._jdf.queryExecution().optimizedPlan().toString()
+    keys = {r[0] for r in tables.table("lineitem").select("l_partkey").distinct().collect()}
+    expected = sorted((r["p_type"], r["p_name"]) for r in tables.table("part").collect() if r["p_partkey"] in keys)
+    assert sorted(tuple(r) for r in tables.sold_items().collect()) == expected

@@ -22,6 +22,10 @@ PATTERN_LETTERS = 20_000
 #: Words are alike if equal, or one edit apart and no less similar than this percentage: 100 less
 #: the share that the edit has of the longer word. It holds for letters and digits alike.
 SIMILAR_WORDS = 60
+#: Files of words that recur are a small part of their rows, so their size doesn't tell what the driver can
+#: hold. What is made of names alone is broadcast if the squares of their lengths, which bound it, add
+#: up to no more than this; pairs of similar words are if there are no more of them.
+LOOKUP_LETTERS, LOOKUP_PAIRS = 1 << 21, 100_000
 
 # Scores (0 to 100) from which a name counts as found or as a suggestion.
 FOUND_ITEM = 60
@@ -180,22 +184,33 @@ def _with_deletions(token: Column) -> Column:
     return F.array_distinct(F.concat(F.array(token), lacking))
 
 
-def similar_tokens(left: DataFrame, right: DataFrame) -> DataFrame:
+def _hinted(small: bool) -> str:
+    """The join hint for a table whose rows are few or not; without it Spark goes by the files below."""
+    return "broadcast" if small else "merge"
+
+
+def _few(names: DataFrame) -> bool:
+    squares = F.sum(F.length("name").cast("bigint") * F.length("name"))
+    return (names.agg(squares).first()[0] or 0) <= LOOKUP_LETTERS
+
+
+def similar_tokens(left: DataFrame, right: DataFrame, few: bool = False) -> DataFrame:
     """Pairs (token, name_token) that are equal, or one edit apart and similar enough.
 
     Two words one edit apart share a form with one character deleted, so the join on those
-    forms finds every pair; only distinct words are joined, not their uses.
+    forms finds every pair; only distinct words are joined, not their uses. If there are few words on the
+    right, those are broadcast.
     """
     words = left.select(F.col("token")).distinct()
     others = right.select(F.col("token").alias("name_token")).distinct()
-    equal = words.join(others, words["token"] == others["name_token"])
+    equal = words.join(others.hint(_hinted(few)), words["token"] == others["name_token"])
     left_forms = words.select("token", F.explode(_with_deletions(F.col("token"))).alias("_form"))
     right_forms = others.select(
         "name_token", F.explode(_with_deletions(F.col("name_token"))).alias("_form")
     )
     longer = F.greatest(F.length("token"), F.length("name_token"))
     near = (
-        left_forms.join(right_forms, "_form")
+        left_forms.join(right_forms.hint(_hinted(few)), "_form")
         .filter(F.col("token") != F.col("name_token"))
         .filter(100 * (longer - 1) >= SIMILAR_WORDS * longer)
         .filter(F.levenshtein("token", "name_token", 1) >= 0)
@@ -210,7 +225,7 @@ def _tokenized_names(names: DataFrame) -> DataFrame:
     return names.select("kind", "name", distinct.alias("tokens")).filter(F.size("tokens") > 0)
 
 
-def _index(tokenized: DataFrame) -> DataFrame:
+def _index(tokenized: DataFrame, few: bool) -> DataFrame:
     """Rows (name_token, name, ...) for as few, and as rare, tokens as the cutoff allows.
 
     A name of n tokens needs m = ceil(cutoff * n / 100) matches to reach its cutoff, so at
@@ -220,25 +235,25 @@ def _index(tokenized: DataFrame) -> DataFrame:
     uses = tokenized.withColumn("name_token", F.explode("tokens"))
     counts = uses.groupBy("kind", "name_token").agg(F.count(F.lit(1)).alias("_uses"))
     rarest = (
-        uses.join(counts, ["kind", "name_token"])
+        uses.join(counts.hint(_hinted(few)), ["kind", "name_token"])
         .groupBy("kind", "name")
         .agg(F.array_sort(F.collect_list(F.struct("_uses", "name_token"))).alias("_rarest"))
     )
     n = F.size("tokens")
     keep = n - F.ceil(n * F.col("cutoff") / 100).cast("int") + 1
     return (
-        tokenized.join(rarest, ["kind", "name"])
+        tokenized.join(rarest.hint(_hinted(few)), ["kind", "name"])
         .withColumn("_rare", F.explode(F.slice("_rarest", F.lit(1), keep)))
         .select(F.col("_rare.name_token").alias("name_token"), "kind", "name", "tokens", "cutoff")
     )
 
 
-def _linked(hits: DataFrame, tokenized: DataFrame) -> DataFrame:
+def _linked(hits: DataFrame, tokenized: DataFrame, few: bool) -> DataFrame:
     """Pairs (text_id, kind, name) where the name reaches its cutoff; a pair may repeat."""
     score = 100 * F.size(F.array_intersect("tokens", "hits")) / F.size("tokens")
     return (
         hits.select("text_id", "hits", F.explode("hits").alias("name_token"))
-        .join(_index(tokenized), "name_token")
+        .join(_index(tokenized, few).hint(_hinted(few)), "name_token")
         .filter(score >= F.col("cutoff"))
         .select("text_id", "kind", "name")
     )
@@ -250,14 +265,15 @@ def _listed(kind: str) -> Column:
     return F.concat_ws(", ", F.array_sort(names))
 
 
-def _hits(texts: DataFrame, tokenized: DataFrame) -> DataFrame:
+def _hits(texts: DataFrame, tokenized: DataFrame, few: bool) -> DataFrame:
     """Per text the name tokens it matches; bounded by the words of the text."""
     used = texts.select(
         "text_id", F.explode(F.array_distinct(tx.tokens(F.col("text")))).alias("token")
     )
     spelt = tokenized.select(F.explode("tokens").alias("token"))
+    similar = materialize(similar_tokens(used, spelt, few), "similar-words")
     return (
-        used.join(similar_tokens(used, spelt), "token")
+        used.join(similar.hint(_hinted(similar.count() <= LOOKUP_PAIRS)), "token")
         .groupBy("text_id")
         .agg(F.collect_set("name_token").alias("hits"))
     )
@@ -270,18 +286,18 @@ def fuzzy_link(texts: DataFrame, names: DataFrame) -> DataFrame:
     branches are found at the suggestion threshold already, there are no suggested branches.
     ``names`` comes from ``catalogue``.
     """
-    tokenized = _tokenized_names(names)
-    hits = materialize(_hits(texts, tokenized), "hits")
+    tokenized, few = _tokenized_names(names), _few(names)
+    hits = materialize(_hits(texts, tokenized, few), "hits")
     cutoff = F.when(F.col("kind") == ITEM, FOUND_ITEM).otherwise(FOUND_BRANCH)
     found = (
-        _linked(hits, tokenized.withColumn("cutoff", cutoff))
+        _linked(hits, tokenized.withColumn("cutoff", cutoff), few)
         .groupBy("text_id")
         .agg(_listed(ITEM).alias("found_items"), _listed(BRANCH).alias("found_branches"))
     )
     items = tokenized.filter(F.col("kind") == ITEM).withColumn("cutoff", F.lit(SUGGESTED))
     open_hits = hits.join(found.select("text_id"), "text_id", "left_anti")
     suggested = (
-        _linked(open_hits, items).groupBy("text_id").agg(_listed(ITEM).alias("suggested_items"))
+        _linked(open_hits, items, few).groupBy("text_id").agg(_listed(ITEM).alias("suggested_items"))
     )
     return (
         texts.select("text_id")

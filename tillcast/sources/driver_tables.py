@@ -184,10 +184,13 @@ class DriverTables:
         )
 
     def sold_items(self, lines: DataFrame | None = None) -> DataFrame:
-        """Item and group of every item key with a line; names are joined to distinct keys."""
+        """Item and group of every item key with a line.
+
+        Items are looked up in the distinct keys, not the other way round: a file of names that recur is
+        far smaller than the rows that Spark would broadcast for its size."""
         lines = self.table("lineitem") if lines is None else lines
         keys = lines.select(F.col("l_partkey").alias("item_code")).distinct()
-        return keys.join(self.item(), "item_code").select("item_group", "item_name")
+        return self.item().join(keys, "item_code", "left_semi").select("item_group", "item_name")
 
     def sold_days(self) -> DataFrame:
         return self.table("lineitem").select(F.to_date("l_shipdate").alias("date"))
@@ -327,13 +330,19 @@ class DriverTables:
         """Conversation turns with a question added.
 
         User turns ask for the item and the branch that share the conversation's number,
-        assistant turns misspell the item by leaving out its last letter.
+        assistant turns misspell the item by leaving out its last letter. Only items with such a number
+        are kept for the join, as it may broadcast them.
         """
-        item = self.table("part").select("p_partkey", F.col("p_name").alias("_item"))
+        said = self.table("conversations")
+        numbers = said.select(F.col("conv_id").alias("p_partkey")).distinct()
+        item = (
+            self.table("part")
+            .select("p_partkey", F.col("p_name").alias("_item"))
+            .join(numbers, "p_partkey", "left_semi")
+        )
         branch = self.branch_map_by_number()
         turns = (
-            self.table("conversations")
-            .join(item, F.col("conv_id") == F.col("p_partkey"), "left")
+            said.join(item, F.col("conv_id") == F.col("p_partkey"), "left")
             .join(branch, F.col("conv_id") == F.col("_number"), "left")
         )
         misspelt = F.expr("left(_item, length(_item) - 1)")
