@@ -326,7 +326,7 @@ def test_bytes_of_many_are_not_all_shuffled(spark, monkeypatch):
 
     wanted = docs.mapInArrow(some, "key long, print long, low long").localCheckpoint()
     assert wanted.count() > (1 << 10) // 4
-    fetched = repeats._bytes(docs, 50, wanted)
+    fetched = repeats._bytes(docs, 50, wanted, repeats._filter(spark.range(0)))
     assert "Exchange" not in fetched._jdf.queryExecution().executedPlan().toString()
     assert fetched.join(wanted, ["key", "print"], "left_semi").count() >= wanted.count()
     assert fetched.count() < 3000

@@ -48,6 +48,8 @@ LOCKSTEP_BYTES, FEW = 1 << 20, 10
 FILTER_SHARE, FEWEST_BITS, FILTER_BITS, BLOCK_BITS = 8, 1 << 22, 1 << 29, 1 << 16
 #: Numbers of a task that are put into blocks of a filter at once.
 FILTER_STEP = 1 << 20
+#: Anchors of a task that are counted at once, and bits of the number of blocks they are sent in.
+ANCHOR_STEP, BLOCK_KEYS_BITS = 1 << 21, 12
 #: Kinds of rows that ``_compared`` makes.
 DONE, OPEN, HOT, PLACE = range(4)
 _NO_ID = np.iinfo(np.int64).max  # a null id is later than all others
@@ -209,14 +211,15 @@ def surroundings(
     """(anchor, its place, first string, number of strings, text) of runs of strings with one anchor."""
     low_bits = U64((2 << STEP_BITS) - 1)  # room for the pieces beyond the last string's start
     data, limits = texts.data, texts.limits
+    numbers = np.arange((1 << STEP_BITS) + length, dtype=U64) & low_bits
     for low in range(0, max(len(data) - length + 1, 0), 1 << STEP_BITS):
         count = min(1 << STEP_BITS, len(data) - length + 1 - low)
         part = data[low : low + count + length - 1]
         hashes = _gram_hashes(part, GRAM)
         # the number in the low bits makes the first of equal hashes the smallest
-        numbered = (hashes & ~low_bits) | (np.arange(len(hashes), dtype=U64) & low_bits)
+        numbered = hashes & ~low_bits
+        numbered |= numbers[: len(hashes)]
         least = _window_minimum(numbered, length - GRAM + 1)
-        place = (least & low_bits).astype(np.int64)
         # strings that run into the next text are none
         depth = np.zeros(count + 1, np.int32)
         ends = limits[np.searchsorted(limits, low, "right") :]
@@ -225,12 +228,12 @@ def surroundings(
         np.add.at(depth, np.clip(ends, 0, count), -1)
         inside = np.cumsum(depth[:count]) == 0
         cut = np.ones(count, bool)
-        cut[1:] = (place[1:] != place[:-1]) | (inside[1:] != inside[:-1])
+        cut[1:] = (least[1:] != least[:-1]) | (inside[1:] != inside[:-1])
         first = np.flatnonzero(cut)
         size = np.diff(np.append(first, count))
         good = inside[first]
         first, size = first[good], size[good]
-        at = place[first]
+        at = (least[first] & low_bits).astype(np.int64)
         start = first + low
         yield hashes[at], at + low, start, size, np.searchsorted(limits, start, "right") - 1
 
@@ -240,28 +243,92 @@ def _numbers(part: pa.RecordBatch) -> np.ndarray:
     return ids.fill_null(_NO_ID).to_numpy(zero_copy_only=False)
 
 
+def _first_of(*columns: np.ndarray) -> np.ndarray:
+    """Where runs of equal values start in sorted columns."""
+    new = np.ones(len(columns[0]), bool)
+    new[1:] = False
+    for x in columns:
+        new[1:] |= x[1:] != x[:-1]
+    return np.flatnonzero(new)
+
+
+def _summed(key, low, high, uses) -> tuple[np.ndarray, ...]:
+    """Distinct keys in order, with the smallest low, largest high and sum of uses of each."""
+    order = np.argsort(key, kind="stable")
+    key, low, high, uses = key[order], low[order], high[order], uses[order]
+    first = _first_of(key)
+    if not len(first):
+        return key, low, high, uses
+    ufuncs = (np.minimum, low), (np.maximum, high), (np.add, uses)
+    return key[first], *(f.reduceat(x, first) for f, x in ufuncs)
+
+
 def _shared(docs: DataFrame, length: int) -> DataFrame:
-    """Anchors met in more than one document, with their number of uses."""
+    """Anchors met in more than one document, with their number of uses. A task's anchors are sent in
+    blocks, by their last bits: one row for many anchors."""
+    bits, at_once = BLOCK_KEYS_BITS, ANCHOR_STEP
+    kind = "block bigint, key binary, low binary, high binary, uses binary"
 
     def scan(records: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, ...]] = []
+        count = 0
         for record in records:
             for part, texts in batches(record, "text", False):
                 ids = _numbers(part)
                 for key, _, _, _, text in surroundings(texts, length):
-                    order = np.lexsort((ids[text], key))
-                    key, own = key[order], ids[text][order]
-                    cut = np.ones(len(key), bool)
-                    cut[1:] = key[1:] != key[:-1]
-                    first = np.flatnonzero(cut)
-                    after = np.append(first[1:], len(key))
-                    yield _batch(
-                        {"key": key[first], "low": own[first], "high": own[after - 1],
-                         "uses": after - first}
-                    )
+                    own = ids[text]
+                    held.append((key, own, own, np.ones(len(key), np.int64)))
+                    count += len(key)
+                    if count >= at_once:
+                        yield dealt(*_summed(*map(np.concatenate, zip(*held, strict=True))))
+                        held, count = [], 0
+        if held:
+            yield dealt(*_summed(*map(np.concatenate, zip(*held, strict=True))))
+
+    def dealt(key, low, high, uses) -> pa.RecordBatch:
+        block = (key & U64((1 << bits) - 1)).astype(np.int64)
+        order = np.argsort(block, kind="stable")
+        block = block[order]
+        first = _first_of(block)
+        limits = pa.py_buffer(np.append(first, len(block)).astype(np.int32) * 8)
+        made = [
+            pa.Array.from_buffers(pa.binary(), len(first), [None, limits, pa.py_buffer(x[order])])
+            for x in (key, low, high - low, uses)  # mostly zeros, as most occur once
+        ]
+        return pa.RecordBatch.from_arrays(
+            [pa.array(block[first]), *made], names=["block", "key", "low", "high", "uses"]
+        )
 
-    met = docs.mapInArrow(scan, "key bigint, low bigint, high bigint, uses bigint")
-    sums = F.min("low").alias("low"), F.max("high").alias("high"), F.sum("uses").alias("uses")
-    return met.groupBy("key").agg(*sums).filter("low < high").select("key", "uses")
+    def gather(records: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[bytes]] = [[], [], [], []]
+        last = None
+        for record in records:
+            columns = [c.to_pylist() for c in record.columns]
+            for own, *blobs in zip(*columns, strict=True):
+                if own != last and held[0]:
+                    yield met(held)
+                    held = [[], [], [], []]
+                last = own
+                for x, blob in zip(held, blobs, strict=True):
+                    x.append(blob)
+        if held[0]:
+            yield met(held)
+
+    def met(held: list[list[bytes]]) -> pa.RecordBatch:
+        columns = [
+            np.frombuffer(b"".join(x), t) for x, t in zip(held, (U64, *[np.int64] * 3), strict=True)
+        ]
+        columns[2] = columns[1] + columns[2]
+        key, low, high, uses = _summed(*columns)
+        some = low < high
+        return _batch({"key": key[some], "uses": uses[some]})
+
+    return (
+        docs.mapInArrow(scan, kind)
+        .repartition("block")
+        .sortWithinPartitions("block")
+        .mapInArrow(gather, "key bigint, uses bigint")
+    )
 
 
 def _filter(tags: DataFrame):
@@ -342,16 +409,22 @@ def _batch(columns: dict[str, np.ndarray], **arrays: pa.Array) -> pa.RecordBatch
     return pa.RecordBatch.from_pydict(made | arrays)
 
 
-def _sides(texts: Texts, at: np.ndarray, start: np.ndarray, ends: np.ndarray, length: int):
-    """Two 16-bit prints: of the bytes up to the anchor's end and of those from its start on, as
-    many as one of both sides of any string holds; 0 where the surroundings are shorter."""
+def _prints_and_sides(texts: Texts, at: np.ndarray, start: np.ndarray, ends: np.ndarray, length: int):
+    """Prints of surroundings, and two of 16 bits: of the bytes up to the anchor's end and of those from its
+    start on, as many as one of both sides of any string holds; 0 where the surroundings are shorter."""
     reach = GRAM + (length - GRAM) // 2
+    lows = at + GRAM - reach, at
+    good = [np.flatnonzero((low >= start) & (low + reach <= ends)) for low in lows]
+    sides = [low[some] for low, some in zip(lows, good, strict=True)]
+    prints = _prints(
+        texts, np.concatenate([start, *sides]), np.concatenate([ends, *(x + reach for x in sides)])
+    )
     found = np.zeros(len(at), np.int64)
-    for shift, low in ((0, at + GRAM - reach), (16, at)):
-        good = (low >= start) & (low + reach <= ends)
-        prints = _prints(texts, low[good], low[good] + reach)
-        found[good] |= ((prints >> U64(48)) | U64(1)).astype(np.int64) << shift
-    return found
+    cuts = np.cumsum([len(start), len(good[0])])
+    own, *of_sides = np.split(prints, cuts)
+    for shift, some, x in zip((0, 16), good, of_sides, strict=True):
+        found[some] |= ((x >> U64(48)) | U64(1)).astype(np.int64) << shift
+    return own, found
 
 
 def _places(docs: DataFrame, length: int, shared, hot) -> DataFrame:
@@ -367,12 +440,11 @@ def _places(docs: DataFrame, length: int, shared, hot) -> DataFrame:
                 for found in surroundings(texts, length):
                     hit = _held(shared, found[0])
                     key, at, start, n, text = (x[hit] for x in found)
-                    ends = start + n + length - 1
+                    own, sides = _prints_and_sides(texts, at, start, start + n + length - 1, length)
                     yield _batch(
-                        {"key": key, "print": _prints(texts, start, ends), "id": ids[text],
-                         "text_print": of_text[text], "at": start - texts.limits[text] << 32 | n,
-                         "sides": _sides(texts, at, start, ends, length)
-                         | _held(hot, key).astype(np.int64) << 32}
+                        {"key": key, "print": own, "id": ids[text], "text_print": of_text[text],
+                         "at": start - texts.limits[text] << 32 | n,
+                         "sides": sides | _held(hot, key).astype(np.int64) << 32}
                     )
 
     names = ["key", "print", "id", "text_print", "at", "sides"]
@@ -449,9 +521,9 @@ def _compared(places: DataFrame) -> DataFrame:
     )
 
 
-def _bytes(docs: DataFrame, length: int, wanted: DataFrame) -> DataFrame:
-    """(key, print, null, null, bytes) of all of ``wanted`` (key, print, low, high), taken from document
-    ``low``, and maybe of others."""
+def _bytes(docs: DataFrame, length: int, wanted: DataFrame, hot) -> DataFrame:
+    """(key, print, hot, bytes) of all of ``wanted`` (key, print, low), taken from document ``low``, and maybe of
+    others; hot as in ``_places``."""
 
     def tags(records: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for record in records:
@@ -474,12 +546,9 @@ def _bytes(docs: DataFrame, length: int, wanted: DataFrame) -> DataFrame:
                     bytes_ = pa.Array.from_buffers(
                         pa.binary(), len(key), [None, pa.py_buffer(limits), pa.py_buffer(held)]
                     )
-                    none = pa.nulls(len(key), pa.int64())
-                    yield _batch({"key": key, "print": own}, low=none, high=none, bytes=bytes_)
+                    yield _batch({"key": key, "print": own, "hot": _held(hot, key)}, bytes=bytes_)
 
-    return docs.mapInArrow(
-        scan, "key bigint, print bigint, low bigint, high bigint, bytes binary"
-    )
+    return docs.mapInArrow(scan, "key bigint, print bigint, hot bigint, bytes binary")
 
 
 # --- repeats -----------------------------------------------------------------------------
@@ -633,8 +702,9 @@ def _repeats(wanted: DataFrame, known: DataFrame, length: int) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in columns], names=names)
 
     told = wanted.select("key", "print", "low", "high", F.lit(None).cast("binary").alias("bytes"))
+    none = F.lit(None).cast("bigint")
     return (
-        told.unionByName(known)
+        told.unionByName(known.select("key", "print", none.alias("low"), none.alias("high"), "bytes"))
         .repartition("key")
         .sortWithinPartitions("key", "print", F.col("low").asc_nulls_last())
         .mapInArrow(sort, ", ".join(f"{c} bigint" for c in names))
@@ -701,21 +771,25 @@ def remove_repeats(
     table = _filter(shared.select("key"))
     hot = shared.filter(F.col("uses") > USES).select("key")
     any_hot = not hot.isEmpty()
-    met = scratch.keep(_compared(_places(chosen, length, table, _filter(hot))), "met")
+    hot = _filter(hot)
+    met = scratch.keep(_compared(_places(chosen, length, table, hot)), "met")
     scratch.drop("anchors")
     wanted = met.filter(F.col("kind") == OPEN).select("key", "print", "low", "high")
-    found = _repeats(wanted, _bytes(chosen, length, wanted), length)
     if any_hot:
         different = met.filter(F.col("kind") == HOT).groupBy("key", "print").agg(
             F.min("low").alias("low"), F.max("high").alias("high")
         )
         different = scratch.keep(different, "hot-surroundings")
-        held = _bytes(chosen, length, different).groupBy("key", "print").agg(
-            F.first("bytes").alias("bytes")
+        known = scratch.keep(
+            _bytes(chosen, length, wanted.unionByName(different), hot), "bytes"
         )
-        known = different.join(held, ["key", "print"])
-        found = found.unionByName(_dealt_singly(known, length, scratch))
-    found = scratch.keep(found, "found")
+        found = scratch.keep(_repeats(wanted, known.filter("hot = 0"), length), "found")
+        held = known.filter("hot = 1").groupBy("key", "print").agg(F.first("bytes").alias("bytes"))
+        singly = _dealt_singly(different.join(held, ["key", "print"]), length, scratch)
+        found = found.unionByName(scratch.keep(singly, "found-singly"))
+        scratch.drop("hot-surroundings", "bytes", "strings", "firsts")
+    else:
+        found = scratch.keep(_repeats(wanted, _bytes(chosen, length, wanted, hot), length), "found")
     start = F.col("start") + F.col("at")
     strings = (
         met.filter(F.col("kind") == PLACE)
@@ -730,7 +804,7 @@ def remove_repeats(
     )
     spans = _merged(strings, length)
     spans = scratch.keep(spans, "spans")
-    scratch.drop("met", "found")
+    scratch.drop("met", "found", *["found-singly"] * any_hot)
     rows = chosen.withColumn("number", F.coalesce("id", F.lit(int(_NO_ID)))).join(
         spans.select(F.col("id").alias("number"), F.col("text_print").alias("print"), "spans"),
         ["number", "print"],
